@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut  # noqa: F401
+
 PIECE_BYTES = 2 << 20
 
 
@@ -18,19 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a notebook)
-    a temporary one is chosen.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memspark-"))
-    return df.checkpoint(eager=True)
-
-
 def text_key(text: Column | str) -> Column:
     """64-bit hash of a whole text; with doc_id it names a document row."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
