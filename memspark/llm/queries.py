@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import decontaminate
+from memspark.llm import decontaminate, simhash_dedup, source_mix, topk_search
 from memspark.llm.common import read_table
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, benchmark).drop("spans", "items")
@@ -32,10 +36,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk_search.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+"""
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.source_mix(read_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, source, md5('0:' || CAST(doc_id AS VARCHAR)) AS o,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST(r % 3 AS INTEGER) + 1] AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
+t AS (SELECT *, total - coalesce(CAST(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS free,
+    CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS onward
+  FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, r)),
+l AS (SELECT free AS f, onward AS n FROM t WHERE free * weight <= 3 * source_size * onward ORDER BY 3 * source_size / weight, r LIMIT 1),
+g AS (SELECT source, source_size, CASE WHEN 3 * source_size * n < weight * f THEN CAST(3 * source_size AS DOUBLE) ELSE weight * f / n END AS target FROM t, l),
+p AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS take,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+  (take // source_size) * size + greatest(least(start + size, take % source_size) - start, 0) END AS taken FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op6_topk_search": op6_topk_search,
+    "op8_source_mix": op8_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op6_topk_search": OP6_SQL,
+    "op8_source_mix": OP8_SQL,
 }
