@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import decontaminate, simhash_dedup, source_mix, topk_search
+from memspark.llm import decontaminate, line_dedup, secret_scan, simhash_dedup, source_mix, topk_search
 from memspark.llm.common import read_table
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,15 +72,39 @@ SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
   (take // source_size) * size + greatest(least(start + size, take % source_size) - start, 0) END AS taken FROM p
 """
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+h AS (SELECT *, list_transform(l, lambda x: md5(x)) AS m FROM d),
+b AS (SELECT doc_id, l, m, list_concat([0], list_filter(range(1, len(l)), lambda i: md5(m[i] || m[i + 1])[1] < '4'), [len(l)]) AS e FROM h),
+c AS (SELECT doc_id, l, m, unnest(list_transform(range(1, len(e)), lambda i: {'f': e[i], 'n': e[i + 1] - e[i]})) AS s FROM b),
+k AS (SELECT doc_id, s.f AS f, s.n AS n, array_to_string(l[s.f + 1:s.f + s.n], chr(10)) AS t FROM c WHERE s.n >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, f) AS copy FROM k),
+g AS (SELECT doc_id, sum(n) AS gone, count(*) AS chunks, flatten(list(range(f + 1, f + n + 1))) AS lines FROM r WHERE copy > 1 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(lines, i)), lambda i: l[i]), chr(10)), '') END AS text,
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(chunks, 0) AS BIGINT) AS n_chunks
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op6_topk_search": op6_topk_search,
     "op8_source_mix": op8_source_mix,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op6_topk_search": OP6_SQL,
     "op8_source_mix": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
