@@ -16,19 +16,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     expectation whatever the shape of the graph. Edges with a null end are ignored, loops make single components.
     """
     ends = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null")
-    ends = cut(ends.distinct())
-    nodes = cut(ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct().withColumn("root", F.col("node")))
-    links = ends.filter("src <> dst")
+    links = cut(ends.distinct())
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().withColumn("root", F.col("node"))
+    links = links.filter("src <> dst")
     for turn in range(max_rounds):
         if links.isEmpty():
             return nodes
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))  # noqa: B023,E731
-        both = links.union(links.select("dst", "src"))
-        best = both.groupBy("src").agg(F.min(rank("dst")).alias("best"))
+        both = links.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
+        best = both.select("e.*").groupBy("src").agg(F.min(rank("dst")).alias("best"))
         point = cut(best.select(F.col("src").alias("at"), F.least("best", rank("src"))["id"].alias("to")))
         left = links.join(point, links.src == point["at"]).select(F.col("to").alias("src"), "dst")
         right = left.join(point, left.dst == point["at"]).select("src", F.col("to").alias("dst"))
         right = right.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         links = cut(right.distinct())
-        nodes = cut(nodes.join(point, nodes.root == point["at"], "left").select("node", F.coalesce("to", "root").alias("root")))
+        nodes = nodes.join(point, nodes.root == point["at"], "left").select("node", F.coalesce("to", "root").alias("root"))
     raise RuntimeError(f"components not found in {max_rounds} rounds")
