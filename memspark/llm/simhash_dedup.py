@@ -157,11 +157,13 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int =
     while the rows stay in proportion to the input.
     """
     rows = fingerprints.select("fp", _bands(radius).alias("key"), F.bit_count("fp").alias("ones")).select("fp", "key.band", "key.value", "ones")
-    rows = cut(rows)
     counted = rows.groupBy("band", "value", "ones").count()
     hot = counted.groupBy("band", "value").agg(F.sum("count").alias("total")).filter(F.col("total") > tile)
     hot = cut(hot.select("band", "value"))
     usual = rows.join(hot, ["band", "value"], "left_anti").select(F.xxhash64("band", "value").alias("unit"), F.lit(0).alias("side"), "fp")
+    usual = usual.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(radius, tile), "src long, dst long")
+    if hot.isEmpty():
+        return usual
     many = rows.join(hot, ["band", "value"]).join(counted.withColumnRenamed("count", "n"), ["band", "value", "ones"])
     chunk = F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / tile))
     many = cut(many.select("band", "value", "ones", chunk.alias("chunk"), "fp"))
@@ -176,9 +178,8 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int =
         own = pairs if i == 0 else pairs.filter("ones0 <> ones1 or chunk0 <> chunk1")
         own = own.select("unit", "band", "value", F.col(f"ones{i}").alias("ones"), F.col(f"chunk{i}").alias("chunk"))
         sides.append(many.join(own, ["band", "value", "ones", "chunk"]).select("unit", F.lit(i).alias("side"), "fp"))
-    units = usual.union(sides[0]).union(sides[1])
-    units = units.repartition("unit").sortWithinPartitions("unit")
-    return units.mapInArrow(_compare(radius, tile), "src long, dst long")
+    units = sides[0].union(sides[1]).repartition("unit").sortWithinPartitions("unit")
+    return usual.union(units.mapInArrow(_compare(radius, tile), "src long, dst long"))
 
 
 def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -196,5 +197,5 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     nodes = connected_components(fingerprint_links(known.select("fp"), radius))
     known = known.join(nodes, known.fp == nodes.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut(known.join(least, "root").select("fp", "component_id"))
+    classes = known.join(least, "root").select("fp", "component_id")
     return base.join(classes, "fp").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
