@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import decontaminate, line_dedup, secret_scan, simhash_dedup, source_mix, topk_search
+from memspark.llm import decontaminate, line_dedup, quality, secret_scan, simhash_dedup, source_mix, substring_dedup, topk_search, toxicity
 from memspark.llm.common import read_table
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,9 +93,48 @@ SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(li
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_PIECES = """
+d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][ \\t\\n\\r\\f\\v]+|\\n+)', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+e AS (SELECT doc_id, i - 1 AS i, p[i] AS raw, trim(p[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d))
+"""
+
+OP2_SQL = f"""
+WITH {_PIECES},
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) AS n FROM e WHERE s <> ''),
+c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS cum FROM f),
+t AS (SELECT a.doc_id, a.i, a.r, min(b.r) AS z FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r + 1 AND a.r + 20 AND b.cum - a.cum + a.n >= 20 GROUP BY ALL),
+k AS (SELECT t.doc_id, t.i, max(c.i) AS z, string_agg(c.s, chr(10) ORDER BY c.i) AS h FROM t JOIN c ON c.doc_id = t.doc_id AND c.r BETWEEN t.r AND t.z GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS copy FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, z + 1)) AS i FROM q WHERE copy > 1),
+m AS (SELECT e.doc_id, e.i, raw, s, g.i IS NOT NULL AS gone FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i = g.i),
+w AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id, s <> '' ORDER BY i), FALSE) AS begins FROM m),
+o AS (SELECT doc_id, string_agg(raw, '' ORDER BY i) FILTER (NOT gone) AS kept, count(*) FILTER (s <> '') AS n_sentences,
+  count(*) FILTER (s <> '' AND gone) AS n_removed, count(*) FILTER (s <> '' AND begins) AS n_spans FROM w GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n_removed = 0 THEN text ELSE coalesce(kept, '') END AS text, n_sentences, n_removed, n_spans FROM documents JOIN o USING (doc_id)
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.toxicity_scores(docs, labels)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.importance_resample(docs, labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_topk_search": op6_topk_search,
     "op8_source_mix": op8_source_mix,
     "op9_secret_scan": op9_secret_scan,
@@ -103,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
     "op6_topk_search": OP6_SQL,
     "op8_source_mix": OP8_SQL,
