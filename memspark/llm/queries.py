@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import decontaminate, line_dedup, quality, secret_scan, simhash_dedup, source_mix, substring_dedup, topk_search, toxicity
+from memspark.llm import decontaminate, line_dedup, quality, secret_scan, simhash_dedup, source_mix, substring_dedup, suffix_dedup, topk_search, toxicity
 from memspark.llm.common import read_table
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,6 +51,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.suffix_dedup(docs, keep_first=False)
+    return out.selectExpr("doc_id", "n_bytes", "n_removed", "cast(size(spans) as bigint) as n_spans", "kept_sha256")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.source_mix(read_table(spark, sf_dir, "documents"))
 
@@ -136,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_topk_search": op6_topk_search,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
