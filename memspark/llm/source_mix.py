@@ -69,7 +69,7 @@ def slots(targets: DataFrame, total: int, block_tokens: int = BLOCK_TOKENS) -> D
     own = own.withColumn("era", F.shiftright("slot", bits // 2))
     eras = own.groupBy("rank", "era").count()
     earlier = F.coalesce(F.sum("count").over(Window.partitionBy("rank").orderBy("era").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = own.join(eras.select("rank", "era", earlier.alias("earlier")), ["rank", "era"])
+    own = own.hint("merge").join(eras.select("rank", "era", earlier.alias("earlier")), ["rank", "era"])
     own = own.withColumn("number", F.col("earlier") + F.row_number().over(Window.partitionBy("rank", "era").orderBy("slot")) - 1)
     start = F.least(F.floor(F.col("number") * F.lit(width)), F.col("take"))
     stop = F.when(F.col("number") == F.col("n") - 1, F.col("take")).otherwise(F.least(F.floor((F.col("number") + 1) * F.lit(width)), F.col("take")))
@@ -100,7 +100,7 @@ def source_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     sums = worded.groupBy("_rank", "_bucket").agg(F.sum("size").alias("held"))
     ahead = F.coalesce(F.sum("held").over(Window.partitionBy("_rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("_rank", "_bucket").orderBy("_order", "_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = worded.withColumn("inside", inside).join(sums.select("_rank", "_bucket", ahead.alias("before")), ["_rank", "_bucket"])
+    placed = worded.withColumn("inside", inside).hint("merge").join(sums.select("_rank", "_bucket", ahead.alias("before")), ["_rank", "_bucket"])
     placed = placed.select("_row", "_rank", (F.col("inside") + F.col("before")).alias("start"), (F.col("inside") + F.col("before") + F.col("size")).alias("end"))
     cell = lambda c: F.expr(f"({c}) div {block_tokens}")
     blocks = placed.withColumn("cell", F.explode(F.sequence(cell("start"), cell("end - 1"))))
@@ -109,6 +109,7 @@ def source_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     used = used.select(F.col("rank").alias("_rank"), F.greatest(F.col("first") - F.col("turn") * F.col("source_size"), F.lit(0)).alias("from"), F.least(F.col("stop") - F.col("turn") * F.col("source_size"), F.col("source_size")).alias("to"))
     used = used.withColumn("cell", F.explode(F.sequence(cell("`from`"), cell("`to` - 1"))))
     overlap = F.greatest(F.least("end", "to", (F.col("cell") + 1) * block_tokens) - F.greatest("start", "from", F.col("cell") * block_tokens), F.lit(0))
-    taken = blocks.join(used, ["_rank", "cell"]).groupBy("_row").agg(F.sum(overlap).alias("taken"))
+    # a few rows burst into many after the last exchange: their size must not be taken for that of the join's sides
+    taken = blocks.hint("merge").join(used, ["_rank", "cell"]).groupBy("_row").agg(F.sum(overlap).alias("taken"))
     out = sourced.join(taken, "_row", "left")
     return out.select(*keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
