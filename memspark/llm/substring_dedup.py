@@ -105,7 +105,6 @@ def repeated_sentences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("gone"))
 
 
-@F.pandas_udf("struct<text:string,n_sentences:bigint,n_removed:bigint,n_spans:bigint>")
 def _without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     out = []
     for t, g in zip(text, gone, strict=True):
@@ -130,5 +129,5 @@ def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     gone = repeated_sentences(docs, least_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("key", "_of")
     whole = docs.withColumn("_key", text_key("text"))
     out = whole.join(gone, whole["doc_id"].eqNullSafe(gone["_doc"]) & (whole["_key"] == gone["_of"]), "left")
-    out = out.withColumn("_new", _without(F.col("text").cast("string"), F.col("gone")))
+    out = out.withColumn("_new", F.pandas_udf(_without, "text string, n_sentences long, n_removed long, n_spans long")(F.col("text").cast("string"), F.col("gone")))
     return out.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_new.n_sentences", "_new.n_removed", "_new.n_spans")
