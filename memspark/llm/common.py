@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.functions.checkpoints import cut  # noqa: F401
+from memspark.functions.checkpoints import cut, shared_folder  # noqa: F401
 
 PIECE_BYTES = 2 << 20
 

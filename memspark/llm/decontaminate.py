@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import NOT_ALNUM, cut, fold_table, mix, pieces, prefix_hash, range_hash, signed, word_bounds
+from memspark.llm.common import NOT_ALNUM, cut, fold_table, mix, pieces, prefix_hash, range_hash, signed, text_key, word_bounds
 
 WINDOW = 13
 KGRAM = 8
@@ -162,3 +162,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "items",
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> DataFrame:
+    """The rows of ``docs`` that ``contamination`` calls clean, whole and with all their columns.
+
+    A twentieth of a document's words must be hit. Rows that share doc_id and text are judged alike.
+    """
+    hits = benchmark_hits(docs.select(F.struct("doc_id", text_key("text").alias("key")).alias("doc_id"), "text"), benchmark, window, kgram)
+    bad = hits.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc.doc_id.doc_id").alias("_doc"), F.col("doc.doc_id.key").alias("_of")).distinct()
+    whole = docs.withColumn("_key", text_key("text"))
+    return whole.join(bad, whole["doc_id"].eqNullSafe(bad["_doc"]) & (whole["_key"] == bad["_of"]), "left_anti").select(*docs.columns)
