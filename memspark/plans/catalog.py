@@ -1,4 +1,9 @@
-"""Registered queries over the reference's own operators."""
+"""All registered queries over the reference's own operators, and their SQL."""
+
+from memspark.plans import queries_ingest
 
 QUERIES = {}
 ORACLE_SQL = {}
+for module in (queries_ingest,):
+    QUERIES |= module.Q
+    ORACLE_SQL |= module.S
