@@ -123,3 +123,20 @@ def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bits set at the upper ``bits`` bits of the column h1; its size does not depend on the input's."""
+    at = F.shiftrightunsigned("h1", 64 - bits)
+    words = hashes.select(F.shiftright(at, 5).cast("int").alias("word"), F.expr(f"cast(1 << cast(shiftrightunsigned(h1, {64 - bits}) & 31 as int) as int)").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("set"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    for b in words.toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint32)
+    return out.view(np.uint8)
+
+
+def in_filter(hashes: np.ndarray, filled: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the unsigned hashes have their bit set in a filter of ``bit_filter``."""
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

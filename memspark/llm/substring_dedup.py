@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import cut, text_key
+from memspark.llm.common import bit_filter, cut, text_key
 
 LEAST_WORDS = 20
 LEAST_SENTENCES = 2
@@ -80,17 +80,6 @@ def _candidates(least_words: int, keep) -> Callable:
     return run
 
 
-def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bits set at the upper ``bits`` bits of the column h1; its size does not depend on the input's."""
-    at = F.shiftrightunsigned("h1", 64 - bits)
-    words = hashes.select(F.shiftright(at, 5).cast("int").alias("word"), F.expr(f"cast(1 << cast(shiftrightunsigned(h1, {64 - bits}) & 31 as int) as int)").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("set"))
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    for b in words.toArrow().to_batches():
-        out[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint32)
-    return out.view(np.uint8)
-
-
 def repeated_sentences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per document with any: doc_id, key (hash of its text) and the sorted numbers of the pieces to remove."""
     text = docs.select(F.col("text").cast("string"))

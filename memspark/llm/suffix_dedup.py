@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import cut, mix, pieces, powers, prefix_hash, ranges, text_key
+from memspark.llm.common import bit_filter, cut, in_filter, mix, pieces, powers, prefix_hash, ranges, text_key
 
 LENGTH = 400
 GRAM = 40
 #: Different contexts of one anchor that a task orders at once; more are compared string by string over the cluster.
 GROUP = 2048
+#: Bits of the filter that tells the second reading which anchors may repeat: 4 MB, whatever the input.
+FILTER_BITS = 25
 _CHUNK = 2 << 20
 _TEXT_AT_ONCE = 1 << 20
 
@@ -67,20 +69,33 @@ def _chunked(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarr
             yield row, at, part, np.array([0, len(part)])
 
 
-def _contexts(length: int, gram: int) -> Callable:
+def _anchor_hashes(length: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in _chunked(b.column(0), length):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offsets, length, gram)[3].view(np.int64))], names=["h1"])
+
+    return run
+
+
+def _contexts(length: int, gram: int, sent) -> Callable:
+    """Contexts whose anchors may occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = sent.value
         for b in batches:
             for row, shift, data, offsets in _chunked(b.column(2), length):
                 first, last, _, hashed = anchors(data, offsets, length, gram)
+                use = in_filter(hashed, filled, FILTER_BITS)
+                first, last, hashed = first[use], last[use], hashed[use]
                 raw = data.tobytes()
-                digests = b"".join([xxhash.xxh3_128_digest(raw[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)])
-                both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                digests = np.array([xxhash.xxh3_64_intdigest(raw[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
                 of = np.searchsorted(offsets, first, "right") - 1
                 begin = first - offsets[of] + shift
                 take = pa.array(row + of)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(begin), pa.array((last - first + 1).astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(both[:, 0] ^ np.int64(0)), pa.array(both[:, 1] ^ np.int64(0))],
-                    names=["doc_id", "key", "start", "n", "anchor", "c1", "c2"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(begin), pa.array((last - first + 1).astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(digests.view(np.int64))],
+                    names=["doc_id", "key", "start", "n", "anchor", "context"],
                 )
 
     return run
@@ -126,7 +141,7 @@ def _resolve(length: int) -> Callable:
     kind = pa.list_(pa.list_(pa.int32()))
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        texts = [h[5] for h in held]
+        texts = [h[3] for h in held]
         sizes = np.array([len(t) for t in texts], np.int64)
         text = np.frombuffer(b"".join(texts), np.uint8)
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -139,17 +154,17 @@ def _resolve(length: int) -> Callable:
         edges = np.concatenate([[0], np.cumsum(counts)])
         out = [(_runs(earlier[a:b]), _runs((earlier | later)[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         cols = list(zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind)], names=["anchor", "c1", "c2", "earlier", "any"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind)], names=["anchor", "context", "earlier", "any"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if size >= _TEXT_AT_ONCE and r[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[5])
+                size += len(r[3])
         if held:
             yield flush(held)
 
@@ -159,28 +174,28 @@ def _resolve(length: int) -> Callable:
 def _cut_contexts(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for text, wanted in zip(b.column(0), b.column(1), strict=True):
                 raw = (text.as_py() or "").encode()
                 for w in wanted.as_py():
-                    for column, value in zip(out, (w["anchor"], w["c1"], w["c2"], w["place"], w["copies"], raw[w["start"] : w["start"] + w["n"] - 1 + length]), strict=True):
+                    for column, value in zip(out, (w["anchor"], w["context"], w["place"], raw[w["start"] : w["start"] + w["n"] - 1 + length]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "c1", "c2", "place", "copies", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["anchor", "context", "place", "bytes"])
 
     return run
 
 
 def _strings(length: int) -> Callable:
-    """Every string of the contexts as (anchor, c1, c2, place, offset, digest)."""
+    """Every string of the contexts as (anchor, context, place, offset, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                raw = b.column(5)[i].as_py()
+                raw = b.column(3)[i].as_py()
                 n = len(raw) - length + 1
                 at = pa.array(np.full(n, i))
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[j : j + length]) for j in range(n)]), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests[:, 0] ^ np.int64(0)), pa.array(digests[:, 1] ^ np.int64(0))], names=["anchor", "c1", "c2", "place", "offset", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names=["anchor", "context", "place", "offset", "h1", "h2"])
 
     return run
 
@@ -200,8 +215,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_key("text").alias("key"), F.col("text").cast("string").alias("text"))
-    found = cut(texts.mapInArrow(_contexts(length, gram), f"doc_id {kind}, key long, start long, n int, anchor long, c1 long, c2 long"))
-    context = ["anchor", "c1", "c2"]
+    twice = cut(texts.select("text").mapInArrow(_anchor_hashes(length, gram), "h1 long").groupBy("h1").count().filter("count > 1").select("h1"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(twice, FILTER_BITS))
+    found = texts.mapInArrow(_contexts(length, gram, sent), f"doc_id {kind}, key long, start long, n int, anchor long, context long")
+    found = cut(found.join(twice, found["anchor"] == twice["h1"], "left_semi"))
+    context = ["anchor", "context"]
     place = F.struct("doc_id", "key", "start")
     distinct = found.groupBy(*context).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start", "n")).alias("first"))
     anchors_ = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("copies").alias("copies")).filter("copies > 1")
@@ -212,16 +230,16 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
     several = shared.filter("contexts > 1")
     ordered = _sortable(kind, "first.doc_id", "first.key", "first.start")
-    wanted = several.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key")).agg(F.collect_list(F.struct(*context, ordered.alias("place"), "copies", F.col("first.start").alias("start"), F.col("first.n").alias("n"))).alias("wanted"))
+    wanted = several.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key")).agg(F.collect_list(F.struct(*context, ordered.alias("place"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))).alias("wanted"))
     pulled = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["key"] == wanted["_key"]))
-    pulled = pulled.select("text", "wanted").mapInArrow(_cut_contexts(length), "anchor long, c1 long, c2 long, place binary, copies long, bytes binary")
+    pulled = pulled.select("text", "wanted").mapInArrow(_cut_contexts(length), "anchor long, context long, place binary, bytes binary")
     pulled = cut(pulled.join(several.filter(F.col("contexts") > group).select("anchor").distinct().withColumn("hot", F.lit(True)), "anchor", "left"))
-    usual = pulled.filter("hot is null").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "place", "c1", "c2")
-    solved = usual.mapInArrow(_resolve(length), "anchor long, c1 long, c2 long, earlier array<array<int>>, any array<array<int>>")
+    usual = pulled.filter("hot is null").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "place", "context")
+    solved = usual.mapInArrow(_resolve(length), "anchor long, context long, earlier array<array<int>>, any array<array<int>>")
     hot = pulled.filter("hot").drop("hot")
     if not hot.isEmpty():
-        strings = hot.mapInArrow(_strings(length), "anchor long, c1 long, c2 long, place binary, offset int, h1 long, h2 long")
-        own = F.struct("place", "c1", "c2")
+        strings = hot.mapInArrow(_strings(length), "anchor long, context long, place binary, offset int, h1 long, h2 long")
+        own = F.struct("place", "context")
         equal = strings.groupBy("anchor", "h1", "h2").agg(F.min(own).alias("least"), F.max(own).alias("most")).filter("least <> most")
         met = strings.join(equal.select("anchor", "h1", "h2", "least"), ["anchor", "h1", "h2"]).select(*context, "offset", (own != F.col("least")).alias("later"))
         one = F.array("offset", F.col("offset") + 1)
