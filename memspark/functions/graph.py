@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """Rows (node, root) for every node of ``edges``; nodes of one component share the root, a node of it.
 
     Each round every node points to the neighbour (itself included) that a hash of the round puts first, edges are
-    relabelled by these pointers, and loops and repeats go; the number of nodes falls by a constant factor in
+    relabelled by two such steps, and loops and repeats go; the number of nodes falls by a constant factor in
     expectation whatever the shape of the graph. Edges with a null end are ignored, loops make single components.
     """
     ends = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null")
@@ -25,7 +25,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))  # noqa: B023,E731
         both = links.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
         best = both.select("e.*").groupBy("src").agg(F.min(rank("dst")).alias("best"))
-        point = cut(best.select(F.col("src").alias("at"), F.least("best", rank("src"))["id"].alias("to")))
+        point = best.select(F.col("src").alias("at"), F.least("best", rank("src"))["id"].alias("to"))
+        hop = point.select(F.col("at").alias("_at"), F.col("to").alias("_to"))
+        point = point.join(hop, point["to"] == hop["_at"]).select("at", F.col("_to").alias("to"))
         left = links.join(point, links.src == point["at"]).select(F.col("to").alias("src"), "dst")
         right = left.join(point, left.dst == point["at"]).select("src", F.col("to").alias("dst"))
         right = right.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
