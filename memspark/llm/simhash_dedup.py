@@ -308,7 +308,7 @@ def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: fl
     nodes = connected_components(pairs.mapInArrow(_verify(similarity), "src long, dst long")).withColumnRenamed("node", "_node")
     out = known.join(nodes, known["node"] == nodes["_node"], "left").select("node", "first", F.coalesce("root", "node").alias("component"))
     least = out.groupBy("component").agg(F.min("first").alias("least"))
-    kept = cut(out.join(least, "component").select("node", "component", "least"))
+    kept = out.join(least, "component").select("node", "component", "least")
     base = base.withColumn("node", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")))
     return base.join(kept, "node").select("doc_id", "key", "component", (F.struct("doc_id", "key") == F.col("least")).alias("least"))
 

@@ -19,7 +19,7 @@ from memspark.llm.common import NOT_ALNUM, fold_table, pieces, prefix_hash, rang
 
 #: Buckets of hashed words, and at most so many labelled documents of each class to learn from (documented bounds).
 BUCKETS = 1 << 17
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 1000
 _SEGMENT = 64
 _EPOCHS = 25
 
@@ -120,8 +120,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(words: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Field:
-    """Learn from rows of word buckets and the rows' labels."""
+def fit(words: np.ndarray, first: np.ndarray, toxic: np.ndarray, share: float | None = None) -> Field:
+    """Learn from rows of word buckets and the rows' labels; ``share``: of toxic rows where the field will be used."""
     counts = np.diff(first)
     of = np.repeat(np.arange(len(counts)), counts)
     pairs = np.unique(of * BUCKETS + words)
@@ -158,6 +158,8 @@ def fit(words: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Field:
         q = _sigmoid(x @ w)
         curve = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(4)
         w = w + np.linalg.solve(curve, x.T @ (toxic - q) - 1e-2 * w)
+    if share is not None and 0 < share < 1 and 0 < toxic.mean() < 1:  # the sample's classes are not as frequent as the table's
+        w[0] += np.log(share / (1 - share)) - np.log(toxic.mean() / (1 - toxic.mean()))
     field.document = w
     return field
 
@@ -185,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Field:
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = known.agg(F.avg("toxic")).head()[0]
     order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(most).union(known.filter("toxic = 0").orderBy(*order).limit(most))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
@@ -193,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Field:
     parts = [np.frombuffer(table.column(1)[i].as_py(), np.int32) for i in order]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     words = np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64)
-    return fit(words, first, np.array([table.column(0)[i].as_py() for i in order], float))
+    return fit(words, first, np.array([table.column(0)[i].as_py() for i in order], float), share)
 
 
 def _tag(model) -> Callable:
