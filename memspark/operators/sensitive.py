@@ -80,7 +80,7 @@ def pattern_counts(df: DataFrame, key: str, text: str, patterns: tuple = PATTERN
 def card_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cards, valid): runs of 13 or more digits and how many pass the check digit."""
     runs = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"(\d{13,19})"), F.lit(1))).alias("digits"))
-    return runs.groupBy(key).agg(F.count("*").alias("cards"), F.count_if(F.luhn_check("digits")).alias("valid"))
+    return runs.groupBy(key).agg(F.count("*").alias("cards"), F.count_if(F.expr("luhn_check(digits)")).alias("valid"))
 
 
 def token_entropy(df: DataFrame, key: str, text: str, least: int = LEAST_TOKEN) -> DataFrame:
