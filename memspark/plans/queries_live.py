@@ -122,7 +122,7 @@ def _(b):
     return _finished(b, live.live_etl(events, "event_id", ["read"], ["*7?"])).select("event_id", "type", "content")
 
 
-@query("m2_suppress_duplicates")
+@query("m2_suppress_duplicates", "SELECT DISTINCT user_id AS source, event_type AS type FROM events")
 def _(b):
     return _finished(b, live.suppress_duplicates(_stream(b), ["source", "type"], within="40 days")).select("source", "type")
 
