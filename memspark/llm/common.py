@@ -24,6 +24,17 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows as one struct ``_in`` beside ``_id``, ``_text`` and ``_key``, so that no column name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"), text_key("text").alias("_key"))
+
+
+def unpacked(docs: DataFrame, outcome: dict[str, Column]) -> list[Column]:
+    """The columns of ``docs`` out of ``_in``, then those of ``outcome``; one of the same name is replaced in its place."""
+    kept = [outcome[c].alias(c) if c in outcome else F.col(f"_in.`{c}`").alias(c) for c in docs.columns]
+    return kept + [v.alias(k) for k, v in outcome.items() if k not in docs.columns]
+
+
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes (one row at least).
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import cut, text_key
+from memspark.llm.common import cut, packed, text_key, unpacked
 
 #: Hex digits that begin the rolling hash at a chunk's first line: a chunk has 16 / DIGITS lines in the mean.
 DIGITS = 4
@@ -54,24 +54,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     with the same text count as one document and stay alike. An empty table gives no rows.
     """
     later, firsts = repeated_chunks(docs)
-    whole = docs.withColumn("_key", text_key("text"))
-    piece = lambda frm, n: F.array_join(F.slice(F.split("text", "\n", -1), frm + 1, n), "\n")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["key"])
-    per_doc = firsts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("hash", "from", "lines")).alias("wanted"))
-    slim = whole.select("doc_id", "_key", "text").filter(F.instr("text", "\n") > 0)
-    kept = slim.join(per_doc, same(slim, per_doc)).select("text", F.explode("wanted").alias("w"))
+    whole = packed(docs)
+    piece = lambda frm, n: F.array_join(F.slice(F.split("_text", "\n", -1), frm + 1, n), "\n")
+    same = lambda a, b: a["_id"].eqNullSafe(b["_doc"]) & (a["_key"] == b["_of"])
+    per_doc = firsts.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_list(F.struct("hash", "from", "lines")).alias("_wanted"))
+    slim = whole.select("_id", "_key", "_text").filter(F.instr("_text", "\n") > 0)
+    kept = slim.join(per_doc, same(slim, per_doc)).select("_text", F.explode("_wanted").alias("w"))
     kept = cut(kept.select("w.hash", piece(F.col("w.from"), F.col("w.lines")).alias("bytes")).groupBy("hash").agg(F.first("bytes").alias("bytes")))
-    drops = later.join(kept, "hash").groupBy("doc_id", "key").agg(F.collect_set(F.struct("from", "lines", "bytes")).alias("_drops"))
-    drops = drops.withColumnRenamed("doc_id", "_doc")
-    out = whole.join(drops, whole["doc_id"].eqNullSafe(drops["_doc"]) & (whole["_key"] == drops["key"]), "left").drop("_doc", "key", "_key")
-    equal = F.filter("_drops", lambda d: F.array_join(F.slice(F.split("text", "\n", -1), d["from"] + 1, d["lines"]), "\n") == d["bytes"])
+    drops = later.join(kept, "hash").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_set(F.struct("from", "lines", "bytes")).alias("_drops"))
+    out = whole.join(drops, same(whole, drops), "left")
+    equal = F.filter("_drops", lambda d: piece(d["from"], d["lines"]) == d["bytes"])
     equal = F.transform(equal, lambda d: F.struct(d["from"].alias("from"), d["lines"].alias("lines")))
     out = out.withColumn("_drops", F.coalesce(equal, F.expr("cast(array() as array<struct<from:int,lines:int>>)")))
     gone = F.array_distinct(F.flatten(F.transform("_drops", lambda d: F.sequence(d["from"], d["from"] + d["lines"] - 1))))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
     marked = F.map_from_arrays(gone, F.transform(gone, lambda x: F.lit(True)))
     left = F.element_at(F.transform(F.array(marked), lambda m: F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(m, i)), "\n")), 1)
-    return out.select(
-        *[F.when(F.size("_drops") > 0, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.size("_drops").cast("long").alias("n_chunks"),
-    )
+    outcome = {
+        "text": F.when(F.size("_drops") > 0, left).otherwise(F.col("_text")),
+        "n_lines": F.size(lines).cast("long"), "n_removed": F.size(gone).cast("long"), "n_chunks": F.size("_drops").cast("long"),
+    }
+    return out.select(*unpacked(docs, outcome))

@@ -79,12 +79,14 @@ def slots(targets: DataFrame, total: int, block_tokens: int = BLOCK_TOKENS) -> D
 def source_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words that the mix takes of every document row: the columns ``keep``, size, source_size, target, taken.
 
-    ``docs`` needs doc_id, source and text; other columns are ignored unless named in ``keep``. A source's stream is its
+    ``docs`` needs doc_id, source and text; other columns are ignored unless named in ``keep``, and those that have the name of
+    an outcome give way to it. A source's stream is its
     documents in the order of a hash of seed and doc_id; it gives floor(target) words, repeats counted, so no document
     gives more than ``repeats`` times its size. Null texts and texts without words have size 0 and give nothing; a null
     source is a source of its own, ranked last. Rows that repeat a doc_id are documents of their own. An empty table
     gives no rows.
     """
+    keep = tuple(c for c in keep if c not in ("size", "source_size", "target", "taken"))
     base = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col("source").alias("_source"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("_order"), F.col("doc_id").alias("_id"), size_of("text").alias("size"))
     base = cut(base)
     targets = cut(source_targets(base.select(F.col("_source").alias("source"), "size"), weights, repeats))

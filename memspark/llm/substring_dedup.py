@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import bit_filter, cut, text_key
+from memspark.llm.common import bit_filter, cut, packed, text_key, unpacked
 
 LEAST_WORDS = 20
 LEAST_SENTENCES = 2
@@ -115,8 +115,8 @@ def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     stays. Texts of fewer than two sentences or ``least_words`` words have no span; null texts stay null. Rows that
     repeat a doc_id with the same text count as one document and stay alike. An empty table gives no rows.
     """
-    gone = repeated_sentences(docs, least_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("key", "_of")
-    whole = docs.withColumn("_key", text_key("text"))
-    out = whole.join(gone, whole["doc_id"].eqNullSafe(gone["_doc"]) & (whole["_key"] == gone["_of"]), "left")
-    out = out.withColumn("_new", F.pandas_udf(_without, "text string, n_sentences long, n_removed long, n_spans long")(F.col("text").cast("string"), F.col("gone")))
-    return out.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_new.n_sentences", "_new.n_removed", "_new.n_spans")
+    gone = repeated_sentences(docs, least_words).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_of"), F.col("gone").alias("_gone"))
+    whole = packed(docs)
+    out = whole.join(gone, whole["_id"].eqNullSafe(gone["_doc"]) & (whole["_key"] == gone["_of"]), "left")
+    out = out.withColumn("_new", F.pandas_udf(_without, "text string, n_sentences long, n_removed long, n_spans long")("_text", "_gone"))
+    return out.select(*unpacked(docs, {c: F.col(f"_new.{c}") for c in ("text", "n_sentences", "n_removed", "n_spans")}))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import bit_filter, cut, in_filter, mix, pieces, powers, prefix_hash, ranges, text_key
+from memspark.llm.common import bit_filter, cut, in_filter, mix, packed, pieces, powers, prefix_hash, ranges, text_key, unpacked
 
 LENGTH = 400
 GRAM = 40
@@ -283,9 +283,11 @@ def suffix_dedup(docs: DataFrame, keep_first: bool = True, length: int = LENGTH)
     """
     cuts = repeated_ranges(docs, length).filter("earlier" if keep_first else "not earlier")
     cuts = cuts.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_set(F.struct("start", "stop")).alias("_cuts"))
-    others = [c for c in docs.columns if c != "text"]
-    whole = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("_text"), text_key("text").alias("_key"))
-    out = whole.join(cuts, whole["row.doc_id"].eqNullSafe(cuts["_doc"]) & (whole["_key"] == cuts["_of"]), "left").select("row", "_text", "_cuts")
+    whole = packed(docs)
+    out = whole.join(cuts, whole["_id"].eqNullSafe(cuts["_doc"]) & (whole["_key"] == cuts["_of"]), "left")
+    others = [c for c in docs.columns if c != "text"]  # the text goes alone, not twice
+    out = out.select(F.struct(*[F.col(f"_in.`{c}`").alias(c) for c in others]).alias("row"), "_text", "_cuts")
     kind = out.schema["row"].dataType.simpleString()
     out = out.mapInArrow(_remove, f"row {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string, kept string")
-    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_bytes", "n_removed", "spans", "kept_sha256")
+    outcome = {"text": F.col("kept")} | {c: F.col(c) for c in ("n_bytes", "n_removed", "spans", "kept_sha256")}
+    return out.withColumnRenamed("row", "_in").select(*unpacked(docs, outcome))

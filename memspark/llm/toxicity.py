@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import NOT_ALNUM, fold_table, pieces, prefix_hash, range_hash, ranges, word_bounds
+from memspark.llm.common import NOT_ALNUM, fold_table, packed, pieces, prefix_hash, range_hash, ranges, unpacked, word_bounds
 
 #: Buckets of hashed words, and at most so many labelled documents of each class to learn from (documented bounds).
 BUCKETS = 1 << 17
@@ -158,7 +158,7 @@ def fit(words: np.ndarray, first: np.ndarray, toxic: np.ndarray, share: float |
         q = _sigmoid(x @ w)
         curve = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(4)
         w = w + np.linalg.solve(curve, x.T @ (toxic - q) - 1e-2 * w)
-    if share is not None and 0 < share < 1 and 0 < toxic.mean() < 1:  # the sample's classes are not as frequent as the table's
+    if share is not None and 0 < share < 1 and 0 < toxic.sum() < len(toxic):  # the sample's classes are not as frequent as the table's
         w[0] += np.log(share / (1 - share)) - np.log(toxic.mean() / (1 - toxic.mean()))
     field.document = w
     return field
@@ -232,11 +232,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, field: Field | None = None) ->
     equal scores. Without labels of a class the score is the share of the other one's. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(field or train(docs, labels))
-    packed = F.struct(*[F.col(c) for c in docs.columns])
-    base = docs.select(packed.alias("row"), F.col("text").cast("string").alias("_text"))
-    kind = base.schema["row"].dataType.simpleString()
-    out = base.mapInArrow(_tag(model), f"row {kind}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
-    return out.select("row.*", "score", "spans")
+    base = packed(docs).select("_in", "_text")
+    kind = base.schema["_in"].dataType.simpleString()
+    out = base.mapInArrow(_tag(model), f"_in {kind}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
+    return out.select(*unpacked(docs, {"score": F.col("score"), "spans": F.col("spans")}))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
