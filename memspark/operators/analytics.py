@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
 from memspark.operators.lifecycle import is_open
 
 # Tools that read from memory and tools that write to it.
@@ -15,7 +16,7 @@ TIER_SCORES = (("frontier", 8), ("strong", 6), ("standard", 4), ("budget", 2), (
 
 def search_tokens(text: Column) -> Column:
     """Token estimate of shown text: a quarter of its characters, one at least."""
-    return F.greatest(F.lit(1), F.expr("0") + F.floor(F.length(text) / 4))
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4))
 
 
 def usage_tokens(count: Column, text: Column) -> Column:
@@ -170,7 +171,7 @@ def task_tree(tasks: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFr
     out = level
     edges = tasks.select(F.col("id").alias("child"), F.col("parent_id").alias("_parent")).filter("_parent is not null")
     for depth in range(1, max_depth):
-        level = level.join(edges, level.id == edges["_parent"]).select("root", F.col("child").alias("id"), F.lit(depth).alias("depth"))
+        level = cut(level.join(edges, level.id == edges["_parent"]).select("root", F.col("child").alias("id"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -247,16 +248,27 @@ def pipeline_health(jobs: DataFrame, now: int, failures: int = 20, hours: int =
     return out.withColumn("ill", (F.col("failed_recently") > failures) | (F.col("newest_s").isNotNull() & behind))
 
 
+def count_after(rows: DataFrame, at: str, points: DataFrame, name: str) -> DataFrame:
+    """(point, name): how many rows have a time after the point's (point, at_s).
+
+    Whole hours after it come from running totals over hours, the rest from an equi-join on the point's own hour.
+    """
+    hour = lambda c: F.floor(F.col(c) / 3600)
+    timed = rows.select(F.col(at).alias("_at"), hour(at).alias("_hour"))
+    asked = points.select("point", "at_s", hour("at_s").alias("_hour"))
+    totals = timed.groupBy("_hour").agg(F.count("*").alias("_n")).unionByName(asked.select("_hour", F.lit(0).cast("long").alias("_n"))).groupBy("_hour").agg(F.sum("_n").alias("_n"))
+    later = F.sum("_n").over(Window.orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    same = timed.join(asked, "_hour").filter("_at > at_s").groupBy("point").agg(F.count("*").alias("_same"))
+    out = asked.join(totals.select("_hour", F.coalesce(later, F.lit(0)).alias("_later")), "_hour").join(same, "point", "left")
+    return out.select("point", (F.col("_later") + F.coalesce("_same", F.lit(0))).alias(name))
+
+
 def rewind_diff(events: DataFrame, entities: DataFrame, tasks: DataFrame, points: DataFrame) -> DataFrame:
-    """Per rewind point (point, at_s): what came after it. One pass over each table, counted against all points."""
-    def after(df: DataFrame, at: str, name: str, keep: Column | None = None) -> DataFrame:
-        rows = (df.filter(keep) if keep is not None else df).select(F.col(at).alias("_at"))
-        hits = rows.join(F.broadcast(points), F.col("_at") > F.col("at_s"))
-        return hits.groupBy("point").agg(F.count("*").alias(name))
-
-    out = points.join(after(events, "ts_s", "events"), "point", "left").join(after(entities, "created_s", "entities"), "point", "left")
-    out = out.join(after(tasks, "created_s", "tasks", F.col("status") == "completed"), "point", "left")
-    return out.na.fill(0, ["events", "entities", "tasks"])
+    """Per rewind point (point, at_s): events and entities that came after it, and tasks created after it and completed."""
+    out = points
+    for rows, at, name in ((events, "ts_s", "events"), (entities, "created_s", "entities"), (tasks.filter("status = 'completed'"), "created_s", "tasks")):
+        out = out.join(count_after(rows, at, points, name), "point")
+    return out
 
 
 def rewind_restore(entities: DataFrame, tasks: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:

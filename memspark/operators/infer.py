@@ -20,6 +20,7 @@ _ITEM = "array<struct<title:string,content:string,key_points:array<string>,synop
 REPLY = "struct<" + ",".join(f"{c}:{_ITEM}" for c, _ in CATEGORIES) + ">"
 PRIOR_TITLES, NO_TITLES = 40, "(none yet)"
 
+# File endings that make a word a file reference, and the form of one with its line.
 EXTENSIONS = "py|pyi|js|jsx|ts|tsx|mjs|cjs|go|rs|java|kt|kts|c|cc|cpp|cxx|h|hpp|rb|php|sh|bash|zsh|sql|json|ya?ml|toml|md|rst|txt|html|htm|css|scss|less|vue|svelte|swift|cs|ex|exs|clj|cljs|lua|pl|proto|graphql|ini|cfg|conf|env"
 ANCHOR = rf"(?<![\w/.\-])((?:[\w.\-]+/)+[\w.\-]+\.(?:{EXTENSIONS})|[\w\-]+\.(?:{EXTENSIONS}))(?::(\d+))?(?![\w:])"
 
