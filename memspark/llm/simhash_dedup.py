@@ -28,22 +28,33 @@ TILE = 1024
 _SHINGLES_AT_ONCE = 1 << 17
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles of one text, repeats included; 0 without words."""
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Big-endian XXH64 of the word shingles of a text, repeats included, as rows of eight bytes, some at a time."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]])
     k = min(shingle, len(words))
     first, last = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    votes = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
     for at in range(0, len(first), _SHINGLES_AT_ONCE):
         some = b"".join([digest(line[a:b], SEED) for a, b in zip(first[at : at + _SHINGLES_AT_ONCE], last[at : at + _SHINGLES_AT_ONCE], strict=True)])
-        votes += np.unpackbits(np.frombuffer(some, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(first)).tobytes(), "big")
+        yield np.frombuffer(some, np.uint8).reshape(-1, 8)
+
+
+def _vote(hashes: list[np.ndarray] | Iterator[np.ndarray]) -> int:
+    votes, n = np.zeros(64, np.int64), 0
+    for some in hashes:
+        votes += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(some)
+    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles of one text, repeats included; 0 without words."""
+    return _vote(_shingle_hashes(text, shingle))
 
 
 def _fingerprints(shingle: int) -> Callable:
@@ -212,20 +223,24 @@ WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 LEAST_TILE, MOST_TILE, TEXTS = 2048, 32768, 256
 
 
+def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([h.view(">u8").ravel() for h in hashes]).astype(np.uint64)) if hashes else np.zeros(0, np.uint64)
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted hashes of the distinct word shingles; none without words."""
-    words = (text or "").encode().lower().split()
-    k = min(shingle, len(words))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [], np.uint64))
+    return _distinct(list(_shingle_hashes(text, shingle)))
 
 
 def _sized(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() for x in b.column(2)]
-            found = np.array([fingerprint(x, shingle) for x in texts], np.uint64)
-            sizes = [len(shingle_set(x, shingle)) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found.view(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "key", "fp", "size"])
+            prints, sizes = np.zeros(b.num_rows, np.uint64), []
+            for i, x in enumerate(b.column(2)):
+                hashes = list(_shingle_hashes(x.as_py(), shingle))
+                prints[i] = _vote(hashes)
+                sizes.append(len(_distinct(hashes)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "key", "fp", "size"])
 
     return run
 
