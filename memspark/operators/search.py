@@ -43,16 +43,20 @@ def query_terms(queries: DataFrame, text: str, **options) -> DataFrame:
     return queries.select("query_id", F.explode(query_tokens(F.col(text), **options)).alias("term"))
 
 
-def boolean_match(postings: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, matched): ids that hold all of a query's terms, or, where there are none, any of them."""
+def _all_or_any(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of hits (query_id, matched, ...) those that hold all of a query's terms, or, where there are none, all hits."""
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    hits = postings.join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("matched")).join(wanted, "query_id")
     best = F.max("matched").over(Window.partitionBy("query_id"))
-    return hits.withColumn("best", best).filter("best < wanted or matched = wanted").select("query_id", key, "matched")
+    return hits.join(wanted, "query_id").withColumn("best", best).filter("best < wanted or matched = wanted").drop("best", "wanted")
+
+
+def boolean_match(postings: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, matched): ids that hold all of a query's terms, or, where there are none, any of them."""
+    return _all_or_any(postings.join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("matched")), terms)
 
 
 def bm25(postings: DataFrame, terms: DataFrame, key: str, n_docs: int | None = None) -> DataFrame:
-    """(query_id, key, bm25) over the whole index; filters come after, as statistics are index-wide.
+    """(query_id, key, bm25, matched) over the whole index; filters come after, as statistics are index-wide.
 
     The document frequency is taken for the queries' terms only, so the postings are read once and shuffled once.
     """
@@ -64,7 +68,7 @@ def bm25(postings: DataFrame, terms: DataFrame, key: str, n_docs: int | None = N
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = wanted.join(frequency, "term").join(F.broadcast(stats)).join(terms, "term")
-    return scored.groupBy("query_id", key).agg(F.round(F.sum(idf * gain), 6).alias("bm25"))
+    return scored.groupBy("query_id", key).agg(F.round(F.sum(idf * gain), 6).alias("bm25"), F.count("*").alias("matched"))
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -83,14 +87,14 @@ def visible(entities: DataFrame, include_archived: bool = False) -> DataFrame:
 
 def rank_entities(postings: DataFrame, entities: DataFrame, terms: DataFrame, k: int, include_archived: bool = False) -> DataFrame:
     """The k best entities of each query among those that match, by BM25, ties to the newer one, then to the smaller id."""
-    scores = bm25(postings, terms, "id").join(boolean_match(postings, terms, "id"), ["query_id", "id"])
+    scores = _all_or_any(bm25(postings, terms, "id"), terms)
     seen = scores.join(visible(entities, include_archived).select("id", "type", "project_id", "pinned", "stale", "updated_s", "archived"), "id")
     return top_k(seen, ["query_id"], [F.col("bm25").desc(), F.col("updated_s").desc(), "id"], k)
 
 
 def rank_events(postings: DataFrame, events: DataFrame, terms: DataFrame, k: int, now: int, types: list[str] | None = None) -> DataFrame:
     """The k best events of each query; the score that is shown is their recency. Types are filtered before the cut."""
-    scores = bm25(postings, terms, "event_id").join(boolean_match(postings, terms, "event_id"), ["query_id", "event_id"])
+    scores = _all_or_any(bm25(postings, terms, "event_id"), terms)
     seen = scores.join(events.select("event_id", "type", "ts_s"), "event_id")
     seen = seen.filter(F.col("type").isin(types)) if types else seen
     return top_k(seen, ["query_id"], [F.col("bm25").desc(), F.col("ts_s").desc(), "event_id"], k).withColumn("score", F.round(recency(F.col("ts_s"), now), 6))
