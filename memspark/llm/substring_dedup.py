@@ -90,6 +90,7 @@ def repeated_sentences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     rows = cut(rows.mapInArrow(_candidates(least_words, sent), f"doc_id {kind}, key long, first int, last int, h1 long, h2 long"))
     place = F.struct("doc_id", "key", "first")
     copies = rows.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.max(place).alias("end")).filter("origin <> end").select("h1", "h2", "origin")
+    copies = cut(copies)  # a plain side lets Spark split the join where one span occurs very often
     later = rows.join(copies, ["h1", "h2"]).filter((F.struct("doc_id", "key", "first") != F.col("origin")))
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("gone"))
 
