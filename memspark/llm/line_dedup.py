@@ -2,7 +2,8 @@
 
 A document's lines are hashed; a rolling hash of neighbouring line hashes decides where a chunk begins, so a passage keeps
 its chunks wherever it stands. Chunks of several lines that occur more than once go, but for the first copy, where their
-bytes equal that copy's.
+bytes equal that copy's. ``passage_dedup`` takes every two adjacent lines as a chunk instead, so that a repeated passage
+goes whole wherever it begins and ends and whatever stands around it.
 """
 
 from __future__ import annotations
@@ -75,3 +76,50 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         "n_lines": F.size(lines).cast("long"), "n_removed": F.size(gone).cast("long"), "n_chunks": F.size("_drops").cast("long"),
     }
     return out.select(*unpacked(docs, outcome))
+
+
+def _windows(text: Column) -> Column:
+    """Every two adjacent lines, but for two blank ones, as array<struct<from, hash>>; the hash is half of a SHA-256."""
+    digest = lambda x: F.unhex(F.sha2(x, 256))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(digest(x).alias("hash"), x.rlike("\\S").alias("worded")))
+
+    def of(line: Column) -> Column:
+        at = F.when(F.size(line) > 1, F.sequence(F.lit(0), F.size(line) - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+        at = F.filter(at, lambda i: F.get(line, i)["worded"] | F.get(line, i + 1)["worded"])
+        return F.transform(at, lambda i: F.struct(i.alias("from"), F.substring(digest(F.concat(F.get(line, i)["hash"], F.get(line, i + 1)["hash"])), 1, 16).alias("hash")))
+
+    return F.element_at(F.transform(F.array(lines), of), 1)
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages of two lines or more cut out of text: its columns, then n_lines, n_removed (lines)
+    and n_chunks (runs of removed lines).
+
+    A line goes if it and a neighbour occur as adjacent lines before: in a smaller doc_id (null first), in one of the same
+    doc_id with a smaller hash of the text, or farther up; in a document's own first copy of the two it stays. Two blank
+    lines alone are no passage. Otherwise as ``line_dedup``.
+    """
+    found = cut(docs.select("doc_id", text_key("text").alias("key"), _windows(F.col("text").cast("string")).alias("windows")).filter(F.size("windows") > 0))
+    rows = found.select("doc_id", "key", F.explode("windows").alias("w")).select("doc_id", "key", "w.from", "w.hash")
+    place = F.struct("doc_id", "key", "from")
+    firsts = cut(rows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("hash", "first"))
+    later = rows.join(firsts, "hash").filter(place != F.col("first"))
+    over = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("from") == F.col("first.from") + 1)
+    later = later.select("doc_id", "key", F.when(over, F.array(F.col("from") + 1)).otherwise(F.array(F.col("from"), F.col("from") + 1)).alias("gone"))
+    drops = later.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_gone"))
+    whole = packed(docs)
+    out = whole.join(drops, whole["_id"].eqNullSafe(drops["_doc"]) & (whole["_key"] == drops["_of"]), "left")
+    lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
+
+    def left(s: Column) -> Column:
+        # what stands between two removed lines, the document's ends counting as such
+        edges = F.concat(F.array(F.lit(-1)), s["gone"], F.array(F.size(s["lines"])))
+        between = lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice(s["lines"], F.get(e, i) + 2, F.get(e, i + 1) - F.get(e, i) - 1))
+        return F.array_join(F.flatten(F.element_at(F.transform(F.array(edges), between), 1)), "\n")
+
+    runs = F.size(F.filter("_gone", lambda x, i: (i == 0) | (x - F.get("_gone", i - 1) > 1)))
+    outcome = {
+        "text": F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), F.col("_gone").alias("gone"))), left), 1)),
+        "n_lines": F.size(lines).cast("long"), "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"), "n_chunks": F.when(F.col("_gone").isNull(), 0).otherwise(runs).cast("long"),
+    }
+    return out.select(*unpacked(docs, outcome))

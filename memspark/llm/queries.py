@@ -86,6 +86,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.passage_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP10_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 h AS (SELECT *, list_transform(l, lambda x: md5(x)) AS m FROM d),
@@ -146,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

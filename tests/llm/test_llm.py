@@ -414,6 +414,33 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, texts).filter("false")).count() == 0
 
 
+def brute_passages(texts):
+    seen, out = {}, []
+    for d, t in enumerate(texts):
+        lines, gone = (t or "").split("\n"), set()
+        for i, two in enumerate(zip(lines, lines[1:], strict=False)):
+            if any(x.strip() for x in two) and (first := seen.setdefault(two, (d, i))) != (d, i):
+                gone |= {i + 1} if first == (d, i - 1) else {i, i + 1}
+        out.append((t if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_passage_dedup_removes_short_passages_whole(spark):
+    rng = random.Random(12)
+    line = lambda: prose(rng, 12).replace("\n", " ")
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 5, 6)]
+    own = [[line() for _ in range(5)] for _ in range(11)]
+    texts = ["\n".join(own[i] + p + own[i + 1][:2]) for i, p in enumerate(passages)]
+    texts += ["\n".join(own[6 + i][:3] + p + own[6 + i][3:]) for i, p in enumerate(passages)]
+    texts += ["a\na\na\na", None, "", "\n\n\n", "x\ny", "x\nz", "\n\n\nq"]
+    out = {r.doc_id: r for r in line_dedup.passage_dedup(table(spark, texts)).collect()}
+    for i, p in enumerate(passages):
+        assert out[5 + i].text.split("\n") == own[6 + i] and (out[5 + i].n_removed, out[5 + i].n_chunks) == (len(p), 1)
+    assert [(out[i].text, out[i].n_removed) for i in range(len(texts))] == brute_passages(texts)
+    assert out[10].text == "a\na" and [out[i].n_chunks for i in (10, 11, 14)] == [1, 0, 0]
+    assert corpus_pipeline.cut_lines(spark, table(spark, texts), "").filter("doc_id = 5").first().text.split("\n") == own[6]
+
+
 # ---- shared helpers and the pipeline
 @given(st.lists(st.text(alphabet="aB9é -\n", max_size=20), min_size=1, max_size=6))
 def test_word_bounds(texts):
