@@ -219,6 +219,8 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 #: For documents: words of a shingle, similarity of the shingle sets, and the radius in which candidates are looked for.
 WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
+#: Documents of the sample that tells frequent shingles, and in how many of them a frequent one is.
+SAMPLE_DOCS, FREQUENT = 20_000, 4
 #: Fingerprints of a tile when all of a size class are compared, and documents of a tile when shingle sets are.
 LEAST_TILE, MOST_TILE, TEXTS = 2048, 32768, 256
 
@@ -232,19 +234,74 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return _distinct(list(_shingle_hashes(text, shingle)))
 
 
-def _sized(shingle: int) -> Callable:
+def _prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first of ``distinct`` in the order (frequent or not, hash), so many that two sets as similar share one of them."""
+    late = np.isin(distinct, frequent)
+    ordered = np.concatenate([distinct[~late], distinct[late]])
+    return ordered[: len(ordered) - math.ceil(similarity * len(ordered) - 1e-6) + 1]
+
+
+def _sized(shingle: int, similarity: float, frequent: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes = np.zeros(b.num_rows, np.uint64), []
+            prints, sizes, firsts = np.zeros(b.num_rows, np.uint64), [], []
             for i, x in enumerate(b.column(2)):
                 hashes = list(_shingle_hashes(x.as_py(), shingle))
                 prints[i] = _vote(hashes)
-                sizes.append(len(_distinct(hashes)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "key", "fp", "size"])
+                distinct = _distinct(hashes)
+                sizes.append(len(distinct))
+                firsts.append(_prefix(distinct, similarity, frequent).view(np.int64))
+            firsts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64()), firsts], names=["doc_id", "key", "fp", "size", "prefix"])
 
     return run
 
 
+def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles frequent in a sample of texts: which ones they are bears on speed, never on the result."""
+    n = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], names=["hash"])
+
+    some = texts.filter(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select("text")
+    often = some.mapInArrow(run, "hash long").groupBy("hash").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "hash").limit(1 << 17)
+    return np.sort(np.array([r.hash for r in often.select("hash").collect()], np.int64).view(np.uint64))
+
+
+def _sharing(similarity: float) -> Callable:
+    """Units of (unit, hash, size, place, part, node) in; pairs (a, b) out that share the hash, lie in different parts and
+    can be similar enough by their sizes and what stands after the hash in both."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, size, place, part, node = (c.to_numpy() for c in table.columns)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            most = np.minimum(size[i] - place[i], size[j] - place[j])
+            ok = (part[i] != part[j]) & (most >= similarity * (size[i] + size[j] - most) - 1e-6)
+            left.append(np.minimum(node[i[ok]], node[j[ok]]))
+            right.append(np.maximum(node[i[ok]], node[j[ok]]))
+
+        lengths = np.diff(cuts)
+        two = cuts[:-1][lengths == 2]
+        keep(two, two + 1)
+        for a, b in zip(cuts[:-1][lengths > 2].tolist(), cuts[1:][lengths > 2].tolist(), strict=True):
+            if (part[a:b] == part[a]).all():
+                continue
+            for x in range(a, b, 256):
+                i, j = np.meshgrid(np.arange(x, min(b, x + 256)), np.arange(x, b), indexing="ij")
+                later = i < j
+                keep(i[later], j[later])
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return lambda batches: _units(batches, work)
+
+
 def _sets(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,11 +349,12 @@ def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: fl
 
     Fingerprints are compared tile by tile among texts whose numbers of shingles allow the similarity; documents that come
     within the radius are then compared by their whole shingle sets, again tile by tile. Texts without words are one class.
-    A similar pair farther apart than the radius is missed: at similarity 0.8 about one in a hundred.
+    Pairs farther apart than the radius (at similarity 0.8 one in twenty) are found by an equi-join on shingles: in one order
+    of all shingles, frequent ones last, two sets as similar share one of the first fifth of each. Whole sets decide again.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_key("text").alias("key"), F.col("text").cast("string").alias("text"))
-    base = cut(texts.mapInArrow(_sized(shingle), f"doc_id {kind}, key long, fp long, size long"))
+    base = cut(texts.mapInArrow(_sized(shingle, similarity, _frequent(texts, shingle)), f"doc_id {kind}, key long, fp long, size long, prefix array<long>"))
     known = cut(base.groupBy(F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")).alias("node")).agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")))
     worded = known.filter("size > 0").withColumn("band", F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity) + 1e-9))
     counted = worded.groupBy("band").count()
@@ -314,17 +372,40 @@ def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: fl
     links = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(radius), "src long, dst long")
     clusters = cut(connected_components(links))
     held = clusters.groupBy("root").agg(F.ceil(F.count("*") / TEXTS).alias("tiles"))
-    members = clusters.join(held, "root").join(known.select("node", "first"), "node").select("node", "root", "tiles", F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"))
-    pulled = texts.join(members, texts["doc_id"].eqNullSafe(members["_doc"]) & (texts["key"] == members["_key"]))
-    pulled = pulled.select("node", F.struct("root", "tiles").alias("cluster"), "text").mapInArrow(_sets(shingle), "node long, cluster struct<root:bigint,tiles:bigint>, shingles binary")
+    sets = "node long, cluster struct<root:bigint,tiles:bigint>, shingles binary"
+
+    def pulled(members: DataFrame) -> DataFrame:
+        """Shingle sets of the nodes of ``members`` (node, cluster)."""
+        members = members.join(known.select("node", "first"), "node").select("node", "cluster", F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"))
+        found = texts.join(members, texts["doc_id"].eqNullSafe(members["_doc"]) & (texts["key"] == members["_key"]))
+        return found.select("node", "cluster", "text").mapInArrow(_sets(shingle), sets)
+
     chunk = F.pmod(F.xxhash64("node", F.lit(13)), F.col("cluster.tiles"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cluster.tiles") - 1), lambda x: F.xxhash64("cluster.root", F.least(x, chunk), F.greatest(x, chunk)))
-    pairs = pulled.select(F.explode(pairs).alias("unit"), "node", "shingles").repartition("unit").sortWithinPartitions("unit")
-    nodes = connected_components(pairs.mapInArrow(_verify(similarity), "src long, dst long")).withColumnRenamed("node", "_node")
+    pairs = pulled(clusters.join(held, "root").select("node", F.struct("root", "tiles").alias("cluster"))).select(F.explode(pairs).alias("unit"), "node", "shingles")
+    pairs = pairs.repartition("unit").sortWithinPartitions("unit")
+    nodes = cut(connected_components(pairs.mapInArrow(_verify(similarity), "src long, dst long")))
+    # what the radius misses: pairs of different classes that share one of their first shingles
+    part = nodes.select(F.col("node").alias("_node"), "root")
+    firsts = base.filter("size > 0").select(F.col("key").alias("node"), "size", "prefix")
+    firsts = firsts.join(part, firsts["node"] == part["_node"], "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.posexplode("prefix").alias("place", "hash"))
+    by_hash = Window.partitionBy("hash").orderBy("node")
+    shared = firsts.withColumn("before", F.lag("hash").over(by_hash)).withColumn("after", F.lead("hash").over(by_hash)).filter("before is not null or after is not null")
+    shared = cut(shared.select("hash", "node", "size", "part", F.col("place").cast("long").alias("place")))
+    counts = shared.groupBy("hash").agg(F.ceil(F.count("*") / LEAST_TILE).alias("tiles"))
+    dealt = shared.join(counts.filter("tiles > 1"), "hash", "left").na.fill(1, ["tiles"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(19)), F.col("tiles")))
+    tiled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.xxhash64("hash", F.least(x, F.col("chunk")), F.greatest(x, F.col("chunk"))))
+    dealt = dealt.select(F.explode(tiled).alias("unit"), "size", "place", "part", "node").repartition("unit").sortWithinPartitions("unit")
+    apart = cut(dealt.mapInArrow(_sharing(similarity), "a long, b long").distinct())
+    ends = apart.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("unit"))
+    whole = pulled(ends.select("node").distinct().withColumn("cluster", F.struct(F.lit(0).cast("long").alias("root"), F.lit(1).cast("long").alias("tiles"))))
+    far = ends.join(whole.select("node", "shingles"), "node").select("unit", "node", "shingles").repartition("unit").sortWithinPartitions("unit")
+    far = far.mapInArrow(_verify(similarity), "src long, dst long")
+    nodes = connected_components(far.union(nodes.filter("node <> root").selectExpr("node as src", "root as dst"))).withColumnRenamed("node", "_node")
     out = known.join(nodes, known["node"] == nodes["_node"], "left").select("node", "first", F.coalesce("root", "node").alias("component"))
     least = out.groupBy("component").agg(F.min("first").alias("least"))
     kept = out.join(least, "component").select("node", "component", "least")
-    base = base.withColumn("node", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")))
+    base = base.drop("prefix").withColumn("node", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")))
     return base.join(kept, "node").select("doc_id", "key", "component", (F.struct("doc_id", "key") == F.col("least")).alias("least"))
 
 

@@ -124,6 +124,19 @@ def test_similar_dedup_keeps_one_of_each_class(spark, texts):
     assert simhash_dedup.similar_dedup(twice).count() == 1
 
 
+def test_similar_dedup_finds_pairs_beyond_the_radius(spark):
+    rng = random.Random(21)
+    pairs = []
+    while len(pairs) < 4:
+        words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)]
+        other = [*words[:-6], *(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(6))]
+        a, b = (simhash_dedup._vote([x.astype(">u8").view(np.uint8).reshape(-1, 8)]) for x in (simhash_dedup.shingle_set(" ".join(w), 5) for w in (words, other)))
+        if (a ^ b).bit_count() > simhash_dedup.WIDE_RADIUS:
+            pairs += [(" ".join(words), " ".join(other))]
+    out = simhash_dedup.similar_dedup(table(spark, [t for p in pairs for t in p]))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6]
+
+
 # ---- op2
 def test_substring_dedup_keeps_the_first_copy(spark):
     rng = random.Random(1)
