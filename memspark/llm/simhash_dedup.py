@@ -234,6 +234,12 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return _distinct(list(_shingle_hashes(text, shingle)))
 
 
+def _digests(distinct: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes as rows of eight bytes, some at a time."""
+    for at in range(0, len(distinct), _SHINGLES_AT_ONCE):
+        yield distinct[at : at + _SHINGLES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
 def _prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
     """The first of ``distinct`` in the order (frequent or not, hash), so many that two sets as similar share one of them."""
     late = np.isin(distinct, frequent)
@@ -246,9 +252,8 @@ def _sized(shingle: int, similarity: float, frequent: np.ndarray) -> Callable:
         for b in batches:
             prints, sizes, firsts = np.zeros(b.num_rows, np.uint64), [], []
             for i, x in enumerate(b.column(2)):
-                hashes = list(_shingle_hashes(x.as_py(), shingle))
-                prints[i] = _vote(hashes)
-                distinct = _distinct(hashes)
+                distinct = shingle_set(x.as_py(), shingle)
+                prints[i] = _vote(_digests(distinct))  # once each, as similarity counts them
                 sizes.append(len(distinct))
                 firsts.append(_prefix(distinct, similarity, frequent).view(np.int64))
             firsts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -137,6 +138,17 @@ def test_similar_dedup_finds_pairs_beyond_the_radius(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6]
 
 
+def test_candidate_fingerprints_count_a_shingle_once(spark):
+    rng = random.Random(22)
+    own, loop = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(50)], ["la", "le", "li", "lo", "lu"]
+    texts = [" ".join(own + loop * n) for n in (2, 20)]
+    assert np.array_equal(*(simhash_dedup.shingle_set(t, 5) for t in texts))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 1]), pa.array(texts)], names=["doc_id", "key", "text"])
+    (got,) = simhash_dedup._sized(5, 0.8, np.zeros(0, np.uint64))([batch])
+    assert got.column(2)[0] == got.column(2)[1]
+    assert [r.doc_id for r in simhash_dedup.similar_dedup(table(spark, texts)).collect()] == [0]
+
+
 # ---- op2
 def test_substring_dedup_keeps_the_first_copy(spark):
     rng = random.Random(1)
