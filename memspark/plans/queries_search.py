@@ -105,6 +105,36 @@ def _(b):
     return search.rank_events(event_index(b), b.events, terms(b), 10, NOW).select("query_id", "event_id", "type", "score", "rank")
 
 
+# The SQL of the queries above cuts the search texts; these take whole texts with the reference's defaults, without SQL.
+def whole_terms(b):
+    return search.query_terms(b.table("benchmark").selectExpr("item_id as query_id", "text"), "text")
+
+
+@query("d1_query_tokens_whole")
+def _(b):
+    return whole_terms(b)
+
+
+@query("d3_boolean_match_whole")
+def _(b):
+    return search.boolean_match(entity_index(b), whole_terms(b), "id")
+
+
+@query("d4_bm25_rank_whole")
+def _(b):
+    return search.rank_entities(entity_index(b), b.entities, whole_terms(b), 10).select("query_id", "id", "bm25", "rank")
+
+
+@query("d5_event_hits_whole")
+def _(b):
+    return search.rank_events(event_index(b), b.events, whole_terms(b), 10, NOW).select("query_id", "event_id", "type", "score", "rank")
+
+
+@query("d10_search_whole")
+def _(b):
+    return search.search(b.events, event_index(b), b.entities, entity_index(b), whole_terms(b), 10, NOW)
+
+
 @query("d6_recency", f"SELECT event_id, round({_RECENCY.format('ts_s')}, 6) AS recency FROM mem_events")
 def _(b):
     return b.events.select("event_id", F.round(search.recency(F.col("ts_s"), NOW), 6).alias("recency"))

@@ -1,6 +1,7 @@
 """The reference's behaviours on small inline rows."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from memspark.functions.graph import connected_components
 from memspark.functions.text import porter_stem, ratio_at_least, salvage_json
 from memspark.operators import analytics, briefing, consolidate, dedupe, embed, infer, ingest, lifecycle, search, sensitive
+from memspark.plans import catalog
 from memspark.sources import tables, transcripts
 from memspark.streaming import live
 
@@ -243,3 +245,15 @@ def test_briefing_keeps_floors(spark):
 def test_projects_stay_apart(spark):
     c = spark.createDataFrame([("p", 1, "bugfix", "repair login timeout crash", False, None, 1), ("q", 2, "todo", "login timeout crash", False, "open", 2), ("p", 3, "todo", "login timeout crash", False, "open", 3)], "project_id string, id long, type string, title string, stale boolean, status string, created_s long")
     assert rows(lifecycle.resolution_candidates(c), "driver", "target") == [(1, 3)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_whole_search_texts_are_asked(spark):
+    got = {}
+    for r in catalog.QUERIES["d1_query_tokens_whole"](spark, SMALL).collect():
+        got.setdefault(r.query_id, set()).add(r.term)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    assert all(got.get(i, set()) == {w for w in re.split(r"[^\w]+", t.lower()) if w} for i, t in items.items())
+    assert catalog.QUERIES["d4_bm25_rank_whole"](spark, SMALL).count() > 0
