@@ -116,7 +116,7 @@ def _(b):
 
 @query("f2_duplicate_pairs_ratio")
 def _(b):
-    return dedupe.duplicate_pairs(titled(b), _BLOCK)
+    return dedupe.duplicate_pairs(b.entities, _BLOCK)
 
 
 _CLUSTERS = """und AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
@@ -155,7 +155,7 @@ def _(b):
 
 @query("f6_similar_by_text")
 def _(b):
-    e = titled(b)
+    e = b.entities
     hits = e.filter("id % 9 = 1").select("id", "type").join(e.select(F.col("id").alias("existing_id"), "type", F.substring("title", 1, 3).alias("_h")), "type").join(e.select("id", F.substring("title", 1, 3).alias("_g")), "id").filter("_g = _h and id <> existing_id").select("id", "existing_id")
     return consolidate.similar_by_text(e.filter("id % 9 = 1"), hits, e)
 

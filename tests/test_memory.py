@@ -10,6 +10,7 @@ from memspark.functions.graph import connected_components
 from memspark.functions.text import porter_stem, ratio_at_least, salvage_json
 from memspark.operators import analytics, briefing, consolidate, dedupe, embed, infer, ingest, lifecycle, search, sensitive
 from memspark.plans import catalog
+from memspark.plans.bridge import Bridge
 from memspark.sources import tables, transcripts
 from memspark.streaming import live
 
@@ -257,3 +258,9 @@ def test_whole_search_texts_are_asked(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     assert all(got.get(i, set()) == {w for w in re.split(r"[^\w]+", t.lower()) if w} for i, t in items.items())
     assert catalog.QUERIES["d4_bm25_rank_whole"](spark, SMALL).count() > 0
+
+
+def test_duplicate_queries_take_whole_titles(spark):
+    pairs = catalog.QUERIES["f2_duplicate_pairs_ratio"](spark, SMALL).collect()
+    want = dedupe.duplicate_pairs(Bridge(spark, SMALL).entities, ["project_id", "type"]).collect()
+    assert sorted(pairs) == sorted(want)
