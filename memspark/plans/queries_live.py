@@ -76,7 +76,7 @@ def _(b):
 @query("d2_build_index_stemmed")
 def _(b):
     stem = F.pandas_udf(each(porter_stem), "string")
-    return search.build_index(b.entities, "id", ["title"], stem).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return search.build_index(b.entities, "id", ["title", "content"], stem).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def _vectors(texts: list[str]) -> list[list[float]]:

@@ -264,3 +264,9 @@ def test_duplicate_queries_take_whole_titles(spark):
     pairs = catalog.QUERIES["f2_duplicate_pairs_ratio"](spark, SMALL).collect()
     want = dedupe.duplicate_pairs(Bridge(spark, SMALL).entities, ["project_id", "type"]).collect()
     assert sorted(pairs) == sorted(want)
+
+
+def test_stemmed_index_holds_the_texts(spark):
+    got = {r.term: r.tf for r in catalog.QUERIES["d2_build_index_stemmed"](spark, SMALL).collect()}
+    plain = catalog.QUERIES["d2_build_index"](spark, SMALL).agg(F.sum("tf").alias("n")).first().n
+    assert sum(got.values()) == plain
