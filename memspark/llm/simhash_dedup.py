@@ -242,7 +242,9 @@ def _digests(distinct: np.ndarray) -> Iterator[np.ndarray]:
 
 def _prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
     """The first of ``distinct`` in the order (frequent or not, hash), so many that two sets as similar share one of them."""
-    late = np.isin(distinct, frequent)
+    late = np.zeros(len(distinct), bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)] == distinct
     ordered = np.concatenate([distinct[~late], distinct[late]])
     return ordered[: len(ordered) - math.ceil(similarity * len(ordered) - 1e-6) + 1]
 
