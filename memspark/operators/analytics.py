@@ -165,17 +165,21 @@ def list_tasks(tasks: DataFrame, k: int, status: str | None = None) -> DataFrame
     return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def task_tree(tasks: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(root, id, depth) of all tasks below the roots; each level is one join, repeated until no task is added."""
-    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    out = level
+def task_tree(tasks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth) of all tasks below the roots; each level is one join, repeated until no task is added. A cycle raises."""
+    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("_path"))
+    out = level.drop("_path")
     edges = tasks.select(F.col("id").alias("child"), F.col("parent_id").alias("_parent")).filter("_parent is not null")
-    for depth in range(1, max_depth):
-        level = cut(level.join(edges, level.id == edges["_parent"]).select("root", F.col("child").alias("id"), F.lit(depth).alias("depth")))
+    depth = 0
+    while True:
+        depth += 1
+        below = level.join(edges, level.id == edges["_parent"])
+        level = cut(below.select("root", F.col("child").alias("id"), F.lit(depth).alias("depth"), F.concat("_path", F.array("child")).alias("_path"), F.array_contains("_path", F.col("child")).alias("_again")))
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out
+        if not level.filter("_again").isEmpty():
+            raise ValueError("tasks form a cycle")
+        out = out.unionByName(level.drop("_path", "_again"))
 
 
 def update_tasks(tasks: DataFrame, updates: DataFrame) -> DataFrame:

@@ -270,3 +270,12 @@ def test_stemmed_index_holds_the_texts(spark):
     got = {r.term: r.tf for r in catalog.QUERIES["d2_build_index_stemmed"](spark, SMALL).collect()}
     plain = catalog.QUERIES["d2_build_index"](spark, SMALL).agg(F.sum("tf").alias("n")).first().n
     assert sum(got.values()) == plain
+
+
+def test_task_tree_has_no_depth_bound(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(67)], "id long, parent_id long").coalesce(1)
+    tree = analytics.task_tree(chain, chain.filter("id = 0")).collect()
+    assert sorted((r.id, r.depth) for r in tree) == [(i, i) for i in range(67)]
+    loop = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent_id long")
+    with pytest.raises(ValueError, match="cycle"):
+        analytics.task_tree(loop, loop.filter("id = 1"))
