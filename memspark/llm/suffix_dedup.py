@@ -2,9 +2,10 @@
 
 Strings of ``length`` bytes are split among tasks by anchors: the anchor of a string is the least hash of its short grams,
 so equal strings have equal anchors and meet. A document's consecutive strings with one anchor make a context. Equal
-contexts are counted by digest; the different contexts of an anchor are laid out as one text whose suffixes are
-ordered by prefix doubling up to ``length`` bytes. In that order the neighbours with a smaller and a larger position give
-each string its earlier and later matches.
+contexts are counted by digest; different contexts of an anchor that share the longer stretch before or after it are laid
+out as one text, a unit. Its suffix array is made by prefix doubling up to ``length`` bytes. In that order the nearest
+smaller positions on both sides of a suffix are its best earlier matches, and the longer of the two common prefixes is its
+longest previous factor; a string goes where that factor is ``length`` bytes. Larger positions give the later matches.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from memspark.llm.common import bit_filter, cut, in_filter, mix, packed, pieces, powers, prefix_hash, ranges, text_key, unpacked
+from memspark.llm.common import bit_filter, cut, in_filter, mix, packed, pieces, powers, prefix_hash, range_hash, ranges, text_key, unpacked
 
 LENGTH = 400
 GRAM = 40
-#: Different contexts of one anchor that a task orders at once; more are compared string by string over the cluster.
-GROUP = 2048
+#: Contexts of one unit that a task orders at once; in a larger unit the anchor is made as long as the string itself.
+GROUP = 4096
 #: Bits of the filter that tells the second reading which anchors may repeat: 4 MB, whatever the input.
 FILTER_BITS = 25
 _CHUNK = 2 << 20
@@ -58,6 +60,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return starts[first], starts[last], place[first], hashed[place[first]]
 
 
+def _stretches(data: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, length: int, gram: int) -> tuple[pa.Array, pa.Array]:
+    """Hash of what every string that begins half a stretch or more before the anchor holds, and of what every other one
+    holds; null where a context has no such string."""
+    half = (length - gram) // 2
+    prefix = prefix_hash(data)
+    before, after = place - first >= half, place - last <= half
+    left, right = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    left[before] = range_hash(prefix, place[before] - half, place[before] + gram).view(np.int64)
+    right[after] = range_hash(prefix, place[after], place[after] + length - half).view(np.int64)
+    return pa.array(left, mask=~before), pa.array(right, mask=~after)
+
+
 def _chunked(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces of rows; a row longer than a chunk comes in chunks that overlap by length - 1 bytes: (row, shift, bytes, offsets)."""
     for row, data, offsets in pieces(column):
@@ -85,49 +99,90 @@ def _contexts(length: int, gram: int, sent) -> Callable:
         filled = sent.value
         for b in batches:
             for row, shift, data, offsets in _chunked(b.column(2), length):
-                first, last, _, hashed = anchors(data, offsets, length, gram)
+                first, last, place, hashed = anchors(data, offsets, length, gram)
                 use = in_filter(hashed, filled, FILTER_BITS)
-                first, last, hashed = first[use], last[use], hashed[use]
+                first, last, place, hashed = first[use], last[use], place[use], hashed[use]
                 raw = data.tobytes()
                 digests = np.array([xxhash.xxh3_64_intdigest(raw[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
+                left, right = _stretches(data, first, last, place, length, gram)
                 of = np.searchsorted(offsets, first, "right") - 1
                 begin = first - offsets[of] + shift
                 take = pa.array(row + of)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(begin), pa.array((last - first + 1).astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(digests.view(np.int64))],
-                    names=["doc_id", "key", "start", "n", "anchor", "context"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(begin), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(digests.view(np.int64)), left, right],
+                    names=["doc_id", "key", "start", "n", "at", "anchor", "context", "left", "right"],
                 )
 
     return run
 
 
-def truncated_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every suffix among the suffixes by its first ``length`` bytes, equal ones alike; by prefix doubling."""
+def suffix_ranks(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first 8, 16, 32 ... and at last ``length`` bytes, equal ones alike; by prefix doubling."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
     eight = np.zeros(n, np.uint64)
-    for j in range(8):
+    for j in range(min(8, length)):
         eight = (eight << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
     _, rank = np.unique(eight, return_inverse=True)
-    done = 8
+    done = min(8, length)
+    levels = [(done, rank.astype(np.int32))]
     while done < length:
         step = min(done, length - done)
         after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:] + 1 if n > step else 0
         _, rank = np.unique(rank.astype(np.int64) * (n + 2) + after, return_inverse=True)
         done += step
-    return rank
+        levels.append((done, rank.astype(np.int32)))
+    return levels
+
 
+def _nearest(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest smaller value before and after every element; -1 and n where there is none.
 
-def factor_matches(order: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a string has an earlier and a later match: within equal ranks the previous smaller and the next larger
-    position in suffix order are the neighbours, as equal ones stand by position ``order``."""
-    by = np.lexsort((order, rank))
-    same = rank[by][1:] == rank[by][:-1]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[by[1:]] = same
-    later[by[:-1]] = same
-    return earlier, later
+    What lies between an element and its pointer is larger, so pointers may follow each other until they rest.
+    """
+    n = len(position)
+    guarded = np.concatenate([position, [-1]])  # index n, which is also index -1, is smaller than all
+    before, after = np.arange(n) - 1, np.append(np.arange(1, n + 1), n)
+    for pointer in (before, after):
+        open_ = np.arange(n)
+        while len(open_):
+            open_ = open_[guarded[pointer[open_]] > position[open_]]
+            pointer[open_] = pointer[pointer[open_]]
+    return before, after[:n]
+
+
+def _common(levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes i and j have in common, to the eight below, at most those of the last level."""
+    whole = levels[-1][1][i] == levels[-1][1][j]
+    out = np.where(whole, levels[-1][0], 0)
+    left = np.flatnonzero(~whole)
+    a, b, n = i[left].copy(), j[left].copy(), len(levels[0][1])
+    for size, rank in levels[-2::-1]:
+        inside = (a < n) & (b < n)
+        same = np.zeros(len(a), bool)
+        same[inside] = rank[a[inside]] == rank[b[inside]]
+        out[left[same]] += size
+        a[same] += size
+        b[same] += size
+    return out
+
+
+def longest_factors(levels: list[tuple[int, np.ndarray]], starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of the strings at ``starts`` (ascending), matches within a group only."""
+    order = np.lexsort((starts, levels[-1][1][starts], group))  # the suffix array of every group
+    at, own = starts[order], group[order]
+    out = []
+    for position in (at, len(levels[0][1]) - at):
+        best = np.zeros(len(at), np.int64)
+        for near in _nearest(position):
+            there = np.flatnonzero((near >= 0) & (near < len(at)))
+            there = there[own[near[there]] == own[there]]
+            best[there] = np.maximum(best[there], _common(levels, at[there], at[near[there]]))
+        back = np.zeros(len(at), np.int64)
+        back[order] = best
+        out.append(back)
+    return out[0], out[1]
 
 
 def _runs(flags: np.ndarray) -> list[list[int]]:
@@ -136,66 +191,73 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
+_RANGES = ("doc_id", "key", "start", "stop", "earlier")
+
+
 def _resolve(length: int) -> Callable:
-    """Contexts of whole anchors in, sorted by anchor and place; out: the strings of each that match another context."""
-    kind = pa.list_(pa.list_(pa.int32()))
+    """Contexts of whole units in, sorted by unit and place; out: ranges of the strings that match another context's."""
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        texts = [h[3] for h in held]
+    def flush(held: list[tuple]) -> list[tuple]:
+        texts = [h[4] for h in held]
         sizes = np.array([len(t) for t in texts], np.int64)
         text = np.frombuffer(b"".join(texts), np.uint8)
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         counts = sizes - length + 1
-        rank = truncated_ranks(text, length)[ranges(begin, counts)]
-        of = np.repeat(np.arange(len(held)), counts)
         group = np.cumsum([i > 0 and held[i][0] != held[i - 1][0] for i in range(len(held))])
-        _, rank = np.unique(group[of] * (len(text) + 1) + rank, return_inverse=True)
-        earlier, later = factor_matches(np.arange(len(of)), rank)
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        out = [(_runs(earlier[a:b]), _runs((earlier | later)[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        cols = list(zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind)], names=["anchor", "context", "earlier", "any"])
+        previous, following = longest_factors(suffix_ranks(text, length), ranges(begin, counts), np.repeat(group, counts))
+        edges = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        rows = []
+        for h, a, b in zip(held, edges[:-1], edges[1:], strict=True):
+            earlier = previous[a:b] >= length
+            for flags, later in ((earlier, True), (earlier | (following[a:b] >= length), False)):
+                rows += [(h[1], h[2], h[3] + x, h[3] + y - 1 + length, later) for x, y in _runs(flags)]
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        kind = None
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            kind = b.column(2).type
+            for r in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 if size >= _TEXT_AT_ONCE and r[0] != held[-1][0]:
-                    yield flush(held)
+                    yield _ranges(flush(held), kind)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[3])
+                size += len(r[4])
         if held:
-            yield flush(held)
+            yield _ranges(flush(held), kind)
 
     return run
 
 
-def _cut_contexts(length: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for text, wanted in zip(b.column(0), b.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                for w in wanted.as_py():
-                    for column, value in zip(out, (w["anchor"], w["context"], w["place"], raw[w["start"] : w["start"] + w["n"] - 1 + length]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["anchor", "context", "place", "bytes"])
+def _ranges(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=list(_RANGES))
 
-    return run
+
+def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        kind = b.column(0).type
+        out: list[list] = [[] for _ in range(6)]
+        for doc, key, text, wanted in zip(*(b.column(i) for i in range(4)), strict=True):
+            raw = (text.as_py() or "").encode()
+            for w in wanted.as_py():
+                for column, value in zip(out, (w["unit"], w["place"], doc.as_py(), key.as_py(), w["begin"], raw[w["begin"] : w["stop"]]), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), kind, pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["unit", "place", "doc_id", "key", "start", "bytes"])
 
 
 def _strings(length: int) -> Callable:
-    """Every string of the contexts as (anchor, context, place, offset, digest)."""
+    """Every string of the contexts as (unit, place, doc_id, key, start, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                raw = b.column(3)[i].as_py()
+                raw, begin = b.column(5)[i].as_py(), b.column(4)[i].as_py()
                 n = len(raw) - length + 1
                 at = pa.array(np.full(n, i))
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[j : j + length]) for j in range(n)]), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names=["anchor", "context", "place", "offset", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), pa.array(np.arange(n) + begin), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names=["unit", "place", "doc_id", "key", "start", "h1", "h2"])
 
     return run
 
@@ -214,40 +276,41 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     Rows with ``earlier`` true leave the first occurrence, by doc_id (null first) then hash of the text then place.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    half = (length - gram) // 2
     texts = docs.select("doc_id", text_key("text").alias("key"), F.col("text").cast("string").alias("text"))
     twice = cut(texts.select("text").mapInArrow(_anchor_hashes(length, gram), "h1 long").groupBy("h1").count().filter("count > 1").select("h1"))
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(twice, FILTER_BITS))
-    found = texts.mapInArrow(_contexts(length, gram, sent), f"doc_id {kind}, key long, start long, n int, anchor long, context long")
+    found = texts.mapInArrow(_contexts(length, gram, sent), f"doc_id {kind}, key long, start long, n int, at int, anchor long, context long, left long, right long")
     found = cut(found.join(twice, found["anchor"] == twice["h1"], "left_semi"))
     context = ["anchor", "context"]
+    distinct = found.groupBy(*context).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start", "n", "at", "left", "right")).alias("first"))
+    distinct = cut(distinct)
     place = F.struct("doc_id", "key", "start")
-    distinct = found.groupBy(*context).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start", "n")).alias("first"))
-    anchors_ = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("copies").alias("copies")).filter("copies > 1")
-    shared = cut(distinct.join(anchors_.select("anchor", "contexts"), "anchor"))
-
-    whole = found.join(shared.filter("copies > 1").select(*context, "first"), context)
+    whole = found.join(distinct.filter("copies > 1").select(*context, "first"), context)
     whole = whole.select("doc_id", "key", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"), (place != F.struct("first.doc_id", "first.key", "first.start")).alias("later"))
+    both = whole.select("doc_id", "key", "start", "stop", F.lit(False).alias("earlier")).union(whole.filter("later").select("doc_id", "key", "start", "stop", F.lit(True)))
 
-    several = shared.filter("contexts > 1")
-    ordered = _sortable(kind, "first.doc_id", "first.key", "first.start")
-    wanted = several.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key")).agg(F.collect_list(F.struct(*context, ordered.alias("place"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))).alias("wanted"))
+    # two contexts with a string in common share what stands after the anchor or what stands before it
+    start, n, at = F.col("first.start"), F.col("first.n"), F.col("first.at")
+    stop = start + n - 1 + length
+    after = F.when(F.col("first.right").isNotNull(), F.struct(F.xxhash64("anchor", F.lit(1), "first.right").alias("unit"), (start + F.greatest(at - half, F.lit(0))).alias("begin"), stop.alias("stop")))
+    before = F.when(F.col("first.left").isNotNull(), F.struct(F.xxhash64("anchor", F.lit(0), "first.left").alias("unit"), start.alias("begin"), F.least(stop, start + at - half + length).alias("stop")))
+    sides = distinct.select("first.doc_id", "first.key", F.explode(F.array_compact(F.array(after, before))).alias("s")).select("doc_id", "key", "s.unit", "s.begin", "s.stop")
+    many = cut(sides.groupBy("unit").agg(F.count("*").alias("contexts")).filter("contexts > 1"))
+    wanted = sides.join(many, "unit").select("doc_id", "key", "unit", "contexts", _sortable(kind, "doc_id", "key", "begin").alias("place"), "begin", "stop")
+    wanted = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("unit", "place", "begin", "stop")).alias("wanted"))
     pulled = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["key"] == wanted["_key"]))
-    pulled = pulled.select("text", "wanted").mapInArrow(_cut_contexts(length), "anchor long, context long, place binary, bytes binary")
-    pulled = cut(pulled.join(several.filter(F.col("contexts") > group).select("anchor").distinct().withColumn("hot", F.lit(True)), "anchor", "left"))
-    usual = pulled.filter("hot is null").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "place", "context")
-    solved = usual.mapInArrow(_resolve(length), "anchor long, context long, earlier array<array<int>>, any array<array<int>>")
-    hot = pulled.filter("hot").drop("hot")
-    if not hot.isEmpty():
-        strings = hot.mapInArrow(_strings(length), "anchor long, context long, place binary, offset int, h1 long, h2 long")
-        own = F.struct("place", "context")
-        equal = strings.groupBy("anchor", "h1", "h2").agg(F.min(own).alias("least"), F.max(own).alias("most")).filter("least <> most")
-        met = strings.join(equal.select("anchor", "h1", "h2", "least"), ["anchor", "h1", "h2"]).select(*context, "offset", (own != F.col("least")).alias("later"))
-        one = F.array("offset", F.col("offset") + 1)
-        solved = solved.union(met.groupBy(*context).agg(F.collect_list(F.when(F.col("later"), one)).alias("earlier"), F.collect_list(one).alias("any")))
-    solved = solved.join(several.select(*context, "first"), context)
-    part = lambda column, later: solved.select("first.doc_id", "first.key", "first.start", F.explode(column).alias("r")).select("doc_id", "key", (F.col("start") + F.get("r", F.lit(0))).alias("start"), (F.col("start") + F.get("r", F.lit(1)) - 1 + length).alias("stop"), F.lit(later).alias("earlier"))
-    both = whole.select("doc_id", "key", "start", "stop", F.lit(False).alias("earlier")).union(whole.filter("later").select("doc_id", "key", "start", "stop", F.lit(True)))
-    return both.union(part("any", False)).union(part("earlier", True))
+    pulled = cut(pulled.select("doc_id", "key", "text", "wanted").mapInArrow(_cut_contexts, f"unit long, place binary, doc_id {kind}, key long, start long, bytes binary"))
+    hot = many.filter(F.col("contexts") > group).select("unit")
+    usual = pulled.join(hot, "unit", "left_anti").repartition("unit").sortWithinPartitions("unit", "place")
+    solved = usual.mapInArrow(_resolve(length), f"doc_id {kind}, key long, start long, stop long, earlier boolean")
+    if hot.isEmpty():
+        return both.union(solved)
+    strings = pulled.join(hot, "unit", "left_semi").select(*pulled.columns).mapInArrow(_strings(length), f"unit long, place binary, doc_id {kind}, key long, start long, h1 long, h2 long")
+    own = F.struct("place", "start")
+    equal = cut(strings.groupBy("unit", "h1", "h2").agg(F.min(own).alias("least"), F.max(own).alias("most")).filter("least <> most").select("unit", "h1", "h2", "least"))
+    met = strings.join(equal, ["unit", "h1", "h2"]).select("doc_id", "key", "start", (F.col("start") + length).alias("stop"), (own != F.col("least")).alias("later"))
+    return both.union(solved).union(met.select("doc_id", "key", "start", "stop", F.lit(False))).union(met.filter("later").select("doc_id", "key", "start", "stop", F.lit(True)))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +350,8 @@ def suffix_dedup(docs: DataFrame, keep_first: bool = True, length: int = LENGTH)
     out = whole.join(cuts, whole["_id"].eqNullSafe(cuts["_doc"]) & (whole["_key"] == cuts["_of"]), "left")
     others = [c for c in docs.columns if c != "text"]  # the text goes alone, not twice
     out = out.select(F.struct(*[F.col(f"_in.`{c}`").alias(c) for c in others]).alias("row"), "_text", "_cuts")
-    kind = out.schema["row"].dataType.simpleString()
-    out = out.mapInArrow(_remove, f"row {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string, kept string")
+    span = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
+    kinds = {"row": out.schema["row"].dataType, "n_bytes": LongType(), "n_removed": LongType(), "spans": span, "kept_sha256": StringType(), "kept": StringType()}
+    out = out.mapInArrow(_remove, StructType([StructField(c, t) for c, t in kinds.items()]))
     outcome = {"text": F.col("kept")} | {c: F.col(c) for c in ("n_bytes", "n_removed", "spans", "kept_sha256")}
     return out.withColumnRenamed("row", "_in").select(*unpacked(docs, outcome))

@@ -314,7 +314,7 @@ def brute_removed(texts, length, keep_first):
     return out
 
 
-@pytest.mark.parametrize("group", [1, 2048])
+@pytest.mark.parametrize("group", [1, 4096])
 def test_repeated_ranges(spark, texts, group):
     docs = table(spark, texts).repartition(4)
     cuts = suffix_dedup.repeated_ranges(docs, 100, 16, group).collect()
