@@ -35,6 +35,21 @@ def unpacked(docs: DataFrame, outcome: dict[str, Column]) -> list[Column]:
     return kept + [v.alias(k) for k, v in outcome.items() if k not in docs.columns]
 
 
+#: Values of ``some_of``; a broadcast table of them has at most so many rows, whatever the input.
+PLACES = 1 << 17
+
+
+def some_of(whole: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``whole`` (packed) that may have a match among ``keys`` (_doc, _of), and those that surely have none.
+
+    Decided by a hash of few values, so that only the former need be shuffled to be joined.
+    """
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(PLACES))
+    filled = F.broadcast(cut(keys.select(place("_doc", "_of").alias("_place")).distinct()))
+    placed = place(whole["_id"], whole["_key"]) == filled["_place"]
+    return whole.join(filled, placed, "left_semi"), whole.join(filled, placed, "left_anti")
+
+
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes (one row at least).
 

@@ -117,8 +117,9 @@ OP2_SQL = f"""
 WITH {_PIECES},
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) AS n FROM e WHERE s <> ''),
 c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS cum FROM f),
-t AS (SELECT a.doc_id, a.i, a.r, min(b.r) AS z FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r + 1 AND a.r + 20 AND b.cum - a.cum + a.n >= 20 GROUP BY ALL),
-k AS (SELECT t.doc_id, t.i, max(c.i) AS z, string_agg(c.s, chr(10) ORDER BY c.i) AS h FROM t JOIN c ON c.doc_id = t.doc_id AND c.r BETWEEN t.r AND t.z GROUP BY ALL),
+t AS (SELECT a.doc_id, a.r, min(b.r) AS z FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r + 1 AND a.r + 20 AND b.cum - a.cum + a.n >= 20 GROUP BY ALL
+  UNION SELECT a.doc_id, max(b.r), a.r FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r - 20 AND a.r - 1 AND a.cum - b.cum + b.n >= 20 GROUP BY a.doc_id, a.r),
+k AS (SELECT t.doc_id, t.r, t.z AS y, min(c.i) AS i, max(c.i) AS z, string_agg(c.s, chr(10) ORDER BY c.i) AS h FROM t JOIN c ON c.doc_id = t.doc_id AND c.r BETWEEN t.r AND t.z GROUP BY t.doc_id, t.r, t.z),
 q AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS copy FROM k),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, z + 1)) AS i FROM q WHERE copy > 1),
 m AS (SELECT e.doc_id, e.i, raw, s, g.i IS NOT NULL AS gone FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i = g.i),

@@ -91,7 +91,7 @@ def test_tiles_find_all_links(spark, tile):
     values = {int(c) for c in centres} | {int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centres for a, b in rng.integers(0, 62, (25, 2))}
     values = sorted(values)
     want = groups(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 3)
-    nodes = connected_components(simhash_dedup.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fp long"), 3, tile)).collect()
+    nodes = connected_components(simhash_dedup.fingerprint_links(spark.createDataFrame([(v, 0, v) for v in values], "node long, kind int, fp long"), 3, tile)).collect()
     found = {}
     for r in nodes:
         found.setdefault(r.root, set()).add(r.node)
@@ -162,9 +162,63 @@ def test_substring_dedup_keeps_the_first_copy(spark):
     assert substring_dedup.substring_dedup(empty(docs)).count() == 0
 
 
-@given(st.text(alphabet="ab.!? \n\t", max_size=60))
-def test_sentences_join_to_the_text(text):
-    assert "".join(substring_dedup.sentences(text)) == text
+END = re.compile(r"(?<=[.!?])[ \t\n\r\f\v]+|\n+")
+
+
+def brute_parts(text):
+    at = [0, *(m.end() for m in END.finditer(text)), len(text)]
+    return [text[a:z] for a, z in zip(at[:-1], at[1:], strict=True) if a < z]
+
+
+@given(st.lists(st.text(alphabet="abé.!? \n\t", max_size=40), min_size=1, max_size=5))
+def test_sentences(texts):
+    for _, data, offsets in pieces(pa.array(texts), 50):
+        s = substring_dedup.sentences(data, offsets)
+        got = [data[a:z].tobytes().decode() for a, z in zip(s.edges[:-1], s.edges[1:], strict=True)]
+        lot = [t for t in texts if t]
+        rows = [p for t in lot for p in brute_parts(t)]
+        assert "".join(got) in "".join(lot) and all(g in rows for g in got)
+        assert all(substring_dedup._IS_WORD[data[s.edges[p] : s.edges[p + 1]]].any() for p in s.part)
+
+
+def brute_spans(texts, least_words=20):
+    """Texts without the sentences that a span covers which stands before, in a text or farther up."""
+    strip = " \t\n\r\f\v"
+    seen, out, found = {}, [], []
+    for d, t in enumerate(texts):
+        full = [(i, p.strip(strip)) for i, p in enumerate(brute_parts(t or "")) if p.strip(strip)]
+        size = [len(s.encode().split()) for _, s in full]
+        spans = set()
+        for a in range(len(full)):
+            onward = next((z for z in range(a + 1, len(full)) if sum(size[a : z + 1]) >= least_words), None)
+            back = next((z for z in range(a - 1, -1, -1) if sum(size[z : a + 1]) >= least_words), None)
+            spans |= {(a, onward)} if onward is not None else set()
+            spans |= {(back, a)} if back is not None else set()
+        found.append((full, sorted(spans)))
+        for a, z in sorted(spans):
+            seen.setdefault("\n".join(s for _, s in full[a : z + 1]), (d, a))
+    for d, t in enumerate(texts):
+        full, spans = found[d]
+        gone = {full[i][0] for a, z in spans if seen["\n".join(s for _, s in full[a : z + 1])] != (d, a) for i in range(a, z + 1)}
+        # what lies between the first and the last sentence of a span goes with it
+        for a, z in spans:
+            if seen["\n".join(s for _, s in full[a : z + 1])] != (d, a):
+                gone |= set(range(full[a][0], full[z][0] + 1))
+        out.append(t if not gone else "".join(p for i, p in enumerate(brute_parts(t)) if i not in gone))
+    return out
+
+
+def test_substring_dedup_against_brute_force(spark, texts):
+    rng = random.Random(31)
+    ends = lambda n: ". ".join(" ".join(rng.choice(WORDS) for _ in range(k)) for k in n) + "."
+    copy, passage = ends([10, 10, 10, 3]), ends([4, 9, 9, 2])
+    every = [*texts, copy, copy, ends([9, 8]) + " " + passage + " " + ends([7, 3, 12]), ends([5]) + "\n" + passage + "\n\n" + ends([11, 12]), "x" * 100_000 + ". " + copy]
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, every).repartition(3)).collect()}
+    want = brute_spans(every)
+    assert [out[i].text for i in range(len(every))] == want
+    whole = len(texts) + 1
+    assert out[whole].text == "" and out[whole].n_removed == out[whole].n_sentences == 4 and out[whole].n_spans == 1
+    assert "\n" + passage not in out[whole + 2].text and out[whole + 2].n_removed == 4
 
 
 # ---- op3
