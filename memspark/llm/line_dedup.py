@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import cut, packed, text_key, unpacked
+from memspark.llm.common import cut, packed, some_of, text_key, unpacked
 
 #: Hex digits that begin the rolling hash at a chunk's first line: a chunk has 16 / DIGITS lines in the mean.
 DIGITS = 4
@@ -29,7 +29,7 @@ def _chunks(text: Column) -> Column:
         edges = F.concat(F.array(F.lit(0)), begins, F.array(n))
         spans = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.struct(F.get(edges, i).alias("from"), (F.get(edges, i + 1) - F.get(edges, i)).alias("lines")))
         spans = F.filter(spans, lambda s: s["lines"] >= LEAST_LINES)
-        return F.transform(spans, lambda s: F.struct(s["from"].alias("from"), s["lines"].alias("lines"), F.md5(F.array_join(F.slice(hashed, s["from"] + 1, s["lines"]), "")).alias("hash")))
+        return F.transform(spans, lambda s: F.struct(s["from"].alias("from"), s["lines"].alias("lines"), F.unhex(F.md5(F.array_join(F.slice(hashed, s["from"] + 1, s["lines"]), ""))).alias("hash")))
 
     return F.element_at(F.transform(F.array(F.transform(lines, lambda x: F.md5(x))), of), 1)
 
@@ -58,12 +58,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     whole = packed(docs)
     piece = lambda frm, n: F.array_join(F.slice(F.split("_text", "\n", -1), frm + 1, n), "\n")
     same = lambda a, b: a["_id"].eqNullSafe(b["_doc"]) & (a["_key"] == b["_of"])
-    per_doc = firsts.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_list(F.struct("hash", "from", "lines")).alias("_wanted"))
-    slim = whole.select("_id", "_key", "_text").filter(F.instr("_text", "\n") > 0)
+    per_doc = cut(firsts.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_list(F.struct("hash", "from", "lines")).alias("_wanted")))
+    slim = some_of(whole.select("_id", "_key", "_text"), per_doc)[0]
     kept = slim.join(per_doc, same(slim, per_doc)).select("_text", F.explode("_wanted").alias("w"))
     kept = cut(kept.select("w.hash", piece(F.col("w.from"), F.col("w.lines")).alias("bytes")).groupBy("hash").agg(F.first("bytes").alias("bytes")))
-    drops = later.join(kept, "hash").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_set(F.struct("from", "lines", "bytes")).alias("_drops"))
-    out = whole.join(drops, same(whole, drops), "left")
+    drops = cut(later.join(kept, "hash").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_set(F.struct("from", "lines", "bytes")).alias("_drops")))
+    touched, others = some_of(whole, drops)
+    out = touched.join(drops, same(touched, drops), "left").drop("_doc", "_of")
+    out = out.union(others.withColumn("_drops", F.lit(None).cast(drops.schema["_drops"].dataType)))
     equal = F.filter("_drops", lambda d: piece(d["from"], d["lines"]) == d["bytes"])
     equal = F.transform(equal, lambda d: F.struct(d["from"].alias("from"), d["lines"].alias("lines")))
     out = out.withColumn("_drops", F.coalesce(equal, F.expr("cast(array() as array<struct<from:int,lines:int>>)")))
@@ -106,9 +108,10 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     later = rows.join(firsts, "hash").filter(place != F.col("first"))
     over = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("from") == F.col("first.from") + 1)
     later = later.select("doc_id", "key", F.when(over, F.array(F.col("from") + 1)).otherwise(F.array(F.col("from"), F.col("from") + 1)).alias("gone"))
-    drops = later.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_gone"))
-    whole = packed(docs)
-    out = whole.join(drops, whole["_id"].eqNullSafe(drops["_doc"]) & (whole["_key"] == drops["_of"]), "left")
+    drops = cut(later.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_gone")))
+    touched, others = some_of(packed(docs), drops)
+    out = touched.join(drops, touched["_id"].eqNullSafe(drops["_doc"]) & (touched["_key"] == drops["_of"]), "left").drop("_doc", "_of")
+    out = out.union(others.withColumn("_gone", F.lit(None).cast(drops.schema["_gone"].dataType)))
     lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
 
     def left(s: Column) -> Column:
