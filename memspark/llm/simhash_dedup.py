@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.graph import connected_components
-from memspark.llm.common import cut, text_key
+from memspark.llm.common import cut, packed, text_key, unpacked
 
 SHINGLE = 3
 RADIUS = 3
@@ -137,7 +137,8 @@ def _units(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.Rec
         yield from work(pa.Table.from_batches(held))
 
 
-def _compare(radius: int) -> Callable:
+def _compare(radius: int, spanning: bool = True) -> Callable:
+    """Links of whole units: a spanning forest of them, or for every row the nearest of those before it."""
     most = 1 << 22
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -148,9 +149,16 @@ def _compare(radius: int) -> Callable:
         marks = np.unique(cuts[np.minimum(np.searchsorted(load, np.arange(most, load[-1] + most, most)), len(cuts) - 1)])
         for a, b in zip([0, *marks[:-1].tolist()], marks.tolist(), strict=True):
             left, right = _links(unit[a:b], side[a:b], fp[a:b], radius)
-            root = _forest(b - a, left, right)
-            at = np.flatnonzero(root != np.arange(b - a))
-            yield pa.RecordBatch.from_arrays([pa.array(node[a:b][at]), pa.array(node[a:b][root[at]])], names=["src", "dst"])
+            if spanning:
+                root = _forest(b - a, left, right)
+                at = np.flatnonzero(root != np.arange(b - a))
+                to = root[at]
+            else:
+                early, late = np.minimum(left, right), np.maximum(left, right)
+                order = np.lexsort((early, np.bitwise_count(fp[a:b][early] ^ fp[a:b][late]), late))
+                at, where = np.unique(late[order], return_index=True)
+                to = early[order][where]
+            yield pa.RecordBatch.from_arrays([pa.array(node[a:b][at]), pa.array(node[a:b][to])], names=["src", "dst"])
 
     return lambda batches: _units(batches, work)
 
@@ -166,36 +174,37 @@ def _bands(radius: int) -> Column:
     return F.explode(F.array(*parts))
 
 
-def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (src, dst) that join the fingerprints of column fp within ``radius`` bits of each other.
+def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE, bands: int | None = None, spanning: bool = True) -> DataFrame:
+    """Edges (src, dst) between the nodes of ``fingerprints`` (node, kind, fp) within ``radius`` bits of each other.
 
+    Nodes of one kind are compared that agree in one of ``bands`` bit bands: radius + 1, the default, finds all links.
     Within a pair of tiles a spanning forest of the links is returned, so that components are those of all links
-    while the rows stay in proportion to the input.
+    while the rows stay in proportion to the input; not ``spanning``: the nearest link of every node.
     """
-    rows = fingerprints.select("fp", _bands(radius).alias("key"), F.bit_count("fp").alias("ones")).select("fp", "key.band", "key.value", "ones")
-    counted = rows.groupBy("band", "value", "ones").count()
-    hot = counted.groupBy("band", "value").agg(F.sum("count").alias("total")).filter(F.col("total") > tile)
-    hot = cut(hot.select("band", "value"))
-    usual = rows.join(hot, ["band", "value"], "left_anti").select(F.xxhash64("band", "value").alias("unit"), F.lit(0).alias("side"), "fp", F.col("fp").alias("node"))
-    usual = usual.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(radius), "src long, dst long")
+    rows = fingerprints.select("node", "fp", "kind", _bands((bands or radius + 1) - 1).alias("key"), F.bit_count("fp").alias("ones"))
+    rows = rows.select("node", "fp", F.xxhash64("kind", "key.band", "key.value").alias("value"), "ones")
+    counted = rows.groupBy("value", "ones").count()
+    hot = cut(counted.groupBy("value").agg(F.sum("count").alias("total")).filter(F.col("total") > tile).select("value"))
+    usual = rows.join(hot, "value", "left_anti").select(F.col("value").alias("unit"), F.lit(0).alias("side"), "fp", "node")
+    usual = usual.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(radius, spanning), "src long, dst long")
     if hot.isEmpty():
         return usual
-    many = rows.join(hot, ["band", "value"]).join(counted.withColumnRenamed("count", "n"), ["band", "value", "ones"])
-    chunk = F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / tile))
-    many = cut(many.select("band", "value", "ones", chunk.alias("chunk"), "fp"))
-    tiles = many.select("band", "value", "ones", "chunk").distinct()
-    first, second = (tiles.select("band", "value", F.col("ones").alias(f"ones{i}"), F.col("chunk").alias(f"chunk{i}")) for i in (0, 1))
-    pairs = first.join(second, ["band", "value"]).filter(
+    many = rows.join(hot, "value").join(counted.withColumnRenamed("count", "n"), ["value", "ones"])
+    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / tile))
+    many = cut(many.select("value", "ones", chunk.alias("chunk"), "fp", "node"))
+    tiles = many.select("value", "ones", "chunk").distinct()
+    first, second = (tiles.select("value", F.col("ones").alias(f"ones{i}"), F.col("chunk").alias(f"chunk{i}")) for i in (0, 1))
+    pairs = first.join(second, "value").filter(
         F.col("ones1").between(F.col("ones0"), F.col("ones0") + radius) & ((F.col("ones0") < F.col("ones1")) | (F.col("chunk0") <= F.col("chunk1")))
     )
-    pairs = cut(pairs.withColumn("unit", F.xxhash64("band", "value", "ones0", "chunk0", "ones1", "chunk1")))
+    pairs = cut(pairs.withColumn("unit", F.xxhash64("value", "ones0", "chunk0", "ones1", "chunk1")))
     sides = []
     for i in (0, 1):
         own = pairs if i == 0 else pairs.filter("ones0 <> ones1 or chunk0 <> chunk1")
-        own = own.select("unit", "band", "value", F.col(f"ones{i}").alias("ones"), F.col(f"chunk{i}").alias("chunk"))
-        sides.append(many.join(own, ["band", "value", "ones", "chunk"]).select("unit", F.lit(i).alias("side"), "fp", F.col("fp").alias("node")))
+        own = own.select("unit", "value", F.col(f"ones{i}").alias("ones"), F.col(f"chunk{i}").alias("chunk"))
+        sides.append(many.join(own, ["value", "ones", "chunk"]).select("unit", F.lit(i).alias("side"), "fp", "node"))
     units = sides[0].union(sides[1]).repartition("unit").sortWithinPartitions("unit")
-    return usual.union(units.mapInArrow(_compare(radius), "src long, dst long"))
+    return usual.union(units.mapInArrow(_compare(radius, spanning), "src long, dst long"))
 
 
 def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -210,7 +219,7 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = cut(base.mapInArrow(_fingerprints(shingle), f"doc {kind}, fp long"))
     known = cut(base.groupBy("fp").agg(F.min("doc").alias("first")))
-    nodes = connected_components(fingerprint_links(known.select("fp"), radius))
+    nodes = connected_components(fingerprint_links(known.select(F.col("fp").alias("node"), F.lit(0).alias("kind"), "fp"), radius))
     known = known.join(nodes, known.fp == nodes.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = known.join(least, "root").select("fp", "component_id")
@@ -220,9 +229,9 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: For documents: words of a shingle, similarity of the shingle sets, and the radius in which candidates are looked for.
 WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 #: Documents of the sample that tells frequent shingles, and in how many of them a frequent one is.
-SAMPLE_DOCS, FREQUENT = 20_000, 4
-#: Fingerprints of a tile when all of a size class are compared, and documents of a tile when shingle sets are.
-LEAST_TILE, MOST_TILE, TEXTS = 2048, 32768, 256
+SAMPLE_DOCS, FREQUENT = 5_000, 3
+#: Rows of one shingle that meet in a task, and documents that are held against one other in a task.
+MEETING, TEXTS = 2048, 256
 
 
 def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
@@ -270,8 +279,9 @@ def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], names=["hash"])
+            for a in range(0, b.num_rows, 64):
+                sets = [shingle_set(x.as_py(), shingle) for x in b.column(0).slice(a, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["hash"])
 
     some = texts.filter(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select("text")
     often = some.mapInArrow(run, "hash long").groupBy("hash").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "hash").limit(1 << 17)
@@ -312,107 +322,94 @@ def _sharing(similarity: float) -> Callable:
 def _sets(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["node", "cluster", "shingles"])
+            for a in range(0, b.num_rows, 64):
+                some = b.slice(a, 64)
+                sets = pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in some.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), sets], names=["node", "shingles"])
 
     return run
 
 
 def _verify(similarity: float) -> Callable:
-    """Units of shingle sets in; a spanning forest of the pairs that are similar enough out."""
+    """Units of shingle sets in, the set that the others are held against first; the pairs similar enough out."""
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit, node = table.column(0).to_numpy(), table.column(1).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
-        src, dst = [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            sets = [np.frombuffer(table.column(2)[i].as_py(), np.uint64) for i in range(a, b)]
-            sizes = np.array([len(x) for x in sets])
-            of = np.repeat(np.arange(len(sets)), sizes)
-            known, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            column = np.cumsum(times > 1) - 1
-            use = times[which] > 1
-            shared = np.zeros((len(sets), len(sets)), np.float32)
-            of, which = of[use], column[which[use]]
-            for low in range(0, int((times > 1).sum()), 4096):
-                now = (which >= low) & (which < low + 4096)
-                table_ = np.zeros((len(sets), 4096), np.float32)
-                table_[of[now], which[now] - low] = 1
-                shared += table_ @ table_.T
-            both = sizes[:, None] + sizes[None, :] - shared
-            i, j = np.nonzero(np.triu((shared >= similarity * both - 1e-6) & (both > 0), 1))
-            root = _forest(len(sets), i, j)
-            at = np.flatnonzero(root != np.arange(len(sets)))
-            src.append(node[a:b][at])
-            dst.append(node[a:b][root[at]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, centre, against = None, None, np.zeros(0, np.uint64)
+        for b in batches:
+            src, dst = [], []
+            for u, first, node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                if first == 0:
+                    unit, centre, against = u, node, own.copy()
+                elif u == unit:
+                    least, most = sorted((len(own), len(against)))
+                    if least >= similarity * most - 1e-6:
+                        both = np.concatenate([own, against])
+                        both.sort(kind="stable")
+                        shared = int((both[1:] == both[:-1]).sum())
+                        if shared >= similarity * (least + most - shared) - 1e-6:
+                            src.append(node)
+                            dst.append(centre)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return lambda batches: _units(batches, work)
+    return run
+
+
+def _similar_pairs(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose whole shingle sets are similar enough; ``sets`` gives (node, shingles) of nodes.
+
+    A document's partners come to it in units of bounded size, so each set travels once for every partner that is a
+    centre, and a centre once for every unit.
+    """
+    held = pairs.groupBy("dst").agg(F.ceil(F.count("*") / TEXTS).alias("parts"))
+    units = pairs.join(held, "dst").withColumn("unit", F.xxhash64("dst", F.pmod(F.xxhash64("src", F.lit(5)), F.col("parts"))))
+    rows = units.select("unit", F.lit(1).alias("place"), F.col("src").alias("node")).union(units.select("unit", F.lit(0), "dst").distinct())
+    rows = cut(rows)
+    whole = rows.join(sets(rows.select("node").distinct()).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    whole = whole.select("unit", "place", "node", "shingles").repartition("unit").sortWithinPartitions("unit", "place")
+    return whole.mapInArrow(_verify(similarity), "src long, dst long")
 
 
 def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
     """Classes of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more: doc_id, key (hash
     of the text), component (a document's number in the class), least (whether the row is the class's first by doc_id).
 
-    Fingerprints are compared tile by tile among texts whose numbers of shingles allow the similarity; documents that come
-    within the radius are then compared by their whole shingle sets, again tile by tile. Texts without words are one class.
-    Pairs farther apart than the radius (at similarity 0.8 one in twenty) are found by an equi-join on shingles: in one order
-    of all shingles, frequent ones last, two sets as similar share one of the first fifth of each. Whole sets decide again.
+    Fingerprints of one size class that agree in a bit band are compared tile by tile; the nearest within the radius are
+    then compared by their whole shingle sets. That merges most copies cheaply. Pairs that it misses are found by an
+    equi-join on shingles: in one order of all shingles, frequent ones last, two sets as similar share one of the first
+    fifth of each. Whole sets decide again, so the classes are exact. Texts without words are one class.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_key("text").alias("key"), F.col("text").cast("string").alias("text"))
     base = cut(texts.mapInArrow(_sized(shingle, similarity, _frequent(texts, shingle)), f"doc_id {kind}, key long, fp long, size long, prefix array<long>"))
-    known = cut(base.groupBy(F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")).alias("node")).agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")))
-    worded = known.filter("size > 0").withColumn("band", F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity) + 1e-9))
-    counted = worded.groupBy("band").count()
-    tile = min(MOST_TILE, max(LEAST_TILE, known.count() // 64))
-    bands = counted.select("band", F.ceil(F.col("count") / tile).alias("own")).withColumn("next", F.lit(0))
-    after = counted.select((F.col("band") - 1).alias("band"), F.ceil(F.col("count") / tile).alias("next_"))
-    before = counted.select((F.col("band") + 1).alias("band"), F.ceil(F.col("count") / tile).alias("last_"))
-    bands = bands.drop("next").join(after, "band", "left").join(before, "band", "left").na.fill(0)
-    rows = worded.join(F.broadcast(bands), "band").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(11)), F.col("own")))
-    # a tile meets the later tiles of its size class as first, the earlier ones and those of the class below as second
-    mine = F.transform(F.sequence(F.lit(0).cast("long"), F.col("own") - 1), lambda x: F.struct(F.xxhash64("band", F.lit(0), F.least(x, F.col("chunk")), F.greatest(x, F.col("chunk"))).alias("unit"), (x < F.col("chunk")).cast("int").alias("side")))
-    above = F.when(F.col("next_") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("next_") - 1), lambda x: F.struct(F.xxhash64("band", F.lit(1), F.col("chunk"), x).alias("unit"), F.lit(0).alias("side"))))
-    below = F.when(F.col("last_") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("last_") - 1), lambda x: F.struct(F.xxhash64(F.col("band") - 1, F.lit(1), x, F.col("chunk")).alias("unit"), F.lit(1).alias("side"))))
-    units = rows.select("fp", "node", F.explode(F.flatten(F.array_compact(F.array(mine, above, below)))).alias("u")).select("u.unit", "u.side", "fp", "node")
-    links = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(radius), "src long, dst long")
-    clusters = cut(connected_components(links))
-    held = clusters.groupBy("root").agg(F.ceil(F.count("*") / TEXTS).alias("tiles"))
-    sets = "node long, cluster struct<root:bigint,tiles:bigint>, shingles binary"
-
-    def pulled(members: DataFrame) -> DataFrame:
-        """Shingle sets of the nodes of ``members`` (node, cluster)."""
-        members = members.join(known.select("node", "first"), "node").select("node", "cluster", F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"))
-        found = texts.join(members, texts["doc_id"].eqNullSafe(members["_doc"]) & (texts["key"] == members["_key"]))
-        return found.select("node", "cluster", "text").mapInArrow(_sets(shingle), sets)
-
-    chunk = F.pmod(F.xxhash64("node", F.lit(13)), F.col("cluster.tiles"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cluster.tiles") - 1), lambda x: F.xxhash64("cluster.root", F.least(x, chunk), F.greatest(x, chunk)))
-    pairs = pulled(clusters.join(held, "root").select("node", F.struct("root", "tiles").alias("cluster"))).select(F.explode(pairs).alias("unit"), "node", "shingles")
-    pairs = pairs.repartition("unit").sortWithinPartitions("unit")
-    nodes = cut(connected_components(pairs.mapInArrow(_verify(similarity), "src long, dst long")))
-    # what the radius misses: pairs of different classes that share one of their first shingles
+    node = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")).alias("node")
+    known = cut(base.groupBy(node).agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("prefix").alias("prefix")))
+    worded = known.filter("size > 0")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.join(known.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"))
+        found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["key"] == wanted["_key"]))
+        return found.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
+
+    sized = worded.select("node", F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity)).alias("kind"), "fp")
+    near = cut(fingerprint_links(sized, radius, bands=RADIUS + 1, spanning=False).distinct())
+    links = cut(_similar_pairs(near, sets, similarity))
+    nodes = cut(connected_components(links))
+    # what the tiles miss: pairs of different classes that share one of their first shingles
     part = nodes.select(F.col("node").alias("_node"), "root")
-    firsts = base.filter("size > 0").select(F.col("key").alias("node"), "size", "prefix")
-    firsts = firsts.join(part, firsts["node"] == part["_node"], "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.posexplode("prefix").alias("place", "hash"))
-    by_hash = Window.partitionBy("hash").orderBy("node")
-    shared = firsts.withColumn("before", F.lag("hash").over(by_hash)).withColumn("after", F.lead("hash").over(by_hash)).filter("before is not null or after is not null")
-    shared = cut(shared.select("hash", "node", "size", "part", F.col("place").cast("long").alias("place")))
-    counts = shared.groupBy("hash").agg(F.ceil(F.count("*") / LEAST_TILE).alias("tiles"))
-    dealt = shared.join(counts.filter("tiles > 1"), "hash", "left").na.fill(1, ["tiles"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(19)), F.col("tiles")))
+    firsts = worded.join(part, worded["node"] == part["_node"], "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.posexplode("prefix").alias("place", "hash"))
+    spread = firsts.groupBy("hash").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    spread = cut(spread.select(F.col("hash").alias("_hash"), F.ceil(F.col("n") / MEETING).alias("tiles")))
+    shared = firsts.join(spread, firsts["hash"] == spread["_hash"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(19)), F.col("tiles")))
     tiled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.xxhash64("hash", F.least(x, F.col("chunk")), F.greatest(x, F.col("chunk"))))
-    dealt = dealt.select(F.explode(tiled).alias("unit"), "size", "place", "part", "node").repartition("unit").sortWithinPartitions("unit")
-    apart = cut(dealt.mapInArrow(_sharing(similarity), "a long, b long").distinct())
-    ends = apart.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("unit"))
-    whole = pulled(ends.select("node").distinct().withColumn("cluster", F.struct(F.lit(0).cast("long").alias("root"), F.lit(1).cast("long").alias("tiles"))))
-    far = ends.join(whole.select("node", "shingles"), "node").select("unit", "node", "shingles").repartition("unit").sortWithinPartitions("unit")
-    far = far.mapInArrow(_verify(similarity), "src long, dst long")
+    dealt = shared.select(F.explode(tiled).alias("unit"), "size", F.col("place").cast("long").alias("place"), "part", "node").repartition("unit").sortWithinPartitions("unit")
+    apart = cut(dealt.mapInArrow(_sharing(similarity), "a long, b long").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    far = _similar_pairs(apart, sets, similarity)
     nodes = connected_components(far.union(nodes.filter("node <> root").selectExpr("node as src", "root as dst"))).withColumnRenamed("node", "_node")
     out = known.join(nodes, known["node"] == nodes["_node"], "left").select("node", "first", F.coalesce("root", "node").alias("component"))
     least = out.groupBy("component").agg(F.min("first").alias("least"))
     kept = out.join(least, "component").select("node", "component", "least")
-    base = base.drop("prefix").withColumn("node", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")))
+    base = base.select("doc_id", "key", node)
     return base.join(kept, "node").select("doc_id", "key", "component", (F.struct("doc_id", "key") == F.col("least")).alias("least"))
 
 
@@ -422,7 +419,7 @@ def similar_dedup(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: floa
     Of rows that repeat a doc_id with the same text one stays; of texts without words, null ones among them, one stays.
     """
     kept = similar_classes(docs, shingle, similarity).filter("least").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).distinct()
-    whole = docs.withColumn("_key", text_key("text"))
-    out = whole.join(kept, whole["doc_id"].eqNullSafe(kept["_doc"]) & (whole["_key"] == kept["_of"]), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0)))
-    return out.withColumn("_copy", number).filter("_copy = 1").select(*docs.columns)
+    whole = packed(docs)
+    out = whole.join(kept, whole["_id"].eqNullSafe(kept["_doc"]) & (whole["_key"] == kept["_of"]), "left_semi")
+    number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    return out.withColumn("_copy", number).filter("_copy = 1").select(*unpacked(docs, {}))
