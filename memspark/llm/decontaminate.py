@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing.
 
-Every run of ``window`` words is represented by the minimum hash of the ``kgram``-word runs in it. Both sides keep
-these minima, so a document run equal to a benchmark run always carries the same fingerprint; fingerprints are
-joined and each hit is extended to the whole run, compared by a digest of its words.
+Of every run of ``window`` words the least hash of its ``kgram``-word runs is kept, on both sides by the same rule, so a run
+that a document shares with the benchmark carries the same fingerprint at the same place. Repeated choices fall together,
+which thins the fingerprints. They are joined, and each hit is extended word by word to both sides as far as a run of
+``window`` words around the fingerprint reaches; it counts if that makes ``window`` equal words. So every shared run is found.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import NOT_ALNUM, cut, fold_table, mix, pieces, prefix_hash, range_hash, signed, text_key, word_bounds
+from memspark.llm.common import NOT_ALNUM, bit_filter, cut, fold_table, in_filter, mix, packed, pieces, prefix_hash, range_hash, text_key, unpacked, word_bounds
 
 WINDOW = 13
 KGRAM = 8
 #: The filter that is sent to the tasks has at most this many bits (1 MB), whatever the benchmark's size.
 FILTER_BITS = 23
+_MARK = "struct<pos:int,kind:int,print:bigint,core:string,left:array<string>,right:array<string>>"
 
 
 def _gram_hash(words: np.ndarray, length: int) -> np.ndarray:
@@ -34,131 +37,152 @@ def _gram_hash(words: np.ndarray, length: int) -> np.ndarray:
     return mix(out + np.uint64(length))
 
 
-def _winnow(words: np.ndarray, window: int, kgram: int) -> np.ndarray:
-    """Minimum k-gram hash of every run of ``window`` words."""
-    grams = _gram_hash(words, kgram)
-    span = window - kgram + 1
-    n = len(words) - window + 1
+def winnow(words: np.ndarray, of_row: np.ndarray, window: int, kgram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the least k-gram, the leftmost of equal ones, of every run of ``window`` words of a row."""
+    grams, n = _gram_hash(words, kgram), len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    best = grams[:n].copy()
-    for j in range(1, span):
-        np.minimum(best, grams[j : j + n], out=best)
-    return best
-
-
-def _digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, length: int) -> bytes:
-    return hashlib.md5(b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(first, first + length))).digest()
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    best, place = grams[:n].copy(), np.arange(n)
+    for j in range(1, window - kgram + 1):
+        lower = grams[j : j + n] < best
+        best[lower] = grams[j : j + n][lower]
+        place[lower] = np.flatnonzero(lower) + j
+    at = np.unique(place[of_row[:n] == of_row[window - 1 :]])
+    return at, grams[at]
 
 
-def _windows(column: pa.Array, window: int, kgram: int, short: list[int] | None, keep: np.ndarray | None) -> Iterator[tuple[int, int, list[tuple[int, int, int, bytes]]]]:
-    """For each row its number, its number of words and its runs as (first word, length, fingerprint, digest).
+def _marks(column: pa.Array, window: int, kgram: int, short: list[int] | None, keep: np.ndarray | None) -> Iterator[tuple[int, int, list[dict]]]:
+    """For each row its number, its number of words and its fingerprints with the words around them.
 
-    ``short``: lengths below ``window`` to look for; None: a row of fewer words is one run itself.
-    ``keep``: bit filter of fingerprints; others are left out before their digest is made.
+    A mark's kind is 0 for a winnowed k-gram, else the number of words of a whole short item. ``short``: lengths below
+    ``window`` to look for; None: a row of fewer words is one run itself. ``keep``: bit filter of fingerprints.
     """
     lower, is_word = fold_table(NOT_ALNUM)
-    shift = np.uint64(64 - FILTER_BITS)
-
-    def passing(prints: np.ndarray) -> np.ndarray:
-        if keep is None:
-            return np.arange(len(prints))
-        at = (prints >> shift).astype(np.int64)
-        return np.flatnonzero((keep[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-
     for row, data, offsets in pieces(column):
         folded = lower[data]
         starts, ends, first = word_bounds(is_word[data], offsets)
         words = range_hash(prefix_hash(folded), starts, ends)
-        of_row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        found: list[list] = [[] for _ in range(len(offsets) - 1)]
-        lengths = [window] if short is None else [window, *short]
-        for length in lengths:
-            prints = _winnow(words, window, kgram) if length == window else _gram_hash(words, length)
-            at = passing(prints)
-            at = at[of_row[at] == of_row[at + length - 1]] if len(at) else at
-            for s in at.tolist():
-                d = int(of_row[s])
-                found[d].append((s - int(first[d]), length, int(signed(prints[s : s + 1])[0]), _digest(folded, starts, ends, s, length)))
         counts = np.diff(first)
-        if short is None:
-            for d in np.flatnonzero((counts > 0) & (counts < window)).tolist():
-                n = int(counts[d])
-                p = _gram_hash(words[first[d] : first[d] + n], n)
-                found[d].append((0, n, int(signed(p)[0]), _digest(folded, starts, ends, int(first[d]), n)))
-        for d, runs in enumerate(found):
-            yield row + d, int(counts[d]), runs
+        of_row = np.repeat(np.arange(len(counts)), counts)
+        found: list[list[dict]] = [[] for _ in range(len(counts))]
+
+        def add(at: np.ndarray, prints: np.ndarray, kind: int, reach: int) -> None:
+            if keep is not None:
+                use = in_filter(prints, keep, FILTER_BITS)
+                at, prints = at[use], prints[use]
+            size = kind or kgram
+            for s, value in zip(at.tolist(), prints.view(np.int64).tolist(), strict=True):
+                d = int(of_row[s])
+                low, high = max(int(first[d]), s - reach), min(int(first[d + 1]), s + size + reach)
+                around = [folded[starts[j] : ends[j]].tobytes().decode() for j in range(low, high)]
+                x = s - low
+                found[d].append({"pos": s - int(first[d]), "kind": kind, "print": value, "core": " ".join(around[x : x + size]), "left": around[:x][::-1], "right": around[x + size :]})
+
+        add(*winnow(words, of_row, window, kgram), 0, window - kgram)
+        for length in sorted(set(counts[(counts > 0) & (counts < window)].tolist())) if short is None else short:
+            prints = _gram_hash(words, length)
+            inside = np.flatnonzero(of_row[: len(prints)] == of_row[length - 1 :]) if len(prints) else np.zeros(0, np.int64)
+            if short is None:
+                inside = inside[counts[of_row[inside]] == length]
+            add(inside, prints[inside], length, 0)
+        for d, marks in enumerate(found):
+            yield row + d, int(counts[d]), marks
+
 
+_KIND = pa.struct([("pos", pa.int32()), ("kind", pa.int32()), ("print", pa.int64()), ("core", pa.string()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
+
+
+def _benchmark_marks(window: int, kgram: int) -> Callable:
+    """Marks of the items; ``context`` names a mark's words."""
 
-def _benchmark_runs(window: int, kgram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items, rows = b.column(0), []
-            for row, _, runs in _windows(b.column(1), window, kgram, None, None):
-                rows += [(row, *r[1:]) for r in {x[3]: x for x in runs}.values()]
-            take = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([items.take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["item", "length", "print", "digest"])
+            take, names, marks = [], [], []
+            for row, _, found in _marks(b.column(1), window, kgram, None, None):
+                for m in found:
+                    take.append(row)
+                    marks.append(m)
+                    names.append(hashlib.md5("\n".join([str(m["kind"]), m["core"], " ".join(m["left"]), " ".join(m["right"])]).encode()).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(names, pa.binary()), pa.array(marks, _KIND)], names=["item", "context", "mark"])
 
     return run
 
 
-def _document_runs(window: int, kgram: int, short: list[int], keep) -> Callable:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("print", pa.int64()), ("digest", pa.binary())]))
-
+def _document_marks(window: int, kgram: int, short: list[int], keep) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = keep.value
         for b in batches:
             counts, found = [], []
-            for _, n, runs in _windows(b.column(1), window, kgram, short, bits):
+            for _, n, marks in _marks(b.column(1), window, kgram, short, keep.value):
                 counts.append(n)
-                found.append([dict(zip(("start", "length", "print", "digest"), r, strict=True)) for r in runs])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["doc", "n_words", "runs"])
+                found.append(marks)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_KIND))], names=["doc", "n_words", "marks"])
 
     return run
 
 
+def _merged(found: pd.Series) -> pd.Series:
+    """Sorted word ranges, overlapping and touching ones united."""
+    out = []
+    for spans in found:
+        own: list[dict] = []
+        for start, stop in sorted((s["start"], s["stop"]) for s in spans):
+            if own and start <= own[-1]["stop"]:
+                own[-1]["stop"] = max(own[-1]["stop"], stop)
+            else:
+                own.append({"start": start, "stop": stop})
+        out.append(own)
+    return pd.Series(out)
+
+
+def _equal_words(a: str, b: str, most: int) -> Column:
+    """How many words of two columns agree before the first that differ."""
+    total, so_far = F.lit(0), F.lit(True)
+    for i in range(most):
+        so_far = so_far & F.coalesce(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), F.lit(False))
+        total = total + so_far.cast("int")
+    return total
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> DataFrame:
     """Words of every document that stand in a run shared with the benchmark.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. One row per document row:
-    doc (a struct of doc_id and the hash of the text), n_words, n_hit, spans (merged hit word ranges, end exclusive),
-    items (sorted as strings, distinct).
+    doc (a struct of a row's number and doc_id), n_words, n_hit, spans (merged hit word ranges, end exclusive),
+    items (sorted as strings, distinct), n_items (items without item_id count as one).
     Null texts and texts without words have no words and no hits. A benchmark item shorter than ``window`` words is one
     run. Rows that repeat a doc_id with the same text give as many equal rows. An empty benchmark gives no hits.
     """
-    items = cut(benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(_benchmark_runs(window, kgram), "item string, length int, print long, digest binary"))
-    short = sorted(r.length for r in items.filter(F.col("length") < window).select("length").distinct().collect())
-    spread = F.shiftrightunsigned("print", 64 - FILTER_BITS)
-    bits = items.select((spread / 8).cast("int").alias("byte"), F.expr(f"cast(1 << (shiftrightunsigned(print, {64 - FILTER_BITS}) & 7) as int)").alias("bit"))
-    bits = bits.groupBy(F.expr("byte div 8").alias("at")).agg(*[F.expr(f"bit_or(if(byte % 8 = {i}, bit, 0))").alias(f"b{i}") for i in range(8)])
-    keep = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in bits.toLocalIterator():
-        keep[r.at * 8 : r.at * 8 + 8] = r[1:]
-    sent = docs.sparkSession.sparkContext.broadcast(keep)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = cut(items.mapInArrow(_benchmark_marks(window, kgram), f"item string, context binary, mark {_MARK}"))
+    short = sorted(r.kind for r in items.select("mark.kind").filter("kind > 0").distinct().collect())
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(items.select(F.col("mark.print").alias("h1")), FILTER_BITS))
     base = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id")).alias("doc"), F.col("text").cast("string").alias("text"))
     kind = base.schema["doc"].dataType.simpleString()
-    base = cut(base.mapInArrow(_document_runs(window, kgram, short, sent), f"doc {kind}, n_words long, runs array<struct<start:int,length:int,print:long,digest:binary>>"))
-    rows = base.filter(F.size("runs") > 0).select("doc.row", F.explode("runs").alias("run")).select("row", "run.start", "run.length", "run.print", "run.digest")
-    known = items.select("print", "digest").distinct()
-    hits = rows.join(known, ["print", "digest"])
-    spans = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("found"))
-    merged = F.aggregate(
-        "found",
-        F.expr("cast(array() as array<struct<start:int,stop:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    spans = spans.select("row", merged.alias("spans"))
-    named = hits.select("row", "print", "digest").distinct().join(items.select("print", "digest", "item"), ["print", "digest"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    base = cut(base.mapInArrow(_document_marks(window, kgram, short, sent), f"doc {kind}, n_words long, marks array<{_MARK}>"))
+    rows = base.filter(F.size("marks") > 0).select("doc.row", F.explode("marks").alias("m")).select("row", "m.*")
+    known = items.dropDuplicates(["context"]).select("context", "mark.kind", "mark.print", "mark.core", F.col("mark.left").alias("before"), F.col("mark.right").alias("after"))
+    hits = rows.join(known, ["kind", "print", "core"])
+    size = F.when(F.col("kind") > 0, F.col("kind")).otherwise(F.lit(kgram))
+    hits = hits.select("row", "context", "kind", "pos", size.alias("size"), _equal_words("left", "before", window - kgram).alias("l"), _equal_words("right", "after", window - kgram).alias("r"))
+    hits = cut(hits.filter(f"kind > 0 or l + size + r >= {window}").select("row", "context", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("size") + F.col("r")).alias("stop")))
+    spans = hits.select("row", "start", "stop").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    spans = spans.select("row", F.pandas_udf(_merged, "array<struct<start:int,stop:int>>")("found").alias("spans"))
+    named = hits.select("row", "context").distinct().join(items.select("context", "item").distinct(), "context")
+    named = named.groupBy("row").agg(F.collect_set(F.struct("item")).alias("named"))
     out = base.select("doc", "doc.row", "n_words").join(spans, "row", "left").join(named, "row", "left")
-    none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
-    return out.select("doc", "n_words", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["start"]), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["start"])
+    items_ = F.array_sort(F.array_compact(F.transform("named", lambda x: x["item"])))
+    return out.select(
+        "doc", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"),
+        F.coalesce(items_, F.expr("cast(array() as array<string>)")).alias("items"), F.greatest(F.size("named"), F.lit(0)).cast("long").alias("n_items"),
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a twentieth of the words is hit), spans, items."""
     hits = benchmark_hits(docs, benchmark, window, kgram)
     return hits.select(
-        F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "items",
     )
@@ -171,5 +195,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """
     hits = benchmark_hits(docs.select(F.struct("doc_id", text_key("text").alias("key")).alias("doc_id"), "text"), benchmark, window, kgram)
     bad = hits.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc.doc_id.doc_id").alias("_doc"), F.col("doc.doc_id.key").alias("_of")).distinct()
-    whole = docs.withColumn("_key", text_key("text"))
-    return whole.join(bad, whole["doc_id"].eqNullSafe(bad["_doc"]) & (whole["_key"] == bad["_of"]), "left_anti").select(*docs.columns)
+    whole = packed(docs)
+    return whole.join(bad, whole["_id"].eqNullSafe(bad["_doc"]) & (whole["_key"] == bad["_of"]), "left_anti").select(*unpacked(docs, {}))

@@ -249,6 +249,23 @@ def test_contamination(spark, docs, texts):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i in got if not got[i][3]) and clean.columns == docs.columns
     assert decontaminate.contamination(docs, empty(benchmark)).filter("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty(docs), benchmark).count() == 0
+    nameless = spark.createDataFrame([(None, texts[7]), (3, texts[7]), (3, texts[7])], "item_id long, text string")
+    row = decontaminate.contamination(docs.filter("doc_id = 7"), nameless).head()
+    assert (row.n_items, row.items, row.n_hit) == (2, ["3"], row.n_words)
+
+
+def test_winnowing_thins_and_misses_no_shared_run(spark):
+    rng = random.Random(41)
+    item = [rng.choice(WORDS) for _ in range(60)] + ["la"] * 20
+    benchmark = [(1, " ".join(item))]
+    own = lambda n: [rng.choice(WORDS) + "q" for _ in range(n)]
+    every = [" ".join(own(20) + item[a : a + n] + own(20)) for a in range(0, 40, 3) for n in (12, 13, 14, 30)] + [" ".join(own(3) + ["la"] * 50), "la " * 100_000]
+    got = decontaminate.contamination(table(spark, every), spark.createDataFrame(benchmark, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got if r.doc_id < len(every) - 1} == {i: brute_hits(t, benchmark)[:2] for i, t in enumerate(every[:-1])}
+    assert [(r.n_words, r.n_hit) for r in got if r.doc_id == len(every) - 1] == [(100_000, 100_000)]
+    words = np.array([hash(w) & 0xFFFFFFFF for w in own(5000)], np.uint64)
+    places, _ = decontaminate.winnow(words, np.zeros(5000, np.int64), 13, 8)
+    assert len(places) < 0.4 * 5000 and np.diff(places).max() <= 6
 
 
 # ---- op4
