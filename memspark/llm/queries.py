@@ -37,17 +37,16 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings")
-    return topk_search.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+    return topk_search.exact_top_k(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5).drop("read_share")
 
 
 OP6_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.vec_id AS query_id, q.n, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.n <> v.n AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """
 
 
@@ -71,9 +70,15 @@ t AS (SELECT *, total - coalesce(CAST(sum(3 * source_size) OVER (o ROWS BETWEEN
   FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, r)),
 l AS (SELECT free AS f, onward AS n FROM t WHERE free * weight <= 3 * source_size * onward ORDER BY 3 * source_size / weight, r LIMIT 1),
 g AS (SELECT source, source_size, CASE WHEN 3 * source_size * n < weight * f THEN CAST(3 * source_size AS DOUBLE) ELSE weight * f / n END AS target FROM t, l),
-p AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS take,
+a AS (SELECT *, CAST(floor(target) AS BIGINT) AS whole FROM g),
+e AS (SELECT *, CAST(sum(whole) OVER () AS HUGEINT) AS every, CAST(coalesce(sum(whole) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS ahead FROM a),
+z AS (SELECT greatest(1, (max(every) + 31) // 32) AS points, CAST(ceil(log2(greatest(2, points))) AS INTEGER) AS bits FROM e),
+i AS (SELECT unnest(range(CAST(points AS BIGINT))) AS time, bits FROM z),
+v AS (SELECT list_sum(list_transform(range(bits), lambda b: ((time >> CAST(b AS INTEGER)) & 1) << CAST(bits - 1 - b AS INTEGER))) AS point FROM i),
+y AS (SELECT source, count(point) AS n FROM e, z LEFT JOIN v ON point >= (ahead * (1 << bits) + every - 1) // every AND point < ((ahead + whole) * (1 << bits) + every - 1) // every GROUP BY source),
+p AS (SELECT doc_id, size, source_size, target, least(greatest(n, 1) * 32, whole) AS take,
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+  FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source JOIN y ON d.source IS NOT DISTINCT FROM y.source)
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
   (take // source_size) * size + greatest(least(start + size, take % source_size) - start, 0) END AS taken FROM p
 """

@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by threshold aggregation without random access.
 
 Every dimension of a block of candidates is a list sorted by value. A query reads the lists in step, from the end that
-its weight favours; what it has not yet read of a vector lies between the last value read and the list's far end, which
-bounds every score from both sides. A query stops when the candidates outside its reach cannot enter its best k, and
-only what is left gets final scores. The best of all blocks are merged per query.
+its weight favours, and adds up what it has read of every vector; what it has not yet read lies between the last value
+read and the list's far end, which bounds every score from both sides. A query stops when at most a few candidates can
+still be among its best k, and gets their final scores; else it reads on, and at the lists' ends all sums are final. The
+best of all blocks are merged per query.
 """
 
 from __future__ import annotations
@@ -12,106 +13,124 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.llm.common import cut
 
 #: Vectors of a candidate block: SPREAD times the square root of their number, between these bounds.
 LEAST_BLOCK, MOST_BLOCK, SPREAD = 512, 32768, 4
-QUERY_BLOCK = 1024
-#: Depths, as parts of the lists' length, at which bounds are looked at.
-DEPTHS = (0.25, 0.5, 0.75)
-#: A query stops reading when at most this part of the block is left.
-FEW = 0.02
+QUERY_BLOCK = 8192
+#: Part of the lists that is read before bounds are looked at first; it doubles from look to look.
+FIRST_DEPTH = 1 / 16
+#: A query stops when at most FEW times k candidates can still be among its best.
+FEW = 4
+_QUERIES_AT_ONCE = 128
 
 
 def _exact(matrix: np.ndarray, weights: np.ndarray) -> np.dtype:
     """The cheapest type in which all inner products are exact."""
     most = int(np.abs(matrix).max(initial=0)) * int(np.abs(weights).max(initial=0)) * max(1, matrix.shape[1])
-    return np.dtype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object)
+    return np.dtype(np.float32 if most < 1 << 22 else np.float64 if most < 1 << 51 else object)
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of every query's ``k`` best in the block, its own id left out."""
+def _kth_largest(values: np.ndarray, k: int) -> np.ndarray:
+    n = values.shape[1]
+    return np.sort(values, axis=1)[:, n - k] if values.dtype == object else np.partition(values, n - k, axis=1)[:, n - k]
+
+
+def _first(query: int, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, read: int) -> list[tuple[int, int, int, int]]:
+    order = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else np.lexsort((ids, -scores))
+    return [(int(query), int(ids[i]), int(scores[i]), read) for i in order[:k]]
+
+
+def best_of_block(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+    """(query row, vector id, score, entries read per list) of every query's ``k`` best in the block but its own row."""
     kind = _exact(vectors, queries)
     n = len(ids)
-    out: list[tuple[int, int, int]] = []
-    x, q = vectors.astype(kind), queries.astype(kind)
-    active = np.arange(len(queries))
-    final = x.T
-    if kind != object and n > 4 * k:
-        lists = np.sort(x, axis=0)[::-1]
-        for part in DEPTHS:
+    x, weights = vectors.astype(kind), queries.astype(kind)
+    lists = np.sort(x, axis=0)[::-1]
+    place = np.empty(x.shape, np.int32)  # of every value in its dimension's list
+    np.put_along_axis(place, np.argsort(-x, axis=0, kind="stable"), np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], x.shape), axis=0)
+    depths = [max(min(n, 2 * k), int(n * FIRST_DEPTH))]
+    while depths[-1] < n:
+        depths.append(min(n, 2 * depths[-1]))
+    out: list[tuple[int, int, int, int]] = []
+    for a in range(0, len(queries), _QUERIES_AT_ONCE):
+        active = np.arange(a, min(len(queries), a + _QUERIES_AT_ONCE))
+        sums = np.zeros((len(active), n), kind)
+        before = 0
+        for depth in depths:
             if not len(active):
                 break
-            t = max(k, int(n * part))
-            up, down = np.maximum(q[active], 0), np.minimum(q[active], 0)
-            top, bottom = lists[t - 1], lists[n - t]
-            read_top, read_bottom = x >= top, x <= bottom
-            most = up @ np.where(read_top, x, top).T + down @ np.where(read_bottom, x, bottom).T
-            least = up @ np.where(read_top, x, lists[-1]).T + down @ np.where(read_bottom, x, lists[0]).T
-            own = query_ids[active][:, None] == ids[None, :]
-            least[own] = most[own] = -np.inf
-            sure = np.partition(least, n - k, axis=1)[:, n - k]
-            left = most >= sure[:, None]
-            done = left.sum(axis=1) <= max(4 * k, FEW * n)
+            q = weights[active]
+            up, down = np.where(q > 0, q, 0), np.where(q < 0, q, 0)
+            from_top, from_bottom = place < depth, place >= n - depth
+            sums += up @ np.where(from_top & (place >= before), x, 0).T + down @ np.where(from_bottom & (place < n - before), x, 0).T
+            before = depth
+            own = query_rows[active][:, None] == rows[None, :]
+            if depth == n:
+                keep = min(k + 1, n)
+                bound = _kth_largest(sums, keep)
+                for i, row, edge, mine in zip(active.tolist(), sums, bound, own, strict=True):
+                    at = np.flatnonzero((row >= edge) & ~mine)
+                    out += _first(query_rows[i], rows[at], ids[at], row[at], k, n)
+                break
+            # of what is unread, the next value at best and the last one at worst
+            best = sums + ((up * lists[depth - 1]) @ (~from_top).T.astype(kind) + (down * lists[n - depth]) @ (~from_bottom).T.astype(kind))
+            worst = sums + ((up * lists[-1]) @ (~from_top).T.astype(kind) + (down * lists[0]) @ (~from_bottom).T.astype(kind))
+            worst[own] = best[own] = np.inf if kind == object else -np.inf
+            if kind == object:
+                worst[own] = best[own] = -(1 << 200)
+            open_ = best >= _kth_largest(worst, min(k, n))[:, None]
+            open_ &= ~own
+            done = open_.sum(axis=1) <= FEW * k
             for i in np.flatnonzero(done).tolist():
-                at = np.flatnonzero(left[i])
-                out += _first(query_ids[active[i]], ids[at], q[active[i]] @ final[:, at], k)
-            active = active[~done]
-    for a in range(0, len(active), 256):
-        some = active[a : a + 256]
-        scores = q[some] @ final
-        for i, row in zip(some.tolist(), scores, strict=True):
-            keep = ids != query_ids[i]
-            if kind != object and n > 4 * k:
-                bound = np.partition(np.where(keep, row, -np.inf), n - k)[n - k]
-                keep &= row >= bound
-            out += _first(query_ids[i], ids[keep], row[keep], k)
+                at = np.flatnonzero(open_[i])
+                out += _first(query_rows[active[i]], rows[at], ids[at], x[at] @ q[i], k, depth)
+            active, sums = active[~done], sums[~done]
     return out
 
 
-def _first(query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    order = np.lexsort((ids, -scores)) if scores.dtype != object else sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))
-    return [(int(query), int(ids[i]), int(scores[i])) for i in order[:k]]
-
-
 def _search(k: int) -> Callable:
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        rows = []
-        if candidates.num_rows and queries.num_rows:
-            arrays = [(t.column("vec_id").to_numpy(), np.array(t.column("ints").combine_chunks().flatten()).reshape(t.num_rows, -1)) for t in (queries, candidates)]
-            (qi, q), (ci, c) = arrays
-            rows = best_of_block(q, qi, c, ci, k)
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+        found, n = [], candidates.num_rows
+        if n and queries.num_rows:
+            (q, qr), (c, cr) = ((np.array(t.column("ints").combine_chunks().flatten()).reshape(t.num_rows, -1), t.column("row").to_numpy()) for t in (queries, candidates))
+            found = best_of_block(q, qr, c, cr, candidates.column("vec_id").to_numpy(), k)
+        cols = list(zip(*found, strict=True)) or [[]] * 4
+        table = pa.table({name: pa.array(col, pa.int64()) for name, col in zip(("query_row", "vec_id", "score", "depth"), cols, strict=True)})
+        return table.append_column("share", pa.array(np.array(cols[3], float) / max(1, n)))
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
-    """The ``k`` highest integer inner products of every query: query_id, rank (from 1), vec_id, score.
+def exact_top_k(vectors: DataFrame, asked: Column | str, k: int = 5, scale: int = 256) -> DataFrame:
+    """The ``k`` highest integer inner products of every row that meets the condition ``asked``: query_id, rank (from 1),
+    vec_id, score, read_share (part of the lists that the query read, in the mean of the blocks with a result).
 
-    Both tables need vec_id and embedding; other columns are ignored. Components become floor(scale * x). Vectors that
+    ``vectors`` needs vec_id and embedding; other columns are ignored. Components become floor(scale * x). Vectors that
     are null or hold null or non-finite components take no part, nor do rows without vec_id; vectors of another
-    dimension than the query's are no candidates, nor are rows with the query's own vec_id. Ties go to the smaller
-    vec_id. Fewer candidates give fewer rows, none gives none. Rows that repeat a vec_id are one candidate if equal.
+    dimension than the query's are no candidates, nor is the query's own row. Ties go to the smaller vec_id. Fewer
+    candidates give fewer rows, none gives none. Rows that repeat a vec_id are queries and candidates of their own.
     """
-    def ready(df: DataFrame) -> DataFrame:
-        fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-        ints = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-        return df.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("ints")).withColumn("dims", F.size("ints")).distinct()
-
-    base, asked = cut(ready(vectors)), cut(ready(queries))
-    n, m = base.count(), asked.count()
+    fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    ints = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    asked = F.expr(asked) if isinstance(asked, str) else asked
+    base = vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("ints"), F.coalesce(asked, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"))
+    base = cut(base.withColumn("dims", F.size("ints")).filter("dims > 0"))
+    n, m = base.agg(F.count("*"), F.count_if("asks")).head()
     size = min(MOST_BLOCK, max(LEAST_BLOCK, int(SPREAD * n**0.5)))
     blocks, parts = max(1, -(-n // size)), max(1, -(-m // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    left = base.select("vec_id", "ints", "dims", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    right = asked.select("vec_id", "ints", "dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), part.alias("part"))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    dealt = lambda count: F.pmod(F.xxhash64("row"), F.lit(count))
+    left = base.select("vec_id", "row", "ints", "dims", dealt(blocks).alias("block"), every(parts).alias("part"))
+    questions = cut(base.filter("asks").select("row", "vec_id", "ints", "dims"))
+    fresh = [F.col(c).alias(c) for c in ("row", "ints", "dims")]  # columns of their own, as both sides come from one table
+    right = questions.select(*fresh, every(blocks).alias("block"), dealt(parts).alias("part"))
     keys = ["dims", "block", "part"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_row long, vec_id long, score long, depth long, share double")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    best = best.withColumn("read_share", F.avg("share").over(Window.partitionBy("query_row"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    names = questions.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return best.join(names, "query_row").select("query_id", "rank", "vec_id", "score", "read_share")
