@@ -51,6 +51,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
         value = np.minimum(value[: len(value) - (span - width)], value[span - width :])
     sizes = np.diff(offsets) - length + 1
     rows = np.flatnonzero(sizes > 0)
+    if not len(rows):
+        return none, none, none, np.zeros(0, np.uint64)
     starts = ranges(offsets[rows], sizes[rows])
     place = (value[starts] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     new = np.ones(len(starts), bool)
