@@ -71,7 +71,8 @@ def target_rows(labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
 
 def log_ratio_model(docs: DataFrame, targets: DataFrame) -> np.ndarray:
     """Logarithm of target over raw probability of every bucket; ``targets`` is bounded and is sent to the tasks."""
-    marked = docs.join(F.broadcast(targets.withColumn("_good", F.lit(True))), "doc_id", "left").select(F.coalesce("_good", F.lit(False)).alias("good"), F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    marked = texts.join(F.broadcast(targets.withColumn("good", F.lit(True))), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
     sums = marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums.collect():

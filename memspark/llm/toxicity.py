@@ -12,14 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from memspark.llm.common import NOT_ALNUM, fold_table, packed, pieces, prefix_hash, range_hash, ranges, unpacked, word_bounds
+from memspark.llm.common import NOT_ALNUM, fold_table, packed, pieces, prefix_hash, range_hash, ranges, text_key, unpacked, word_bounds
 
-#: Buckets of hashed words, and at most so many labelled documents of each class to learn from (documented bounds).
+#: Buckets of hashed words; at most so many labelled rows of each class to learn from, of at most so many bytes each, are
+#: gathered on the driver (documented bounds: every row is scored whole, whatever its length).
 BUCKETS = 1 << 17
 TRAIN_ROWS = 1000
+TRAIN_BYTES = 1 << 17
 _SEGMENT = 64
 _EPOCHS = 25
 
@@ -181,16 +184,19 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Field:
-    """Fit on at most ``most`` labelled documents of each class, whole texts, chosen by a hash of doc_id.
+    """Fit on at most ``most`` labelled documents of each class, whole texts of at most TRAIN_BYTES, chosen by a hash of doc_id.
 
-    Rows with crc32(doc_id as text) modulo 5 equal to 0 are held out. Only doc_id and toxic of the labels are read.
+    Rows with crc32(doc_id as text) modulo 5 equal to 0 are held out. Only doc_id and toxic of the labels are read. Of rows
+    that repeat a doc_id one is learned from.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).head()[0]
     order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(most).union(known.filter("toxic = 0").orderBy(*order).limit(most))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(text_key("text"), "text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("copy", number).filter("copy = 1").select("toxic", "text")
     table = rows.mapInArrow(_encode, "toxic int, words binary").toArrow()
     order = sorted(range(table.num_rows), key=lambda i: (table.column(0)[i].as_py(), table.column(1)[i].as_py()))
     parts = [np.frombuffer(table.column(1)[i].as_py(), np.int32) for i in order]
@@ -233,8 +239,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, field: Field | None = None) ->
     """
     model = docs.sparkSession.sparkContext.broadcast(field or train(docs, labels))
     base = packed(docs).select("_in", "_text")
-    kind = base.schema["_in"].dataType.simpleString()
-    out = base.mapInArrow(_tag(model), f"_in {kind}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
+    span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("marginal", DoubleType())])
+    kinds = {"_in": base.schema["_in"].dataType, "score": DoubleType(), "spans": ArrayType(span)}
+    out = base.mapInArrow(_tag(model), StructType([StructField(c, t) for c, t in kinds.items()]))
     return out.select(*unpacked(docs, {"score": F.col("score"), "spans": F.col("spans")}))
 
 
