@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from memspark.functions.graph import connected_components
 from memspark.llm import decontaminate, line_dedup, quality, secret_scan, simhash_dedup, source_mix, substring_dedup, suffix_dedup, topk_search, toxicity
-from memspark.llm.common import NOT_ALNUM, fold_table, pieces, word_bounds
+from memspark.llm.common import NOT_ALNUM, fold_table, mix, pieces, prefix_hash, range_hash, word_bounds
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ré", "so", "ti") for b in ("an", "bel", "cor", "dun", "ek", "fal", "gor", "hüm", "ix", "jal")]
 
@@ -314,7 +314,85 @@ def test_toxicity_learns_the_training_rows_only(spark):
     assert len(nothing) == 203 and all(0 <= r.score <= 1 for r in nothing)
 
 
+def hashed(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(range_hash(prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
+
+
+def words_of(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def test_document_scores_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    n = toxicity.BUCKETS
+    field = toxicity.Field(rng.normal(size=n), rng.normal(size=n) / 2, rng.normal(size=n) / 2, -1.0, rng.normal(size=(2, 2)), rng.normal(size=4))
+    few = random.Random(13)
+    texts = [prose(few, k) for k in (1, 2, 5, 9)] + [None, "", "...", "VILE vile"]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(table(spark, texts), None, field).collect()}
+    for d, t in enumerate(texts):
+        at = [hashed(w) % n for w in words_of(t)]
+        e = [min(30, max(-30, field.own[b] + field.bias + (field.before[at[i - 1]] if i else 0) + (field.after[at[i + 1]] if i + 1 < len(at) else 0))) for i, b in enumerate(at)]
+        total, on = 0.0, np.zeros(len(at))
+        for bits in range(1 << len(at)):
+            y = [bits >> i & 1 for i in range(len(at))]
+            weight = math.exp(sum(e[i] * y[i] + field.step[y[i - 1] if i else 0, y[i]] for i in range(len(at))))
+            total += weight
+            on += weight * np.array(y)
+        p = on / total
+        x = [1, p.max(initial=0), math.log1p(p.sum()), math.log1p(100 * p.sum() / max(1, len(at)))]
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-float(np.dot(x, field.document)))))
+
+
+def test_training_rows_are_bounded(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = [(i, f"w{j} vile" if i % 2 else f"w{j} fine") for i in range(40) for j in range(30)] + [(3, "x " * toxicity.TRAIN_BYTES)]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    real = toxicity.fit
+    toxicity.fit = lambda words, first, toxic, share=None: seen.append((len(first) - 1, len(words))) or real(words, first, toxic, share)
+    try:
+        toxicity.train(docs, labels, 10)
+    finally:
+        toxicity.fit = real
+    assert seen[0][0] <= 20 and seen[0][1] <= 40
+
+
 # ---- op5
+def test_ratio_and_selection_against_brute_force(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(50)] + [None, "", "only", "Ré. ré", "long " * 30_000]
+    ids = [*range(53), 7, 7]
+    docs = table(spark, texts, ids)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(50)] + [(3, 1)], "doc_id long, quality int")
+    good = {i for i in range(0, 50, 3) if zlib.crc32(str(i).encode()) % 5}
+
+    def grams(t):
+        w = [hashed(x) for x in words_of(t)]
+        two = [int(mix(np.array([(a * 0xD6E8FEB86659FD93 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(w, w[1:], strict=False)]
+        return [g % quality.BUCKETS for g in w + two]
+
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for i, t in zip(ids, texts, strict=True):
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    out = quality.importance_resample(docs, labels, keep=0.4)
+    noise = {r.doc_id: (r.c, r.t) for r in docs.selectExpr("doc_id", "(shiftrightunsigned(xxhash64(0, cast(doc_id as string)), 11) + 0.5) / power(2d, 53) as c", "shiftrightunsigned(xxhash64(doc_id, 0), 1) as t").collect()}
+    want = []
+    for i, t in zip(ids, texts, strict=True):
+        score = sum(ratio[g] for g in grams(t))
+        want.append((i, score, score - math.log(-math.log(noise[i][0]))))
+    got = sorted((r.doc_id, r.log_ratio, r.key, r.selected) for r in out.collect())
+    for (i, score, key), r in zip(sorted(want), got, strict=True):
+        assert i == r[0] and score == pytest.approx(r[1], abs=1e-6) and key == pytest.approx(r[2], abs=2e-6)
+    first = sorted(range(55), key=lambda n: -sorted(want)[n][2])[:22]
+    assert [n for n in range(55) if got[n][3]] == sorted(first)
+    # equal texts and a constant noise: ties go by the hash of doc_id
+    same = table(spark, ["a b c"] * 9, [5] * 9)
+    assert quality.importance_resample(same, labels, keep=0.3).filter("selected").count() == 9
+
+
 def test_importance_resampling(spark):
     rng = random.Random(6)
     fine = [prose(rng, 80) for _ in range(60)]
@@ -512,6 +590,60 @@ def test_secret_scan(spark):
     assert secret_scan.secret_scan(table(spark, texts).filter("false")).count() == 0
 
 
+def brute_battery(token):
+    _, _, alphabet = next(e for e in secret_scan.ENCODINGS if re.search(e[1], token))
+    codes, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    phi = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    chi2 = sum((codes.count(a) - n / k) ** 2 / (n / k) for a in range(k))
+    p_chi2 = 1 - phi(((chi2 / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    high = [c > (k - 1) / 2 for c in codes]
+    runs, up = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+    mean = 1 + 2 * up * (n - up) / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = (runs - mean) / math.sqrt(spread) if spread > 0 else 9.0
+    mu = sum(codes) / n
+    around = sum((c - mu) ** 2 for c in codes)
+    z_serial = (sum((a - mu) * (b - mu) for a, b in zip(codes, codes[1:], strict=False)) / around + 1 / n) * math.sqrt(n) if around else 9.0
+    p_random = min(p_chi2, *(2 * phi(-abs(z)) for z in (z_runs, z_serial)))
+    share = {c: f / sum(secret_scan.LETTERS.values()) for c, f in secret_scan.LETTERS.items()}
+    score = {c: math.log(26 * f) for c, f in share.items()}
+    ave = sum(share[c] * score[c] for c in share)
+    sd = math.sqrt(sum(share[c] * (score[c] - ave) ** 2 for c in share))
+    letters = [c for c in token.lower() if c in share]
+    likely = phi(sum(score[c] - ave for c in letters) / (secret_scan.WIDER * sd * math.sqrt(len(letters)))) if letters else 1.0
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else c for c in token]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    often = phi(-(changes - 0.5 - secret_scan.CHANGES * (n - 1)) / math.sqrt(secret_scan.CHANGES * (1 - secret_scan.CHANGES) * (n - 1)))
+    inside = sum(share[c] for c in "abcdef") ** len(letters) if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else 1.0
+    q = min(1.0, max(1e-300, likely * often * inside))
+    return p_random, q * (1 - math.log(q))
+
+
+def test_battery_against_brute_force(spark):
+    rng = random.Random(17)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    tokens = [draw(e[2], n) for e in secret_scan.ENCODINGS for n in (20, 41)] + ["a" * 20, "aB3-" * 6, "internationalizations", "path/to/some/file_name_here", "B" * 30 + "7", "AbstractSingletonProxyFactoryBean"]
+    tokens = [t for t in tokens if not t.isdigit()]
+    out = {r.match: r for r in secret_scan._battery(spark.createDataFrame([(t,) for t in tokens], "match string")).collect()}
+    for t in tokens:
+        p_random, p_text = brute_battery(t)
+        assert out[t].p_random == pytest.approx(p_random, abs=1e-6) and out[t].p_text == pytest.approx(p_text, rel=1e-2, abs=1e-6), t
+
+
+def test_random_tokens_of_all_encodings_are_found(spark):
+    rng = random.Random(18)
+    words = ["release", "version", "station", "morning", "paper", "window", "address", "service", "controller", "manager", "internal", "between", "another", "response", "general", "section"]
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    join = lambda sep, cap: sep.join((w.capitalize() if cap else w) for w in rng.choices(words, k=7))
+    texts = [f"{join('', True)} {join('_', False)} {join('', False)} {join('', False).upper()} {join('/', True)}" for _ in range(100)]
+    for _, _, alphabet in secret_scan.ENCODINGS[1:-1]:
+        texts += [f"see {draw(alphabet, 28)} now" for _ in range(30)]
+    flags = {r.doc_id: r.n_random for r in secret_scan.secret_scan(table(spark, texts)).collect()}
+    assert sum(flags[i] for i in range(100)) <= 0.05 * sum(flags.values()) + 5
+    for e in range(len(secret_scan.ENCODINGS) - 2):
+        assert sum(flags[100 + 30 * e + i] > 0 for i in range(30)) >= 26, secret_scan.ENCODINGS[1 + e][0]
+
+
 # ---- op10
 def test_line_dedup(spark):
     rng = random.Random(11)
@@ -590,11 +722,136 @@ def test_pipeline_stages(spark, texts, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
-def test_extra_columns_with_clashing_names(spark, texts):
-    docs = table(spark, texts[:8]).selectExpr("*", "1 as key", "2 as start", "3 as node", "4 as row", "5 as score", "6 as n_lines", "7 as fp", "8 as `first`", "9 as hash")
+def test_pipeline_against_brute_force(spark, texts, tmp_path):
+    """Every stage on what its predecessor kept; the field's scores are held against enumeration above."""
+    rng = random.Random(71)
+    item = prose(rng, 40).replace("\n", " ")
+    passage = "\n".join(prose(rng, 15).replace("\n", " ") for _ in range(3))
+    every = [*texts, *(prose(rng, 80) + (" vile foul" if i % 4 == 0 else "") for i in range(60))]
+    every += [prose(rng, 90) + " " + item, item + " " + prose(rng, 900), passage + "\n" + prose(rng, 40), prose(rng, 30) + "\n" + passage, every[50], " ".join([*every[51].split(" ")[:-1], "zzz"])]
+    docs = table(spark, every)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i + len(texts), int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.doc_id, r.text): (r["size"], r.taken) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+    kept = [(i, t) for i, t in enumerate(every) if scores[i] < 0.5]
+    cut = brute_passages([t for _, t in kept])
+    kept = [(i, t) for (i, _), (t, n) in zip(kept, cut, strict=True) if n == 0 or n < len((t or "").split("\n")) + n and t != ""]
+    sets = [simhash_dedup.shingle_set(t, 5) for _, t in kept]
+
+    def alike(i, j):
+        a, b, both = len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j]))
+        return a == b == 0 or (a + b - both > 0 and both / (a + b - both) >= 0.8)
+
+    kept = [kept[i] for i in sorted(set(groups(len(kept), alike)))]
+    kept = [(i, t) for i, t in kept if not (lambda n, hit, _: hit > 0 and 20 * hit >= n)(*brute_hits(t, [(1, item)]))]
+    size = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in kept}
+    of = lambda i: f"s{i % 3}" if i % 7 else None
+    sources = sorted({of(i) for i, _ in kept}, key=lambda s: (s is None, s))
+    whole, left, free = {}, float(sum(size.values())), list(sources)
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sources)}
+    most = {s: 3 * sum(size[i] for i, _ in kept if of(i) == s) for s in sources}
+    while free:
+        fair = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if fair[s] > most[s]]
+        for s in over or free:
+            whole[s] = math.floor(most[s] if over else fair[s])
+            left -= most[s] if over else 0
+        free = [s for s in free if s in over and False or s not in whole]
+    total, block = sum(whole.values()), source_mix.BLOCK_TOKENS
+    points = -(-total // block)
+    bits = max(1, math.ceil(math.log2(points)))
+    places = [int(f"{i:0{bits}b}"[::-1], 2) for i in range(points)]
+    want, ahead = {}, 0
+    for s in sources:
+        low, high = (-(-(x << bits) // total) for x in (ahead, ahead + whole[s]))
+        take, at = min(max(1, sum(low <= p < high for p in places)) * block, whole[s]), 0
+        ahead += whole[s]
+        stream = sorted((hashlib.md5(f"0:{i}".encode()).hexdigest(), i, t) for i, t in kept if of(i) == s and size[i])
+        length = sum(size[i] for _, i, _ in stream)
+        for _, i, t in stream:
+            taken = take // length * size[i] + max(0, min(at + size[i], take % length) - at)
+            at += size[i]
+            if taken:
+                want[i, t] = (size[i], taken)
+    assert got == want
+
+
+CLASHES = ("key", "start", "node", "row", "score", "n_lines", "n_removed", "fp", "first", "hash", "_key", "_row", "_id", "_order", "_copy", "_in", "_text", "_doc", "_of", "_place", "whole", "kept", "good", "rank", "a.b", "spans")
+
+
+def test_extra_columns_with_clashing_names(spark, texts, tmp_path):
+    docs = table(spark, texts[:8]).selectExpr("*", *[f"doc_id * 100 + {n} as `{c}`" for n, c in enumerate(CLASHES)])
     benchmark = spark.createDataFrame([(1, texts[0], 5, 6)], "item_id long, text string, doc_id int, print int")
-    assert decontaminate.drop_contaminated(docs, benchmark).columns == docs.columns
-    assert simhash_dedup.similar_dedup(docs).columns == docs.columns
-    assert simhash_dedup.simhash_classes(docs).count() == 8 and source_mix.source_mix(docs).count() == 8 and secret_scan.secret_scan(docs).count() == 8
-    for out in (line_dedup.line_dedup(docs), substring_dedup.substring_dedup(docs), suffix_dedup.suffix_dedup(docs), toxicity.toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))):
-        assert out.count() == 8
+    labels = spark.createDataFrame([(1, 1, 1, 7), (2, 0, 0, 8)], "doc_id long, toxic int, quality int, good int")
+
+    def carried(out, replaced=()):
+        rows = out.collect()
+        assert all(c in out.columns for c in docs.columns)
+        for r in rows:
+            row = dict(zip(out.columns, r, strict=True))
+            assert all(row[c] == row["doc_id"] * 100 + n for n, c in enumerate(CLASHES) if c not in replaced)
+        return len(rows)
+
+    assert carried(decontaminate.drop_contaminated(docs, benchmark)) == 7
+    assert carried(simhash_dedup.similar_dedup(docs)) == 8
+    assert carried(toxicity.toxicity(docs, labels), ("score", "spans")) == 8
+    assert carried(line_dedup.line_dedup(docs), ("n_lines", "n_removed")) == carried(line_dedup.passage_dedup(docs), ("n_lines", "n_removed")) == 8
+    assert carried(substring_dedup.substring_dedup(docs), ("n_removed",)) == 8
+    assert carried(suffix_dedup.suffix_dedup(docs), ("n_removed", "spans")) == 8
+    assert carried(source_mix.source_mix(docs, keep=tuple(docs.columns)), ("size",)) == 8
+    assert simhash_dedup.simhash_classes(docs).count() == quality.importance_resample(docs, labels).count() == secret_scan.secret_scan(docs).count() == 8
+    assert decontaminate.contamination(docs, benchmark).count() == 8 and source_mix.mix_schedule(docs).count() > 0
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], 5, 6, 7) for i in range(5)], "vec_id long, embedding array<float>, row int, ints int, `a.b` int")
+    assert topk_search.exact_top_k(vectors, "vec_id = 1", 2).count() == 2
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        carried(out, ("size",) if name == "source_mix" else ())
+        assert name == "source_mix" or out.columns == docs.columns
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    rng = random.Random(51)
+    long = prose(rng, 30_000)
+    every = [long, long, long[:-40], "x" * 300_000, "y " * 60_000, ".\n" * 20_000, prose(rng, 50), prose(rng, 50), None, None]
+    ids = [1, 1, 1, 4, 5, 6, 7, 7, 8, 8]
+    docs = table(spark, every, ids)
+    labels = spark.createDataFrame([(1, 1, 1), (7, 0, 0)], "doc_id long, toxic int, quality int")
+    benchmark = spark.createDataFrame([(1, long[:2000])], "item_id long, text string")
+    n = len(every)
+    prints = {(r.doc_id, r.fingerprint) for r in simhash_dedup.simhash_classes(docs).collect()}
+    assert prints == {(i, f"{brute_fingerprint(t):016x}") for i, t in zip(ids, every, strict=True)}
+    assert sorted(r.doc_id for r in simhash_dedup.similar_dedup(docs).collect()) == [1, 4, 5, 6, 7, 7, 8]
+    got = sorted((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.contamination(docs, benchmark).collect())
+    assert [g[:2] for g in got] == sorted((i, len(words_of(t))) for i, t in zip(ids, every, strict=True)) and sum(g[2] > 0 for g in got) == 3
+    out = line_dedup.line_dedup(docs), substring_dedup.substring_dedup(docs), suffix_dedup.suffix_dedup(docs), toxicity.toxicity(docs, labels), quality.importance_resample(docs, labels), secret_scan.secret_scan(docs), toxicity.toxicity_scores(docs, labels)
+    assert [o.count() for o in out] == [n] * 7
+    passages = line_dedup.passage_dedup(docs).collect()
+    assert len(passages) == n and [r.text for r in passages if r.doc_id == 6] == [brute_passages([every[5]])[0][0]]
+    mixed = source_mix.source_mix(docs).collect()
+    assert len(mixed) == n and all(0 <= r.taken <= 3 * r["size"] for r in mixed) and sum(r.taken for r in mixed) > 0
+    again = source_mix.source_mix(docs.repartition(4)).collect()
+    assert sorted((r.doc_id, r["size"], r.taken) for r in mixed) == sorted((r.doc_id, r["size"], r.taken) for r in again)
+    vectors = spark.createDataFrame([(i, [float(v % 7) for v in range(500)]) for i in (1, 1, 2)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk_search.exact_top_k(vectors, "vec_id = 2").orderBy("rank").collect()] == [1, 1]
+
+
+def test_longest_factors_against_brute_force():
+    rng = np.random.default_rng(61)
+    for size, length in ((300, 16), (500, 40), (200, 100)):
+        text = np.repeat(rng.integers(97, 99, size), 1).astype(np.uint8)
+        text[size // 2 :] = text[: size - size // 2]
+        raw, starts = text.tobytes(), np.arange(size - length + 1)
+        group = (starts >= size // 4).astype(int)
+
+        def common(i, j):
+            return next((n for n in range(length) if raw[i + n] != raw[j + n]), length)
+
+        previous, following = suffix_dedup.longest_factors(suffix_dedup.suffix_ranks(text, length), starts, group)
+        for i in starts:
+            own = [j for j in starts if group[j] == group[i]]
+            for got, want in ((previous[i], max([common(i, j) for j in own if j < i], default=0)), (following[i], max([common(i, j) for j in own if j > i], default=0))):
+                assert (got == length) == (want == length) and got <= want and got >= want - want % 8 - (8 if want == length else 0), (i, got, want)
