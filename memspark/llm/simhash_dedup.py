@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.graph import connected_components
-from memspark.llm.common import cut, packed, text_key, unpacked
+from memspark.llm.common import bit_filter, cut, in_filter, packed, ranges, some_of, text_key, unpacked
 
 SHINGLE = 3
 RADIUS = 3
@@ -232,6 +232,8 @@ WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 SAMPLE_DOCS, FREQUENT = 5_000, 3
 #: Rows of one shingle that meet in a task, and documents that are held against one other in a task.
 MEETING, TEXTS = 2048, 256
+#: Bits of the filter that tells a second reading which hashes may repeat: 4 MB, whatever the input.
+FILTER_BITS = 25
 
 
 def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
@@ -261,14 +263,15 @@ def _prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np
 def _sized(shingle: int, similarity: float, frequent: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes, firsts = np.zeros(b.num_rows, np.uint64), [], []
+            prints, sizes, firsts, counts = np.zeros(b.num_rows, np.uint64), [], [], []
             for i, x in enumerate(b.column(2)):
                 distinct = shingle_set(x.as_py(), shingle)
                 prints[i] = _vote(_digests(distinct))  # once each, as similarity counts them
                 sizes.append(len(distinct))
+                counts.append(np.minimum(np.bincount(distinct >> np.uint64(56), minlength=256), 255).astype(np.uint8).tobytes())
                 firsts.append(_prefix(distinct, similarity, frequent).view(np.int64))
             firsts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64()), firsts], names=["doc_id", "key", "fp", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), firsts], names=["doc_id", "key", "fp", "size", "counts", "prefix"])
 
     return run
 
@@ -355,17 +358,57 @@ def _verify(similarity: float) -> Callable:
     return run
 
 
-def _similar_pairs(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose whole shingle sets are similar enough; ``sets`` gives (node, shingles) of nodes.
+def _repeated(sent) -> Callable:
+    """Rows of (node, size, prefix) in; the prefix's hashes that may occur in another document out, with their places."""
 
-    A document's partners come to it in units of bounded size, so each set travels once for every partner that is a
-    centre, and a centre once for every unit.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            lengths = np.diff(lists.offsets.to_numpy())
+            hashes, place = lists.flatten().to_numpy(), ranges(np.zeros(len(lengths), np.int64), lengths)
+            use = np.flatnonzero(in_filter(hashes.view(np.uint64), sent.value, FILTER_BITS))
+            take = pa.array(np.repeat(np.arange(b.num_rows), lengths)[use])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place[use]), pa.array(hashes[use])], names=["node", "size", "place", "hash"])
+
+    return run
+
+
+def _may_be_similar(similarity: float) -> Callable:
+    """Pairs with the sizes and counts of both in; those out whose counts allow the similarity: two sets share at most the
+    lesser count of every cell. A full cell (255 or more) tells nothing, and such pairs stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (3, 5))
+            least = np.minimum(one, two)
+            total = b.column(2).to_numpy() + b.column(4).to_numpy()
+            shared = least.sum(axis=1, dtype=np.int64)
+            use = pa.array((shared >= similarity * (total - shared) - 1e-6) | (least == 255).any(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(use), b.column(1).filter(use)], names=["src", "dst"])
+
+    return run
+
+
+def _similar_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose whole shingle sets are similar enough.
+
+    Counts of both sets rule most others out. A document's partners come to it in units of bounded size, so each set
+    travels once for every partner that is a centre, and a centre once for every unit.
     """
+    one, two = (known.select(F.col("node").alias(f"node{i}"), F.col("size").alias(f"size{i}"), F.col("counts").alias(f"counts{i}")) for i in (1, 2))
+    both = pairs.join(one, pairs["src"] == one["node1"]).join(two, F.col("dst") == two["node2"])
+    pairs = cut(both.select("src", "dst", "size1", "counts1", "size2", "counts2").mapInArrow(_may_be_similar(similarity), "src long, dst long"))
     held = pairs.groupBy("dst").agg(F.ceil(F.count("*") / TEXTS).alias("parts"))
     units = pairs.join(held, "dst").withColumn("unit", F.xxhash64("dst", F.pmod(F.xxhash64("src", F.lit(5)), F.col("parts"))))
-    rows = units.select("unit", F.lit(1).alias("place"), F.col("src").alias("node")).union(units.select("unit", F.lit(0), "dst").distinct())
-    rows = cut(rows)
-    whole = rows.join(sets(rows.select("node").distinct()).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    rows = cut(units.select("unit", F.lit(1).alias("place"), F.col("src").alias("node")).union(units.select("unit", F.lit(0), "dst").distinct()))
+    wanted = rows.select("node").distinct().join(known.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_of"))
+    wanted = cut(wanted)
+    whole = some_of(texts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "text"), wanted)[0]
+    found = whole.join(wanted, whole["_id"].eqNullSafe(wanted["_doc"]) & (whole["_key"] == wanted["_of"]))
+    sets = found.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary").withColumnRenamed("node", "_node")
+    whole = rows.join(sets, F.col("node") == F.col("_node"))
     whole = whole.select("unit", "place", "node", "shingles").repartition("unit").sortWithinPartitions("unit", "place")
     return whole.mapInArrow(_verify(similarity), "src long, dst long")
 
@@ -381,36 +424,31 @@ def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: fl
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_key("text").alias("key"), F.col("text").cast("string").alias("text"))
-    base = cut(texts.mapInArrow(_sized(shingle, similarity, _frequent(texts, shingle)), f"doc_id {kind}, key long, fp long, size long, prefix array<long>"))
-    node = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key")).alias("node")
-    known = cut(base.groupBy(node).agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("prefix").alias("prefix")))
-    worded = known.filter("size > 0")
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.join(known.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"))
-        found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["key"] == wanted["_key"]))
-        return found.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
-
-    sized = worded.select("node", F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity)).alias("kind"), "fp")
-    near = cut(fingerprint_links(sized, radius, bands=RADIUS + 1, spanning=False).distinct())
-    links = cut(_similar_pairs(near, sets, similarity))
-    nodes = cut(connected_components(links))
+    sized = texts.mapInArrow(_sized(shingle, similarity, _frequent(texts, shingle)), f"doc_id {kind}, key long, fp long, size long, counts binary, prefix array<long>")
+    base = cut(sized.withColumn("node", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key"))))
+    known = cut(base.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("counts").alias("counts")))
+    worded = known.filter("size > 0").select("node", F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity)).alias("kind"), "fp")
+    near = cut(fingerprint_links(worded, radius, bands=RADIUS + 1, spanning=False).distinct())
+    nodes = cut(connected_components(_similar_pairs(near, known, texts, shingle, similarity)))
     # what the tiles miss: pairs of different classes that share one of their first shingles
+    firsts = base.filter("size > 0")
+    twice = cut(firsts.select(F.explode("prefix").alias("h1")).groupBy("h1").count().filter("count > 1").select("h1"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(twice, FILTER_BITS))
+    shared = firsts.select("node", "size", "prefix").mapInArrow(_repeated(sent), "node long, size long, place long, hash long").distinct()
     part = nodes.select(F.col("node").alias("_node"), "root")
-    firsts = worded.join(part, worded["node"] == part["_node"], "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.posexplode("prefix").alias("place", "hash"))
-    spread = firsts.groupBy("hash").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    shared = cut(shared.join(part, shared["node"] == part["_node"], "left").select("node", "size", "place", "hash", F.coalesce("root", "node").alias("part")))
+    spread = shared.groupBy("hash").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).filter("least <> most")
     spread = cut(spread.select(F.col("hash").alias("_hash"), F.ceil(F.col("n") / MEETING).alias("tiles")))
-    shared = firsts.join(spread, firsts["hash"] == spread["_hash"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(19)), F.col("tiles")))
+    met = shared.join(spread, shared["hash"] == spread["_hash"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(19)), F.col("tiles")))
     tiled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.xxhash64("hash", F.least(x, F.col("chunk")), F.greatest(x, F.col("chunk"))))
-    dealt = shared.select(F.explode(tiled).alias("unit"), "size", F.col("place").cast("long").alias("place"), "part", "node").repartition("unit").sortWithinPartitions("unit")
+    dealt = met.select(F.explode(tiled).alias("unit"), "size", "place", "part", "node").repartition("unit").sortWithinPartitions("unit")
     apart = cut(dealt.mapInArrow(_sharing(similarity), "a long, b long").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    far = _similar_pairs(apart, sets, similarity)
+    far = _similar_pairs(apart, known, texts, shingle, similarity)
     nodes = connected_components(far.union(nodes.filter("node <> root").selectExpr("node as src", "root as dst"))).withColumnRenamed("node", "_node")
     out = known.join(nodes, known["node"] == nodes["_node"], "left").select("node", "first", F.coalesce("root", "node").alias("component"))
     least = out.groupBy("component").agg(F.min("first").alias("least"))
     kept = out.join(least, "component").select("node", "component", "least")
-    base = base.select("doc_id", "key", node)
-    return base.join(kept, "node").select("doc_id", "key", "component", (F.struct("doc_id", "key") == F.col("least")).alias("least"))
+    return base.select("doc_id", "key", "node").join(kept, "node").select("doc_id", "key", "component", (F.struct("doc_id", "key") == F.col("least")).alias("least"))
 
 
 def similar_dedup(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -418,8 +456,10 @@ def similar_dedup(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: floa
 
     Of rows that repeat a doc_id with the same text one stays; of texts without words, null ones among them, one stays.
     """
-    kept = similar_classes(docs, shingle, similarity).filter("least").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).distinct()
-    whole = packed(docs)
-    out = whole.join(kept, whole["_id"].eqNullSafe(kept["_doc"]) & (whole["_key"] == kept["_of"]), "left_semi")
+    classes = similar_classes(docs, shingle, similarity).groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of"))
+    judged = cut(classes.agg(F.max("least").alias("_least"), F.count("*").alias("_n")).filter("not _least or _n > 1"))
+    touched, others = some_of(packed(docs), judged)
+    out = touched.join(judged, touched["_id"].eqNullSafe(judged["_doc"]) & (touched["_key"] == judged["_of"]), "left").filter("coalesce(_least, true)")
     number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return out.withColumn("_copy", number).filter("_copy = 1").select(*unpacked(docs, {}))
+    out = out.withColumn("_copy", number).filter("_copy = 1")
+    return out.select(*unpacked(docs, {})).union(others.select(*unpacked(docs, {})))
