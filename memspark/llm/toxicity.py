@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from memspark.llm.common import NOT_ALNUM, fold_table, packed, pieces, prefix_hash, range_hash, ranges, text_key, unpacked, word_bounds
 
@@ -205,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Field:
     return fit(words, first, np.array([table.column(0)[i].as_py() for i in order], float), share)
 
 
-def _tag(model) -> Callable:
+def _tag(model, keep_text: bool) -> Callable:
+    """Rows of (row, text) in; row, the text if it is to be kept, score and spans out."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,8 @@ def _tag(model) -> Callable:
                     else:
                         own.append(piece)
             spans = [[{k: v for k, v in s.items() if k != "_last"} for s in own] for own in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(spans, spans_type)], names=["row", "score", "spans"])
+            kept = {"text": b.column(1)} if keep_text else {}
+            yield pa.RecordBatch.from_pydict({"row": b.column(0), **kept, "score": pa.array(scores), "spans": pa.array(spans, spans_type)})
 
     return run
 
@@ -238,11 +240,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, field: Field | None = None) ->
     equal scores. Without labels of a class the score is the share of the other one's. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(field or train(docs, labels))
-    base = packed(docs).select("_in", "_text")
+    others = [F.col(f"_in.`{c}`").alias(c) for c in docs.columns if c != "text"]  # the text goes alone, not twice
+    base = packed(docs).select(F.struct(*others).alias("row"), "_text")
     span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("marginal", DoubleType())])
-    kinds = {"_in": base.schema["_in"].dataType, "score": DoubleType(), "spans": ArrayType(span)}
-    out = base.mapInArrow(_tag(model), StructType([StructField(c, t) for c, t in kinds.items()]))
-    return out.select(*unpacked(docs, {"score": F.col("score"), "spans": F.col("spans")}))
+    kinds = {"row": base.schema["row"].dataType, "text": StringType(), "score": DoubleType(), "spans": ArrayType(span)}
+    out = base.mapInArrow(_tag(model, True), StructType([StructField(c, t) for c, t in kinds.items()]))
+    return out.withColumnRenamed("row", "_in").select(*unpacked(docs, {c: F.col(c) for c in ("text", "score", "spans")}))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -250,6 +253,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = base.select("doc_id", F.col("text").cast("string")).mapInArrow(_tag(model), f"doc_id {kind}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
+    out = base.select("doc_id", F.col("text").cast("string")).mapInArrow(_tag(model, False), f"row {kind}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return out.withColumnRenamed("row", "doc_id").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
