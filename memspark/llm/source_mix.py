@@ -17,7 +17,7 @@ from memspark.llm.common import cut, text_key
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-BLOCK_TOKENS = 32
+BLOCK_TOKENS = 64
 _SLOTS_AT_ONCE = 4096
 #: Blocks of a stream's cells, by which documents and slots meet.
 _BLOCKS_IN_CELL = 4
