@@ -6,17 +6,32 @@ documents' lengths; ids are ranked on these narrow tables first and wide content
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors of a block that meet the queries in one task.
+VECTORS = 8192
 K1, B = 1.2, 0.75
 RRF_K = 60
 COSINE_FLOOR = 0.45
 ENTITY_BASE, PIN_BOOST, STALE_FACTOR = 0.8, 1.5, 0.3
 
 
+def _fold_table() -> tuple[str, str]:
+    """Accented Latin letters and the plain letters under them, by Unicode's decompositions."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs = [(a, z) for a, z in pairs if a != z and z.isascii() and a.lower() == a]
+    return "".join(a for a, _ in pairs), "".join(z for _, z in pairs)
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of letters and digits of any script, lower-cased and without accents: the one rule for index and queries."""
+    return F.filter(F.split(F.translate(F.lower(text), *_fold_table()), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_tokens(text: Column, min_len: int = 1, max_tokens: int | None = None, split_compounds: bool = True) -> Column:
@@ -27,20 +42,53 @@ def query_tokens(text: Column, min_len: int = 1, max_tokens: int | None = None,
     return F.slice(kept, 1, max_tokens) if max_tokens else kept
 
 
-def build_index(df: DataFrame, key: str, fields: list[str], stem=None) -> DataFrame:
-    """Postings (term, key, tf, dl) of the fields; ``stem``: a function of a column of terms, applied to distinct terms."""
-    words = df.select(key, F.explode(F.concat(*[tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])).alias("term"))
-    counted = words.groupBy("term", key).agg(F.count("*").alias("tf"))
-    if stem is not None:
-        terms = counted.select("term").distinct().withColumn("stem", stem(F.col("term")))
-        counted = counted.join(terms, "term").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"))
-    lengths = counted.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return counted.join(lengths, key)
+def _counted(found: Column) -> Column:
+    """Array of (term, tf, dl, lead) of an array of tokens, counted within the row; the first of them leads."""
+    ordered = F.array_sort(found)
+    begins = lambda t: F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), i + 1)), lambda i: i.isNotNull())
 
+    def of(at: Column) -> Column:
+        edges = F.concat(at["begins"], F.array(F.size(at["t"]) + 1))
+        return F.transform(at["begins"], lambda x, i: F.struct(F.get(at["t"], x - 1).alias("term"), (F.get(edges, i + 1) - x).cast("long").alias("tf"), F.size(at["t"]).cast("long").alias("dl"), (i == 0).alias("lead")))
 
-def query_terms(queries: DataFrame, text: str, **options) -> DataFrame:
-    """Rows (query_id, term) of a table of queries."""
-    return queries.select("query_id", F.explode(query_tokens(F.col(text), **options)).alias("term"))
+    whole = F.transform(F.array(ordered), lambda t: F.struct(t.alias("t"), begins(t).alias("begins")))
+    return F.element_at(F.transform(whole, of), 1)
+
+
+def build_index(df: DataFrame, key: str, fields: list[str], stem=None) -> DataFrame:
+    """Postings (term, key, tf, dl, lead) of the fields; ``stem``: a function of a column of terms, applied to distinct terms.
+
+    Terms are counted within their row, so nothing is shuffled. ``dl`` is the row's number of tokens; ``lead`` is true for
+    one posting of every row, so that statistics of rows need no distinct.
+    """
+    words = F.concat(*[tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
+    counted = df.select(key, F.explode(_counted(words)).alias("p")).select("p.term", key, "p.tf", "p.dl", "p.lead")
+    if stem is None:
+        return counted
+    stems = counted.select("term").distinct().withColumn("stem", stem(F.col("term")))
+    return counted.join(stems, "term").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"), F.max("lead").alias("lead"))
+
+
+def query_terms(queries: DataFrame, text: str, stem=None, **options) -> DataFrame:
+    """Rows (query_id, term) of a table of queries: the index's tokens of the query's tokens, stemmed as the index is."""
+    terms = queries.select("query_id", F.explode(query_tokens(F.col(text), **options)).alias("word"))
+    terms = terms.select("query_id", F.explode(tokens(F.col("word"))).alias("term"))
+    return (terms if stem is None else terms.withColumn("term", stem(F.col("term")))).distinct()
+
+
+def within(hits: DataFrame, scope: DataFrame | None, columns: tuple[str, ...] = ("project_id", "session_id", "type")) -> DataFrame:
+    """Hits that their query may see: ``scope`` has query_id and any of ``columns``; a null there is no limit, and a query may
+    have several rows. Without a scope, or for queries that it does not name, all are seen."""
+    if scope is None:
+        return hits
+    of = [c for c in columns if c in scope.columns]
+    limits = scope.select(F.col("query_id").alias("_query"), *[F.col(c).alias(f"_{c}") for c in of])
+    named = limits.select("_query").distinct()
+    free = hits.join(named, hits["query_id"] == named["_query"], "left_anti")
+    fits = hits["query_id"] == limits["_query"]
+    for c in of:
+        fits = fits & (limits[f"_{c}"].isNull() | (limits[f"_{c}"] == hits[c]))
+    return hits.join(limits, fits, "left_semi").unionByName(free)
 
 
 def _all_or_any(hits: DataFrame, terms: DataFrame) -> DataFrame:
@@ -60,7 +108,7 @@ def bm25(postings: DataFrame, terms: DataFrame, key: str, n_docs: int | None = N
 
     The document frequency is taken for the queries' terms only, so the postings are read once and shuffled once.
     """
-    stats = postings.select(key, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = postings.filter("lead").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     if n_docs is not None:
         stats = stats.withColumn("n", F.lit(n_docs))
     wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
@@ -85,19 +133,26 @@ def visible(entities: DataFrame, include_archived: bool = False) -> DataFrame:
     return entities if include_archived else entities.filter("not archived")
 
 
-def rank_entities(postings: DataFrame, entities: DataFrame, terms: DataFrame, k: int, include_archived: bool = False) -> DataFrame:
-    """The k best entities of each query among those that match, by BM25, ties to the newer one, then to the smaller id."""
-    scores = _all_or_any(bm25(postings, terms, "id"), terms)
-    seen = scores.join(visible(entities, include_archived).select("id", "type", "project_id", "pinned", "stale", "updated_s", "archived"), "id")
-    return top_k(seen, ["query_id"], [F.col("bm25").desc(), F.col("updated_s").desc(), "id"], k)
+def rank_entities(postings: DataFrame, entities: DataFrame, terms: DataFrame, k: int, include_archived: bool = False, scope: DataFrame | None = None, types: list[str] | None = None, stale: bool | None = None) -> DataFrame:
+    """The k best entities of each query among those that match, by BM25, ties to the newer one, then to the smaller id.
+
+    What a query may not see (archived ones, other projects and types of its ``scope``, stale ones) is left out before it is
+    settled whether any entity holds all of its terms.
+    """
+    able = visible(entities, include_archived)
+    able = able.filter(F.col("type").isin(types)) if types else able
+    able = able if stale is None else able.filter(F.col("stale") == stale)
+    seen = bm25(postings, terms, "id").join(able.select("id", "type", "project_id", *[c for c in ("session_id",) if c in able.columns], "pinned", "stale", "updated_s", "archived"), "id")
+    return top_k(_all_or_any(within(seen, scope), terms), ["query_id"], [F.col("bm25").desc(), F.col("updated_s").desc(), "id"], k)
 
 
-def rank_events(postings: DataFrame, events: DataFrame, terms: DataFrame, k: int, now: int, types: list[str] | None = None) -> DataFrame:
-    """The k best events of each query; the score that is shown is their recency. Types are filtered before the cut."""
-    scores = _all_or_any(bm25(postings, terms, "event_id"), terms)
-    seen = scores.join(events.select("event_id", "type", "ts_s"), "event_id")
-    seen = seen.filter(F.col("type").isin(types)) if types else seen
-    return top_k(seen, ["query_id"], [F.col("bm25").desc(), F.col("ts_s").desc(), "event_id"], k).withColumn("score", F.round(recency(F.col("ts_s"), now), 6))
+def rank_events(postings: DataFrame, events: DataFrame, terms: DataFrame, k: int, now: int, types: list[str] | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """The k best events of each query; the score that is shown is their recency. Types and the scope's projects and
+    sessions are filtered before it is settled whether any event holds all terms."""
+    able = events.filter(F.col("type").isin(types)) if types else events
+    seen = bm25(postings, terms, "event_id").join(able.select("event_id", "type", "ts_s", *[c for c in ("project_id", "session_id") if c in able.columns]), "event_id")
+    best = top_k(_all_or_any(within(seen, scope), terms), ["query_id"], [F.col("bm25").desc(), F.col("ts_s").desc(), "event_id"], k)
+    return best.withColumn("score", F.round(recency(F.col("ts_s"), now), 6))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -110,20 +165,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def vector_rank(vectors: DataFrame, queries: DataFrame, k: int, floor: float = COSINE_FLOOR, blocks: int = 16) -> DataFrame:
+def vector_rank(vectors: DataFrame, queries: DataFrame, k: int, floor: float = COSINE_FLOOR, blocks: int | None = None, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, entity_id, similarity, rank): the k most similar vectors of the same model and dimension, no cap on candidates.
 
-    Norms are taken once for each vector; queries are dealt to the candidates' blocks by an equi-join.
+    Norms are taken once for each vector. Candidates are cut into blocks of bounded size, so that the blocks grow with their
+    number; queries are dealt to the blocks, and a block's cosines are one matrix product, of which each query keeps its k
+    best. With a ``scope`` (query_id, project_id) vectors need project_id, and only those of the query's projects count.
     """
-    with_norm = lambda df, v: df.withColumn("norm", F.sqrt(dot(F.col(v), F.col(v)))).filter("norm > 0")
-    base = with_norm(vectors.select("entity_id", "model", "dim", "vector"), "vector").withColumn("block", F.pmod(F.xxhash64("entity_id"), F.lit(blocks)))
-    asked = with_norm(queries, "query_vector").withColumnRenamed("norm", "query_norm").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = base.join(asked, ["model", "dim", "block"]).filter("entity_id <> query_id")
-    similarity = F.round(dot(F.col("vector"), F.col("query_vector")) / (F.col("norm") * F.col("query_norm")), 6)
-    near = pairs.select("query_id", "entity_id", similarity.alias("similarity")).filter(F.col("similarity") >= floor)
+    base = vectors.select("entity_id", "model", "dim", "vector", *([F.col("project_id").alias("seat")] if scope is not None else [F.lit(0).alias("seat")]))
+    asked = queries.select("query_id", "model", "dim", "query_vector")
+    if scope is not None:
+        asked = asked.join(scope.select("query_id", F.col("project_id").alias("seat")), "query_id")
+    else:
+        asked = asked.withColumn("seat", F.lit(0))
+    blocks = blocks or max(1, -(-base.count() // VECTORS))
+    base = base.withColumn("block", F.pmod(F.xxhash64("entity_id"), F.lit(blocks)))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    keys = ["model", "dim", "seat", "block"]
+    near = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_cosines(k, floor), "query_id long, entity_id long, similarity double")
     return top_k(near, ["query_id"], [F.col("similarity").desc(), "entity_id"], k)
 
 
+def _cosines(k: int, floor: float) -> Callable:
+    """The k most similar candidates of every query in a block, and those that share the last one's similarity."""
+
+    def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if candidates.num_rows and queries.num_rows:
+            (x, ids), (q, names) = ((np.array([v.as_py() for v in t.column(v_)], np.float64), t.column(i_).to_numpy()) for t, v_, i_ in ((candidates, "vector", "entity_id"), (queries, "query_vector", "query_id")))
+            wide, long = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+            x, ids, wide = x[wide > 0], ids[wide > 0], wide[wide > 0]
+            for a in range(0, len(q), 256):
+                some, own = names[a : a + 256], long[a : a + 256]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = np.round((q[a : a + 256] @ x.T) / (own[:, None] * wide[None, :]), 6)
+                near[(own == 0)[:, None] | (some[:, None] == ids[None, :]) | ~(near >= floor)] = -np.inf
+                edge = np.partition(near, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))] if len(ids) else np.zeros(len(some))
+                i, j = np.nonzero((near >= edge[:, None]) & (near > -np.inf))
+                found.append((some[i], ids[j], near[i, j]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "entity_id": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], pa.float64())})
+
+    return run
+
+
 def rrf(rankings: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, key, rank from 1): ranks count from 0; the best fused score becomes 1."""
     every = rankings[0].select("query_id", key, "rank")
@@ -139,16 +224,17 @@ def entity_score(relevance: Column | None, updated_s: Column, pinned: Column, st
     return F.round(ENTITY_BASE * base * F.when(pinned, PIN_BOOST).otherwise(1.0) * F.when(stale, STALE_FACTOR).otherwise(1.0), 6)
 
 
-def search(events: DataFrame, event_index: DataFrame, entities: DataFrame, entity_index: DataFrame, terms: DataFrame, k: int, now: int, vector_hits: DataFrame | None = None, include_archived: bool = False) -> DataFrame:
+def search(events: DataFrame, event_index: DataFrame, entities: DataFrame, entity_index: DataFrame, terms: DataFrame, k: int, now: int, vector_hits: DataFrame | None = None, include_archived: bool = False, scope: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
     """Events and entities of every query in one list: query_id, kind, id, type, score, rank.
 
-    Mode hybrid fuses the lexical ranking with ``vector_hits`` (query_id, id, rank); without them it is lexical.
+    Mode hybrid fuses the lexical ranking with ``vector_hits`` (query_id, id, rank); without them it is lexical. ``scope`` and
+    ``types`` (of entities) limit what a query sees.
     """
-    lexical = rank_entities(entity_index, entities, terms, k, include_archived)
+    lexical = rank_entities(entity_index, entities, terms, k, include_archived, scope, types)
     fused = rrf([lexical.select("query_id", "id", "rank"), *([vector_hits.select("query_id", "id", "rank")] if vector_hits is not None else [])], "id")
     shown = fused.join(visible(entities, include_archived).select("id", "type", "pinned", "stale", "updated_s"), "id")
     shown = shown.select("query_id", F.lit("entity").alias("kind"), "id", "type", entity_score(F.col("relevance"), F.col("updated_s"), F.col("pinned"), F.col("stale"), now).alias("score"))
-    seen = rank_events(event_index, events, terms, k, now).select("query_id", F.lit("event").alias("kind"), F.col("event_id").alias("id"), "type", "score")
+    seen = rank_events(event_index, events, terms, k, now, scope=scope).select("query_id", F.lit("event").alias("kind"), F.col("event_id").alias("id"), "type", "score")
     return top_k(shown.unionByName(seen), ["query_id"], [F.col("score").desc(), "kind", "id"], k)
 
 

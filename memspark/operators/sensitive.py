@@ -6,6 +6,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,15 @@ CONTEXT_WORDS = ("key", "token", "secret", "password", "passwd", "api_key", "api
 CATEGORIES = ("secret", "credential", "financial", "pii")
 TOKEN, LEAST_TOKEN, LEAST_ENTROPY, BEFORE = r"[A-Za-z0-9_\-+/=.]{20,}", 20, 4.5, 50
 
+# What a text must hold for a pattern to match, tested by plain search before any pattern runs: (literals, in any case).
+NEEDS = {
+    "aws_access_key": (("AKIA",), False), "aws_secret_key": (("aws_secret",), True), "github_token": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), False),
+    "github_pat": (("github_pat_",), False), "gitlab_token": (("glpat-",), False), "openai_key": (("sk-",), False), "anthropic_key": (("sk-ant-",), False),
+    "stripe_key": (("_test_", "_live_"), False), "sendgrid_key": (("SG.",), False), "private_key": (("-----BEGIN ",), False), "jwt": (("eyJ",), False),
+    "bearer_token": (("bearer", "token"), True), "basic_auth": (("basic",), True), "db_connection": (("://",), False), "url_with_creds": (("://",), False),
+    "email": (("@",), False),
+}
+
 SPANS = "array<struct<start:int,end:int,category:string,detector:string,pattern:string,value:string,confidence:double>>"
 
 
@@ -46,34 +57,64 @@ def entropy(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) if n else 0.0
 
 
+def check_digit(number: str) -> bool:
+    """Whether the last digit fits the others: every second one from the right doubled, sums divisible by ten."""
+    doubled = [2 * int(d) if i % 2 else int(d) for i, d in enumerate(reversed(number))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
+def may_hold(text: str, pattern: str) -> Column:
+    """Whether a text has what the named pattern needs; true for patterns without a known need."""
+    literals, any_case = NEEDS.get(pattern, ((), False))
+    where = F.lower(F.col(text)) if any_case else F.col(text)
+    return reduce(or_, [F.contains(where, F.lit(x)) for x in literals]) if literals else F.lit(True)
+
+
 def detections(text: str | None, patterns: Iterable[tuple], allowed: frozenset) -> list[dict]:
     """Spans of one text: one for each exact range, the first pattern wins; then random tokens after a telling word."""
     found: dict[tuple[int, int], dict] = {}
     for name, expression, category in patterns:
         for m in expression.finditer(text or ""):
-            if m[0] not in allowed:
-                found.setdefault(m.span(), {"category": category, "detector": "pattern", "pattern": name, "value": m[0], "confidence": 1.0})
+            if m[0] not in allowed and m.span() not in found:
+                fits = name != "credit_card" or check_digit(m[0])  # a number that fails claims its place all the same
+                found[m.span()] = {"category": category, "detector": "pattern", "pattern": name, "value": m[0], "confidence": 1.0} if fits else {}
     for m in re.finditer(TOKEN, text or "") if any(c == "secret" for _, _, c in patterns) else ():
         near = text[max(0, m.start() - BEFORE) : m.start()].lower()
         if m.span() not in found and m[0] not in allowed and entropy(m[0]) >= LEAST_ENTROPY and any(w in near for w in CONTEXT_WORDS):
             found[m.span()] = {"category": "secret", "detector": "entropy", "pattern": None, "value": m[0], "confidence": 0.8}
-    return [{"start": a, "end": z, **rest} for (a, z), rest in found.items()]
+    return [{"start": a, "end": z, **rest} for (a, z), rest in found.items() if rest]
 
 
 def scan_sensitive(df: DataFrame, text: str, patterns: tuple = PATTERNS, categories: tuple = CATEGORIES, allowlist: tuple = ALLOWLIST) -> DataFrame:
-    """``df`` with spans: what the patterns of the categories and the entropy rule find in the text."""
+    """``df`` with spans: what the patterns of the categories and the entropy rule find in the text.
+
+    Card numbers must pass the check digit. Texts that lack what every pattern needs are not sent to the scanner at all.
+    """
     chosen = [(n, p, c) for n, p, c in patterns if c in categories]
+    needs = [may_hold(text, n) if n in NEEDS else F.col(text).rlike(p) for n, p, c in chosen]
+    if any(c == "secret" for _, _, c in chosen):
+        words = [w for w in CONTEXT_WORDS if not any(o != w and o in w for o in CONTEXT_WORDS)]
+        needs.append(reduce(or_, [F.contains(F.lower(F.col(text)), F.lit(w)) for w in words]) & F.col(text).rlike(TOKEN))
 
     def run(texts: pd.Series) -> pd.Series:
         ready, allowed = [(n, re.compile(p), c) for n, p, c in chosen], frozenset(allowlist)
         return pd.Series([detections(t, ready, allowed) for t in texts])
 
-    return df.withColumn("spans", F.pandas_udf(run, SPANS)(F.col(text)))
+    return df.withColumn("spans", F.pandas_udf(run, SPANS)(F.when(reduce(or_, needs, F.lit(False)), F.col(text))))
 
 
 def pattern_counts(df: DataFrame, key: str, text: str, patterns: tuple = PATTERNS) -> DataFrame:
-    """(key, pattern, category, n) of patterns that occur, without offsets: built-in expressions only."""
-    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.lit(c).alias("category"), F.regexp_count(text, F.lit(p)).cast("long").alias("n")) for n, p, c in patterns])
+    """(key, pattern, category, n) of patterns that occur, without offsets: built-in expressions only.
+
+    A pattern runs only on texts that hold a literal it needs; card numbers must pass the check digit.
+    """
+
+    def times(name: str, expression: str) -> Column:
+        if name == "credit_card":
+            return F.size(F.filter(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), lambda x: F.call_function("luhn_check", x)))
+        return F.regexp_count(text, F.lit(expression))
+
+    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.lit(c).alias("category"), F.when(may_hold(text, n), times(n, p)).otherwise(0).cast("long").alias("n")) for n, p, c in patterns])
     return df.select(key, F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("x")).select(key, "x.pattern", "x.category", "x.n")
 
 
@@ -98,10 +139,11 @@ def merge_spans(spans: str = "spans") -> Column:
     return F.aggregate(order, F.filter(spans, lambda x: F.lit(False)), step)
 
 
-def redact(df: DataFrame, text: str, key: str, spans: str = "spans") -> DataFrame:
-    """``df`` with overlapping spans merged and each replaced by a mark of its category and vault id, which is a hash of
-    row and place; from right to left, so places stay right."""
-    merged = F.transform(merge_spans(spans), lambda s: s.withField("vault_id", F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), s["start"].cast("string"), s["value"]), 256), 1, 16)))
+def redact(df: DataFrame, text: str, key: str, secret: str, spans: str = "spans") -> DataFrame:
+    """``df`` with overlapping spans merged and each replaced by a mark of its category and vault id; from right to left,
+    so places stay right. The id is a hash of row and place under the vault's ``secret``: the value is no part of it."""
+    keyed = lambda c: F.sha2(F.concat(F.lit(secret), F.sha2(F.concat_ws(":", F.lit(secret), c), 256)), 256)
+    merged = F.transform(merge_spans(spans), lambda s: s.withField("vault_id", F.substring(keyed(F.concat_ws(":", F.col(key).cast("string"), s["start"].cast("string"))), 1, 16)))
     out = df.withColumn(spans, merged)
     mark = lambda s: F.concat(F.lit("[REDACTED:"), s["category"], F.lit(":"), s["vault_id"], F.lit("]"))
     swap = lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), mark(s), F.substring(acc, s["end"] + 1, F.length(acc)))

@@ -21,10 +21,15 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
 
 # ---- sensitive data
+_LUHN = """list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 1
+  THEN CASE WHEN CAST(digits[i] AS INTEGER) * 2 > 9 THEN CAST(digits[i] AS INTEGER) * 2 - 9 ELSE CAST(digits[i] AS INTEGER) * 2 END ELSE CAST(digits[i] AS INTEGER) END)) % 10 = 0"""
 _COUNTS = " UNION ALL ".join(
-    f"SELECT id, '{n}' AS pattern, '{c}' AS category, CAST(len(regexp_extract_all(content, '{p}')) AS BIGINT) AS n FROM mem_entities" for n, p, c in sensitive.PATTERNS
+    f"SELECT id, '{n}' AS pattern, '{c}' AS category, CAST(len(regexp_extract_all(content, '{p}')) AS BIGINT) AS n FROM mem_entities" for n, p, c in sensitive.PATTERNS if n != "credit_card"
 )
 
+_CARDS = next(p for n, p, _ in sensitive.PATTERNS if n == "credit_card")
+_COUNTS += f" UNION ALL SELECT id, 'credit_card', 'financial', CAST(len(list_filter(regexp_extract_all(content, '{_CARDS}'), lambda digits: {_LUHN})) AS BIGINT) FROM mem_entities"
+
 
 @query("c1_pattern_counts", f"SELECT * FROM ({_COUNTS}) WHERE n > 0")
 def _(b):
@@ -37,10 +42,6 @@ def _(b):
     return out.select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.end", "s.category", "s.detector", "s.pattern", "s.value")
 
 
-_LUHN = """list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 1
-  THEN CASE WHEN CAST(digits[i] AS INTEGER) * 2 > 9 THEN CAST(digits[i] AS INTEGER) * 2 - 9 ELSE CAST(digits[i] AS INTEGER) * 2 END ELSE CAST(digits[i] AS INTEGER) END)) % 10 = 0"""
-
-
 @query("c2_card_numbers", f"""
 r AS (SELECT id, unnest(regexp_extract_all(content, '\\d{{13,19}}')) AS digits FROM mem_entities)
 SELECT id, count(*) AS cards, count(*) FILTER ({_LUHN}) AS valid FROM r GROUP BY id""")
@@ -58,7 +59,7 @@ def _(b):
 
 @query("c5_redact")
 def _(b):
-    out = sensitive.redact(sensitive.scan_sensitive(b.entities.select("id", "content"), "content"), "content", "id")
+    out = sensitive.redact(sensitive.scan_sensitive(b.entities.select("id", "content"), "content"), "content", "id", "0123456789abcdef")
     return out.filter(F.size("spans") > 0).select("id", "redacted", F.size("spans").alias("n_spans"))
 
 
@@ -73,13 +74,13 @@ def _(b):
 
 @query("c7_vault_rows")
 def _(b):
-    out = sensitive.redact(sensitive.scan_sensitive(b.entities.select("id", "content"), "content"), "content", "id")
+    out = sensitive.redact(sensitive.scan_sensitive(b.entities.select("id", "content"), "content"), "content", "id", "0123456789abcdef")
     return sensitive.vault_rows(out, "id", "0123456789abcdef").select("vault_id", "id", "category", "detector", "pattern", "false_positive")
 
 
 @query("c8_restore_false_positives", "SELECT id, content FROM mem_entities")
 def _(b):
-    out = sensitive.redact(sensitive.scan_sensitive(b.entities.select("id", "content"), "content"), "content", "id")
+    out = sensitive.redact(sensitive.scan_sensitive(b.entities.select("id", "content"), "content"), "content", "id", "0123456789abcdef")
     vault = sensitive.vault_rows(out, "id", "0123456789abcdef")
     return sensitive.restore_false_positives(out.select("id", F.col("redacted").alias("content")), vault, vault.select("vault_id"), "id", "content", "0123456789abcdef")[0]
 

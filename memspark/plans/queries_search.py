@@ -29,12 +29,13 @@ def terms(b):
     return search.query_terms(asked(b), "text", min_len=5, max_tokens=4)
 
 
-_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\\pL\\pN]+'), lambda t: t <> '')"
 _WORDS = "list_filter(regexp_split_to_array(lower(substr(text, 1, 160)), '[^\\pL\\pN_]+'), lambda t: length(t) >= 5)"
 TERMS = f"""
 asked AS (SELECT item_id AS query_id, {_WORDS} AS w FROM benchmark),
 ordered AS (SELECT query_id, t AS term, min(i) AS i FROM (SELECT query_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM asked) GROUP BY ALL),
-terms AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM ordered) WHERE r <= 4)
+picked AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM ordered) WHERE r <= 4),
+terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("term")}) AS term FROM picked)
 """
 
 
@@ -45,14 +46,14 @@ counted AS (SELECT term, {key}, count(*) AS tf FROM words GROUP BY ALL),
 postings AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY {key}) AS BIGINT) AS dl FROM counted)"""
 
 
-def _bm25(key: str) -> str:
+def _bm25(key: str, seen: str = "scores") -> str:
     return f"""
 stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT {key}, dl FROM postings)),
 freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 scores AS (SELECT query_id, {key}, count(*) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS bm25
   FROM postings JOIN terms USING (term) JOIN freq USING (term), stats GROUP BY query_id, {key}),
 wanted AS (SELECT query_id, count(*) AS wanted FROM terms GROUP BY query_id),
-matched AS (SELECT * FROM (SELECT *, max(matched) OVER (PARTITION BY query_id) AS best FROM scores JOIN wanted USING (query_id)) WHERE best < wanted OR matched = wanted)"""
+matched AS (SELECT * FROM (SELECT *, max(matched) OVER (PARTITION BY query_id) AS best FROM {seen} JOIN wanted USING (query_id)) WHERE best < wanted OR matched = wanted)"""
 
 
 ENTITY_INDEX = _index("id", "mem_entities", "coalesce(title, '') || ' ' || content")
@@ -79,7 +80,7 @@ def _(b):
     return search.boolean_match(entity_index(b), terms(b), "id")
 
 
-_RANKED = f"""{TERMS}, {ENTITY_INDEX}, {_bm25('id')},
+_RANKED = f"""{TERMS}, {ENTITY_INDEX}, {_bm25('id', '(SELECT scores.* FROM scores JOIN mem_entities USING (id) WHERE NOT archived)')},
 ranked AS (SELECT query_id, m.id, type, bm25, pinned, stale, updated_s, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, updated_s DESC, m.id) AS rank
   FROM matched m JOIN mem_entities e ON m.id = e.id WHERE NOT archived)"""
 
@@ -89,6 +90,21 @@ def _(b):
     return search.rank_entities(entity_index(b), b.entities, terms(b), 10).select("query_id", "id", "bm25", "rank")
 
 
+def scoped(b):
+    """What every search text may see: two projects each."""
+    return asked(b).select("query_id", F.explode(F.array(*[F.concat(F.lit("src"), ((F.col("query_id") + i) % 20).cast("string")) for i in (0, 7)])).alias("project_id"))
+
+
+_SCOPED = f"""{TERMS}, {ENTITY_INDEX}, {_bm25('id', '(SELECT scores.* FROM scores JOIN mem_entities USING (id) WHERE NOT archived AND NOT stale AND project_id IN (' + "'src' || CAST(query_id % 20 AS VARCHAR), 'src' || CAST((query_id + 7) % 20 AS VARCHAR)" + '))')}
+SELECT query_id, id, bm25, rank FROM (SELECT query_id, m.id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, updated_s DESC, m.id) AS rank
+  FROM matched m JOIN mem_entities e ON m.id = e.id) WHERE rank <= 10"""
+
+
+@query("d4_bm25_rank_scoped", _SCOPED)
+def _(b):
+    return search.rank_entities(entity_index(b), b.entities, terms(b), 10, scope=scoped(b), stale=False).select("query_id", "id", "bm25", "rank")
+
+
 _RECENCY = "coalesce(exp(-0.693 * greatest((%d - {0}) / 86400.0, 0.0) / 7.0), 1.0)" % NOW
 _EVENTS = f"""{EVENT_INDEX.replace('words', 'ewords').replace('counted', 'ecounted').replace('postings', 'epostings')},
 {_bm25('event_id').replace('postings', 'epostings').replace('stats', 'estats').replace('freq', 'efreq').replace('scores', 'escores').replace('wanted AS (', 'ewanted AS (').replace('JOIN wanted', 'JOIN ewanted').replace('matched AS (SELECT *', 'ematched AS (SELECT *')},
@@ -105,6 +121,13 @@ def _(b):
     return search.rank_events(event_index(b), b.events, terms(b), 10, NOW).select("query_id", "event_id", "type", "score", "rank")
 
 
+@query("d5_event_hits_scoped", f"""{TERMS}, {EVENT_INDEX}, {_bm25('event_id', '(SELECT scores.* FROM scores JOIN mem_events USING (event_id) WHERE project_id = query_id % 5)')}
+SELECT * FROM (SELECT query_id, m.event_id, type, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, ts_s DESC, m.event_id) AS rank FROM matched m JOIN mem_events e ON m.event_id = e.event_id) WHERE rank <= 10""")
+def _(b):
+    scope = asked(b).selectExpr("query_id", "query_id % 5 as project_id", "cast(null as bigint) as session_id")
+    return search.rank_events(event_index(b), b.events, terms(b), 10, NOW, scope=scope).select("query_id", "event_id", "type", "rank")
+
+
 # The SQL of the queries above cuts the search texts; these take whole texts with the reference's defaults, without SQL.
 def whole_terms(b):
     return search.query_terms(b.table("benchmark").selectExpr("item_id as query_id", "text"), "text")

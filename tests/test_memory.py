@@ -2,6 +2,7 @@
 
 import json
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,9 +110,50 @@ def test_scan_sensitive(spark, text, names):
     assert [s.pattern for s in sensitive.scan_sensitive(df, "content").head().spans] == names
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("pay 4111111111111112 now", []), ("pay 4111111111111111 now", [(4, 20, "credit_card")]), ("371449635398431 or 371449635398432", [(0, 15, "credit_card")]),
+        ("Bearer abcdefghijklmnopqrstuvwx", [(0, 31, "bearer_token")]), ("BASIC QWxhZGRpbjpvcGVuIHNlc2FtZQ==", [(0, 34, "basic_auth")]),
+        ("AWS_SECRET_ACCESS_KEY = " + "a" * 40, [(0, 64, "aws_secret_key")]), ("http://10.0.0.9/x a://b", []), ("é@x.io a@b.io", [(7, 13, "email")]),
+    ],
+)
+def test_exact_spans(spark, text, spans):
+    df = spark.createDataFrame([(1, text)], "id int, content string")
+    found = sensitive.scan_sensitive(df, "content").head().spans
+    assert [(s.start, s.end, s.pattern) for s in found] == spans
+    counts = rows(sensitive.pattern_counts(df, "id", "content"), "pattern", "n")
+    assert [c for c in counts if c[0] != "ipv4_address"] == sorted((p, len([s for s in spans if s[2] == p])) for p in {s[2] for s in spans})
+
+
+def test_vault_ids_do_not_tell_the_value(spark):
+    df = spark.createDataFrame([(1, "mail me@corp.io"), (1, "mail no@corp.io")], "id int, content string")
+    marked = lambda key: [r.redacted for r in sensitive.redact(sensitive.scan_sensitive(df, "content"), "content", "id", key).collect()]
+    assert len(set(marked("0123456789abcdef"))) == 1 and not set(marked("0123456789abcdef")) & set(marked("fedcba9876543210"))
+
+
+def test_index_and_queries_share_tokens(spark):
+    docs = spark.createDataFrame([(1, "Un café au LAIT"), (2, "call snake_case here"), (3, "Привет мир"), (4, "naïve Ångström")], "id long, text string")
+    queries = spark.createDataFrame([(1, "CAFE"), (2, "café lait"), (3, "snake_case"), (4, "мир"), (5, "angstrom naive"), (6, "absent")], "query_id long, text string")
+    found = rows(search.boolean_match(search.build_index(docs, "id", ["text"]), search.query_terms(queries, "text"), "id"), "query_id", "id")
+    assert found == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4)]
+    stem = lambda c: F.regexp_replace(c, "(e|es|s)$", "")
+    stemmed = search.boolean_match(search.build_index(docs, "id", ["text"], stem), search.query_terms(spark.createDataFrame([(1, "cases")], "query_id long, text string"), "text", stem), "id")
+    assert rows(stemmed, "query_id", "id") == [(1, 2)]
+
+
+def test_queries_see_their_projects_only(spark):
+    entities = spark.createDataFrame([(i, p, t, "", 0, t2, False, False, i == 5) for i, p, t, t2 in [(1, "a", "redis cache", "todo"), (2, "b", "redis cache layer", "fact"), (3, "a", "redis", "fact"), (4, "b", "other", "todo"), (5, "b", "redis cache", "todo")]], "id long, project_id string, title string, content string, updated_s long, type string, pinned boolean, stale boolean, archived boolean")
+    terms = search.query_terms(spark.createDataFrame([(1, "redis cache"), (2, "redis cache"), (3, "redis cache"), (4, "redis other")], "query_id long, text string"), "text")
+    scope = spark.createDataFrame([(1, "a"), (2, "b"), (4, None)], "query_id long, project_id string")
+    index = search.build_index(entities, "id", ["title", "content"])
+    assert rows(search.rank_entities(index, entities, terms, 5, scope=scope), "query_id", "id") == [(1, 1), (2, 2), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (4, 4)]
+    assert rows(search.rank_entities(index, entities, terms, 5, scope=scope, types=["fact"]), "query_id", "id") == [(1, 3), (2, 2), (3, 2), (4, 2), (4, 3)]
+
+
 def test_redaction_leaves_nothing_and_can_be_taken_back(spark):
     df = spark.createDataFrame([(1, f"é {KEY} and https://u:secret@host.io/x mail me@corp.io"), (2, "clean"), (3, None)], "id int, content string")
-    out = sensitive.redact(sensitive.scan_sensitive(df, "content"), "content", "id").cache()
+    out = sensitive.redact(sensitive.scan_sensitive(df, "content"), "content", "id", "0123456789abcdef").cache()
     again = sensitive.scan_sensitive(out.select("id", F.col("redacted").alias("content")), "content")
     assert all(len(r.spans) == 0 for r in again.collect())
     vault = sensitive.vault_rows(out, "id", "0123456789abcdef").cache()
@@ -256,7 +298,8 @@ def test_whole_search_texts_are_asked(spark):
     for r in catalog.QUERIES["d1_query_tokens_whole"](spark, SMALL).collect():
         got.setdefault(r.query_id, set()).add(r.term)
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
-    assert all(got.get(i, set()) == {w for w in re.split(r"[^\w]+", t.lower()) if w} for i, t in items.items())
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    assert all(got.get(i, set()) == {w for w in re.split(r"[\W_]+", plain(t)) if w} for i, t in items.items())
     assert catalog.QUERIES["d4_bm25_rank_whole"](spark, SMALL).count() > 0
 
 
