@@ -230,6 +230,8 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 #: Documents of the sample that tells frequent shingles, and in how many of them a frequent one is.
 SAMPLE_DOCS, FREQUENT = 5_000, 3
+#: Rounds in which documents are held against two holders of each of their shingles before all pairs are looked at.
+STAR_ROUNDS = 2
 #: Rows of one shingle that meet in a task, and documents that are held against one other in a task.
 MEETING, TEXTS = 2048, 256
 #: Bits of the filter that tells a second reading which hashes may repeat: 4 MB, whatever the input.
@@ -291,20 +293,33 @@ def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.hash for r in often.select("hash").collect()], np.int64).view(np.uint64))
 
 
+def _allowed(one: np.ndarray, two: np.ndarray, total: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the counts of two sets allow the similarity: they share at most the lesser count of every cell. A full cell
+    (255 or more) tells nothing, and such pairs stay."""
+    least = np.minimum(one, two)
+    shared = least.sum(axis=1, dtype=np.int64)
+    return (shared >= similarity * (total - shared) - 1e-6) | (least == 255).any(axis=1)
+
+
 def _sharing(similarity: float) -> Callable:
-    """Units of (unit, hash, size, place, part, node) in; pairs (a, b) out that share the hash, lie in different parts and
-    can be similar enough by their sizes and what stands after the hash in both."""
+    """Units of (unit, size, place, part, node, counts) in; pairs (a, b) out that share the unit's hash, lie in different
+    parts and can be similar enough by their sizes, what stands after the hash in both, and their counts."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit, size, place, part, node = (c.to_numpy() for c in table.columns)
+        unit, size, place, part, node = (c.to_numpy() for c in table.columns[:5])
+        counts = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, 256)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             most = np.minimum(size[i] - place[i], size[j] - place[j])
             ok = (part[i] != part[j]) & (most >= similarity * (size[i] + size[j] - most) - 1e-6)
-            left.append(np.minimum(node[i[ok]], node[j[ok]]))
-            right.append(np.maximum(node[i[ok]], node[j[ok]]))
+            i, j = i[ok], j[ok]
+            for a in range(0, len(i), 1 << 15):
+                x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+                fits = _allowed(counts[x], counts[y], size[x] + size[y], similarity)
+                left.append(np.minimum(node[x[fits]], node[y[fits]]))
+                right.append(np.maximum(node[x[fits]], node[y[fits]]))
 
         lengths = np.diff(cuts)
         two = cuts[:-1][lengths == 2]
@@ -374,18 +389,14 @@ def _repeated(sent) -> Callable:
 
 
 def _may_be_similar(similarity: float) -> Callable:
-    """Pairs with the sizes and counts of both in; those out whose counts allow the similarity: two sets share at most the
-    lesser count of every cell. A full cell (255 or more) tells nothing, and such pairs stay."""
+    """Pairs with the sizes and counts of both in; those out whose counts allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows == 0:
                 continue
             one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (3, 5))
-            least = np.minimum(one, two)
-            total = b.column(2).to_numpy() + b.column(4).to_numpy()
-            shared = least.sum(axis=1, dtype=np.int64)
-            use = pa.array((shared >= similarity * (total - shared) - 1e-6) | (least == 255).any(axis=1))
+            use = pa.array(_allowed(one, two, b.column(2).to_numpy() + b.column(4).to_numpy(), similarity))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(use), b.column(1).filter(use)], names=["src", "dst"])
 
     return run
@@ -428,20 +439,34 @@ def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: fl
     base = cut(sized.withColumn("node", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("key"))))
     known = cut(base.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("counts").alias("counts")))
     worded = known.filter("size > 0").select("node", F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity)).alias("kind"), "fp")
-    near = cut(fingerprint_links(worded, radius, bands=RADIUS + 1, spanning=False).distinct())
-    nodes = cut(connected_components(_similar_pairs(near, known, texts, shingle, similarity)))
-    # what the tiles miss: pairs of different classes that share one of their first shingles
+    near = fingerprint_links(worded, radius, bands=RADIUS + 1, spanning=False)
     firsts = base.filter("size > 0")
     twice = cut(firsts.select(F.explode("prefix").alias("h1")).groupBy("h1").count().filter("count > 1").select("h1"))
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(twice, FILTER_BITS))
-    shared = firsts.select("node", "size", "prefix").mapInArrow(_repeated(sent), "node long, size long, place long, hash long").distinct()
-    part = nodes.select(F.col("node").alias("_node"), "root")
-    shared = cut(shared.join(part, shared["node"] == part["_node"], "left").select("node", "size", "place", "hash", F.coalesce("root", "node").alias("part")))
+    shared = cut(firsts.select("node", "size", "prefix").mapInArrow(_repeated(sent), "node long, size long, place long, hash long").distinct())
+    # all that share a hash are first held against two of its holders, chosen anew in every round and of another class
+    # than themselves: that merges large groups of near copies, whose pairs are not made then
+    rows, pairs, links = shared.withColumn("part", F.col("node")), near, None
+    for turn in range(STAR_ROUNDS):
+        rank = F.struct(F.xxhash64("part", F.lit(turn)).alias("h"), "part", F.xxhash64("node", F.lit(turn)).alias("at"), "node", "size")
+        outer = rows.groupBy("hash").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).filter("low.part <> high.part")
+        outer = outer.select(F.col("hash").alias("_hash"), "low", "high")
+        stars = rows.join(outer, rows["hash"] == outer["_hash"]).select("node", "size", "part", F.explode(F.array("low", "high")).alias("c"))
+        fair = (F.col("part") != F.col("c.part")) & (F.least("size", "c.size") >= similarity * F.greatest("size", "c.size") - 1e-6)
+        stars = stars.filter(fair).select(F.col("node").alias("src"), F.col("c.node").alias("dst"))
+        found = _similar_pairs(cut((pairs.union(stars) if turn == 0 else stars).distinct()), known, texts, shingle, similarity)
+        links = cut(found if links is None else links.union(found))
+        nodes = cut(connected_components(links))
+        part = nodes.select(F.col("node").alias("_node"), "root")
+        rows = shared.join(part, shared["node"] == part["_node"], "left").select("node", "size", "place", "hash", F.coalesce("root", "node").alias("part"))
+    # what is left: pairs of different classes that share one of their first shingles
+    shared = cut(rows)
     spread = shared.groupBy("hash").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).filter("least <> most")
     spread = cut(spread.select(F.col("hash").alias("_hash"), F.ceil(F.col("n") / MEETING).alias("tiles")))
     met = shared.join(spread, shared["hash"] == spread["_hash"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(19)), F.col("tiles")))
     tiled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.xxhash64("hash", F.least(x, F.col("chunk")), F.greatest(x, F.col("chunk"))))
-    dealt = met.select(F.explode(tiled).alias("unit"), "size", "place", "part", "node").repartition("unit").sortWithinPartitions("unit")
+    met = met.join(known.select(F.col("node").alias("_node"), "counts"), F.col("node") == F.col("_node"))
+    dealt = met.select(F.explode(tiled).alias("unit"), "size", "place", "part", "node", "counts").repartition("unit").sortWithinPartitions("unit")
     apart = cut(dealt.mapInArrow(_sharing(similarity), "a long, b long").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst")))
     far = _similar_pairs(apart, known, texts, shingle, similarity)
     nodes = connected_components(far.union(nodes.filter("node <> root").selectExpr("node as src", "root as dst"))).withColumnRenamed("node", "_node")
