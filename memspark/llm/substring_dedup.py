@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from memspark.llm.common import SPACES, bit_filter, cut, fold_table, in_filter, mix, packed, pieces, powers, prefix_hash, range_hash, some_of, text_key, unpacked, word_bounds
+from memspark.llm.common import SPACES, bit_filter, cut, fold_table, in_filter, mix, packed, pieces, powers, prefix_hash, range_hash, text_key, unpacked, word_bounds
 
 LEAST_WORDS = 20
 LEAST_SENTENCES = 2
@@ -172,9 +172,7 @@ def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     gone = cut(repeated_sentences(docs, least_words).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_of"), F.col("gone").alias("_gone")))
     others = [F.col(f"_in.`{c}`").alias(c) for c in docs.columns if c != "text"]  # the text goes alone, not twice
     whole = packed(docs).select("_id", "_key", F.struct(*others).alias("row"), "_text")
-    touched, rest = some_of(whole, gone)
-    out = touched.join(gone, touched["_id"].eqNullSafe(gone["_doc"]) & (touched["_key"] == gone["_of"]), "left").select("row", "_text", "_gone")
-    out = out.union(rest.select("row", "_text", F.lit(None).cast("array<int>")))
+    out = whole.join(gone, whole["_id"].eqNullSafe(gone["_doc"]) & (whole["_key"] == gone["_of"]), "left").select("row", "_text", "_gone")
     kinds = {"row": out.schema["row"].dataType, "text": StringType()} | {c: LongType() for c in _OUTCOME}
     out = out.mapInArrow(_without, StructType([StructField(c, t) for c, t in kinds.items()]))
     return out.withColumnRenamed("row", "_in").select(*unpacked(docs, {c: F.col(c) for c in ("text", *_OUTCOME)}))
