@@ -231,7 +231,7 @@ WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 #: Documents of the sample that tells frequent shingles, and in how many of them a frequent one is.
 SAMPLE_DOCS, FREQUENT = 5_000, 3
 #: Rounds in which documents are held against two holders of each of their shingles before all pairs are looked at.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Rows of one shingle that meet in a task, and documents that are held against one other in a task.
 MEETING, TEXTS = 2048, 256
 #: Bits of the filter that tells a second reading which hashes may repeat: 4 MB, whatever the input.
@@ -402,15 +402,16 @@ def _may_be_similar(similarity: float) -> Callable:
     return run
 
 
-def _similar_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _similar_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, similarity: float, counted: bool = False) -> DataFrame:
     """Those of ``pairs`` (src, dst) whose whole shingle sets are similar enough.
 
-    Counts of both sets rule most others out. A document's partners come to it in units of bounded size, so each set
+    Counts of both sets rule most others out, unless they have (``counted``). A document's partners come to it in units of bounded size, so each set
     travels once for every partner that is a centre, and a centre once for every unit.
     """
-    one, two = (known.select(F.col("node").alias(f"node{i}"), F.col("size").alias(f"size{i}"), F.col("counts").alias(f"counts{i}")) for i in (1, 2))
-    both = pairs.join(one, pairs["src"] == one["node1"]).join(two, F.col("dst") == two["node2"])
-    pairs = cut(both.select("src", "dst", "size1", "counts1", "size2", "counts2").mapInArrow(_may_be_similar(similarity), "src long, dst long"))
+    if not counted:
+        one, two = (known.select(F.col("node").alias(f"node{i}"), F.col("size").alias(f"size{i}"), F.col("counts").alias(f"counts{i}")) for i in (1, 2))
+        both = pairs.join(one, pairs["src"] == one["node1"]).join(two, F.col("dst") == two["node2"])
+        pairs = cut(both.select("src", "dst", "size1", "counts1", "size2", "counts2").mapInArrow(_may_be_similar(similarity), "src long, dst long"))
     held = pairs.groupBy("dst").agg(F.ceil(F.count("*") / TEXTS).alias("parts"))
     units = pairs.join(held, "dst").withColumn("unit", F.xxhash64("dst", F.pmod(F.xxhash64("src", F.lit(5)), F.col("parts"))))
     rows = cut(units.select("unit", F.lit(1).alias("place"), F.col("src").alias("node")).union(units.select("unit", F.lit(0), "dst").distinct()))
@@ -468,7 +469,7 @@ def similar_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: fl
     met = met.join(known.select(F.col("node").alias("_node"), "counts"), F.col("node") == F.col("_node"))
     dealt = met.select(F.explode(tiled).alias("unit"), "size", "place", "part", "node", "counts").repartition("unit").sortWithinPartitions("unit")
     apart = cut(dealt.mapInArrow(_sharing(similarity), "a long, b long").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    far = _similar_pairs(apart, known, texts, shingle, similarity)
+    far = _similar_pairs(apart, known, texts, shingle, similarity, counted=True)
     nodes = connected_components(far.union(nodes.filter("node <> root").selectExpr("node as src", "root as dst"))).withColumnRenamed("node", "_node")
     out = known.join(nodes, known["node"] == nodes["_node"], "left").select("node", "first", F.coalesce("root", "node").alias("component"))
     least = out.groupBy("component").agg(F.min("first").alias("least"))
