@@ -119,7 +119,7 @@ def _finished(b, stream: DataFrame, mode: str = "append") -> DataFrame:
 @query("m1_live_etl")
 def _(b):
     events = _stream(b).withColumn("tool_name", F.lit(None).cast("string"))
-    return _finished(b, live.live_etl(events, "event_id", ["read"], ["*7?"])).select("event_id", "type", "content")
+    return _finished(b, live.live_etl(events, "event_id", ["read"], ["*7?"], "0123456789abcdef")).select("event_id", "type", "content")
 
 
 @query("m2_suppress_duplicates", "SELECT DISTINCT user_id AS source, event_type AS type FROM events")

@@ -13,10 +13,10 @@ from memspark.operators.ingest import EVENT_LIMIT, EVENT_MARK, filter_tools, tru
 from memspark.operators.sensitive import redact, scan_sensitive
 
 
-def live_etl(events: DataFrame, key: str, tools: list[str], globs: list[str]) -> DataFrame:
+def live_etl(events: DataFrame, key: str, tools: list[str], globs: list[str], secret: str) -> DataFrame:
     """Tool filter, truncation and redaction of each event; no state, so it is the same for a batch and a stream."""
     kept = filter_tools(events, tools, globs).withColumn("content", truncate(F.col("content"), EVENT_LIMIT, EVENT_MARK))
-    return redact(scan_sensitive(kept, "content"), "content", key).drop("content", "spans").withColumnRenamed("redacted", "content")
+    return redact(scan_sensitive(kept, "content"), "content", key, secret).drop("content", "spans").withColumnRenamed("redacted", "content")
 
 
 def suppress_duplicates(events: DataFrame, keys: list[str], time: str = "ts", within: str = "60 seconds") -> DataFrame:

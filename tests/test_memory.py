@@ -271,8 +271,8 @@ def test_append_and_upsert(spark, tmp_path):
 def test_live_etl_is_the_same_for_batch_and_stream(spark, tmp_path):
     e = spark.createDataFrame([(1, "tool_call", "Read(x)", None), (2, "prompt", f"my {KEY}", None)], "event_id int, type string, content string, tool_name string")
     e.write.parquet(str(tmp_path / "in"))
-    batch = live.live_etl(e, "event_id", ["Read"], [])
-    live.live_etl(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), "event_id", ["Read"], []).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batch = live.live_etl(e, "event_id", ["Read"], [], "0123456789abcdef")
+    live.live_etl(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), "event_id", ["Read"], [], "0123456789abcdef").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert rows(batch, "event_id", "content") == rows(spark.read.parquet(str(tmp_path / "out")), "event_id", "content") and KEY not in batch.head().content
 
 
