@@ -28,12 +28,12 @@ def query(name: str, sql: str | None = None):
 
 
 @query("a3_read_chat_messages", """
-SELECT event_id AS message_id, session_id, type AS role, ts_s, substr(content, 1, 40) || chr(10) || substr(content, 41, 40) AS text, [substr(md5(content), 1, 4)] AS tools FROM mem_events WHERE length(content) >= 0""")
+SELECT event_id AS message_id, session_id, type AS role, ts_s, substr(content, 1, 40) || chr(10) || substr(content, 41) AS text, [substr(md5(content), 1, 4)] AS tools FROM mem_events WHERE length(content) >= 0""")
 def _(b):
     e = b.events
     messages = e.selectExpr("event_id as message_id", "session_id", "type as role", "ts_s")
     part = lambda n, kind, field, value: F.struct(F.lit(n).alias("number"), F.to_json(F.struct(F.lit(kind).alias("type"), F.expr(value).alias(field))).alias("payload"))
-    parts = e.select(F.col("event_id").alias("message_id"), F.explode(F.array(part(2, "text", "text", "substring(content, 41, 40)"), part(1, "tool", "tool", "substring(md5(content), 1, 4)"), part(0, "text", "text", "substring(content, 1, 40)"))).alias("p")).select("message_id", "p.number", "p.payload")
+    parts = e.select(F.col("event_id").alias("message_id"), F.explode(F.array(part(2, "text", "text", "substring(content, 41)"), part(1, "tool", "tool", "substring(md5(content), 1, 4)"), part(0, "text", "text", "substring(content, 1, 40)"))).alias("p")).select("message_id", "p.number", "p.payload")
     return tables.read_chat_messages(messages, parts)
 
 

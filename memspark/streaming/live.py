@@ -43,8 +43,7 @@ class _Chunks(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         ids = [int(r[0]) for r in self.held.get()] if self.held.exists() else []
-        for frame in rows:
-            ids += [int(x) for x in frame.sort_values(["ts_s", "event_id"])["event_id"]]
+        ids += [int(x) for x in pd.concat(list(rows)).sort_values(["ts_s", "event_id"])["event_id"]]
         chunk = int(self.number.get()[0]) if self.number.exists() else 0
         out = []
         while len(ids) >= self.n:
