@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import decontaminate, line_dedup, quality, secret_scan, simhash_dedup, source_mix, substring_dedup, suffix_dedup, topk_search, toxicity
+from memspark.llm import byte_bpe, conversation_repair, decontaminate, line_dedup, quality, secret_scan, simhash_dedup, source_mix, substring_dedup, suffix_dedup, topk_search, toxicity, whitening
 from memspark.llm.common import read_table
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,6 +146,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_resample(docs, labels)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), k=16)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -157,6 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
