@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.checkpoints import cut
+from memspark.functions.numbering import numbered
 from memspark.operators.lifecycle import is_open
 
 # Tools that read from memory and tools that write to it.
@@ -220,13 +221,12 @@ def entities_by_file(files: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def timeline_around(entities: DataFrame, anchors: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
-    """(anchor, id, offset): the entities of the anchor's project around it by creation. One ordered pass numbers each
-    project's entities; the neighbours are an equi-join on project and number."""
-    by = Window.partitionBy("project_id").orderBy("created_s", "id")
-    numbered = entities.select("project_id", "id", "created_s", F.row_number().over(by).alias("number"))
-    at = numbered.join(anchors.select(F.col("anchor").alias("id")), "id").select("project_id", F.col("id").alias("anchor"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"), "number")
-    near = at.select("project_id", "anchor", "offset", (F.col("number") + F.col("offset")).alias("number"))
-    return near.join(numbered, ["project_id", "number"]).select("anchor", "id", "offset")
+    """(anchor, id, offset): the entities of the anchor's project around it by creation. Numbers within the project are
+    given out over the cluster; the neighbours are an equi-join on project and number."""
+    rows = cut(numbered(entities.select("project_id", "id", "created_s"), ["project_id"], ["created_s", "id"]))
+    at = rows.join(anchors.select(F.col("anchor").alias("id")), "id").select("project_id", F.col("id").alias("anchor"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"), "number")
+    near = at.select(F.col("project_id").alias("_project"), "anchor", "offset", (F.col("number") + F.col("offset")).alias("_number"))
+    return near.join(rows, near["_project"].eqNullSafe(rows["project_id"]) & (near["_number"] == rows["number"])).select("anchor", "id", "offset")
 
 
 def newest(entities: DataFrame, k: int = 7) -> DataFrame:

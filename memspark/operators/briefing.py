@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
+from memspark.functions.numbering import numbered
 from memspark.operators.infer import ordered_text
 from memspark.operators.lifecycle import is_open
 
@@ -30,20 +32,24 @@ def importance(now: int, cited_at: str = "created_s") -> Column:
 def briefing_entities(entities: DataFrame, now: int, most: int = MOST_ENTITIES, floor: int = OPEN_FLOOR, focus: str | None = None) -> DataFrame:
     """Entities of every project's briefing with score and rank: the best, all of the newest session, and open items.
 
-    The three sets are flags of one ordered pass over a project's entities; suppressed counts its stale ones.
+    Ranks are given out over the cluster, so that a large project takes many tasks; facts of a project (its newest session,
+    its stale entities, counted as suppressed) and its best open items are a few rows, joined to the ranked ones.
     """
     pool = entities.filter("not archived")
     if focus:
         pool = pool.filter(F.contains(F.lower("title"), F.lit(focus.lower())) | F.contains(F.lower("content"), F.lit(focus.lower())))
-    project = Window.partitionBy("project_id")
-    pool = pool.withColumn("suppressed", F.count_if("stale").over(project)).filter("not stale")
-    pool = pool.withColumn("score", F.round(importance(now), 6))
-    pool = pool.withColumn("rank", F.row_number().over(project.orderBy(F.col("score").desc(), "id"))).withColumn("_last", F.max(F.struct("created_s", "session_id")).over(project)["session_id"])
+    live = pool.filter("not stale").withColumn("score", F.round(importance(now), 6))
+    ranked = cut(numbered(live, ["project_id"], [F.col("score").desc(), "id"], "rank"))
+    newest = F.max(F.when(~F.col("stale"), F.struct("created_s", "session_id")))["session_id"]
+    facts = cut(pool.groupBy(F.col("project_id").alias("_project")).agg(F.count_if("stale").alias("suppressed"), newest.alias("_last")))
     priority = F.when(F.col("priority") == "high", 3).when(F.col("priority") == "medium", 2).otherwise(1)
-    wanted = F.col("type").isin("todo", "failure") & is_open()
-    pool = pool.withColumn("_open", F.when(wanted, F.row_number().over(Window.partitionBy("project_id", wanted).orderBy(priority.desc(), "rank"))))
-    keep = (F.col("rank") <= most) | (F.col("session_id") == F.col("_last")) | (F.col("_open") <= floor)
-    return pool.filter(F.coalesce(keep, F.lit(False))).drop("_last", "_open")
+    wanted = ranked.filter(F.col("type").isin("todo", "failure") & is_open())
+    first = F.row_number().over(Window.partitionBy("project_id").orderBy(priority.desc(), "rank"))
+    open_ = wanted.select("project_id", "rank", first.alias("_open")).filter(F.col("_open") <= floor)
+    open_ = open_.select(F.col("project_id").alias("_of"), F.col("rank").alias("_rank"), F.lit(True).alias("_open"))
+    out = ranked.join(facts, F.col("project_id").eqNullSafe(F.col("_project"))).join(open_, F.col("project_id").eqNullSafe(F.col("_of")) & (F.col("rank") == F.col("_rank")), "left")
+    keep = (F.col("rank") <= most) | F.coalesce(F.col("session_id") == F.col("_last"), F.lit(False)) | F.col("_open").isNotNull()
+    return out.filter(keep).select(*entities.columns, "suppressed", "score", "rank")
 
 
 def grouped(selected: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
+from memspark.functions.numbering import numbered
 from memspark.functions.text import ratio_at_least
 from memspark.operators.search import dot, query_tokens
 
@@ -82,13 +84,22 @@ def decision_report(decisions: DataFrame) -> DataFrame:
 def staleness_candidates(entities: DataFrame, now: int, minutes: int = 60, k: int = 5, tokens: int = 6) -> DataFrame:
     """(id, older_id, rank): for new live entities the newest older ones of the same project and type that share a word.
 
-    The words are the first six of four letters or more; sharing is an equi-join on (project, type, word).
+    The words are the first six of four letters or more. Every word has a list of its entities by time, numbered over the
+    cluster; a new entity knows from its own place how many of them are older, and takes the k before it by their numbers.
+    So a word that all entities hold costs k rows for each new one, and no pairs.
     """
-    live = entities.filter(~F.col("stale") & ~F.col("archived") & F.col("type").isin(*STALENESS_TYPES))
-    words = query_tokens(F.concat_ws(" ", "title", "content"), min_len=4, max_tokens=tokens)
-    new = live.filter(F.col("created_s") >= now - minutes * 60).select("project_id", "type", "id", "created_s", F.explode(words).alias("word"))
-    older = live.select("project_id", "type", F.col("id").alias("older_id"), F.col("created_s").alias("older_s"), F.explode(F.array_distinct(query_tokens(F.concat_ws(" ", "title", "content")))).alias("word"))
-    pairs = new.join(older, ["project_id", "type", "word"]).filter("older_s < created_s and older_id <> id").select("id", "older_id", "older_s").distinct()
+    live = entities.filter(~F.col("stale") & ~F.col("archived") & F.col("type").isin(*STALENESS_TYPES)).filter("created_s is not null")
+    text = F.concat_ws(" ", "title", "content")
+    keys = ["project_id", "type", "word"]
+    asks = cut(live.filter(F.col("created_s") >= now - minutes * 60).select(*keys[:2], "id", "created_s", F.explode(query_tokens(text, min_len=4, max_tokens=tokens)).alias("word")))
+    lists = live.select(*keys[:2], "id", "created_s", F.explode(query_tokens(text)).alias("word")).join(asks.select(*keys).distinct(), keys, "left_semi")
+    lists = cut(lists)
+    # entities of one second go by falling id, so that the k before a place are the newest, ties by smaller id; an ask stands before those of its second
+    both = numbered(lists.withColumn("asks", F.lit(1)).unionByName(asks.withColumn("asks", F.lit(0))), keys, ["created_s", "asks", F.col("id").desc()], "place")
+    older = both.filter("asks = 0").join(numbered(asks, keys, ["created_s", F.col("id").desc()], "turn").select(*keys, "id", "turn"), [*keys, "id"])
+    wanted = older.select(*keys, "id", F.explode(F.sequence(F.col("place") - F.col("turn") - (k - 1), F.col("place") - F.col("turn"))).alias("at"))
+    listed = numbered(lists, keys, ["created_s", F.col("id").desc()], "at").select(*keys, "at", F.col("id").alias("older_id"), F.col("created_s").alias("older_s"))
+    pairs = wanted.join(listed, [*keys, "at"]).filter("older_id <> id").select("id", "older_id", "older_s").distinct()
     by = Window.partitionBy("id").orderBy(F.col("older_s").desc(), "older_id")
     return pairs.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("id", "older_id", "rank")
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.operators.search import cosine
+from memspark.operators.search import VECTORS
 from memspark.sources.tables import upsert_latest
 
 TEXT_LIMIT = 2000
@@ -74,7 +77,39 @@ def coverage(entities: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.withColumn("any_embedded", F.col("embedded") > 0)
 
 
-def block_cosine(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:
-    """Cosine of every pair (left_id < right_id) of two tables (id, vector) within a block."""
-    pairs = left.select(*block, F.col("id").alias("left_id"), F.col("vector").alias("a")).join(right.select(*block, F.col("id").alias("right_id"), F.col("vector").alias("b")), block)
-    return pairs.filter("left_id < right_id").select(*block, "left_id", "right_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+def block_cosine(asked: DataFrame, vectors: DataFrame, block: list[str], tiles: int | None = None) -> DataFrame:
+    """Cosine of every vector of ``asked`` with every other one of its block in ``vectors``: block, left_id, right_id, similarity.
+
+    Both have id, the columns of ``block`` and vector. Vectors are dealt to tiles, as many as their number needs, and the
+    asked ones to all tiles of their block, so that the cosines of a tile are one matrix product however large a block is.
+    A norm of zero, and vectors of another length, have similarity 0.
+    """
+    tiles = tiles or max(1, -(-vectors.count() // VECTORS))
+    right = vectors.select(*[F.col(c).alias(c) for c in block], F.size("vector").alias("_dims"), F.pmod(F.xxhash64("id"), F.lit(tiles)).alias("_tile"), F.col("id").alias("right_id"), F.col("vector").cast("array<double>").alias("vector"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
+    sizes = vectors.select(*block, F.size("vector").alias("_dims")).distinct().toDF(*[f"_{c}" for c in block], "_dims")  # an asked vector meets those of other lengths as well
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in block]
+    left = asked.select(*block, F.col("id").alias("left_id"), F.col("vector").cast("array<double>").alias("vector")).join(sizes, same).select(*block, "left_id", "vector", "_dims", every.alias("_tile"))
+    keys = [*block, "_dims", "_tile"]
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in block) + f", left_id {kinds['id']}, right_id {kinds['id']}, similarity double"
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_products(block), schema)
+
+
+def _products(block: list[str]) -> Callable:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        dims = len(right.column("vector")[0]) if right.num_rows else 0
+        x = np.asarray(right.column("vector").combine_chunks().flatten()).reshape(right.num_rows, dims)
+        norms, found = np.linalg.norm(x, axis=1), []
+        for a in range(0, left.num_rows, 256):
+            part = left.slice(a, 256)
+            q = np.array([v if len(v) == dims else [0.0] * dims for v in part.column("vector").to_pylist()], np.float64).reshape(part.num_rows, dims)
+            size = np.linalg.norm(q, axis=1)[:, None] * norms[None, :]
+            near = np.round(np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0), 6)
+            i, j = (pa.array(v) for v in np.nonzero(np.ones(near.shape, bool)))
+            table = pa.table({**{c: part.column(c).take(i) for c in block}, "left_id": part.column("left_id").take(i), "right_id": right.column("right_id").take(j), "similarity": near.reshape(-1)})
+            found.append(table.filter(pc.not_equal(table["left_id"], table["right_id"])))
+        empty = pa.table({**{c: right.column(c).slice(0, 0) for c in block}, "left_id": left.column("left_id").slice(0, 0), "right_id": right.column("right_id").slice(0, 0), "similarity": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *found])
+
+    return run

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
+from memspark.functions.numbering import numbered
+
 TOOL_ARGS, RESULT_HEAD, RESULT_TAIL, EVENT_LIMIT = 1500, 2500, 1500, 100_000
 CUT_MARK = "\n[... truncated ...]\n"
 EVENT_MARK = "\n[truncated]"
@@ -57,14 +60,43 @@ def filter_tools(events: DataFrame, tools: list[str], globs: list[str]) -> DataF
 
 
 def drop_recent_duplicates(events: DataFrame, keys: list[str], seconds: int = 60) -> DataFrame:
-    """Events of which none with the same key was kept within the seconds before.
+    """Events of which none with the same key was kept within the seconds before: keys, ts_s, event_id.
 
-    The window counts from the last kept row, not from the last row, so a key's times are folded in order.
+    The window counts from the last kept row, not from the last row. Of one second's events the smallest event_id may be
+    kept. A gap longer than the window begins a run, whose first row is kept, and every row points to the first one after
+    its own window; all that a run's first row leads to are kept. A row and what its window may reach lie in three
+    neighbouring buckets of time, so no task holds a key; pointers are doubled until no kept row has one, so that passes
+    grow with the logarithm of the longest run. Events without a time are kept; keys may be null.
     """
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x["ts_s"] - F.element_at(acc, -1)["ts_s"] > seconds), F.concat(acc, F.array(x))).otherwise(acc)
-    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_s", "event_id"))).alias("all"))
-    kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), step)
-    return rows.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.ts_s", "k.event_id")
+    key = F.struct(*[F.col(c) for c in keys])
+    timed = events.filter("ts_s is not null").groupBy(key.alias("_key"), "ts_s").agg(F.min("event_id").alias("event_id"))
+    width = seconds + 1
+    rows = timed.withColumn("_at", F.col("ts_s").cast("long"))
+    seen = F.explode(F.array(*[F.struct((F.floor(F.col("_at") / width) + i).alias("bucket"), F.lit(i).alias("from")) for i in range(3)]))
+    near = rows.select("_key", "_at", seen.alias("s")).select("_key", "_at", "s.bucket", "s.from")
+    # from = 0: the row stands in the bucket; 1, 2: it asks there for what follows its window
+    by = Window.partitionBy("_key", "bucket")
+    place = F.when(F.col("from") > 0, F.col("_at") + width).otherwise(F.col("_at"))
+    order = by.orderBy(place, F.when(F.col("from") > 0, 0).otherwise(1))
+    after = F.min(F.when(F.col("from") == 0, F.col("_at"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    near = near.withColumn("after", F.when(F.col("from") > 0, after))
+    before = near.groupBy("_key", "_at").agg(F.min("after").alias("to"))
+    behind = rows.select("_key", F.col("_at").alias("from_"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i")).select("_key", "from_", (F.floor(F.col("from_") / width) + F.col("i")).alias("bucket"), F.col("i"))
+    # a run begins where no row stands within the window before: looked up in the row's own bucket and the one before
+    last = F.max(F.when(F.col("side") == 0, F.col("_at"))).over(Window.partitionBy("_key", "bucket").orderBy("_at", F.col("side").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    stand = behind.select("_key", F.col("from_").alias("_at"), "bucket", F.lit(0).alias("side")).union(rows.select("_key", "_at", F.floor(F.col("_at") / width), F.lit(1)))
+    heads = stand.withColumn("last", last).filter("side = 1").select("_key", "_at", (F.col("last").isNull() | (F.col("_at") - F.col("last") > seconds)).alias("kept"))
+    state = cut(before.join(heads, ["_key", "_at"]))
+    while not state.filter("kept and to is not null").isEmpty():
+        hop = state.select(F.col("_key").alias("_k"), F.col("_at").alias("_hop"), F.col("to").alias("_next"))
+        led = state.join(hop, (F.col("_key") == F.col("_k")) & (F.col("to") == F.col("_hop")), "left")
+        own = F.struct("_at", F.col("_next").alias("to"), "kept")
+        marked = F.when(F.col("kept") & F.col("to").isNotNull(), F.struct(F.col("to").alias("_at"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("kept")))
+        both = led.select("_key", F.explode(F.array_compact(F.array(own, marked))).alias("s")).select("_key", "s.*")
+        state = cut(both.groupBy("_key", "_at").agg(F.max("to").alias("to"), F.max("kept").alias("kept")))
+    kept = state.filter("kept").select(F.col("_key").alias("_k"), "_at")
+    out = rows.join(kept.withColumnRenamed("_at", "_kept"), (F.col("_key") == F.col("_k")) & (F.col("_at") == F.col("_kept"))).select(*[F.col(f"_key.{c}").alias(c) for c in keys], "ts_s", "event_id")
+    return out.union(events.filter("ts_s is null").select(*keys, "ts_s", "event_id"))
 
 
 def direct_entities(events: DataFrame) -> DataFrame:
@@ -80,12 +112,15 @@ def split_sentences(text: Column) -> Column:
 
 
 def detect_statements(events: DataFrame, patterns: tuple = DETECT_PATTERNS) -> DataFrame:
-    """The first sentence that each pattern fits, as (event_id, type, snippet); repeats of a type's snippet go."""
-    table = events.sparkSession.createDataFrame([(i, t, "(?i)" + p) for i, (t, p) in enumerate(patterns)], "pattern int, type string, expression string")
+    """The first sentence that each pattern fits, as (event_id, type, snippet); repeats of a type's snippet go.
+
+    A sentence is tested once against every pattern, each compiled once, and gives the numbers of those that fit.
+    """
     long = events.filter(F.length("content") >= 10).select("event_id", F.posexplode(split_sentences(F.col("content"))).alias("at", "sentence"))
-    fits = long.join(F.broadcast(table), F.expr("sentence rlike expression"))
-    first = fits.groupBy("event_id", "pattern", "type").agg(F.min_by("sentence", "at").alias("sentence"))
-    return first.select("event_id", "type", F.substring("sentence", 1, 500).alias("snippet")).distinct()
+    fits = [F.when(F.col("sentence").rlike("(?i)" + p), F.struct(F.lit(i).alias("pattern"), F.lit(t).alias("type"))) for i, (t, p) in enumerate(patterns)]
+    found = long.select("event_id", "at", "sentence", F.explode(F.array_compact(F.array(*fits))).alias("fit"))
+    first = found.groupBy("event_id", "fit").agg(F.min_by("sentence", "at").alias("sentence"))
+    return first.select("event_id", F.col("fit.type").alias("type"), F.substring("sentence", 1, 500).alias("snippet")).distinct()
 
 
 def sessionize(events: DataFrame, gap: int = 300) -> DataFrame:
@@ -114,15 +149,13 @@ def chunk_events(events: DataFrame, n: int = 20) -> DataFrame:
 
 def every_nth_session(sessions: DataFrame, n: int = 5) -> DataFrame:
     """Every n-th ended session of a project, in order of its end."""
-    by = Window.partitionBy("project_id").orderBy("ended_s", "session_id")
-    return sessions.filter("status = 'ended'").withColumn("ordinal", F.row_number().over(by)).filter(F.col("ordinal") % n == 0)
+    return numbered(sessions.filter("status = 'ended'"), ["project_id"], ["ended_s", "session_id"], "ordinal").filter(F.col("ordinal") % n == 0)
 
 
 def batch_events(events: DataFrame, n: int = 50) -> DataFrame:
     """Batches of at most n events of a project's (session, time) order; a batch may cross sessions."""
-    by = Window.partitionBy("project_id").orderBy("session_id", "ts_s", "event_id")
-    rows = events.withColumn("number", F.row_number().over(by) - 1).withColumn("batch", F.floor(F.col("number") / n))
-    out = rows.groupBy("project_id", "batch").agg(F.array_sort(F.collect_list(F.struct("number", "event_id"))).alias("all"))
+    rows = numbered(events.select("project_id", "session_id", "ts_s", "event_id"), ["project_id"], ["session_id", "ts_s", "event_id"])
+    out = rows.groupBy("project_id", F.floor((F.col("number") - 1) / n).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("number", "event_id"))).alias("all"))
     return out.select("project_id", "batch", F.transform("all", lambda x: x["event_id"]).alias("event_ids"))
 
 

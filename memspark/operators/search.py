@@ -7,13 +7,16 @@ documents' lengths; ids are ranked on these narrow tables first and wide content
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
+
 #: Vectors of a block that meet the queries in one task.
 VECTORS = 8192
 K1, B = 1.2, 0.75
@@ -24,14 +27,16 @@ ENTITY_BASE, PIN_BOOST, STALE_FACTOR = 0.8, 1.5, 0.3
 
 def _fold_table() -> tuple[str, str]:
     """Accented Latin letters and the plain letters under them, by Unicode's decompositions."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
     pairs = [(a, z) for a, z in pairs if a != z and z.isascii() and a.lower() == a]
     return "".join(a for a, _ in pairs), "".join(z for _, z in pairs)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of any script, lower-cased and without accents: the one rule for index and queries."""
-    return F.filter(F.split(F.translate(F.lower(text), *_fold_table()), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Runs of letters and digits of any script, lower-cased and without accents, whether a letter carries its accent or a
+    combining mark follows it: the one rule for index and queries."""
+    bare = F.regexp_replace(F.translate(F.lower(text), *_fold_table()), r"\p{M}+", "")
+    return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_tokens(text: Column, min_len: int = 1, max_tokens: int | None = None, split_compounds: bool = True) -> Column:
@@ -42,31 +47,48 @@ def query_tokens(text: Column, min_len: int = 1, max_tokens: int | None = None,
     return F.slice(kept, 1, max_tokens) if max_tokens else kept
 
 
-def _counted(found: Column) -> Column:
-    """Array of (term, tf, dl, lead) of an array of tokens, counted within the row; the first of them leads."""
-    ordered = F.array_sort(found)
-    begins = lambda t: F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), i + 1)), lambda i: i.isNotNull())
-
-    def of(at: Column) -> Column:
-        edges = F.concat(at["begins"], F.array(F.size(at["t"]) + 1))
-        return F.transform(at["begins"], lambda x, i: F.struct(F.get(at["t"], x - 1).alias("term"), (F.get(edges, i + 1) - x).cast("long").alias("tf"), F.size(at["t"]).cast("long").alias("dl"), (i == 0).alias("lead")))
-
-    whole = F.transform(F.array(ordered), lambda t: F.struct(t.alias("t"), begins(t).alias("begins")))
-    return F.element_at(F.transform(whole, of), 1)
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, terms) in; a row (key, term, tf, dl, lead) for every different term of a row out."""
+    for batch in batches:
+        lists = batch.column(1)
+        dl = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        rows = np.repeat(np.arange(len(lists)), dl)
+        width = max(1, len(words.dictionary))
+        code, tf = np.unique(rows * width + words.indices.to_numpy(), return_counts=True)
+        row, bare = code // width, np.flatnonzero(dl == 0)  # rows without a term keep a posting without one
+        lead = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+        at = np.concatenate([row, bare])
+        terms = pa.concat_arrays([words.dictionary.take(pa.array(code % width)), pa.nulls(len(bare), pa.string())])
+        columns = [terms, batch.column(0).take(pa.array(at)), np.concatenate([tf, np.zeros(len(bare), np.int64)]), dl[at], np.concatenate([lead, np.ones(len(bare), bool)])]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["term", "key", "tf", "dl", "lead"])
 
 
 def build_index(df: DataFrame, key: str, fields: list[str], stem=None) -> DataFrame:
     """Postings (term, key, tf, dl, lead) of the fields; ``stem``: a function of a column of terms, applied to distinct terms.
 
     Terms are counted within their row, so nothing is shuffled. ``dl`` is the row's number of tokens; ``lead`` is true for
-    one posting of every row, so that statistics of rows need no distinct.
+    one posting of every row, so that statistics of rows need no distinct. A row without tokens has one posting of a null
+    term, so that it counts as a row.
     """
     words = F.concat(*[tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
-    counted = df.select(key, F.explode(_counted(words)).alias("p")).select("p.term", key, "p.tf", "p.dl", "p.lead")
+    kind = df.schema[key].dataType.simpleString()
+    counted = df.select(key, words.alias("_words")).mapInArrow(_count_terms, f"term string, {key} {kind}, tf long, dl long, lead boolean")
     if stem is None:
         return counted
-    stems = counted.select("term").distinct().withColumn("stem", stem(F.col("term")))
-    return counted.join(stems, "term").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"), F.max("lead").alias("lead"))
+    stems = counted.select("term").distinct().filter("term is not null").withColumn("stem", stem(F.col("term")))
+    return counted.join(stems, "term", "left").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"), F.max("lead").alias("lead"))
+
+
+#: Distinct query terms up to which they are sent to every task.
+BROADCAST_TERMS = 1 << 17
+
+
+def asked_postings(postings: DataFrame, terms: DataFrame, leads: bool = True) -> DataFrame:
+    """Postings of the queries' terms (``asked``), and, for statistics, those that lead their rows, written once: nothing else is read."""
+    wanted = terms.select("term").distinct().withColumn("asked", F.lit(True))
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
+    return cut(postings.join(wanted, "term", "left").filter("asked or lead") if leads else postings.join(wanted, "term"))
 
 
 def query_terms(queries: DataFrame, text: str, stem=None, **options) -> DataFrame:
@@ -98,25 +120,41 @@ def _all_or_any(hits: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.join(wanted, "query_id").withColumn("best", best).filter("best < wanted or matched = wanted").drop("best", "wanted")
 
 
+#: Distinct terms up to which a filter names them one by one.
+NAMED_TERMS = 1 << 10
+
+
+def within_terms(terms: DataFrame) -> Column:
+    """A condition on postings that holds for all of the queries' terms: the terms by name where they are few, else their range."""
+    few = [r["term"] for r in terms.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+    if len(few) <= NAMED_TERMS:
+        return F.col("term").isin(few)
+    ends = terms.agg(F.min("term"), F.max("term")).head()
+    return F.col("term").between(ends[0], ends[1])
+
+
 def boolean_match(postings: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """(query_id, key, matched): ids that hold all of a query's terms, or, where there are none, any of them."""
     return _all_or_any(postings.join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("matched")), terms)
 
 
-def bm25(postings: DataFrame, terms: DataFrame, key: str, n_docs: int | None = None) -> DataFrame:
+def bm25(postings: DataFrame, terms: DataFrame, key: str, n_docs: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, key, bm25, matched) over the whole index; filters come after, as statistics are index-wide.
 
-    The document frequency is taken for the queries' terms only, so the postings are read once and shuffled once.
+    The document frequency is taken for the queries' terms only. Every row counts in the statistics, with tokens or without;
+    an index that keeps them gives its one row of ``stats`` (n, avgdl).
     """
-    stats = postings.filter("lead").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    kept = asked_postings(postings, terms, stats is None)
+    if stats is None:
+        stats = kept.filter("lead").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     if n_docs is not None:
         stats = stats.withColumn("n", F.lit(n_docs))
-    wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = kept.filter("asked")
     frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = wanted.join(frequency, "term").join(F.broadcast(stats)).join(terms, "term")
-    return scored.groupBy("query_id", key).agg(F.round(F.sum(idf * gain), 6).alias("bm25"), F.count("*").alias("matched"))
+    weights = terms.join(frequency, "term").join(F.broadcast(stats))  # one row of statistics
+    return wanted.join(weights, "term").groupBy("query_id", key).agg(F.round(F.sum(idf * gain), 6).alias("bm25"), F.count("*").alias("matched"))
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -192,7 +230,7 @@ def _cosines(k: int, floor: float) -> Callable:
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if candidates.num_rows and queries.num_rows:
-            (x, ids), (q, names) = ((np.array([v.as_py() for v in t.column(v_)], np.float64), t.column(i_).to_numpy()) for t, v_, i_ in ((candidates, "vector", "entity_id"), (queries, "query_vector", "query_id")))
+            (x, ids), (q, names) = ((np.asarray(t.column(v_).combine_chunks().flatten()).astype(np.float64).reshape(t.num_rows, -1), t.column(i_).to_numpy()) for t, v_, i_ in ((candidates, "vector", "entity_id"), (queries, "query_vector", "query_id")))
             wide, long = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
             x, ids, wide = x[wide > 0], ids[wide > 0], wide[wide > 0]
             for a in range(0, len(q), 256):

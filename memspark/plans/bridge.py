@@ -72,7 +72,7 @@ class Bridge:
 
     @cached_property
     def query_vectors(self) -> DataFrame:
-        return self.embeddings.filter("entity_id % 50 = 0").selectExpr("entity_id as query_id", "model", "dim", "vector as query_vector")
+        return self.embeddings.filter("entity_id % 20 = 0").selectExpr("entity_id as query_id", "model", "dim", "vector as query_vector")
 
     @cached_property
     def summaries(self) -> DataFrame:
@@ -137,7 +137,7 @@ VIEWS: dict[str, str] = {
         {E0} + doc_id * 600 AS created_s, {E0} + doc_id * 600 + n_chars AS updated_s, doc_id % 4 AS cited_count, doc_id % 40 = 39 AS archived, doc_id % 100 AS session_id
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "mem_embeddings": "SELECT vec_id AS entity_id, label AS type, CASE WHEN vec_id % 10 < 9 THEN 'm|' ELSE 'old|' END AS model, len(embedding) AS dim, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings",
-    "query_vectors": "SELECT entity_id AS query_id, model, dim, vector AS query_vector FROM mem_embeddings WHERE entity_id % 50 = 0",
+    "query_vectors": "SELECT entity_id AS query_id, model, dim, vector AS query_vector FROM mem_embeddings WHERE entity_id % 20 = 0",
     "mem_summaries": """SELECT session_id * 1000 + chunk AS id, session_id, project_id, 'chunk' AS level, min(ts_s) AS start_s, max(ts_s) AS end_s, count(*) AS events
         FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY ts_s, event_id) - 1) // 4 AS chunk FROM mem_events) GROUP BY session_id, project_id, chunk
         UNION ALL SELECT session_id * 1000 + 999, session_id, project_id, 'session', NULL, NULL, event_count FROM mem_sessions WHERE session_id % 2 = 0""",

@@ -132,17 +132,17 @@ def _(b):
     return ingest.direct_entities(b.entities.withColumnRenamed("id", "event_id")).drop("content")
 
 
-_WORDS = (("decision", r"\b(the that|and the)\b"), ("todo", r"\b(of the) .+ (er|in)\b"), ("todo", r"\b(tion|able) (the|and)\b"))
+# the shipped patterns, and some that the data hold
+_PATTERNS = ingest.DETECT_PATTERNS + (("decision", r"\b(the that|and the)\b"), ("todo", r"\b(of the) .+ (er|in)\b"), ("todo", r"\b(tion|able) (the|and)\b"))
 
 
-@query("b8_detect_statements", """
-p AS (SELECT * FROM (VALUES (0, 'decision', '(?i)\\b(the that|and the)\\b'), (1, 'todo', '(?i)\\b(of the) .+ (er|in)\\b'), (2, 'todo', '(?i)\\b(tion|able) (the|and)\\b')) t(n, type, e)),
+@query("b8_detect_statements", "p AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', '(?i){}')".format(i, t, p.replace("'", "''")) for i, (t, p) in enumerate(_PATTERNS)) + """) t(n, type, e)),
 s AS (SELECT event_id, unnest(string_split(regexp_replace(content, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS raw, generate_subscripts(string_split(regexp_replace(content, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)), 1) AS place
   FROM mem_events WHERE length(content) >= 10),
 f AS (SELECT event_id, n, type, arg_min(trim(raw), place) AS sentence FROM s, p WHERE length(trim(raw)) > 5 AND regexp_matches(trim(raw), e) GROUP BY ALL)
 SELECT DISTINCT event_id, type, substr(sentence, 1, 500) AS snippet FROM f""")
 def _(b):
-    return ingest.detect_statements(b.events, _WORDS)
+    return ingest.detect_statements(b.events, _PATTERNS)
 
 
 @query("b9_sessionize", """

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from memspark.functions.checkpoints import cut
-from memspark.operators import embed, search
+from memspark.functions.checkpoints import cut, shared_folder
+from memspark.operators import embed, search, upkeep
 from memspark.plans.bridge import NOW, Bridge, with_views
 
 Q, S = {}, {}
@@ -22,20 +24,17 @@ def query(name: str, sql: str | None = None):
 
 
 def asked(b):
-    return b.table("benchmark").selectExpr("item_id as query_id", "substring(text, 1, 160) as text")
+    return b.table("benchmark").selectExpr("item_id as query_id", "text")
 
 
 def terms(b):
-    return search.query_terms(asked(b), "text", min_len=5, max_tokens=4)
+    return search.query_terms(asked(b), "text")
 
 
 _TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\\pL\\pN]+'), lambda t: t <> '')"
-_WORDS = "list_filter(regexp_split_to_array(lower(substr(text, 1, 160)), '[^\\pL\\pN_]+'), lambda t: length(t) >= 5)"
 TERMS = f"""
-asked AS (SELECT item_id AS query_id, {_WORDS} AS w FROM benchmark),
-ordered AS (SELECT query_id, t AS term, min(i) AS i FROM (SELECT query_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM asked) GROUP BY ALL),
-picked AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM ordered) WHERE r <= 4),
-terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("term")}) AS term FROM picked)
+asked AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda t: t <> '')) AS word FROM benchmark),
+terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("word")}) AS term FROM (SELECT DISTINCT query_id, word FROM asked))
 """
 
 
@@ -46,9 +45,10 @@ counted AS (SELECT term, {key}, count(*) AS tf FROM words GROUP BY ALL),
 postings AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY {key}) AS BIGINT) AS dl FROM counted)"""
 
 
-def _bm25(key: str, seen: str = "scores") -> str:
+def _bm25(key: str, seen: str = "scores", table: str | None = None) -> str:
+    table = table or {"id": "mem_entities", "event_id": "mem_events"}[key]
     return f"""
-stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT {key}, dl FROM postings)),
+stats AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM {table} AS every LEFT JOIN (SELECT DISTINCT {key}, dl FROM postings) AS filled ON every.{key} = filled.{key}),
 freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 scores AS (SELECT query_id, {key}, count(*) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS bm25
   FROM postings JOIN terms USING (term) JOIN freq USING (term), stats GROUP BY query_id, {key}),
@@ -66,13 +66,12 @@ def _(b):
 
 
 def entity_index(b):
-    return cut(search.build_index(b.entities, "id", ["title", "content"]))  # built once, read by statistics and scores
+    return search.build_index(b.entities, "id", ["title", "content"])
 
 
 @query("d2_build_index", ENTITY_INDEX + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(max(dl) AS BIGINT) AS longest FROM postings GROUP BY term")
 def _(b):
-    index = search.build_index(b.entities, "id", ["title", "content"])
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("dl").alias("longest"))
+    return entity_index(b).filter("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("dl").alias("longest"))
 
 
 @query("d3_boolean_match", f"{TERMS}, {ENTITY_INDEX}, {_bm25('id')} SELECT query_id, id, matched FROM matched")
@@ -113,7 +112,7 @@ eranked AS (SELECT query_id, m.event_id, type, ts_s, row_number() OVER (PARTITIO
 
 
 def event_index(b):
-    return cut(search.build_index(b.events, "event_id", ["content"]))
+    return search.build_index(b.events, "event_id", ["content"])
 
 
 @query("d5_event_hits", f"{TERMS}, {_EVENTS} SELECT query_id, event_id, type, score, rank FROM eranked WHERE rank <= 10")
@@ -128,36 +127,6 @@ def _(b):
     return search.rank_events(event_index(b), b.events, terms(b), 10, NOW, scope=scope).select("query_id", "event_id", "type", "rank")
 
 
-# The SQL of the queries above cuts the search texts; these take whole texts with the reference's defaults, without SQL.
-def whole_terms(b):
-    return search.query_terms(b.table("benchmark").selectExpr("item_id as query_id", "text"), "text")
-
-
-@query("d1_query_tokens_whole")
-def _(b):
-    return whole_terms(b)
-
-
-@query("d3_boolean_match_whole")
-def _(b):
-    return search.boolean_match(entity_index(b), whole_terms(b), "id")
-
-
-@query("d4_bm25_rank_whole")
-def _(b):
-    return search.rank_entities(entity_index(b), b.entities, whole_terms(b), 10).select("query_id", "id", "bm25", "rank")
-
-
-@query("d5_event_hits_whole")
-def _(b):
-    return search.rank_events(event_index(b), b.events, whole_terms(b), 10, NOW).select("query_id", "event_id", "type", "score", "rank")
-
-
-@query("d10_search_whole")
-def _(b):
-    return search.search(b.events, event_index(b), b.entities, entity_index(b), whole_terms(b), 10, NOW)
-
-
 @query("d6_recency", f"SELECT event_id, round({_RECENCY.format('ts_s')}, 6) AS recency FROM mem_events")
 def _(b):
     return b.events.select("event_id", F.round(search.recency(F.col("ts_s"), NOW), 6).alias("recency"))
@@ -176,11 +145,11 @@ def _(b):
 
 
 @query("d8_rank_fusion", f"""{_VECTOR}, {_RANKED.strip()},
-vq AS (SELECT query_id // 50 AS query_id, entity_id AS id, rank FROM near WHERE rank <= 10),
+vq AS (SELECT query_id // 20 AS query_id, entity_id AS id, rank FROM near WHERE rank <= 10),
 f AS (SELECT query_id, id, sum(1.0 / (59 + rank)) AS fused FROM (SELECT query_id, id, rank FROM ranked WHERE rank <= 10 UNION ALL SELECT * FROM vq) GROUP BY ALL)
 SELECT query_id, id, round(fused / max(fused) OVER (PARTITION BY query_id), 6) AS relevance FROM f""")
 def _(b):
-    near = search.vector_rank(b.embeddings, b.query_vectors, 10, 0.1).selectExpr("query_id div 50 as query_id", "entity_id as id", "rank")
+    near = search.vector_rank(b.embeddings, b.query_vectors, 10, 0.1).selectExpr("query_id div 20 as query_id", "entity_id as id", "rank")
     return search.rrf([search.rank_entities(entity_index(b), b.entities, terms(b), 10), near], "id")
 
 
@@ -254,9 +223,39 @@ def _(b):
 
 
 @query("e6_block_cosine", """
-v AS (SELECT entity_id AS id, type, entity_id % 20 AS part, vector FROM mem_embeddings)
-SELECT a.type, a.part, a.id AS left_id, b.id AS right_id, round(list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) AS similarity
-FROM v a JOIN v b ON a.type = b.type AND a.part = b.part AND a.id < b.id""")
+v AS (SELECT entity_id AS id, type, vector FROM mem_embeddings)
+SELECT a.type, a.id AS left_id, b.id AS right_id, round(list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) AS similarity
+FROM v a JOIN v b ON a.type = b.type AND a.id <> b.id AND a.id % 20 = 0""")
+def _(b):
+    v = b.embeddings.selectExpr("entity_id as id", "type", "vector")
+    return embed.block_cosine(v.filter("id % 20 = 0"), v, ["type"])
+
+
+# Three batches of changes, then a search: it must be one over the entities as they are at the end.
+_KEPT = """kept AS (SELECT id, CASE WHEN id % 5 = 0 THEN title ELSE coalesce(title, '') || ' ' || content END AS t FROM mem_entities WHERE id % 7 <> 0)"""
+
+
+@query("d2_index_upkeep", f"{TERMS}, {_KEPT}, {_index('id', 'kept', 't')}, {_bm25('id', table='kept')} SELECT query_id, id, matched, bm25 FROM scores")
 def _(b):
-    v = b.embeddings.selectExpr("entity_id as id", "type", "entity_id % 20 as part", "vector")
-    return embed.block_cosine(v, v, ["type", "part"])
+    index = upkeep.KeptIndex(b.spark, f"{shared_folder(b.spark)}/index-{uuid.uuid4().hex}", "id", ["title", "content"])
+    whole = b.entities.select("id", "title", "content", F.lit(False).alias("deleted"))
+    index.apply(0, whole.filter("id % 3 <> 0"))
+    index.apply(1, whole.filter("id % 3 = 0 or id % 5 = 0").withColumn("content", F.when(F.col("id") % 5 != 0, F.col("content"))))
+    index.apply(2, whole.filter("id % 7 = 0").withColumn("deleted", F.lit(True)))
+    wanted = cut(terms(b))
+    return search.bm25(index.postings(wanted), wanted, "id", stats=index.stats()).select("query_id", "id", "matched", "bm25")
+
+
+@query("m6_vector_upkeep", """SELECT entity_id, round(list_sum(vector) * CASE WHEN entity_id % 5 = 0 THEN 2 ELSE 1 END, 6) AS total FROM mem_embeddings WHERE entity_id % 7 <> 0""")
+def _(b):
+    vectors = upkeep.Segments(b.spark, f"{shared_folder(b.spark)}/vectors-{uuid.uuid4().hex}", "entity_id", most=2)
+    whole = b.embeddings.select("entity_id", "vector")
+    changes = [whole.withColumn("deleted", F.lit(False)), whole.filter("entity_id % 5 = 0").withColumn("deleted", F.lit(False)), whole.filter("entity_id % 7 = 0").withColumn("deleted", F.lit(True))]
+    for number, (batch, factor) in enumerate(zip(changes, (1, 2, 1), strict=True)):
+        upkeep.keep_vectors(vectors, number, batch, lambda df, f=factor: df.select("entity_id", F.transform("vector", lambda x: x.cast("double") * f).alias("vector")))
+    return vectors.alive().select("entity_id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+# Names that the queries over whole search texts had while others cut them.
+for _name in ("d1_query_tokens", "d3_boolean_match", "d4_bm25_rank", "d5_event_hits", "d10_search"):
+    Q[f"{_name}_whole"], S[f"{_name}_whole"] = Q[_name], S[_name]

@@ -11,7 +11,7 @@ from memspark.operators.ingest import TOOL_ARGS, truncate, truncate_head_tail
 SKIPPED = ("summary", "file-history-snapshot", "queue-operation", "progress")
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame) -> DataFrame:
     """source, line and record of lines that are JSON objects."""
     name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     out = lines.select(name.alias("source"), "line_no", F.expr("try_parse_json(value)").alias("record"))
@@ -25,14 +25,14 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"))
     number = F.row_number().over(Window.partitionBy("path").orderBy("_at")) - 1
-    return _parsed(lines.filter("trim(value) <> ''").withColumn("line_no", number))
+    return parsed(lines.filter("trim(value) <> ''").withColumn("line_no", number))
 
 
 def stream_transcripts(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The same as a stream: new files of a folder. A file must not change once it is there, so a growing transcript is to be
     rotated into files; the checkpoint keeps what has been read."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select("value", F.col("_metadata.file_path").alias("path"), F.lit(None).cast("int").alias("line_no"))
-    return _parsed(lines.filter("trim(value) <> ''"))
+    return parsed(lines.filter("trim(value) <> ''"))
 
 
 def _text(v: Column, path: str) -> Column:
