@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that are encoded or tokens that are decoded by one query; a longer text takes several.
-AT_ONCE = 1 << 17
-#: Words whose ids a task remembers; it forgets all of them when there are more.
+AT_ONCE = 1 << 19
+#: Words, and words with the marks beside them, whose ids a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 1 << 20
 #: Longer words are not remembered.
 LONG_WORD = 256
@@ -46,7 +46,7 @@ WITH RECURSIVE t(word, pos, past, tok) USING KEY (word, pos) AS (
   SELECT word, pos, coalesce(made.past, t.past), coalesce(made.merged, tok) FROM t JOIN least USING (word) LEFT JOIN made USING (word, pos) WHERE tok >= 0))
 SELECT word, list(tok ORDER BY pos) AS ids FROM t WHERE tok >= 0 GROUP BY word ORDER BY word
 """
-_DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
+_DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +61,7 @@ def _as_ranges(points: list[int]) -> str:
 
 
 class Splitter:
-    """The words of a text by a pattern, with letters and numbers as tiktoken knows them: its Unicode tables may be of
+    """The words of a text by a pattern none of whose matches goes on from other characters into white space, with letters and numbers as tiktoken knows them: its Unicode tables may be of
     another version. Texts without characters that the versions class differently, nearly all, take the plain pattern."""
 
     def __init__(self, pattern: str):
@@ -78,11 +78,16 @@ class Splitter:
             exact = exact.replace(name, f"[[{name}{more}]--[{less}]]" if less else f"[{name}{more}]")
         self.plain, self.exact = regex.compile(pattern), regex.compile(exact, regex.V1)
         self.other = re.compile(f"[{other}]") if other else None
+        space = "".join(f"\\U{ord(c):08x}" for c in regex.findall(r"\s", every))
+        self.unit = re.compile(f"[{space}]*[^{space}]+|[{space}]+")
 
-    def words(self, text: str) -> Iterator[str]:
-        """Words in their order; those of a long text are made as they are read."""
-        pattern = self.exact if self.other and self.other.search(text) else self.plain
-        return map(regex.Match.group, pattern.finditer(text)) if len(text) > AT_ONCE else iter(pattern.findall(text))
+    def units(self, text: str) -> Iterator[str]:
+        """Parts of a text that the pattern splits by themselves: white space and what follows up to the next. Those of a long text are made as they are read."""
+        return map(re.Match.group, self.unit.finditer(text)) if len(text) > AT_ONCE else iter(self.unit.findall(text))
+
+    def words(self, unit: str) -> list[str]:
+        pattern = self.exact if self.other and not unit.isascii() and self.other.search(unit) else self.plain
+        return pattern.findall(unit)
 
 
 class Coder:
@@ -94,11 +99,12 @@ class Coder:
         self.first = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ids = np.array(sorted(ranks.values()))
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(a, b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
         columns = np.array(pairs, np.int32).reshape(-1, 3).T
         self._table("merges", pa.table(dict(zip(("first", "second", "merged"), columns, strict=True))))
-        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array([t.hex() for t in ranks])}))
+        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -132,16 +138,18 @@ class Coder:
             at = end
         return found
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of the words as little-endian unsigned 32-bit integers."""
-        new = set(words) - self.known.keys()
-        if not new:
-            return [self.known[w] for w in words]
-        learned = self._learn(new)
-        out = [learned.get(w) or self.known[w] for w in words]
-        if len(self.known) + len(learned) > REMEMBERED:
-            self.known.clear()
-        self.known.update((w, ids) for w, ids in learned.items() if len(w) <= LONG_WORD)
+    def ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of the units as little-endian unsigned 32-bit integers."""
+        if not (new := set(units) - self.known.keys()):
+            return [self.known[u] for u in units]
+        split = {u: self.split.words(u) for u in new}
+        ids = self._learn({w for words in split.values() for w in words} - self.words.keys())
+        learned = {u: b"".join([ids.get(w) or self.words[w] for w in words]) for u, words in split.items()}
+        out = [learned.get(u) or self.known[u] for u in units]
+        for memory, found in ((self.words, ids), (self.known, learned)):
+            if len(memory) + len(found) > REMEMBERED:
+                memory.clear()
+            memory.update((x, packed) for x, packed in found.items() if len(x) <= LONG_WORD)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -156,10 +164,10 @@ class Coder:
             block.clear(), share.clear()
 
         for row, text in enumerate(texts):
-            matches = self.split.words(text or "")
-            while words := list(islice(matches, AT_ONCE)):
-                block += words
-                share.append((row, len(words)))
+            units = self.split.units(text or "")
+            while some := list(islice(units, AT_ONCE)):
+                block += some
+                share.append((row, len(some)))
                 if len(block) >= AT_ONCE:
                     flush()
         flush()
@@ -176,8 +184,13 @@ class Coder:
             if (unknown := np.setdiff1d(part, self.ids)).size:
                 raise ValueError(f"no token has the id {int(unknown[0])}")
             self.db.register("tokens", pa.table({"doc": row_of[a : a + AT_ONCE], "pos": np.arange(len(part), dtype=np.int32), "id": part.astype(np.int32)}))
-            for row, text in self.db.execute(_DECODE).fetchall():
-                out[row] += bytes.fromhex(text)
+            found = self.db.sql(_DECODE).to_arrow_table()
+            parts = found.column("parts").combine_chunks()
+            tokens = parts.flatten()
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(tokens).to_numpy())])
+            data, edges = b"".join(tokens.to_pylist()), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            for i, row in enumerate(found.column("doc").to_pylist()):
+                out[row] += data[ends[edges[i]] : ends[edges[i + 1]]]
             self.db.unregister("tokens")
         return [bytes(x) for x in out]
 
