@@ -187,10 +187,11 @@ class Coder:
             found = self.db.sql(_DECODE).to_arrow_table()
             parts = found.column("parts").combine_chunks()
             tokens = parts.flatten()
-            ends = np.concatenate([[0], np.cumsum(pc.binary_length(tokens).to_numpy())])
-            data, edges = b"".join(tokens.to_pylist()), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            data = memoryview(tokens.buffers()[2])  # the tokens' bytes one after the other
+            ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+            edges = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
             for i, row in enumerate(found.column("doc").to_pylist()):
-                out[row] += data[ends[edges[i]] : ends[edges[i + 1]]]
+                out[row] += data[edges[i] : edges[i + 1]]
             self.db.unregister("tokens")
         return [bytes(x) for x in out]
 
