@@ -72,14 +72,8 @@ t AS (SELECT *, total - coalesce(CAST(sum(3 * source_size) OVER (o ROWS BETWEEN
 l AS (SELECT free AS f, onward AS n FROM t WHERE free * weight <= 3 * source_size * onward ORDER BY 3 * source_size / weight, r LIMIT 1),
 g AS (SELECT source, source_size, CASE WHEN 3 * source_size * n < weight * f THEN CAST(3 * source_size AS DOUBLE) ELSE weight * f / n END AS target FROM t, l),
 a AS (SELECT *, CAST(floor(target) AS BIGINT) AS whole FROM g),
-e AS (SELECT *, CAST(sum(whole) OVER () AS HUGEINT) AS every, CAST(coalesce(sum(whole) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS ahead FROM a),
-z AS (SELECT greatest(1, (max(every) + 63) // 64) AS points, CAST(ceil(log2(greatest(2, points))) AS INTEGER) AS bits FROM e),
-i AS (SELECT unnest(range(CAST(points AS BIGINT))) AS time, bits FROM z),
-v AS (SELECT list_sum(list_transform(range(bits), lambda b: ((time >> CAST(b AS INTEGER)) & 1) << CAST(bits - 1 - b AS INTEGER))) AS point FROM i),
-y AS (SELECT source, count(point) AS n FROM e, z LEFT JOIN v ON point >= (ahead * (1 << bits) + every - 1) // every AND point < ((ahead + whole) * (1 << bits) + every - 1) // every GROUP BY source),
-p AS (SELECT doc_id, size, source_size, target, least(greatest(n, 1) * 64, whole) AS take,
-    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-  FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source JOIN y ON d.source IS NOT DISTINCT FROM y.source)
+p AS (SELECT doc_id, size, source_size, target, whole AS take, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+  FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source)
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
   (take // source_size) * size + greatest(least(start + size, take % source_size) - start, 0) END AS taken FROM p
 """

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame functions only.
 
 The points of a van der Corput sequence are mapped through the sources' cumulative target shares, so each point is a slot
-of one source; a source's slots are ranked by time and the r-th takes the r-th block of equal token number from the
-source's shuffled stream of documents, which starts again when it is used up. How many slots the sequence gives a source
-decides how many words it gives: near its target, as the sequence's discrepancy is low.
+of one source. A source's target is cut into as many blocks of equal token number as it has slots; its slots are ranked by
+time, and the r-th takes the r-th block from the source's shuffled stream of documents, which starts again when it is used
+up. As the sequence's discrepancy is low, blocks are of nearly one size in all sources, and every source gives its target.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from memspark.llm.common import cut, text_key
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-BLOCK_TOKENS = 64
+#: Words of a block, or more where there would be more than MOST_SLOTS blocks.
+BLOCK_TOKENS, MOST_SLOTS = 64, 1 << 20
 _SLOTS_AT_ONCE = 4096
 #: Blocks of a stream's cells, by which documents and slots meet.
 _BLOCKS_IN_CELL = 4
@@ -53,15 +54,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return out.select("source", "rank", "source_size", "total", "target", "whole", ahead.alias("ahead"), F.sum("whole").over(Window.partitionBy()).alias("every"))
 
 
+def block_size(targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> int:
+    found = targets.select("every").head()
+    return max(block_tokens, -(-(found.every if found else 0) // MOST_SLOTS))
+
+
 def slots(targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The schedule: slot (time), rank of its source, number (rank among the source's slots), and its tokens
     [first, stop) in the source's endlessly repeated stream.
 
-    There are as many slots as blocks fill the sum of the targets. A source takes no words beyond its target; one too
-    small for a slot of its own has one, at the first point of its share.
+    There are as many slots as blocks fill the sum of the targets. A source's slots share its target equally, to a word; one
+    too small for a slot of its own has one, at the first point of its share.
     """
     found = targets.select("every").head()
-    points = max(1, -(-(found.every if found else 0) // block_tokens))
+    points = max(1, -(-(found.every if found else 0) // block_size(targets, block_tokens)))
     bits = max(1, math.ceil(math.log2(points)))
     edge = lambda c: F.expr(f"(cast({c} as decimal(20, 0)) * cast({1 << bits} as decimal(17, 0)) + every - 1) div every")
     own = targets.filter("whole > 0").select("rank", "source_size", "whole", edge("ahead").alias("low"), edge("ahead + whole").alias("high"))
@@ -79,9 +85,9 @@ def slots(targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     of_rank = Window.partitionBy("rank")
     earlier = F.coalesce(F.sum("count").over(of_rank.orderBy("era").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     eras = eras.select("rank", "era", earlier.alias("earlier"), F.sum("count").over(of_rank).alias("n"))
-    own = own.hint("merge").join(eras, ["rank", "era"]).filter("timely or n = 0")
+    own = own.hint("merge").join(eras, ["rank", "era"]).filter("timely or n = 0").withColumn("n", F.greatest("n", F.lit(1)))
     own = own.withColumn("number", F.col("earlier") + F.row_number().over(Window.partitionBy("rank", "era").orderBy("slot")) - 1)
-    start, stop = (F.least((F.col("number") + i) * block_tokens, F.col("whole")) for i in (0, 1))
+    start, stop = (F.expr(f"(number + {i}) * (whole div n) + least(number + {i}, whole % n)") for i in (0, 1))
     return own.select("slot", "rank", "source_size", "number", start.alias("first"), stop.alias("stop")).filter("first < stop")
 
 
@@ -105,7 +111,7 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], repeats: int, block_token
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("order", "id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = worded.withColumn("inside", inside).hint("merge").join(sums.select("rank", "bucket", ahead.alias("before")), ["rank", "bucket"])
     placed = placed.select("row", "rank", (F.col("inside") + F.col("before")).alias("start"), (F.col("inside") + F.col("before") + F.col("size")).alias("end"))
-    width = block_tokens * _BLOCKS_IN_CELL
+    width = block_size(targets, block_tokens) * _BLOCKS_IN_CELL
     cell = lambda c: F.expr(f"({c}) div {width}")
     blocks = placed.withColumn("cell", F.explode(F.sequence(cell("start"), cell("end - 1"))))
     used = slots(targets, block_tokens)
@@ -131,9 +137,8 @@ def source_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     """Words that the mix takes of every document row: the columns ``keep``, size, source_size, target, taken.
 
     ``docs`` needs doc_id, source and text; other columns are ignored unless named in ``keep``, and those that have the name of
-    an outcome give way to it. A source's stream is its documents in the order of a hash of seed and doc_id; it gives as
-    many words as its slots hold, repeats counted, and never more than its target, so no document gives more than
-    ``repeats`` times its size. Null texts and texts without words have size 0 and give nothing; a null source is a
+    an outcome give way to it. A source's stream is its documents in the order of a hash of seed and doc_id; it gives
+    its target in whole words, repeats counted, so no document gives more than ``repeats`` times its size. Null texts and texts without words have size 0 and give nothing; a null source is a
     source of its own, ranked last. Rows that repeat a doc_id are documents of their own, ordered by size and a hash of
     the text. An empty table gives no rows.
     """

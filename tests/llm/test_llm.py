@@ -540,8 +540,7 @@ def test_source_mix(docs, texts):
         assert r["size"] == sizes[r.doc_id] and 0 <= r.taken <= 3 * r["size"]
         source = f"s{r.doc_id % 3}" if r.doc_id % 7 else None
         taken[source], target[source] = taken.get(source, 0) + r.taken, r.target
-    assert all(math.floor(target[s]) - 16 * 4 <= taken[s] <= math.floor(target[s]) for s in taken)
-    assert len({math.floor(target[s]) - taken[s] for s in taken}) > 1  # the slots decide, not the targets
+    assert all(taken[s] == math.floor(target[s]) for s in taken)
     pieces = source_mix.mix_schedule(docs, block_tokens=16).collect()
     words = {}
     for r in pieces:
@@ -554,6 +553,24 @@ def test_source_mix(docs, texts):
     assert [r.taken for r in source_mix.source_mix(docs.filter("doc_id = 30")).collect()] == [0]
 
 
+@pytest.mark.parametrize(("n", "sources"), [(12, 3), (300, 20), (1000, 4)])
+def test_sources_reach_their_targets_on_small_tables(spark, n, sources):
+    rng = random.Random(n)
+    rows = [(i, " ".join(["w"] * rng.randrange(60)), f"s{i % sources}") for i in range(n)]
+    taken, target = {}, {}
+    for r in source_mix.source_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("doc_id", "source")).collect():
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert all(abs(taken[s] - target[s]) < 1 for s in target) and len(target) == sources
+
+
+def test_blocks_of_all_sources_are_of_nearly_one_size_and_bounded_in_number(spark, monkeypatch):
+    targets = source_mix.source_targets(spark.createDataFrame([("a", 500_000), ("b", 70_000), (None, 4_000)], "source string, size long")).cache()
+    blocks = [r.stop - r["first"] for r in source_mix.slots(targets).collect()]
+    assert sum(blocks) == sum(r.whole for r in targets.collect()) and 60 <= min(blocks) and max(blocks) <= 68
+    monkeypatch.setattr(source_mix, "MOST_SLOTS", 100)
+    assert source_mix.slots(targets).count() <= 110
+
+
 def test_schedule_is_even_over_time(spark):
     targets = source_mix.source_targets(spark.createDataFrame([("a", 5000), ("b", 5000), ("c", 5000)], "source string, size long"))
     rows = sorted((r.slot, r["rank"]) for r in source_mix.slots(targets, 16).collect())
@@ -759,15 +776,9 @@ def test_pipeline_against_brute_force(spark, texts, tmp_path):
             whole[s] = math.floor(most[s] if over else fair[s])
             left -= most[s] if over else 0
         free = [s for s in free if s in over and False or s not in whole]
-    total, block = sum(whole.values()), source_mix.BLOCK_TOKENS
-    points = -(-total // block)
-    bits = max(1, math.ceil(math.log2(points)))
-    places = [int(f"{i:0{bits}b}"[::-1], 2) for i in range(points)]
-    want, ahead = {}, 0
+    want = {}
     for s in sources:
-        low, high = (-(-(x << bits) // total) for x in (ahead, ahead + whole[s]))
-        take, at = min(max(1, sum(low <= p < high for p in places)) * block, whole[s]), 0
-        ahead += whole[s]
+        take, at = whole[s], 0
         stream = sorted((hashlib.md5(f"0:{i}".encode()).hexdigest(), i, t) for i, t in kept if of(i) == s and size[i])
         length = sum(size[i] for _, i, _ in stream)
         for _, i, t in stream:
