@@ -34,3 +34,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         links = cut(right.distinct())
         nodes = nodes.join(point, nodes.root == point["at"], "left").select("node", F.coalesce("to", "root").alias("root"))
     raise RuntimeError(f"components not found in {max_rounds} rounds")
+
+
+def chain_ends(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, end) for every ``src``: the last node of the chain that its links lead along, null where they lead into a cycle.
+
+    A node has one link at most. Pointers are doubled, so passes grow with the logarithm of the longest chain; when a pass
+    ends no chain any more, what is left runs in circles.
+    """
+    state = cut(links.select(F.col(src).alias("node"), F.col(dst).alias("end")).filter("node is not null and end is not null"))
+    open_ = None
+    while True:
+        follow = state.select(F.col("node").alias("_at"), F.col("end").alias("_next"))
+        moved = state.join(follow, F.col("end") == F.col("_at"), "left")
+        left = moved.filter("_at is not null").count()
+        if left == 0:
+            return state
+        if left == open_:
+            return moved.select("node", F.when(F.col("_at").isNull(), F.col("end")).alias("end"))
+        open_ = left
+        state = cut(moved.select("node", F.coalesce("_next", "end").alias("end")))

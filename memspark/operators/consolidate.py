@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.checkpoints import cut
+from memspark.functions.graph import chain_ends
 from memspark.functions.numbering import numbered
 from memspark.functions.text import ratio_at_least
 from memspark.operators.search import dot, query_tokens
@@ -54,27 +55,69 @@ def validate_verdicts(asked: DataFrame, candidates: DataFrame, verdicts: DataFra
     return out.select("batch", "id", F.when(F.col("_fine"), F.col("verdict")).otherwise("ADD").alias("verdict"), F.when(F.col("_fine") & (F.col("verdict") != "ADD"), F.col("existing_id")).alias("existing_id")).distinct()
 
 
+def _claims(decisions: DataFrame, dead: DataFrame) -> DataFrame:
+    """Supersessions (batch, position, id, verdict, existing_id) with _wins: the first by position on an entity that is not dead."""
+    gone = dead.select(F.col("id").alias("existing_id")).distinct().withColumn("_dead", F.lit(True))
+    claims = decisions.filter("verdict in ('UPDATE', 'CONTRADICTS')").join(gone, "existing_id", "left")
+    turn = F.row_number().over(Window.partitionBy("existing_id").orderBy("position", "id"))
+    return claims.withColumn("_wins", (turn == 1) & F.col("_dead").isNull())
+
+
 def apply_verdicts(decisions: DataFrame, dead: DataFrame) -> DataFrame:
     """(batch, id, outcome, target) of decisions (batch, position, id, verdict, existing_id).
 
     First the supersessions: of UPDATE and CONTRADICTS on one entity the first by position wins, the others add, as do
-    those on an entity already dead. Then every NOOP goes to the survivor of its entity, and adds if that is dead. The second
-    step sees all of the first, so the order of decisions does not matter to it.
+    those on an entity already dead. Then every NOOP goes to the survivor of its entity, at the end of the chain of
+    supersessions where it was superseded again, and adds if that is dead or the chain is a circle. The second step sees
+    all of the first, so the order of decisions does not matter to it.
     """
-    gone = dead.select(F.col("id").alias("existing_id")).distinct().withColumn("_dead", F.lit(True))
-    claims = decisions.filter("verdict in ('UPDATE', 'CONTRADICTS')").join(gone, "existing_id", "left")
-    turn = F.row_number().over(Window.partitionBy("existing_id").orderBy("position", "id"))
-    claims = claims.withColumn("_wins", (turn == 1) & F.col("_dead").isNull())
-    survivors = claims.filter("_wins").select("existing_id", F.col("id").alias("survivor"))
+    claims = cut(_claims(decisions, dead))
+    gone = dead.select(F.col("id").alias("_gone")).distinct()
+    survivors = chain_ends(claims.filter("_wins"), "existing_id", "id").select(F.col("node").alias("existing_id"), F.col("end").alias("survivor"), F.lit(True).alias("_moved"))
     first = claims.select("batch", "id", F.when(F.col("_wins"), F.col("verdict")).otherwise("ADD").alias("outcome"), F.when(F.col("_wins"), F.col("existing_id")).alias("target"))
-    noops = decisions.filter("verdict = 'NOOP'").join(survivors, "existing_id", "left").join(gone, "existing_id", "left")
-    alive = F.col("survivor").isNotNull() | F.col("_dead").isNull()
-    to = F.coalesce("survivor", "existing_id")
-    second = noops.select("batch", "id", F.when(alive & (to != F.col("id")), "NOOP").otherwise("ADD").alias("outcome"), F.when(alive & (to != F.col("id")), to).alias("target"))
+    noops = decisions.filter("verdict = 'NOOP'").join(survivors, "existing_id", "left").withColumn("_to", F.when(F.col("_moved"), F.col("survivor")).otherwise(F.col("existing_id")))
+    noops = noops.join(gone, F.col("_to") == F.col("_gone"), "left")
+    fine = F.col("_to").isNotNull() & F.col("_gone").isNull() & (F.col("_to") != F.col("id"))
+    second = noops.select("batch", "id", F.when(fine, "NOOP").otherwise("ADD").alias("outcome"), F.when(fine, F.col("_to")).alias("target"))
     third = decisions.filter("verdict = 'ADD'").select("batch", "id", F.lit("ADD").alias("outcome"), F.lit(None).cast(decisions.schema["existing_id"].dataType).alias("target"))
     return first.unionByName(second).unionByName(third)
 
 
+def consolidate_entities(entities: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
+    """``entities`` after the outcomes of ``apply_verdicts``, in one rewrite, with ``changed``.
+
+    What an UPDATE or CONTRADICTS supersedes becomes stale with the reason and the entity that took its place, a contradicted
+    one with the time it ended (invalidated_s). What a NOOP found to be there already is archived and names its survivor,
+    which counts as updated now. Citations go along the links to the entity at their end, and stay where links run in a
+    circle. Entities need id, stale, archived, cited_count, updated_s; an entity archived before keeps its state.
+    """
+    took = outcomes.filter("outcome in ('UPDATE', 'CONTRADICTS')").groupBy(F.col("target").alias("_old")).agg(F.min_by("id", "id").alias("_by"), F.min_by("outcome", "id").alias("_how"))
+    live = entities.filter("not archived").select("id")
+    same = outcomes.filter("outcome = 'NOOP'").join(live, "id", "left_semi").groupBy(F.col("id").alias("_copy")).agg(F.min("target").alias("_survivor"))
+    took, same = cut(took), cut(same)
+    links = cut(took.select(F.col("_old").alias("src"), F.col("_by").alias("dst")).union(same.join(took.select(F.col("_old").alias("_copy")), "_copy", "left_anti").select("_copy", "_survivor")))
+    ends = cut(chain_ends(links).filter("end is not null"))
+    credit = ends.join(entities.select(F.col("id").alias("node"), "cited_count"), "node").groupBy(F.col("end").alias("_end")).agg(F.sum("cited_count").alias("_credit"))
+    touched = same.select(F.col("_survivor").alias("_touched")).distinct()
+    given = ends.select(F.col("node").alias("_giver"))
+    out = entities
+    for part, key in ((took, "_old"), (same, "_copy"), (credit, "_end"), (touched, "_touched"), (given, "_giver")):
+        out = out.join(part, out["id"] == part[key], "left")
+    old, copy = F.col("_old").isNotNull(), F.col("_copy").isNotNull()
+    new = {
+        "stale": F.col("stale") | old,
+        "archived": F.col("archived") | copy,
+        "superseded_by": F.when(old, F.col("_by")).when(copy, F.col("_survivor")).otherwise(F.col("superseded_by") if "superseded_by" in entities.columns else F.lit(None)),
+        "staleness_reason": F.when(old, F.when(F.col("_how") == "UPDATE", "consolidated").otherwise("contradicted")).otherwise(F.col("staleness_reason") if "staleness_reason" in entities.columns else F.lit(None)),
+        "invalidated_s": F.when(F.col("_how") == "CONTRADICTS", F.lit(now).cast("long")).otherwise(F.col("invalidated_s") if "invalidated_s" in entities.columns else F.lit(None)),
+        "cited_count": F.when(F.col("_giver").isNotNull(), F.lit(0)).otherwise(F.col("cited_count")) + F.coalesce("_credit", F.lit(0)),
+        "updated_s": F.when(F.col("_touched").isNotNull(), F.lit(now).cast("long")).otherwise(F.col("updated_s")),
+        "changed": old | copy | F.col("_end").isNotNull() | F.col("_touched").isNotNull(),
+    }
+    kept = [new[c].alias(c) if c in new else F.col(c) for c in entities.columns]
+    return out.select(*kept, *[v.alias(c) for c, v in new.items() if c not in entities.columns])
+
+
 def decision_report(decisions: DataFrame) -> DataFrame:
     """Per bucket of decisions (verdict, judged, failed, similarity): number, least, median and most similarity."""
     bucket = F.when(F.col("verdict") != "ADD", F.col("verdict")).when(F.col("failed"), "ADD judge failed").when(F.col("judged"), "ADD judged").otherwise("ADD never asked")

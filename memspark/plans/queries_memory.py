@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
 from memspark.operators import briefing, consolidate, corpus, dedupe, infer, retention, sensitive
 from memspark.plans.bridge import E0, NOW, Bridge, with_views
 
@@ -180,7 +182,7 @@ def _(b):
 dead AS (SELECT id FROM mem_entities WHERE id % 5 = 0),
 c AS (SELECT *, row_number() OVER (PARTITION BY existing_id ORDER BY position, id) = 1 AND existing_id NOT IN (SELECT id FROM dead) AS wins FROM verdicts WHERE verdict IN ('UPDATE', 'CONTRADICTS')),
 s AS (SELECT existing_id, id AS survivor FROM c WHERE wins),
-m AS (SELECT v.batch, v.id, coalesce(survivor, v.existing_id) AS t, survivor IS NOT NULL OR v.existing_id NOT IN (SELECT id FROM dead) AS alive FROM verdicts v LEFT JOIN s ON v.existing_id = s.existing_id WHERE verdict = 'NOOP')
+m AS (SELECT v.batch, v.id, coalesce(survivor, v.existing_id) AS t, coalesce(survivor, v.existing_id) NOT IN (SELECT id FROM dead) AS alive FROM verdicts v LEFT JOIN s ON v.existing_id = s.existing_id WHERE verdict = 'NOOP')
 SELECT batch, id, CASE WHEN wins THEN verdict ELSE 'ADD' END AS outcome, CASE WHEN wins THEN existing_id END AS target FROM c
 UNION ALL SELECT batch, id, CASE WHEN alive AND t <> id THEN 'NOOP' ELSE 'ADD' END, CASE WHEN alive AND t <> id THEN t END FROM m
 UNION ALL SELECT batch, id, 'ADD', NULL FROM verdicts WHERE verdict = 'ADD'""")
@@ -188,6 +190,25 @@ def _(b):
     return consolidate.apply_verdicts(b.verdicts, b.entities.filter("id % 5 = 0"))
 
 
+# no entity of the view is both superseded and a successor, so its chains have one link
+@query("f9_consolidated_entities", f"""
+dead AS (SELECT id FROM mem_entities WHERE stale OR archived),
+c AS (SELECT *, row_number() OVER (PARTITION BY existing_id ORDER BY position, id) = 1 AND existing_id NOT IN (SELECT id FROM dead) AS wins FROM verdicts WHERE verdict IN ('UPDATE', 'CONTRADICTS')),
+t AS (SELECT existing_id AS old, id AS taker, verdict AS how FROM c WHERE wins),
+m AS (SELECT v.id AS copy, coalesce(t.taker, v.existing_id) AS survivor FROM verdicts v LEFT JOIN t ON v.existing_id = t.old WHERE v.verdict = 'NOOP'),
+n AS (SELECT m.* FROM m JOIN mem_entities e ON m.copy = e.id WHERE NOT archived AND survivor NOT IN (SELECT id FROM dead) AND survivor <> copy),
+l AS (SELECT old AS src, taker AS dst FROM t UNION ALL SELECT copy, survivor FROM n WHERE copy NOT IN (SELECT old FROM t)),
+p AS (SELECT dst, CAST(sum(cited_count) AS BIGINT) AS credit FROM l JOIN mem_entities e ON l.src = e.id GROUP BY dst)
+SELECT e.id, stale OR old IS NOT NULL AS stale, archived OR copy IS NOT NULL AS archived, coalesce(t.taker, n.survivor) AS superseded_by,
+  CASE how WHEN 'UPDATE' THEN 'consolidated' WHEN 'CONTRADICTS' THEN 'contradicted' END AS staleness_reason, CASE WHEN how = 'CONTRADICTS' THEN {NOW} END AS invalidated_s,
+  CASE WHEN e.id IN (SELECT src FROM l) THEN 0 ELSE cited_count END + coalesce(credit, 0) AS cited_count, CASE WHEN e.id IN (SELECT survivor FROM n) THEN {NOW} ELSE updated_s END AS updated_s
+FROM mem_entities e LEFT JOIN t ON e.id = t.old LEFT JOIN n ON e.id = n.copy LEFT JOIN p ON e.id = p.dst""")
+def _(b):
+    outcomes = cut(consolidate.apply_verdicts(b.verdicts, b.entities.filter("stale or archived")))
+    out = consolidate.consolidate_entities(b.entities, outcomes, NOW)
+    return out.select("id", "stale", "archived", "superseded_by", "staleness_reason", "invalidated_s", "cited_count", "updated_s")
+
+
 @query("f10_decision_report", """
 d AS (SELECT CASE WHEN verdict <> 'ADD' THEN verdict WHEN id % 5 = 0 THEN 'ADD judge failed' WHEN id % 2 = 0 THEN 'ADD judged' ELSE 'ADD never asked' END AS bucket, similarity FROM verdicts)
 SELECT bucket, count(*) AS n, round(min(similarity), 6) AS least, round(median(similarity), 6) AS median, round(max(similarity), 6) AS most FROM d GROUP BY bucket""")
@@ -387,6 +408,78 @@ def _(b):
     return briefing.briefing_text(selected(b), 300, "end of briefing")
 
 
+_SECTION = "CASE section WHEN 'Investigated' THEN 10 WHEN 'Learned' THEN 20 WHEN 'Completed' THEN 30 ELSE 40 END"
+
+
+def _packed(by: str, budget: int, mark: str) -> str:
+    """SQL of packed_text over parts (by, role, section, place, text) that are ordered by o."""
+    most = budget * 4
+    return f"""
+texts AS (SELECT {by}, string_agg(text, chr(10) ORDER BY o) FILTER (role = 'top') AS top, coalesce(string_agg(text, chr(10) ORDER BY o) FILTER (role = 'body'), '') AS body,
+  coalesce(chr(10) || string_agg(text, chr(10) ORDER BY o) FILTER (role = 'tail'), '') AS tail FROM parts GROUP BY {by}),
+rooms AS (SELECT *, greatest({most} - length(tail), 0) AS room FROM texts),
+packed AS (SELECT {by}, coalesce(top || chr(10) || chr(10), '') || CASE WHEN length(body) > room THEN substr(body, 1, greatest(room - {len(mark)}, 0)) || {mark.join("''").replace(chr(10), "' || chr(10) || '")} ELSE body END || tail AS text,
+  length(body) > room AS truncated FROM rooms)"""
+
+
+@query("j6_briefing_document", f"""{_BRIEF},
+l AS (SELECT *, last_value(session_id) OVER (PARTITION BY project_id ORDER BY created_s, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ls FROM mem_entities WHERE NOT archived),
+s AS (SELECT *, CASE WHEN type IN ('research', 'discovery', 'failure') THEN 'Investigated' WHEN type IN ('fact', 'decision') THEN 'Learned' WHEN type = 'todo' THEN 'Next' ELSE 'Completed' END AS section FROM l WHERE session_id = ls),
+r AS (SELECT project_id, {_SECTION} AS section, section AS name, title, row_number() OVER (PARTITION BY project_id, section ORDER BY created_s DESC, id) AS number, count(*) OVER (PARTITION BY project_id, section) - 5 AS overflow FROM s),
+nx AS (SELECT project_id, title, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN type = 'failure' THEN 0 WHEN priority = 'high' THEN 1 ELSE 2 END, updated_s DESC, id) AS place FROM mem_entities
+  WHERE NOT archived AND NOT stale AND status IN ('open', 'unresolved') AND (type = 'failure' OR type = 'todo' AND priority IN ('high', 'medium'))),
+f AS (SELECT project_id, count(*) AS n, count(*) FILTER (stale) AS stale, CAST(sum(length(content) // 4) AS BIGINT) AS work FROM mem_entities WHERE NOT archived GROUP BY project_id),
+h AS (SELECT project_id, count(*) AS open FROM mem_entities WHERE type = 'failure' AND status = 'unresolved' GROUP BY project_id),
+n AS (SELECT project_id, arg_max(content, id) AS note FROM mem_entities WHERE pinned GROUP BY project_id),
+parts AS (
+ SELECT project_id, 'top' AS role, [0, 0] AS o, '! ' || open || ' failures are open' AS text FROM h
+ UNION ALL SELECT project_id, 'top', [1, 0], substr(note, 1, 2000) FROM n
+ UNION ALL SELECT project_id, 'body', [0, 0], '# ' || project_id || ', 2024-02-10' FROM f
+ UNION ALL SELECT DISTINCT project_id, 'body', [section, 0], '## ' || name FROM r
+ UNION ALL SELECT project_id, 'body', [section, number], '- ' || title FROM r WHERE number <= 5
+ UNION ALL SELECT DISTINCT project_id, 'body', [section, 1000000], '  and ' || overflow || ' more' FROM r WHERE overflow > 0
+ UNION ALL SELECT project_id, 'body', [80, 0], '## Memory' FROM f WHERE n > stale
+ UNION ALL SELECT project_id, 'body', [80, rank], '- [' || type || '] ' || title FROM sel
+ UNION ALL SELECT DISTINCT project_id, 'tail', [0, 0], '## Suggested next' FROM nx
+ UNION ALL SELECT project_id, 'tail', [0, place], place || '. ' || title FROM nx WHERE place <= 5
+ UNION ALL SELECT f.project_id, 'tail', [99, 0], coalesce(c, 0) || ' of ' || n || ' entities, ' || stale || ' stale; ' || work || ' tokens of work' FROM f LEFT JOIN (SELECT project_id, count(*) AS c FROM sel GROUP BY project_id) g ON f.project_id = g.project_id),
+{_packed('project_id', 400, briefing.CUT_BODY)}
+SELECT project_id, text, length(text) // 4 AS tokens, truncated FROM packed""")
+def _(b):
+    notes = b.entities.filter("pinned").groupBy("project_id").agg(F.max_by("content", "id").alias("note"))
+    health = b.entities.filter("type = 'failure' and status = 'unresolved'").groupBy("project_id").agg(F.format_string("%d failures are open", F.count("*")).alias("banner"))
+    return briefing.packed_text(briefing.briefing_parts(b.entities, cut(selected(b)), NOW, notes, health), 400)
+
+
+# a context for every benchmark item: what the search finds for it, open tasks of its segment, and the line of a file
+@query("j7_compiled_contexts", f"""
+asks AS (SELECT item_id AS context_id, substr(text, 1, 40) AS focus, (SELECT min(file_path) FROM mem_files) AS file_path FROM benchmark),
+hits AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY updated_s DESC, id) AS place FROM (SELECT item_id AS context_id, id, type, title, updated_s FROM benchmark JOIN mem_entities ON project_id = 'src' || (item_id % 20) WHERE NOT archived)),
+tk AS (SELECT item_id AS context_id, id, task_type, 'task of ' || model AS title, row_number() OVER (PARTITION BY item_id ORDER BY created_s DESC, id) AS place FROM benchmark JOIN mem_tasks ON status = 'pending' AND id % 50 = item_id % 50),
+fl AS (SELECT context_id, a.file_path, row_number() OVER (PARTITION BY context_id ORDER BY created_s, e.id) AS number, strftime(make_timestamp(created_s * 1000000), '%Y-%m-%d') AS day, type, title FROM asks a JOIN mem_files f ON a.file_path = f.file_path JOIN mem_entities e ON e.id = f.entity_id),
+parts AS (
+ SELECT context_id, 'body' AS role, [0, 0] AS o, '## Context for: ' || focus || chr(10) AS text FROM asks WHERE context_id IN (SELECT context_id FROM hits)
+ UNION ALL SELECT context_id, 'body', [1, place], '- [' || left(CAST(id AS VARCHAR), 8) || '] ' || type || ': ' || title FROM hits WHERE place <= 10
+ UNION ALL SELECT DISTINCT context_id, 'body', [2, 0], chr(10) || chr(10) || '## Open Tasks' || chr(10) FROM tk
+ UNION ALL SELECT context_id, 'body', [2, place], '- [' || left(CAST(id AS VARCHAR), 8) || '] (' || task_type || ') ' || title FROM tk WHERE place <= 20
+ UNION ALL SELECT DISTINCT context_id, 'body', [3, 0], chr(10) || chr(10) || '## File: ' || file_path || chr(10) FROM fl
+ UNION ALL SELECT context_id, 'body', [3, number], '  - ' || day || ' ' || type || ': ' || title FROM fl),
+{_packed('context_id', 300, briefing.CUT_CONTEXT)}
+SELECT context_id, text, length(text) // 4 AS tokens, 4 * (length(text) // 4) AS tokens_saved, truncated FROM packed""")
+def _(b):
+    items = b.table("benchmark").select(F.col("item_id").alias("context_id"), F.substring("text", 1, 40).alias("focus"))
+    live = b.entities.filter("not archived").select("project_id", "id", "type", F.col("title").alias("detail"), "updated_s")
+    hits = items.withColumn("project_id", F.concat(F.lit("src"), F.col("context_id") % 20)).join(live, "project_id")
+    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("context_id").orderBy(F.col("updated_s").desc(), "id"))).filter("place <= 10")
+    tasks = items.withColumn("_k", F.col("context_id") % 50).join(b.tasks.filter("status = 'pending'").withColumn("_k", F.col("id") % 50), "_k")
+    tasks = tasks.select("context_id", "id", "task_type", F.concat(F.lit("task of "), F.col("model")).alias("title"), "created_s")
+    path = b.files.agg(F.min("file_path").alias("asked"))
+    line = b.files.join(F.broadcast(path), F.col("file_path") == F.col("asked")).join(b.entities.select(F.col("id").alias("entity_id"), "type", "title", "created_s"), "entity_id")
+    line = line.select("file_path", F.row_number().over(Window.partitionBy("file_path").orderBy("created_s", "entity_id")).alias("number"), F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd").alias("day"), "type", "title")
+    timelines = items.select("context_id").join(F.broadcast(line))
+    return briefing.compiled(briefing.context_parts(items, hits, tasks, timelines), 300)
+
+
 @query("j7_compile_context", f"""{_BRIEF},
 w AS (SELECT project_id, string_agg(title, chr(10) || chr(10) ORDER BY rank) AS t FROM sel GROUP BY project_id)
 SELECT project_id, substr(t, 1, 800) AS text, length(substr(t, 1, 800)) // 4 AS tokens, 4 * (length(substr(t, 1, 800)) // 4) AS tokens_saved FROM w""")
