@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -29,23 +30,35 @@ REMEMBERED = 1 << 20
 #: Longer words are not remembered.
 LONG_WORD = 256
 
-# A row is a token from byte pos to byte past of a word, dead (-1) once it is merged into the token before it. All pairs of
-# a word that have its least rank are contracted in one step, from the left and without overlap (every other pair of a
-# chain). That is what contracting the leftmost again and again comes to: a pair with a new token never has a lower rank
-# than that token's own, as its merge would have been possible before.
-_MERGE = """
-WITH RECURSIVE t(word, pos, past, tok) USING KEY (word, pos) AS (
-  SELECT word, pos, pos + 1, tok FROM start
+#: Words of more bytes have all their pairs of least rank contracted in one step.
+LONG_BYTES = 64
+# A row is a token: its key (word * 2**32 + first byte), the key past it, and its id, -1 once it is merged into the token
+# before it. Every step contracts each word's leftmost pair of least rank. Of a long word it contracts all pairs of that
+# rank, from the left and without overlap (every other pair of a chain), which comes to the same: a pair with a new token
+# never has a lower rank than that token's own, as its merge would have been possible before.
+_STEPS = """
+WITH RECURSIVE t(key, past, tok) USING KEY (key) AS (
+  SELECT key, key + 1, tok FROM start
   UNION ALL
-  (WITH pairs AS (SELECT a.word, a.pos, a.past AS middle, b.past, merged FROM t AS a JOIN t AS b ON a.word = b.word AND a.past = b.pos JOIN merges ON first = a.tok AND second = b.tok WHERE a.tok >= 0),
-    least AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
-    linked AS (SELECT pairs.*, coalesce(lag(middle) OVER (PARTITION BY word ORDER BY pos) = pos, false) AS chained FROM pairs JOIN least USING (word, merged)),
-    chains AS (SELECT *, count(*) FILTER (NOT chained) OVER (PARTITION BY word ORDER BY pos) AS chain FROM linked),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY word, chain ORDER BY pos) AS place FROM chains),
-    made AS (SELECT word, pos, past, merged FROM placed WHERE place % 2 = 1 UNION ALL SELECT word, middle, past, -1 FROM placed WHERE place % 2 = 1)
-  SELECT word, pos, coalesce(made.past, t.past), coalesce(made.merged, tok) FROM t JOIN least USING (word) LEFT JOIN made USING (word, pos) WHERE tok >= 0))
-SELECT word, list(tok ORDER BY pos) AS ids FROM t WHERE tok >= 0 GROUP BY word ORDER BY word
+  (WITH pairs AS (SELECT a.key >> 32 AS word, a.key, b.key AS middle, b.past, merged FROM t AS a JOIN t AS b ON a.past = b.key JOIN merges ON pair = (a.tok::BIGINT << 32) | b.tok WHERE a.tok >= 0),
+  {made}
+  SELECT t.key, CASE WHEN t.key = made.key THEN made.past ELSE t.past END, CASE WHEN t.key = made.key THEN made.merged WHEN {eaten} THEN -1 ELSE tok END FROM t {joined} WHERE tok >= 0))
+SELECT key >> 32 AS word, list(tok ORDER BY key) AS ids FROM t WHERE tok >= 0 GROUP BY word ORDER BY word
 """
+_MERGE = _STEPS.format(
+    made="""least AS (SELECT word, min((merged::BIGINT << 32) | (key & 4294967295)) AS best FROM pairs GROUP BY word),
+  made AS (SELECT pairs.* FROM pairs JOIN least ON pairs.word = least.word AND (merged::BIGINT << 32) | (key & 4294967295) = best)""",
+    joined="JOIN made ON t.key >> 32 = made.word",
+    eaten="t.key = made.middle",
+)
+_MERGE_LONG = _STEPS.format(
+    made="""least AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
+  linked AS (SELECT pairs.*, coalesce(lag(middle) OVER (PARTITION BY word ORDER BY key) = key, false) AS chained FROM pairs JOIN least USING (word, merged)),
+  chains AS (SELECT *, count(*) FILTER (NOT chained) OVER (PARTITION BY word ORDER BY key) AS chain FROM linked),
+  made AS (SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY word, chain ORDER BY key) % 2 = 1)""",
+    joined="JOIN least ON t.key >> 32 = least.word LEFT JOIN made ON t.key = made.key LEFT JOIN made AS other ON t.key = other.middle",
+    eaten="other.word IS NOT NULL",
+)
 _DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
@@ -102,8 +115,8 @@ class Coder:
         self.words: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(a, b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
-        columns = np.array(pairs, np.int32).reshape(-1, 3).T
-        self._table("merges", pa.table(dict(zip(("first", "second", "merged"), columns, strict=True))))
+        first, second, merged = np.array(pairs, np.int64).reshape(-1, 3).T
+        self._table("merges", pa.table({"pair": (first << 32) | second, "merged": merged.astype(np.int32)}))
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -120,19 +133,19 @@ class Coder:
                 rest.append((len(data), word, data))
             else:
                 found[word] = ids
-        rest.sort()
+        rest.sort(key=itemgetter(0))
         at = 0
         while at < len(rest):
             end, size = at, 0
-            while end < len(rest) and (end == at or size + rest[end][0] <= AT_ONCE):
+            while end < len(rest) and (end == at or size + rest[end][0] <= AT_ONCE and (rest[at][0] > LONG_BYTES or rest[end][0] <= LONG_BYTES)):
                 size += rest[end][0]
                 end += 1
             lengths = np.array([n for n, _, _ in rest[at:end]])
             data = np.frombuffer(b"".join(d for _, _, d in rest[at:end]), np.uint8)
-            word = np.repeat(np.arange(end - at, dtype=np.int32), lengths)
-            pos = np.arange(len(data), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
-            self._table("start", pa.table({"word": word, "pos": pos, "tok": self.first[data]}))
-            ids = self.db.sql(_MERGE).to_arrow_table().column("ids").combine_chunks()
+            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            key = (np.repeat(np.arange(end - at, dtype=np.int64), lengths) << 32) | (np.arange(len(data)) - starts)
+            self._table("start", pa.table({"key": key, "tok": self.first[data]}))
+            ids = self.db.sql(_MERGE if rest[at][0] <= LONG_BYTES else _MERGE_LONG).to_arrow_table().column("ids").combine_chunks()
             flat, offsets = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
             found |= {rest[at + i][1]: flat[offsets[i] : offsets[i + 1]] for i in range(end - at)}
             at = end
@@ -140,16 +153,20 @@ class Coder:
 
     def ids_of(self, units: list[str]) -> list[bytes]:
         """Ids of the units as little-endian unsigned 32-bit integers."""
-        if not (new := set(units) - self.known.keys()):
-            return [self.known[u] for u in units]
-        split = {u: self.split.words(u) for u in new}
-        ids = self._learn({w for words in split.values() for w in words} - self.words.keys())
-        learned = {u: b"".join([ids.get(w) or self.words[w] for w in words]) for u, words in split.items()}
-        out = [learned.get(u) or self.known[u] for u in units]
-        for memory, found in ((self.words, ids), (self.known, learned)):
-            if len(memory) + len(found) > REMEMBERED:
+        known = self.known
+        if new := set(units).difference(known):
+            split = {u: self.split.words(u) for u in new}
+            words = self.words
+            words.update(self._learn({w for some in split.values() for w in some}.difference(words)))
+            known.update((u, words[some[0]] if len(some) == 1 else b"".join([words[w] for w in some])) for u, some in split.items())
+        out = [known[u] for u in units]
+        for memory in (self.words, known):
+            if len(memory) > REMEMBERED:
                 memory.clear()
-            memory.update((x, packed) for x, packed in found.items() if len(x) <= LONG_WORD)
+        for u in [u for u in new if len(u) > LONG_WORD]:
+            known.pop(u, None)
+            for w in split[u]:
+                self.words.pop(w, None)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
