@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from memspark.llm.common import NOT_ALNUM, fold_table, packed, pieces, prefix_hash, range_hash, ranges, text_key, unpacked, word_bounds
+from memspark.llm.common import NOT_ALNUM, cut, fold_table, packed, pieces, prefix_hash, range_hash, ranges, text_key, unpacked, word_bounds
 
 #: Buckets of hashed words; at most so many labelled rows of each class to learn from, of at most so many bytes each, are
 #: gathered on the driver (documented bounds: every row is scored whole, whatever its length).
@@ -192,9 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Field:
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).head()[0]
-    order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
-    chosen = known.filter("toxic = 1").orderBy(*order).limit(most).union(known.filter("toxic = 0").orderBy(*order).limit(most))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
+    short = cut(known.join(texts.select("doc_id"), "doc_id", "left_semi"))  # chosen among the texts that may be learned from
+    chosen = short.filter("toxic = 1").orderBy(*order).limit(most).union(short.filter("toxic = 0").orderBy(*order).limit(most))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(text_key("text"), "text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("copy", number).filter("copy = 1").select("toxic", "text")
     table = rows.mapInArrow(_encode, "toxic int, words binary").toArrow()
