@@ -29,6 +29,8 @@ GROUP = 4096
 #: Bits of the filter that tells the second reading which anchors may repeat: 4 MB, whatever the input.
 FILTER_BITS = 25
 _CHUNK = 2 << 20
+#: Low bits of a gram's value that hold its place; the others are its hash, as many in every piece, so that equal strings choose alike.
+_PLACE_BITS = 24
 _TEXT_AT_ONCE = 1 << 20
 
 
@@ -41,7 +43,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     _, down = powers(n + 1)
     grams = n - gram + 1
     hashed = mix((prefix[gram:] - prefix[:grams]) * down[:grams])
-    bits = np.uint64(int(n).bit_length())
+    bits = np.uint64(_PLACE_BITS)
     value = (hashed >> bits << bits) | np.arange(grams, dtype=np.uint64)
     width, span = 1, length - gram + 1
     while 2 * width <= span:
