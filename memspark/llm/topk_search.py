@@ -26,6 +26,8 @@ FIRST_DEPTH = 1 / 16
 #: A query stops when at most FEW times k candidates can still be among its best.
 FEW = 4
 _QUERIES_AT_ONCE = 128
+#: Scores end here; integer components end well below.
+_LONG, _LARGEST = (1 << 63) - 1, 1 << 62
 
 
 def _exact(matrix: np.ndarray, weights: np.ndarray) -> np.dtype:
@@ -41,7 +43,7 @@ def _kth_largest(values: np.ndarray, k: int) -> np.ndarray:
 
 def _first(query: int, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, read: int) -> list[tuple[int, int, int, int]]:
     order = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else np.lexsort((ids, -scores))
-    return [(int(query), int(ids[i]), int(scores[i]), read) for i in order[:k]]
+    return [(int(query), int(ids[i]), max(-_LONG, min(_LONG, int(scores[i]))), read) for i in order[:k]]
 
 
 def best_of_block(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
@@ -110,11 +112,13 @@ def exact_top_k(vectors: DataFrame, asked: Column | str, k: int = 5, scale: int
     vec_id, score, read_share (part of the lists that the query read, in the mean of the blocks with a result).
 
     ``vectors`` needs vec_id and embedding; other columns are ignored. Components become floor(scale * x). Vectors that
-    are null or hold null or non-finite components take no part, nor do rows without vec_id; vectors of another
+    are null or empty or hold null or non-finite components take no part, nor do those with a component of 2**62 or more
+    after scaling, which no long holds, nor rows without vec_id. Scores beyond a long's range count as its end. Vectors of another
     dimension than the query's are no candidates, nor is the query's own row. Ties go to the smaller vec_id. Fewer
     candidates give fewer rows, none gives none. Rows that repeat a vec_id are queries and candidates of their own.
     """
     fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    fine = fine & F.forall("embedding", lambda x: F.abs(F.lit(float(scale)) * x.cast("double")) < float(_LARGEST))
     ints = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     asked = F.expr(asked) if isinstance(asked, str) else asked
     base = vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("ints"), F.coalesce(asked, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"))

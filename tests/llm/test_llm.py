@@ -357,6 +357,18 @@ def test_training_rows_are_bounded(spark):
     assert seen[0][0] <= 20 and seen[0][1] <= 40
 
 
+def test_training_rows_are_chosen_among_those_short_enough(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 2000)
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    text = lambda i: ("vile brute " if i >= 40 else "fine words ") * (1 if i < 40 or i % 8 == 1 else 400)
+    docs, seen = spark.createDataFrame([(i, text(i)) for i in range(80)], "doc_id long, text string"), []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda words, first, toxic, share=None: seen.append(toxic) or real(words, first, toxic, share))
+    toxicity.train(docs, labels, 3)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert seen[0].sum() == min(3, sum(not held(i) for i in range(40, 80) if i % 8 == 1)) > 0 and len(seen[0]) == seen[0].sum() + 3
+
+
 # ---- op5
 def test_ratio_and_selection_against_brute_force(spark):
     rng = random.Random(14)
@@ -456,6 +468,14 @@ def test_exact_top_k(spark):
     assert topk_search.exact_top_k(df.filter("vec_id = 3"), "true").count() == 0
 
 
+def test_huge_components_have_defined_scores(spark):
+    rows = [(0, [1e12, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 3.0]), (3, [1e17, 0.0]), (4, [1e300, 0.0]), (5, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in topk_search.exact_top_k(df, "vec_id = 0", 9).collect()}
+    top = (1 << 63) - 1
+    assert got == {1: top, 2: -top, 5: 256_000_000_000_000 * 256 + 256 * 256}
+
+
 # ---- op7
 def brute_removed(texts, length, keep_first):
     raws = [(t or "").encode() for t in texts]
