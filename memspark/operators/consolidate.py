@@ -10,7 +10,7 @@ from memspark.functions.checkpoints import cut
 from memspark.functions.graph import chain_ends
 from memspark.functions.numbering import numbered
 from memspark.functions.text import ratio_at_least
-from memspark.operators.search import dot, query_tokens
+from memspark.operators.search import query_terms, query_tokens, rank_entities, vector_rank
 
 GATE = 0.55
 VERDICTS = ("ADD", "UPDATE", "NOOP", "CONTRADICTS")
@@ -18,13 +18,23 @@ STALENESS_TYPES = ("decision", "fact", "feature", "bugfix", "todo")
 
 
 def similar_entities(new: DataFrame, base: DataFrame, block: list[str], k: int = 5) -> DataFrame:
-    """(id, existing_id, similarity, rank): the k most similar vectors of the same block that are not of the batch."""
-    norm = lambda df: df.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector")))).filter("norm > 0")
-    old = norm(base.join(new.select("id"), "id", "left_anti")).select(*block, F.col("id").alias("existing_id"), F.col("vector").alias("other"), F.col("norm").alias("other_norm"))
-    pairs = norm(new).join(old, block)
-    scored = pairs.withColumn("similarity", F.round(dot(F.col("vector"), F.col("other")) / (F.col("norm") * F.col("other_norm")), 6))
-    by = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "existing_id")
-    return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("id", "existing_id", "similarity", "rank")
+    """(id, existing_id, similarity, rank): the k most similar vectors of the same block that are not of the batch.
+
+    The vectors of a block meet the new ones tile by tile, as matrix products, so that a large block makes no pairs.
+    """
+    name = F.to_json(F.struct(*block), {"ignoreNullFields": "false"}).alias("model")
+    old = base.join(new.select("id"), "id", "left_anti").select(F.col("id").alias("entity_id"), name, F.size("vector").alias("dim"), "vector")
+    asked = new.select(F.col("id").alias("query_id"), name, F.size("vector").alias("dim"), F.col("vector").alias("query_vector"))
+    return vector_rank(old, asked, k, -1.0).select(F.col("query_id").alias("id"), F.col("entity_id").alias("existing_id"), "similarity", "rank")
+
+
+def lexical_candidates(new: DataFrame, entities: DataFrame, postings: DataFrame, k: int = 5) -> DataFrame:
+    """(id, existing_id): what a search of the index for each new entity's title finds first in its project and type, among
+    entities that are neither archived nor stale nor new themselves."""
+    asks = new.filter("title is not null and title <> ''").select(F.col("id").alias("query_id"), "title", "project_id", "type")
+    others = entities.join(new.select("id"), "id", "left_anti")
+    found = rank_entities(postings, others, cut(query_terms(asks, "title")), k, scope=asks.select("query_id", "project_id", "type"), stale=False)
+    return found.select(F.col("query_id").alias("id"), F.col("id").alias("existing_id"))
 
 
 def similar_by_text(new: DataFrame, hits: DataFrame, titles: DataFrame, k: int = 5) -> DataFrame:

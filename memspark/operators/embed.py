@@ -77,8 +77,8 @@ def coverage(entities: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.withColumn("any_embedded", F.col("embedded") > 0)
 
 
-def block_cosine(asked: DataFrame, vectors: DataFrame, block: list[str], tiles: int | None = None) -> DataFrame:
-    """Cosine of every vector of ``asked`` with every other one of its block in ``vectors``: block, left_id, right_id, similarity.
+def block_cosine(asked: DataFrame, vectors: DataFrame, block: list[str], tiles: int | None = None, floor: float = -1.0) -> DataFrame:
+    """Cosine of every vector of ``asked`` with every other one of its block in ``vectors``, from ``floor`` on: block, left_id, right_id, similarity.
 
     Both have id, the columns of ``block`` and vector. Vectors are dealt to tiles, as many as their number needs, and the
     asked ones to all tiles of their block, so that the cosines of a tile are one matrix product however large a block is.
@@ -93,10 +93,10 @@ def block_cosine(asked: DataFrame, vectors: DataFrame, block: list[str], tiles:
     keys = [*block, "_dims", "_tile"]
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in block) + f", left_id {kinds['id']}, right_id {kinds['id']}, similarity double"
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_products(block), schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_products(block, floor), schema)
 
 
-def _products(block: list[str]) -> Callable:
+def _products(block: list[str], floor: float) -> Callable:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         dims = len(right.column("vector")[0]) if right.num_rows else 0
         x = np.asarray(right.column("vector").combine_chunks().flatten()).reshape(right.num_rows, dims)
@@ -106,8 +106,8 @@ def _products(block: list[str]) -> Callable:
             q = np.array([v if len(v) == dims else [0.0] * dims for v in part.column("vector").to_pylist()], np.float64).reshape(part.num_rows, dims)
             size = np.linalg.norm(q, axis=1)[:, None] * norms[None, :]
             near = np.round(np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0), 6)
-            i, j = (pa.array(v) for v in np.nonzero(np.ones(near.shape, bool)))
-            table = pa.table({**{c: part.column(c).take(i) for c in block}, "left_id": part.column("left_id").take(i), "right_id": right.column("right_id").take(j), "similarity": near.reshape(-1)})
+            i, j = (pa.array(v) for v in np.nonzero(near >= floor))
+            table = pa.table({**{c: part.column(c).take(i) for c in block}, "left_id": part.column("left_id").take(i), "right_id": right.column("right_id").take(j), "similarity": near[near >= floor]})
             found.append(table.filter(pc.not_equal(table["left_id"], table["right_id"])))
         empty = pa.table({**{c: right.column(c).slice(0, 0) for c in block}, "left_id": left.column("left_id").slice(0, 0), "right_id": right.column("right_id").slice(0, 0), "similarity": pa.array([], pa.float64())})
         return pa.concat_tables([empty, *found])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
+from memspark.operators.embed import block_cosine
+
 # Statuses that close an item, kinds that close items, kinds that can be closed, words that tell nothing.
 CLOSED = ("done", "cancelled", "resolved")
 DRIVERS, RESOLVABLE = ("bugfix", "feature", "change"), ("todo", "failure")
@@ -90,10 +93,9 @@ def apply_judgements(pairs: DataFrame, verdicts: DataFrame, size: int = 10) -> D
 def widen_recall(drivers: DataFrame, targets: DataFrame, claimed: DataFrame, floor: float = 0.60, per_driver: int = 3, most: int = 50) -> DataFrame:
     """Pairs of a driver and an unclaimed open item by vectors: the best three of a driver, each target to its best
     driver, the best fifty of a project. Where a sequential claim would take them in order, the best score takes them."""
-    from memspark.operators.search import cosine
-
     free = targets.join(claimed.select("target"), "target", "left_anti")
-    pairs = drivers.join(free, "project_id").withColumn("similarity", F.round(cosine(F.col("driver_vector"), F.col("target_vector")), 6)).filter(F.col("similarity") >= floor)
+    ids = lambda df, who: df.select("project_id", F.col(who).alias("id"), F.col(f"{who}_vector").alias("vector"))
+    pairs = cut(block_cosine(ids(drivers, "driver"), ids(free, "target"), ["project_id"], floor=floor).withColumnsRenamed({"left_id": "driver", "right_id": "target"}))
     for by, order, n in ((["driver"], [F.col("similarity").desc(), "target"], per_driver), (["target"], [F.col("similarity").desc(), "driver"], 1), (["project_id"], [F.col("similarity").desc(), "driver", "target"], most)):
         pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
     return pairs.select("project_id", "driver", "target", "similarity")

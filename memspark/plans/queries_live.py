@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,11 @@ from memspark.streaming import live
 Q, S = {}, {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, recursive: bool = False):
     def add(f):
         Q[name] = lambda spark, sf_dir: f(Bridge(spark, sf_dir))
         if sql:
-            S[name] = with_views(sql)
+            S[name] = with_views(sql, recursive)
         return f
 
     return add
@@ -122,9 +123,29 @@ def _(b):
     return _finished(b, live.live_etl(events, "event_id", ["read"], ["*7?"], "0123456789abcdef")).select("event_id", "type", "content")
 
 
-@query("m2_suppress_duplicates", "SELECT DISTINCT user_id AS source, event_type AS type FROM events")
+@contextmanager
+def _rocksdb(b):
+    """The state store that keyed state needs, while a stream is set up and run."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = b.spark.conf.get(name)
+    b.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        b.spark.conf.set(name, before)
+
+
+# the last event closes no window: the watermark stays just before it
+@query("m2_suppress_duplicates", """
+o AS (SELECT source, type, ts_s, event_id, row_number() OVER (PARTITION BY source, type ORDER BY ts_s, event_id) AS r FROM mem_activity WHERE ts_s < (SELECT max(ts_s) FROM mem_activity)),
+w AS (SELECT source, type, ts_s, event_id, r, ts_s AS kept, TRUE AS keep FROM o WHERE r = 1
+  UNION ALL SELECT o.source, o.type, o.ts_s, o.event_id, o.r, CASE WHEN o.ts_s - w.kept > 14400 THEN o.ts_s ELSE w.kept END, o.ts_s - w.kept > 14400
+  FROM w JOIN o ON o.source = w.source AND o.type = w.type AND o.r = w.r + 1)
+SELECT source, type, ts_s, event_id FROM w WHERE keep""", recursive=True)
 def _(b):
-    return _finished(b, live.suppress_duplicates(_stream(b), ["source", "type"], within="40 days")).select("source", "type")
+    with _rocksdb(b):
+        whole = _stream(b).withColumn("ts", F.date_trunc("second", "ts"))
+        return _finished(b, live.suppress_duplicates(whole, ["source", "type"], seconds=14400)).select("source", "type", F.unix_seconds("ts").alias("ts_s"), "event_id")
 
 
 @query("m3_live_sessions", """
@@ -137,13 +158,9 @@ def _(b):
 
 @query("m4_live_chunks")
 def _(b):
-    before = b.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    b.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _rocksdb(b):
         events = _stream(b).select(F.col("source").alias("session_id"), F.unix_seconds("ts").alias("ts_s"), "event_id")
         return _finished(b, live.live_chunks(events, 20))
-    finally:
-        b.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 @query("m5_match_tools")

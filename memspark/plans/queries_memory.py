@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memspark.functions.checkpoints import cut
-from memspark.operators import briefing, consolidate, corpus, dedupe, infer, retention, sensitive
+from memspark.operators import briefing, consolidate, corpus, dedupe, infer, retention, search, sensitive
 from memspark.plans.bridge import E0, NOW, Bridge, with_views
 
 Q, S = {}, {}
@@ -100,11 +100,11 @@ _BLOCK = ["project_id", "type"]
 
 
 def titled(b):
-    """Entities whose titles are cut short, so that some of a project agree."""
-    return b.entities.withColumn("title", F.substring("title", 1, 8)).withColumn("project_id", F.lit("all"))
+    """Entities of one project, so that more of their whole titles agree."""
+    return b.entities.withColumn("project_id", F.lit("all"))
 
 
-_TITLED = _PAIRS.replace("FROM mem_entities WHERE", "FROM (SELECT * REPLACE (substr(title, 1, 8) AS title, 'all' AS project_id) FROM mem_entities) WHERE")
+_TITLED = _PAIRS.replace("FROM mem_entities WHERE", "FROM (SELECT * REPLACE ('all' AS project_id) FROM mem_entities) WHERE")
 
 
 @query("f1_signatures", f"SELECT id, sig, {_DIGITS} AS digits FROM (SELECT id, {_SIG} AS sig FROM mem_entities WHERE NOT stale AND NOT archived) WHERE sig <> ''")
@@ -158,9 +158,9 @@ def _(b):
 
 @query("f6_similar_by_text")
 def _(b):
-    e = b.entities
-    hits = e.filter("id % 9 = 1").select("id", "type").join(e.select(F.col("id").alias("existing_id"), "type", F.substring("title", 1, 3).alias("_h")), "type").join(e.select("id", F.substring("title", 1, 3).alias("_g")), "id").filter("_g = _h and id <> existing_id").select("id", "existing_id")
-    return consolidate.similar_by_text(e.filter("id % 9 = 1"), hits, e)
+    new = b.entities.filter("id % 7 = 1")
+    hits = consolidate.lexical_candidates(new, b.entities, search.build_index(b.entities, "id", ["title", "content"]))
+    return consolidate.similar_by_text(new, hits, b.entities)
 
 
 @query("f7_gate", f"{_SIMILAR} SELECT n.entity_id AS id, max(similarity) AS best, coalesce(max(similarity) >= 0.3, FALSE) AS judged FROM n LEFT JOIN sim ON n.entity_id = sim.id GROUP BY 1")
@@ -487,6 +487,14 @@ def _(b):
     return briefing.compile_context(selected(b).selectExpr("project_id", "rank as number", "title as text"), 800)
 
 
+@query("a12_usage_calls", f"""{_BRIEF},
+w AS (SELECT project_id, string_agg(title, chr(10) || chr(10) ORDER BY rank) AS t FROM sel GROUP BY project_id)
+SELECT project_id, 'compile_context' AS tool_name, 4 * (length(substr(t, 1, 800)) // 4) AS tokens_saved, {NOW} AS called_s FROM w""")
+def _(b):
+    contexts = briefing.compile_context(selected(b).selectExpr("project_id", "rank as number", "title as text"), 800)
+    return briefing.usage_calls(contexts, "compile_context", NOW)
+
+
 @query("j8_overview", """
 n AS (SELECT project_id, arg_max(content, id) AS note FROM mem_entities WHERE pinned GROUP BY project_id)
 SELECT p.project_id, substr(coalesce(note, ''), 1, 2000) AS overview FROM (SELECT DISTINCT project_id FROM mem_entities) p LEFT JOIN n ON p.project_id = n.project_id""")

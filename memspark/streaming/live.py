@@ -19,9 +19,59 @@ def live_etl(events: DataFrame, key: str, tools: list[str], globs: list[str], se
     return redact(scan_sensitive(kept, "content"), "content", key, secret).drop("content", "spans").withColumnRenamed("redacted", "content")
 
 
-def suppress_duplicates(events: DataFrame, keys: list[str], time: str = "ts", within: str = "60 seconds") -> DataFrame:
-    """The first event of each key within the watermark."""
-    return events.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+class _Thinning(StatefulProcessor):
+    """Holds a key's events until the watermark has passed them, keeps those that no kept one precedes within the window, and forgets the last kept one after it."""
+
+    def __init__(self, seconds: float, time: str, kind: str):
+        self.seconds, self.time, self.kind = seconds, time, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"at double, event_id {self.kind}")
+        self.last = handle.getValueState("last", "at double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            at = frame[self.time].astype("datetime64[us]").astype("int64") / 1e6
+            self.waiting.appendList(list(zip(at.tolist(), frame["event_id"].tolist(), strict=True)))
+            for t in set(at.tolist()):
+                self.handle.registerTimer(int(t * 1000) + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, kept, last = expiredTimerInfo.getExpiryTimeInMs() / 1000, [], self.last.get()[0] if self.last.exists() else None
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        for at, event in held:
+            if at < now and (last is None or at - last > self.seconds):
+                last = at
+                kept.append((*key, pd.Timestamp(at, unit="s"), event))
+        left = [(at, event) for at, event in held if at >= now]
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+        if last is not None and now - last > self.seconds:
+            self.last.clear()
+        elif last is not None:
+            self.last.update((last,))
+            self.handle.registerTimer(int((last + self.seconds) * 1000) + 2)
+        if kept:
+            yield pd.DataFrame(kept)
+
+    def close(self) -> None:
+        pass
+
+
+def suppress_duplicates(events: DataFrame, keys: list[str], time: str = "ts", seconds: float = 60, late: str = "0 seconds") -> DataFrame:
+    """(keys, time, event_id) of events of which none with the same key was kept within the seconds before.
+
+    Counted from the last kept event in order of time, as drop_recent_duplicates counts: an event waits until the watermark,
+    ``late`` behind the newest one, has passed it. Then state is cleared by timers. Needs the RocksDB state store.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, time, "event_id"))
+    work = _Thinning(seconds, time, kinds["event_id"])
+    grouped = events.select(*keys, time, "event_id").withWatermark(time, late).groupBy(*keys)
+    return grouped.transformWithStateInPandas(statefulProcessor=work, outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
 def live_sessions(events: DataFrame, key: str, gap: str = "300 seconds", late: str = "0 seconds", time: str = "ts") -> DataFrame:
@@ -41,7 +91,7 @@ class _Chunks(StatefulProcessor):
         self.held = handle.getListState("held", "event_id long")
         self.number = handle.getValueState("number", "chunk long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ids = [int(r[0]) for r in self.held.get()] if self.held.exists() else []
         ids += [int(x) for x in pd.concat(list(rows)).sort_values(["ts_s", "event_id"])["event_id"]]
         chunk = int(self.number.get()[0]) if self.number.exists() else 0
