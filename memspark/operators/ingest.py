@@ -172,3 +172,22 @@ def compress_context(events: DataFrame, flagged: DataFrame, n: int = 30) -> Data
     rows = events.join(flagged.select("session_id"), "session_id", "left_semi").withColumn("number", F.row_number().over(by)).filter(F.col("number") <= n)
     out = rows.groupBy("session_id").agg(F.min("ts_s").alias("start_s"), F.max("ts_s").alias("end_s"), F.count("*").alias("events"), F.array_sort(F.collect_list(F.struct("number", "type"))).alias("all"))
     return out.select("session_id", "start_s", "end_s", "events", F.array_join(F.transform("all", lambda x: x["type"]), ",").alias("outline"))
+
+
+def compression_summaries(compressed: DataFrame, now: int) -> DataFrame:
+    """Summary rows of compressed sessions (``compress_context``), a chunk each: id, session_id, level, content, range_start,
+    range_end, event_count, token_count and created_s. The id is of the session and its range, so that a second run adds no other row."""
+    name = F.concat_ws("-", F.lit("chunk"), "session_id", "start_s", "end_s")
+    return compressed.select(
+        name.alias("id"), "session_id", F.lit("chunk").alias("level"), F.col("outline").alias("content"), F.col("start_s").alias("range_start"), F.col("end_s").alias("range_end"),
+        F.col("events").alias("event_count"), F.floor(F.length("outline") / 4).alias("token_count"), F.lit(now).cast("long").alias("created_s"),
+    )
+
+
+def count_compressions(sessions: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Sessions with compression_events and last_compression_s after the summaries: counts add up, the last time moves forward."""
+    new = summaries.groupBy(F.col("session_id").alias("_session")).agg(F.count("*").alias("_n"), F.max("created_s").alias("_at"))
+    out = sessions.join(new, F.col("session_id") == F.col("_session"), "left")
+    events = (F.coalesce("compression_events", F.lit(0)) if "compression_events" in sessions.columns else F.lit(0)) + F.coalesce("_n", F.lit(0))
+    last = F.greatest("last_compression_s", "_at") if "last_compression_s" in sessions.columns else F.col("_at")
+    return out.withColumns({"compression_events": events, "last_compression_s": last}).drop("_session", "_n", "_at")

@@ -205,6 +205,29 @@ def _(b):
     return ingest.compress_context(e, ingest.context_pressure(sessions, 40000).filter("compress"), 30)
 
 
+def _compressed(b):
+    e = b.activity.withColumnRenamed("source", "session_id")
+    sessions = e.groupBy("session_id").agg(F.count("*").alias("event_count"), F.lit(None).cast("long").alias("tokens"))
+    return sessions, ingest.compression_summaries(ingest.compress_context(e, ingest.context_pressure(sessions, 40000).filter("compress"), 30), NOW)
+
+
+_COMPRESSED = f"""
+f AS (SELECT source FROM mem_activity GROUP BY source HAVING CAST(count(*) * 500 AS DOUBLE) / 40000 >= 0.8),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts_s, event_id) AS n FROM mem_activity WHERE source IN (SELECT source FROM f)),
+z AS (SELECT source AS session_id, min(ts_s) AS range_start, max(ts_s) AS range_end, count(*) AS event_count, string_agg(type, ',' ORDER BY n) AS content FROM o WHERE n <= 30 GROUP BY source)"""
+
+
+@query("b16_compression_summaries", f"""{_COMPRESSED} SELECT 'chunk-' || session_id || '-' || range_start || '-' || range_end AS id, session_id, 'chunk' AS level, content, range_start, range_end, event_count, length(content) // 4 AS token_count, {NOW} AS created_s FROM z""")
+def _(b):
+    return _compressed(b)[1]
+
+
+@query("b16_session_counters", f"""{_COMPRESSED} SELECT source AS session_id, count(*) AS event_count, CASE WHEN source IN (SELECT session_id FROM z) THEN 1 ELSE 0 END AS compression_events, CASE WHEN source IN (SELECT session_id FROM z) THEN {NOW} END AS last_compression_s FROM mem_activity GROUP BY source""")
+def _(b):
+    sessions, summaries = _compressed(b)
+    return ingest.count_compressions(sessions.drop("tokens"), summaries)
+
+
 @query("b17_event_reads", """SELECT type, count(*) AS n, max(ts_s) AS newest_s, min(ts_s) AS oldest_s FROM mem_events GROUP BY type""")
 def _(b):
     return b.events.groupBy("type").agg(F.count("*").alias("n"), F.max("ts_s").alias("newest_s"), F.min("ts_s").alias("oldest_s"))
