@@ -148,6 +148,45 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
 
 
+def _insert(best: str, role: str) -> str:
+    return f"{{'c': {best}.c + 2, 'a': 'I' || {best}.a, 't': chr(10) || '{role}:' || {best}.t}}"
+
+
+def _edit(best: str, cost: str, letter: str, line: str, allowed: str = "TRUE") -> str:
+    return f"{{'c': CASE WHEN {allowed} THEN {best}.c + {cost} ELSE 1000000000 END, 'a': '{letter}' || {best}.a, 't': {line} || {best}.t}}"
+
+
+def _options(state: str, keeps: dict[str, str], to: str, role: str) -> str:
+    """The edits of a row in a state, least first: ``keeps`` gives the state after a kept row of an initial."""
+    every = [_edit(f"r.{state}", "3", "D", "''"), _edit(f"r.{to}", "2 + late", "R", f"chr(10) || '{role}:' || f.text", "NOT forced")]
+    every += [_edit(f"r.{after}", "late", "K", "chr(10) || f.role || ':' || f.text", f"NOT forced AND left(f.role, 1) = '{initial}'") for initial, after in keeps.items()]
+    return f"list_sort([{', '.join(every)}])[1] AS {state}"
+
+
+# Bit by bit the same cyclic redundancy check as Spark's crc32; then costs, audits and texts from the end, for the four
+# states that may come before a row: x nothing, y a system row, u a user row, w an assistant row.
+OP12_SQL = f"""
+WITH RECURSIVE p AS (SELECT list(list_reduce(CAST(range(8) AS BIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, CAST(n AS BIGINT)) ORDER BY n) AS t FROM range(256) AS q(n)),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(CAST(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)) AS BIGINT[]),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM conversations, p),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM d WHERE kind <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM e),
+g AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS late, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, i, pair, blank, NOT blank AND again AS again, blank OR again AS forced, CASE WHEN NOT blank AND NOT again AND late THEN 1 ELSE 0 END AS late FROM g),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, CAST(sum(late) AS BIGINT) AS truncated,
+  count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r AS (SELECT conv_id, rows + 1 AS i, {{'c': 0, 'a': '', 't': ''}} AS x, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS y, {{'c': 2, 'a': 'I', 't': chr(10) || 'assistant:'}} AS u, {{'c': 0, 'a': '', 't': ''}} AS w FROM n
+  UNION ALL SELECT conv_id, i, list_sort([x, {_insert('k', 'user')}])[1], list_sort([y, {_insert('k', 'user')}])[1], k, list_sort([w, {_insert('u', 'user')}])[1]
+  FROM (SELECT *, list_sort([u, {_insert('w', 'assistant')}])[1] AS k FROM (SELECT f.conv_id, f.i, {_options('x', {'s': 'y', 'u': 'u'}, 'u', 'user')}, {_options('y', {'u': 'u'}, 'u', 'user')},
+    {_options('u', {'a': 'w'}, 'w', 'assistant')}, {_options('w', {'u': 'u'}, 'u', 'user')} FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i - 1))),
+z AS (SELECT n.*, x FROM n JOIN r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit,
+  sha256(coalesce(substr(x.t, 2), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -176,4 +215,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_topk_search": OP6_SQL,
     "op8_source_mix": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
