@@ -31,34 +31,36 @@ REMEMBERED = 1 << 20
 LONG_WORD = 256
 
 #: Words of more bytes have all their pairs of least rank contracted in one step.
-LONG_BYTES = 64
-# A row is a token: its key (word * 2**32 + first byte), the key past it, and its id, -1 once it is merged into the token
-# before it. Every step contracts each word's leftmost pair of least rank. Of a long word it contracts all pairs of that
-# rank, from the left and without overlap (every other pair of a chain), which comes to the same: a pair with a new token
-# never has a lower rank than that token's own, as its merge would have been possible before.
-_STEPS = """
+LONG_BYTES = 24
+# A row is a token: its key (word * 2**32 + first byte), the key past it, and its id. Every step contracts each word's
+# leftmost pair of least rank and writes the word's tokens anew; a word's last step has its ids.
+_MERGE = """
+WITH RECURSIVE t(key, past, tok, step) AS (
+  SELECT key, key + 1, tok, 0 FROM start
+  UNION ALL
+  (WITH pairs AS (SELECT a.key >> 32 AS word, a.key, b.key AS middle, b.past, merged FROM t AS a JOIN t AS b ON a.past = b.key JOIN merges ON pair = (a.tok::BIGINT << 32) | b.tok),
+  least AS (SELECT word, min((merged::BIGINT << 32) | (key & 4294967295)) AS best FROM pairs GROUP BY word),
+  made AS (SELECT pairs.* FROM pairs JOIN least ON pairs.word = least.word AND (merged::BIGINT << 32) | (key & 4294967295) = best)
+  SELECT t.key, CASE WHEN t.key = made.key THEN made.past ELSE t.past END, CASE WHEN t.key = made.key THEN made.merged ELSE tok END, step + 1
+  FROM t JOIN made ON t.key >> 32 = made.word WHERE t.key <> made.middle))
+SELECT word, list(tok ORDER BY key) AS ids FROM t JOIN (SELECT key >> 32 AS word, max(step) AS last FROM t GROUP BY word) ON key >> 32 = word AND step = last GROUP BY word ORDER BY word
+"""
+# Of a long word a step contracts all pairs of the least rank, from the left and without overlap (every other pair of a
+# chain), which comes to the same: a pair with a new token never has a lower rank than that token's own, as its merge would
+# have been possible before. Its rows are replaced, a token merged into the one before it by -1.
+_MERGE_LONG = """
 WITH RECURSIVE t(key, past, tok) USING KEY (key) AS (
   SELECT key, key + 1, tok FROM start
   UNION ALL
   (WITH pairs AS (SELECT a.key >> 32 AS word, a.key, b.key AS middle, b.past, merged FROM t AS a JOIN t AS b ON a.past = b.key JOIN merges ON pair = (a.tok::BIGINT << 32) | b.tok WHERE a.tok >= 0),
-  {made}
-  SELECT t.key, CASE WHEN t.key = made.key THEN made.past ELSE t.past END, CASE WHEN t.key = made.key THEN made.merged WHEN {eaten} THEN -1 ELSE tok END FROM t {joined} WHERE tok >= 0))
-SELECT key >> 32 AS word, list(tok ORDER BY key) AS ids FROM t WHERE tok >= 0 GROUP BY word ORDER BY word
-"""
-_MERGE = _STEPS.format(
-    made="""least AS (SELECT word, min((merged::BIGINT << 32) | (key & 4294967295)) AS best FROM pairs GROUP BY word),
-  made AS (SELECT pairs.* FROM pairs JOIN least ON pairs.word = least.word AND (merged::BIGINT << 32) | (key & 4294967295) = best)""",
-    joined="JOIN made ON t.key >> 32 = made.word",
-    eaten="t.key = made.middle",
-)
-_MERGE_LONG = _STEPS.format(
-    made="""least AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
+  least AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
   linked AS (SELECT pairs.*, coalesce(lag(middle) OVER (PARTITION BY word ORDER BY key) = key, false) AS chained FROM pairs JOIN least USING (word, merged)),
   chains AS (SELECT *, count(*) FILTER (NOT chained) OVER (PARTITION BY word ORDER BY key) AS chain FROM linked),
-  made AS (SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY word, chain ORDER BY key) % 2 = 1)""",
-    joined="JOIN least ON t.key >> 32 = least.word LEFT JOIN made ON t.key = made.key LEFT JOIN made AS other ON t.key = other.middle",
-    eaten="other.word IS NOT NULL",
-)
+  made AS (SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY word, chain ORDER BY key) % 2 = 1)
+  SELECT t.key, coalesce(made.past, t.past), CASE WHEN other.word IS NOT NULL THEN -1 ELSE coalesce(made.merged, tok) END
+  FROM t JOIN least ON t.key >> 32 = least.word LEFT JOIN made ON t.key = made.key LEFT JOIN made AS other ON t.key = other.middle WHERE tok >= 0))
+SELECT key >> 32 AS word, list(tok ORDER BY key) AS ids FROM t WHERE tok >= 0 GROUP BY word ORDER BY word
+"""
 _DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
