@@ -12,7 +12,7 @@ from memspark.functions.checkpoints import shared_folder
 from memspark.functions.text import each, porter_stem
 from memspark.operators import embed, search
 from memspark.plans.bridge import Bridge, with_views
-from memspark.sources import tables, transcripts
+from memspark.sources import tables, tailing, transcripts
 from memspark.streaming import live
 
 Q, S = {}, {}
@@ -38,14 +38,26 @@ def _(b):
     return tables.read_chat_messages(messages, parts)
 
 
-def records(b) -> DataFrame:
-    """Conversations as transcript records: user texts, and assistant turns with a text, a call, and its result in the next line."""
+def lines(b) -> DataFrame:
+    """Conversations as lines of transcripts: user texts, and assistant turns with a text, a call, and its result in the next line."""
     user = """to_json(named_struct('type', 'user', 'timestamp', cast(ts_s as string), 'message', named_struct('role', 'user', 'content', content)))"""
     call = """to_json(named_struct('type', 'assistant', 'timestamp', cast(ts_s as string), 'message', named_struct('model', concat('m', session_id % 3), 'content', array(named_struct('type', 'text', 'text', content, 'id', null, 'name', null, 'input', null), named_struct('type', 'tool_use', 'text', null, 'id', cast(event_id as string), 'name', 'Read', 'input', named_struct('path', concat('f', event_id)))))))"""
     result = """to_json(named_struct('type', 'user', 'message', named_struct('content', array(named_struct('type', 'tool_result', 'tool_use_id', cast(event_id as string), 'content', concat('result ', event_id))))))"""
     e = b.events
     rows = e.filter("type = 'prompt'").selectExpr("session_id", "event_id * 2 as line_no", f"{user} as value").union(e.filter("type = 'response'").selectExpr("session_id", "event_id * 2", f"{call}")).union(e.filter("type = 'response'").selectExpr("session_id", "event_id * 2 + 1", f"{result}"))
-    return rows.selectExpr("cast(session_id as string) as source", "line_no", "try_parse_json(value) as record").filter("record is not null")
+    return rows.selectExpr("cast(session_id as string) as source", "line_no", "value")
+
+
+def records(b) -> DataFrame:
+    return lines(b).selectExpr("source", "line_no", "try_parse_json(value) as record").filter("record is not null")
+
+
+def _files(b) -> str:
+    """The lines as files in the shared folder, each with a line that is no JSON and an empty one."""
+    top = f"{shared_folder(b.spark)}/lines-{uuid.uuid4().hex}"
+    odd = b.spark.createDataFrame([("{broken",), ("",), ("[1]",)], "value string")
+    lines(b).select("value").union(odd).write.text(top)
+    return top
 
 
 _EVENTS = """ev AS (SELECT CAST(session_id AS VARCHAR) AS source, event_id * 2 AS line_no, 0 AS number, 'prompt' AS type, trim(content) AS content, NULL AS tool_name FROM mem_events WHERE type = 'prompt' AND trim(content) <> ''
@@ -54,6 +66,17 @@ _EVENTS = """ev AS (SELECT CAST(session_id AS VARCHAR) AS source, event_id * 2 A
  UNION ALL SELECT CAST(session_id AS VARCHAR), event_id * 2 + 1, 0, 'tool_result', 'result ' || event_id, 'Read' FROM mem_events WHERE type = 'response')"""
 
 
+@query("a1_read_transcripts", f"{_EVENTS} SELECT type, content FROM ev")
+def _(b):
+    return transcripts.map_transcript(transcripts.read_transcripts(b.spark, _files(b))).select("type", "content")
+
+
+@query("a2_tail_transcripts", f"{_EVENTS} SELECT type, content FROM ev")
+def _(b):
+    stream = tailing.tail_transcripts(b.spark, _files(b), suffix=".txt")
+    return _finished(b, transcripts.map_transcript(stream).select("type", "content"))
+
+
 @query("b1_map_transcript", f"{_EVENTS} SELECT source, line_no, number, type, content FROM ev")
 def _(b):
     return transcripts.map_transcript(records(b)).select("source", "line_no", "number", "type", "content")
@@ -151,9 +174,9 @@ def _(b):
 @query("m3_live_sessions", """
 g AS (SELECT user_id AS source, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 k AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS number FROM g)
-SELECT source, count(*) AS event_count FROM k GROUP BY source, number""")
+SELECT source, min(ts) AS started, max(ts) + INTERVAL 4 HOURS AS ended, count(*) AS event_count FROM k GROUP BY source, number""")
 def _(b):
-    return _finished(b, live.live_sessions(_stream(b), "source", "4 hours"), "complete").select("source", "event_count")
+    return _finished(b, live.live_sessions(_stream(b), "source", "4 hours"), "complete").select("source", "started", "ended", "event_count")
 
 
 @query("m4_live_chunks")
