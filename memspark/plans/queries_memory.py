@@ -541,13 +541,15 @@ def _(b):
 
 
 _CORPORA = """
-flt AS (SELECT project_id AS corpus_id, project_id, CASE WHEN project_id < 'src5' THEN ['todo', 'fact', 'decision'] END AS types, CASE WHEN project_id > 'src3' THEN 1704067200 + 60000 END AS since_s, CASE WHEN project_id > 'src2' THEN 'THE' END AS query FROM (SELECT DISTINCT project_id FROM mem_entities)),
-ck AS (SELECT corpus_id, query, e.*, row_number() OVER (PARTITION BY corpus_id ORDER BY created_s DESC, id DESC) AS n FROM mem_entities e JOIN flt ON e.project_id = flt.project_id WHERE NOT archived AND (types IS NULL OR list_contains(types, type)) AND (since_s IS NULL OR created_s >= since_s)),
-mem AS (SELECT corpus_id, id, title, content, created_s, type FROM ck WHERE n <= 200 AND (query IS NULL OR contains(lower(concat_ws(' ', title, content)), lower(query))))"""
+flt AS (SELECT project_id AS corpus_id, project_id, CASE WHEN project_id < 'src5' THEN ['todo', 'fact', 'decision'] END AS types, CASE WHEN project_id > 'src3' THEN 1704067200 + 60000 END AS since_s, CASE WHEN project_id > 'src2' THEN 'THE' END AS query, file FROM (SELECT DISTINCT project_id FROM mem_entities)
+  LEFT JOIN (SELECT project_id, min(file_path) AS file FROM mem_files JOIN mem_entities ON id = entity_id WHERE project_id > 'src7' OR project_id = 'src10' GROUP BY project_id) USING (project_id)),
+ck AS (SELECT corpus_id, query, file, e.*, row_number() OVER (PARTITION BY corpus_id ORDER BY created_s DESC, id DESC) AS n FROM mem_entities e JOIN flt ON e.project_id = flt.project_id WHERE NOT archived AND (types IS NULL OR list_contains(types, type)) AND (since_s IS NULL OR created_s >= since_s)),
+mem AS (SELECT corpus_id, id, title, content, created_s, type FROM ck WHERE n <= 200 AND (query IS NULL OR contains(lower(concat_ws(' ', title, content)), lower(query))) AND (file IS NULL OR EXISTS (SELECT 1 FROM mem_files AS m WHERE m.entity_id = ck.id AND m.file_path = ck.file)))"""
 
 
 def members(b):
-    filters = b.entities.select("project_id").distinct().selectExpr("project_id as corpus_id", "project_id", "if(project_id < 'src5', array('todo', 'fact', 'decision'), null) as types", "if(project_id > 'src3', 1704067200L + 60000, null) as since_s", "if(project_id > 'src2', 'THE', null) as query", "cast(null as string) as file")
+    own = b.files.join(b.entities.selectExpr("id as entity_id", "project_id"), "entity_id").filter("project_id > 'src7' or project_id = 'src10'").groupBy("project_id").agg(F.min("file_path").alias("file"))
+    filters = b.entities.select("project_id").distinct().selectExpr("project_id as corpus_id", "project_id", "if(project_id < 'src5', array('todo', 'fact', 'decision'), null) as types", "if(project_id > 'src3', 1704067200L + 60000, null) as since_s", "if(project_id > 'src2', 'THE', null) as query").join(own, "project_id", "left")
     return corpus.build_corpora(filters, b.entities, b.files), filters
 
 
