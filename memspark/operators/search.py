@@ -26,17 +26,16 @@ ENTITY_BASE, PIN_BOOST, STALE_FACTOR = 0.8, 1.5, 0.3
 
 
 def _fold_table() -> tuple[str, str]:
-    """Accented Latin letters and the plain letters under them, by Unicode's decompositions."""
+    """Accented Latin letters and the plain letters under them, by Unicode's decompositions; then the combining accents, which go."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
     pairs = [(a, z) for a, z in pairs if a != z and z.isascii() and a.lower() == a]
-    return "".join(a for a, _ in pairs), "".join(z for _, z in pairs)
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(z for _, z in pairs)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of any script, lower-cased and without accents, whether a letter carries its accent or a
-    combining mark follows it: the one rule for index and queries."""
-    bare = F.regexp_replace(F.translate(F.lower(text), *_fold_table()), r"\p{M}+", "")
-    return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Runs of letters, digits and the marks of any script, lower-cased and without accents, whether a letter carries its
+    accent or a combining one follows it: the one rule for index and queries."""
+    return F.filter(F.split(F.translate(F.lower(text), *_fold_table()), r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
 
 
 def query_tokens(text: Column, min_len: int = 1, max_tokens: int | None = None, split_compounds: bool = True) -> Column:

@@ -31,7 +31,7 @@ def terms(b):
     return search.query_terms(asked(b), "text")
 
 
-_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\\pL\\pN]+'), lambda t: t <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\\pL\\pN\\pM]+'), lambda t: t <> '')"
 TERMS = f"""
 asked AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda t: t <> '')) AS word FROM benchmark),
 terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("word")}) AS term FROM (SELECT DISTINCT query_id, word FROM asked))
