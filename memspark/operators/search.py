@@ -35,7 +35,7 @@ def _fold_table() -> tuple[str, str]:
 def tokens(text: Column) -> Column:
     """Runs of letters, digits and the marks of any script, lower-cased and without accents, whether a letter carries its
     accent or a combining one follows it: the one rule for index and queries."""
-    return F.filter(F.split(F.translate(F.lower(text), *_fold_table()), r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.translate(F.lower(text), *_fold_table()), r"[^\p{L}\p{N}\p{M}]+"), "")
 
 
 def query_tokens(text: Column, min_len: int = 1, max_tokens: int | None = None, split_compounds: bool = True) -> Column:
@@ -70,7 +70,7 @@ def build_index(df: DataFrame, key: str, fields: list[str], stem=None) -> DataFr
     one posting of every row, so that statistics of rows need no distinct. A row without tokens has one posting of a null
     term, so that it counts as a row.
     """
-    words = F.concat(*[tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
+    words = tokens(F.concat_ws(" ", *fields))
     kind = df.schema[key].dataType.simpleString()
     counted = df.select(key, words.alias("_words")).mapInArrow(_count_terms, f"term string, {key} {kind}, tf long, dl long, lead boolean")
     if stem is None:
