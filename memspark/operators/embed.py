@@ -63,8 +63,8 @@ def missing_embeddings(entities: DataFrame, vectors: DataFrame, model: str) -> D
 def backfill(entities: DataFrame, vectors: DataFrame, fields: list[str], make: Callable, model: str, prefix: str = "", limit: int | None = None) -> DataFrame:
     """``vectors`` with those of entities that lacked one, the newest first; running it again goes on with the rest."""
     key = model_key(model, prefix)
-    todo = missing_embeddings(entities, vectors, key).orderBy(F.col("updated_s").desc(), "id")
-    todo = todo.limit(limit) if limit else todo
+    todo = missing_embeddings(entities, vectors, key)
+    todo = todo.orderBy(F.col("updated_s").desc(), "id").limit(limit) if limit else todo
     fresh = embed(todo.select(F.col("id").alias("entity_id"), embedding_text(fields, prefix).alias("text")), "entity_id", "text", make, key)
     base = vectors.select("entity_id", "model", "dim", "vector", F.lit(0).alias("version"))
     return upsert_latest(base, fresh.withColumn("version", F.lit(1)), ["entity_id", "model"], "version").drop("version")
