@@ -724,6 +724,29 @@ def test_passage_dedup_removes_short_passages_whole(spark):
     assert corpus_pipeline.cut_lines(spark, table(spark, texts), "").filter("doc_id = 5").first().text.split("\n") == own[6]
 
 
+def test_passages_come_from_content_defined_chunks_and_equal_bytes(spark, monkeypatch):
+    rng = random.Random(13)
+    line = lambda: prose(rng, 6).replace("\n", " ")
+    passage, own = [line() for _ in range(40)], [[line() for _ in range(9)] for _ in range(4)]
+    every = ["\n".join(own[0] + passage), "\n".join(own[1] + passage + own[2]), "\n".join([*passage[30:33], *own[3], *passage[3:9], "", "", *passage[:4], "", ""]), "b\nb\nb\nb\nb", "\n".join(passage)]
+    docs = table(spark, every)
+    place = lambda rows: {(r.doc_id, r["from"], r["lines"]) for r in rows.collect()}
+    later, firsts = line_dedup.repeated_passages(docs)
+    chunks, chunk_firsts = line_dedup.repeated_chunks(docs)
+    assert place(chunks) and place(chunks) <= place(later) and place(chunk_firsts) <= place(firsts)
+    inside = {(d, i) for d, frm, n in place(chunks) for i in range(frm, frm + n - 1)}
+    pairs = place(later) - place(chunks)
+    assert {n for _, _, n in pairs} == {2} and not inside & {(d, frm) for d, frm, _ in pairs}  # two lines only where no chunk is
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.passage_dedup(docs).collect()}
+    assert [out[i] for i in range(len(every))] == brute_passages(every)
+
+    sha2 = line_dedup.F.sha2
+    monkeypatch.setattr(line_dedup.F, "sha2", lambda c, n: sha2(line_dedup.F.substring(c, 1, 1), n))  # lines of one first letter collide
+    out = {r.doc_id: r for r in line_dedup.passage_dedup(docs).collect()}
+    for i, (text, n) in enumerate(brute_passages(every)):
+        assert out[i].n_removed <= n and {*text.split("\n")} - {""} <= {*out[i].text.split("\n")}
+
+
 # ---- shared helpers and the pipeline
 @given(st.lists(st.text(alphabet="aB9é -\n", max_size=20), min_size=1, max_size=6))
 def test_word_bounds(texts):
