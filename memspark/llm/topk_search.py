@@ -43,7 +43,7 @@ def _kth_largest(values: np.ndarray, k: int) -> np.ndarray:
 
 def _first(query: int, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, read: int) -> list[tuple[int, int, int, int]]:
     order = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else np.lexsort((ids, -scores))
-    return [(int(query), int(ids[i]), max(-_LONG, min(_LONG, int(scores[i]))), read) for i in order[:k]]
+    return [(int(query), int(ids[i]), int(scores[i]), read) for i in order[:k]]
 
 
 def best_of_block(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
@@ -99,7 +99,8 @@ def _search(k: int) -> Callable:
         found, n = [], candidates.num_rows
         if n and queries.num_rows:
             (q, qr), (c, cr) = ((np.array(t.column("ints").combine_chunks().flatten()).reshape(t.num_rows, -1), t.column("row").to_numpy()) for t in (queries, candidates))
-            found = best_of_block(q, qr, c, cr, candidates.column("vec_id").to_numpy(), k)
+            best = best_of_block(q, qr, c, cr, candidates.column("vec_id").to_numpy(), k)
+            found = [(row, vec, max(-_LONG, min(_LONG, score)), depth) for row, vec, score, depth in best]
         cols = list(zip(*found, strict=True)) or [[]] * 4
         table = pa.table({name: pa.array(col, pa.int64()) for name, col in zip(("query_row", "vec_id", "score", "depth"), cols, strict=True)})
         return table.append_column("share", pa.array(np.array(cols[3], float) / max(1, n)))
