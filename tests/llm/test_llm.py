@@ -520,6 +520,17 @@ def test_suffix_dedup(spark, texts):
     assert suffix_dedup.suffix_dedup(empty(docs)).count() == 0
 
 
+def test_first_copies_are_told_from_later_ones(spark, texts):
+    docs = table(spark, texts)
+    want = [n for n, _ in brute_removed(texts, 100, True)]
+    for keep_first in (False, True):
+        out = {r.doc_id: r.n_later for r in suffix_dedup.suffix_dedup(docs, keep_first, 100).collect()}
+        assert [out[i] for i in range(len(texts))] == want, keep_first
+    passage = " ".join(f"word{i}" for i in range(60))  # 60 words, 409 bytes
+    shared = table(spark, [f"one {passage} end", "x" * 30, f"other {passage} tail"], [5, 6, 7])
+    assert {r.doc_id: (r.n_removed, r.n_later) for r in suffix_dedup.suffix_dedup(shared, False).collect()} == {5: (411, 0), 6: (0, 0), 7: (411, 411)}
+
+
 def test_long_rows_are_cut_into_chunks_without_loss(spark, monkeypatch):
     rng = random.Random(3)
     body = "".join(rng.choice("abcdefgh") for _ in range(5000))
