@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.graph import connected_components
-from memspark.llm.common import bit_filter, cut, in_filter, packed, ranges, some_of, text_key, unpacked
+from memspark.llm.common import bit_filter, cut, in_filter, mix, packed, ranges, some_of, text_key, unpacked
 
 SHINGLE = 3
 RADIUS = 3
@@ -218,14 +218,19 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = cut(base.mapInArrow(_fingerprints(shingle), f"doc {kind}, fp long"))
-    known = cut(base.groupBy("fp").agg(F.min("doc").alias("first")))
-    nodes = connected_components(fingerprint_links(known.select(F.col("fp").alias("node"), F.lit(0).alias("kind"), "fp"), radius))
-    known = known.join(nodes, known.fp == nodes.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    known = _rooted(base, radius)
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = known.join(least, "root").select("fp", "component_id")
     return base.join(classes, "fp").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(base: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root): the fingerprints of ``base`` (doc, fp), their least doc, and a fingerprint of their class."""
+    known = cut(base.groupBy("fp").agg(F.min("doc").alias("first")))
+    nodes = connected_components(fingerprint_links(known.select(F.col("fp").alias("node"), F.lit(0).alias("kind"), "fp"), radius))
+    return known.join(nodes, known.fp == nodes.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 #: For documents: words of a shingle, similarity of the shingle sets, and the radius in which candidates are looked for.
 WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 #: Documents of the sample that tells frequent shingles, and in how many of them a frequent one is.
@@ -489,3 +494,92 @@ def similar_dedup(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: floa
     number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
     out = out.withColumn("_copy", number).filter("_copy = 1")
     return out.select(*unpacked(docs, {})).union(others.select(*unpacked(docs, {})))
+
+
+#: For near copies beyond the radius: least hashes of a band, bands, the similarity of sets that links, and rounds of stars.
+BAND_ROWS, MIN_BANDS, NEAR_SIMILARITY, NEAR_ROUNDS = 2, 24, 0.5, 2
+
+
+def _least_hashes(distinct: np.ndarray) -> np.ndarray:
+    """Keys of the bands: hashes of the least shingles in ``BAND_ROWS`` orders each. Two sets share a band's key with their
+    Jaccard similarity to the power of ``BAND_ROWS``."""
+    factors = mix(np.arange(1, BAND_ROWS * MIN_BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(factors), ~np.uint64(0))
+    for at in range(0, len(distinct), 1 << 12):
+        np.minimum(least, (distinct[at : at + (1 << 12), None] * factors).min(axis=0), out=least)
+    key = np.arange(MIN_BANDS, dtype=np.uint64)
+    for row in least.reshape(BAND_ROWS, MIN_BANDS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key
+
+
+def _signatures(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, sizes, counts, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), [], []
+            for i, x in enumerate(b.column(2)):
+                hashes = list(_shingle_hashes(x.as_py(), shingle))
+                prints[i], distinct = _vote(hashes), _distinct(hashes)
+                sizes[i] = len(distinct)
+                counts.append(np.minimum(np.bincount(distinct >> np.uint64(56), minlength=256), 255).astype(np.uint8).tobytes())
+                keys.append(_least_hashes(distinct).view(np.int64))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * MIN_BANDS, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(sizes), pa.array(counts, pa.binary()), keys], names=["doc", "key", "fp", "size", "counts", "bands"])
+
+    return run
+
+
+def _shared_bands(sent) -> Callable:
+    """Rows of (key, size, bands, fp) in; a row for every band that another row may have out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = b.column(2).flatten().to_numpy()
+            use = np.flatnonzero(in_filter(hashes.view(np.uint64), sent.value, FILTER_BITS))
+            take = pa.array(use // MIN_BANDS)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(hashes[use]), b.column(3).take(take)], names=["node", "size", "hash", "fp"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """``simhash_classes`` with ``near_id``: the smallest doc_id of the class when near copies beyond the radius are linked too.
+
+    Three bits hold copies with about one word in fifty changed; in a larger group most pairs differ by more. Texts that
+    share a band of least hashes are held against one of the bands' holders, in ``NEAR_ROUNDS`` rounds, chosen anew among
+    other classes; whole sets of distinct shingles decide (Jaccard similarity of ``similarity`` or more). So no link is
+    wrong; a pair at the similarity shares a band with a chance of 1 - (1 - similarity**2)**24 (0.999 at 0.5).
+    The links by fingerprints are all kept: a class of near_id is one or more classes of component_id.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", text_key("text").alias("key"), F.col("text").cast("string").alias("text"))
+    base = cut(texts.mapInArrow(_signatures(shingle), f"doc {kind}, key long, fp long, size long, counts binary, bands array<long>"))
+    prints = cut(_rooted(base, radius))
+    worded = base.filter("size > 0")
+    twice = worded.select(F.explode("bands").alias("h1")).groupBy("h1").count().filter("count > 1").select("h1")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(cut(twice), FILTER_BITS))
+    rows = worded.select("key", "size", "bands", "fp").mapInArrow(_shared_bands(sent), "node long, size long, hash long, fp long").distinct()
+    first = F.min(F.struct(F.col("doc").alias("doc_id"), "key")).alias("first")
+    known = worded.groupBy(F.col("key").alias("node")).agg(first, F.min("size").alias("size"), F.min("counts").alias("counts"), F.min("fp").alias("fp"))
+    classes, links = prints.select("fp", F.col("root").alias("part")), prints.filter("fp <> root").selectExpr("fp as src", "root as dst")
+    for turn in range(NEAR_ROUNDS):
+        parted = cut(rows.select("node", "size", "hash", "fp").join(classes, "fp"))
+        rank = F.struct(F.xxhash64("part", F.lit(turn)).alias("h"), "part", F.xxhash64("node", F.lit(turn)).alias("at"), "node", "size", "fp")
+        outer = parted.groupBy("hash").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).filter("low.part <> high.part")
+        outer = outer.select(F.col("hash").alias("_hash"), "low", "high")
+        stars = parted.join(outer, parted["hash"] == outer["_hash"]).select("node", "size", "part", "fp", F.explode(F.array("low", "high")).alias("c"))
+        fair = (F.col("part") != F.col("c.part")) & (F.least("size", "c.size") >= similarity * F.greatest("size", "c.size") - 1e-6)
+        stars = stars.filter(fair).groupBy("node", "fp", F.col("c.node").alias("dst"), F.col("c.fp").alias("to")).count()
+        # of the holders met, a text is held against the one with which it shares the most bands
+        best = stars.groupBy("node", "fp").agg(F.max(F.struct("count", "dst", "to")).alias("c"))
+        best = cut(best.select(F.col("node").alias("src"), "c.dst", F.col("fp").alias("_fp"), F.col("c.to").alias("_to")))
+        found = _similar_pairs(best.select("src", "dst"), known, texts, shingle, similarity)
+        links = cut(links.union(found.join(best, ["src", "dst"]).select(F.col("_fp").alias("src"), F.col("_to").alias("dst"))))
+        nodes = connected_components(links)
+        classes = cut(prints.select("fp").join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("part")))
+        rows = parted
+    both = cut(prints.join(classes, "fp"))
+    component = both.groupBy("root").agg(F.min("first").alias("component_id"))
+    near = both.groupBy("part").agg(F.min("first").alias("near_id"))
+    out = base.select("doc", "fp").join(both.join(component, "root").join(near, "part").select("fp", "component_id", "near_id"), "fp")
+    return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "near_id")

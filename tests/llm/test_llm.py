@@ -84,6 +84,23 @@ def test_simhash_classes(docs, texts):
     assert simhash_dedup.simhash_classes(empty(docs)).count() == 0
 
 
+def test_near_copies_of_a_larger_group_are_found(spark):
+    rng = random.Random(21)
+    made = []
+    for _ in range(3):
+        words = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(120)]
+        made += [" ".join(w if rng.random() > 0.04 else f"new{rng.randint(0, 9999)}" for w in words) for _ in range(25)]
+    every = [*made, *[prose(rng, 80) for _ in range(20)], made[0], "", None]
+    got = {r.doc_id: r for r in simhash_dedup.near_copies(table(spark, every)).collect()}
+    plain = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup.simhash_classes(table(spark, every)).collect()}
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == plain  # what the contract fixes stays
+    assert len({got[i].component_id for i in range(75)}) > 30  # three bits hold few of them together
+    assert [got[i].near_id for i in range(75)] == [25 * (i // 25) for i in range(75)]
+    assert [got[i].near_id for i in range(75, 95)] == [got[i].component_id for i in range(75, 95)]
+    assert [got[i].near_id for i in (95, 96, 97)] == [0, 96, 96]
+    assert simhash_dedup.near_copies(table(spark, every).filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("tile", [2, 5, 1024])
 def test_tiles_find_all_links(spark, tile):
     rng = np.random.default_rng(3)
