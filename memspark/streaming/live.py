@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -20,42 +21,54 @@ def live_etl(events: DataFrame, key: str, tools: list[str], globs: list[str], se
 
 
 class _Thinning(StatefulProcessor):
-    """Holds a key's events until the watermark has passed them, keeps those that no kept one precedes within the window, and forgets the last kept one after it."""
+    """Holds a key's events until the watermark has passed them, keeps those that no kept one precedes within the window, and forgets the last kept one after it.
 
-    def __init__(self, seconds: float, time: str, kind: str):
-        self.seconds, self.time, self.kind = seconds, time, kind
+    A key has a timer for its earliest waiting event only; when that expires, all that the watermark has passed is settled at
+    once. Events wait as rows of up to ``together`` of them, as each row of state is sent and encoded alone.
+    """
+
+    together = 4096
+
+    def __init__(self, keys: list[str], seconds: float, kind: str):
+        self.row, self.gap, self.kind = Row(*keys, "_at", "event_id"), round(seconds * 1_000_000), kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at double, event_id {self.kind}")
-        self.last = handle.getValueState("last", "at double")
+        self.waiting = handle.getListState("waiting", f"at array<long>, event_id array<{self.kind}>")
+        self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            at = frame[self.time].astype("datetime64[us]").astype("int64") / 1e6
-            self.waiting.appendList(list(zip(at.tolist(), frame["event_id"].tolist(), strict=True)))
-            for t in set(at.tolist()):
-                self.handle.registerTimer(int(t * 1000) + 1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["_at"], r["event_id"]) for r in rows]
+        self.waiting.appendList(self._packed(new))
+        self.handle.registerTimer(min(new)[0] // 1000 + 1)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, kept, last = expiredTimerInfo.getExpiryTimeInMs() / 1000, [], self.last.get()[0] if self.last.exists() else None
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        for at, event in held:
-            if at < now and (last is None or at - last > self.seconds):
+    def _packed(self, events: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*events[i : i + self.together], strict=True))) for i in range(0, len(events), self.together)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        before = self.last.get()  # null where there is none: every call to the state costs as much as some hundred events
+        last = before = before[0] if before else None
+        held = sorted(x for ats, ids in self.waiting.get() for x in zip(ats, ids, strict=True))
+        passed = bisect_left(held, now, key=lambda x: x[0] // 1000)
+        for at, event in held[:passed]:
+            if last is None or at - last > self.gap:
                 last = at
-                kept.append((*key, pd.Timestamp(at, unit="s"), event))
-        left = [(at, event) for at, event in held if at >= now]
-        self.waiting.clear()
-        if left:
-            self.waiting.put(left)
-        if last is not None and now - last > self.seconds:
-            self.last.clear()
+                yield self.row(*key, at, event)
+        if passed:
+            self.waiting.clear()
+            if passed < len(held):
+                self.waiting.put(self._packed(held[passed:]))
+        if passed < len(held):
+            self.handle.registerTimer(held[passed][0] // 1000 + 1)
+        if last is not None and now * 1000 - last > self.gap:
+            if before is not None:
+                self.last.clear()
         elif last is not None:
-            self.last.update((last,))
-            self.handle.registerTimer(int((last + self.seconds) * 1000) + 2)
-        if kept:
-            yield pd.DataFrame(kept)
+            if last != before:
+                self.last.update((last,))
+            self.handle.registerTimer((last + self.gap) // 1000 + 2)
 
     def close(self) -> None:
         pass
@@ -65,13 +78,15 @@ def suppress_duplicates(events: DataFrame, keys: list[str], time: str = "ts", se
     """(keys, time, event_id) of events of which none with the same key was kept within the seconds before.
 
     Counted from the last kept event in order of time, as drop_recent_duplicates counts: an event waits until the watermark,
-    ``late`` behind the newest one, has passed it. Then state is cleared by timers. Needs the RocksDB state store.
+    ``late`` behind the newest one, has passed it. Then state is cleared by timers. Events without a time are left out. Needs
+    the RocksDB state store.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, time, "event_id"))
-    work = _Thinning(seconds, time, kinds["event_id"])
-    grouped = events.select(*keys, time, "event_id").withWatermark(time, late).groupBy(*keys)
-    return grouped.transformWithStateInPandas(statefulProcessor=work, outputStructType=schema, outputMode="append", timeMode="EventTime")
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "_at long", f"event_id {kinds['event_id']}"])
+    timed = events.select(*keys, time, "event_id").withWatermark(time, late).filter(F.col(time).isNotNull())
+    grouped = timed.withColumn("_at", F.unix_micros(F.col(time).cast("timestamp"))).groupBy(*keys)
+    kept = grouped.transformWithState(statefulProcessor=_Thinning(keys, seconds, kinds["event_id"]), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    return kept.select(*keys, F.timestamp_micros("_at").cast(kinds[time]).alias(time), "event_id")
 
 
 def live_sessions(events: DataFrame, key: str, gap: str = "300 seconds", late: str = "0 seconds", time: str = "ts") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators that must not gather a group: numbers, chains, candidates, packing and thinning, on hot groups and odd values."""
 
+import json
 import random
 from types import SimpleNamespace
 
@@ -111,3 +112,16 @@ def test_stream_and_batch_drop_the_same_duplicates(spark, tmp_path):
     got = {(r["key"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = ingest.drop_recent_duplicates(spark.createDataFrame(rows, "key string, ts_s long, event_id long"), ["key"], 60)
     assert {g for g in got if g[0] != "z"} == {(r["key"], r["event_id"]) for r in want.collect()}
+
+
+def test_duplicates_take_few_timers_a_key(spark, tmp_path):
+    rows = [("a", 1_700_000_000 + 7 * i, i) for i in range(5000)] + [("z", 1_700_900_000, 9000)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, "key string, s long, event_id long").select("key", F.timestamp_seconds("s").alias("ts"), "event_id").coalesce(1).write.parquet(folder)
+    with _rocksdb(SimpleNamespace(spark=spark)):
+        stream = live.suppress_duplicates(spark.readStream.schema("key string, ts timestamp, event_id long").parquet(folder), ["key"], seconds=60)
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(0, 5000, 9))
+    timers = [dict(op["customMetrics"]) for p in run.recentProgress for op in json.loads(p.json)["stateOperators"]]
+    assert 0 < sum(t["numRegisteredTimers"] for t in timers) < 20  # one timer settles all that has passed, not one for every event
