@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.graph import chain_ends
 from memspark.functions.numbering import numbered
-from memspark.operators import briefing, consolidate, embed, ingest
+from memspark.operators import briefing, consolidate, embed, ingest, search
 from memspark.plans.queries_live import _rocksdb
 from memspark.streaming import live
 
@@ -125,3 +125,51 @@ def test_duplicates_take_few_timers_a_key(spark, tmp_path):
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(0, 5000, 9))
     timers = [dict(op["customMetrics"]) for p in run.recentProgress for op in json.loads(p.json)["stateOperators"]]
     assert 0 < sum(t["numRegisteredTimers"] for t in timers) < 20  # one timer settles all that has passed, not one for every event
+
+
+def _ranked(scores, able, wanted, scope, k):
+    """The k best of each query by plain loops; scores: (query, id): (bm25, matched), able: id: (project, type, updated)."""
+    out = {}
+    for q in wanted:
+        limits = [r[1:] for r in scope if r[0] == q]
+        seen = [(i, *scores[q, i]) for i in able if (q, i) in scores and (not limits or any(all(x is None or x == y for x, y in zip(r, able[i][:2], strict=True)) for r in limits))]
+        whole = [h for h in seen if h[2] == wanted[q]]
+        top = sorted(whole or seen, key=lambda h: (-h[1], -(able[h[0]][2] if able[h[0]][2] is not None else -1e18), h[0]))[:k]
+        out |= {(q, h[0]): (n, round(h[1], 6)) for n, h in enumerate(top, 1)}
+    return out
+
+
+def test_blocks_rank_as_all_pairs_would(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 40)
+    monkeypatch.setattr(search, "QUERIES", 3)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    data = [(i, rng.choice("abc"), rng.choice(["fact", "todo"]), " ".join(rng.choices(words, k=rng.randint(0, 12))), rng.choice([None, *range(5)]), i % 7 == 0, i % 9 == 0) for i in range(300)]
+    data += [(300 + i, "a", "fact", data[1][3], 3, False, False) for i in range(30)]  # one text many times: ties
+    entities = spark.createDataFrame(data, "id long, project_id string, type string, content string, updated_s long, archived boolean, stale boolean").withColumn("title", F.lit("")).withColumn("pinned", F.lit(False)).repartition(5)
+    asked = {q: sorted(set(rng.choices(words, k=rng.randint(1, 5)))) for q in range(14)} | {14: ["none"], 15: data[1][3].split()[:1] or ["w0"]}
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in set(ts)], "query_id int, term string")
+    limits = [(0, "a", None), (1, "b", "todo"), (2, None, "fact"), (3, None, None), (4, "a", None), (4, None, "fact"), (5, "zzz", None)]
+    scope = spark.createDataFrame(limits, "query_id int, project_id string, type string")
+    index = search.build_index(entities, "id", ["title", "content"])
+    scores = {(r["query_id"], r["id"]): (r["bm25"], r["matched"]) for r in search.bm25(index, terms, "id").collect()}
+    able = {i: (p, t, u) for i, p, t, _, u, archived, stale in data if not archived and not stale}
+    wanted = {q: len(set(ts)) for q, ts in asked.items()}
+    for used, rows in ((None, []), (scope, limits)):
+        got = {(r["query_id"], r["id"]): (r["rank"], round(r["bm25"], 6)) for r in search.rank_entities(index, entities, terms, 5, scope=used, stale=False).collect()}
+        assert got == _ranked(scores, able, wanted, rows, 5)
+
+
+def test_pairs_of_queries_and_rows_are_not_written(spark):
+    # every row matches every query: 3000 x 40 pairs, of which a search may write no more than its k best of each block
+    entities = spark.createDataFrame([(i, f"common word{i % 50}", i) for i in range(3000)], "id long, content string, updated_s long")
+    terms = spark.createDataFrame([(q, t) for q in range(40) for t in ("common", f"word{q}")], "query_id long, term string")
+    best = search.best_hits(search.build_index(entities, "id", ["content"]), terms, "id", entities, "updated_s", 3)
+    status, group = spark.sparkContext.statusTracker(), "pairs"
+    spark.sparkContext.setJobGroup(group, group)
+    assert best.count() == 120
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    written = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None)
+    assert written < 6 * 3000  # rows and queries travel, not their pairs
