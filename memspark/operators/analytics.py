@@ -202,20 +202,33 @@ def files_with_observations(files: DataFrame, entities: DataFrame, k: int) -> Da
     return out.orderBy(F.col("n").desc(), F.col("last_s").desc(), "file_path").limit(k)
 
 
-def file_timeline(files: DataFrame, entities: DataFrame, asked: DataFrame) -> DataFrame:
-    """Entities of each asked path, the oldest first: those of the exact path, else those of its file name."""
+#: Pairs of an asked path and a file path up to which they are sent to every task.
+BROADCAST_PATHS = 1 << 17
+
+
+def file_timeline(files: DataFrame, entities: DataFrame, asked: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Entities of each asked path, the oldest first: those of the exact path, else those of its file name.
+
+    Which files a path stands for is settled on the distinct paths (``paths``, where they are known, else those of ``files``),
+    so that a path with an exact file never meets all files of its name.
+    """
     clean = asked.select("asked", F.regexp_replace("asked", r"^[./]+", "").alias("path"))
-    keyed = files.withColumn("name", F.substring_index("file_path", "/", -1))
-    exact = clean.join(keyed, clean.path == keyed.file_path).select("asked", "entity_id", F.lit(0).alias("priority"))
-    named = clean.join(keyed, F.substring_index("path", "/", -1) == keyed.name).select("asked", "entity_id", F.lit(1).alias("priority"))
-    both = exact.union(named).withColumn("best", F.min("priority").over(Window.partitionBy("asked"))).filter("priority = best").select("asked", "entity_id").distinct()
+    known = cut((files if paths is None else paths).select("file_path").distinct())
+    exact = clean.join(known, clean.path == known.file_path).select("asked", "file_path")
+    others = clean.join(known, clean.path == known.file_path, "left_anti")
+    named = others.join(known, F.substring_index("path", "/", -1) == F.substring_index("file_path", "/", -1)).select("asked", "file_path")
+    meant = cut(exact.union(named.join(exact.select("asked"), "asked", "left_anti")).distinct())
+    meant = F.broadcast(meant) if meant.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS else meant
+    own = files.select("entity_id", "file_path").join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    both = own.join(meant, "file_path").select("asked", "entity_id").distinct()
     shown = both.join(entities.select(F.col("id").alias("entity_id"), "type", "title", "created_s", "status"), "entity_id")
     return shown.withColumn("number", F.row_number().over(Window.partitionBy("asked").orderBy("created_s", "entity_id")))
 
 
 def file_context(timeline: DataFrame, most: int = 20) -> DataFrame:
     """Per asked path: count, first and last time, how many are cut from the timeline, and its latest entity."""
-    out = timeline.groupBy("asked").agg(F.count("*").alias("n"), F.min("created_s").alias("first_s"), F.max("created_s").alias("last_s"), F.max_by("entity_id", "number").alias("current"))
+    latest = F.max_by("entity_id", F.struct("created_s", "entity_id"))  # the last number's; without it nothing need be sorted
+    out = timeline.groupBy("asked").agg(F.count("*").alias("n"), F.min("created_s").alias("first_s"), F.max("created_s").alias("last_s"), latest.alias("current"))
     return out.withColumn("cut", F.greatest(F.col("n") - most, F.lit(0)))
 
 

@@ -87,8 +87,17 @@ class Bridge:
     def files(self) -> DataFrame:
         """entity_id, file_path, line_number: first anchor of a path."""
         joined = self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        path = F.expr("concat('src/', replace(p_brand, 'Brand#', ''), '/', replace(p_type, ' ', '_'), '.py')")
-        return joined.groupBy(F.col("l_orderkey").alias("entity_id"), path.alias("file_path")).agg(F.min("l_linenumber").cast("long").alias("line_number"))
+        return joined.groupBy(F.col("l_orderkey").alias("entity_id"), self._path.alias("file_path")).agg(F.min("l_linenumber").cast("long").alias("line_number"))
+
+    @property
+    def _path(self) -> Column:
+        return F.expr("concat('src/', replace(p_brand, 'Brand#', ''), '/', replace(p_type, ' ', '_'), '.py')")
+
+    @cached_property
+    def file_paths(self) -> DataFrame:
+        """file_path: the different paths of ``files``."""
+        used = self.table("lineitem").select("l_partkey").distinct()
+        return self.table("part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(self._path.alias("file_path")).distinct()
 
     @cached_property
     def tasks(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memspark.functions.checkpoints import cut
 from memspark.operators import analytics, lifecycle
 from memspark.plans.bridge import E0, NOW, Bridge, with_views
 
@@ -196,9 +197,10 @@ line AS (SELECT asked, entity_id, created_s, row_number() OVER (PARTITION BY ask
 
 
 def timeline(b):
-    exact = b.files.select(F.concat(F.lit("./"), "file_path").alias("asked"))
-    named = b.files.select(F.concat(F.lit("other/"), F.substring_index("file_path", "/", -1)).alias("asked"))
-    return analytics.file_timeline(b.files, b.entities, exact.union(named).distinct())
+    paths = cut(b.file_paths)
+    exact = paths.select(F.concat(F.lit("./"), "file_path").alias("asked"))
+    named = paths.select(F.concat(F.lit("other/"), F.substring_index("file_path", "/", -1)).alias("asked"))
+    return analytics.file_timeline(b.files, b.entities, exact.union(named).distinct(), paths)
 
 
 @query("i19_file_timeline", f"{_FILE_LINE} SELECT asked, entity_id, number FROM line")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.graph import chain_ends
 from memspark.functions.numbering import numbered
-from memspark.operators import briefing, consolidate, embed, ingest, search
+from memspark.operators import analytics, briefing, consolidate, embed, ingest, search
 from memspark.plans.queries_live import _rocksdb
 from memspark.streaming import live
 
@@ -173,3 +173,25 @@ def test_pairs_of_queries_and_rows_are_not_written(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     written = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None)
     assert written < 6 * 3000  # rows and queries travel, not their pairs
+
+
+def test_a_path_with_an_exact_file_does_not_meet_its_namesakes(spark):
+    # 40 folders with a file of one name, 50 entities each: 2000 rows by exact paths, 80 000 if names met as well
+    data = [(1000 * d + e, f"src/{d}/x.py") for d in range(40) for e in range(50)]
+    files = spark.createDataFrame([*data, *data, (7, "src/lone/y.py"), (990_000, "src/gone/z.py"), (7, "lib/z.py")], "entity_id long, file_path string")
+    entities = spark.createDataFrame([(i, "fact", f"t{i}", -i, "open") for i, _ in data] + [(990_001, "fact", "t", 0, "open")], "id long, type string, title string, created_s long, status string")
+    asked = spark.createDataFrame([(f"./src/{d}/x.py",) for d in range(40)] + [("./no/y.py",), ("x.py",), ("src/gone/z.py",), ("nowhere.py",)], "asked string")
+    spark.sparkContext.setJobGroup("paths", "paths")
+    line = analytics.file_timeline(files, entities, asked)
+    got = {}
+    for r in line.collect():
+        got.setdefault(r["asked"], {})[r["number"]] = r["entity_id"]
+    store, status = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("paths") for s in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    newest = sorted((i for i, _ in data), reverse=True)
+    want = {f"./src/{d}/x.py": [1000 * d + e for e in reversed(range(50))] for d in range(40)} | {"x.py": newest, "./no/y.py": [7]}
+    assert {a: [x[n] for n in sorted(x)] for a, x in got.items()} == want  # an exact path whose entity is gone has none, its namesakes stay out
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None) < 40_000
+    context = {r["asked"]: (r["n"], r["current"], r["cut"]) for r in analytics.file_context(line).collect()}
+    assert context["x.py"] == (2000, newest[-1], 1980) and context["./src/3/x.py"] == (50, 3000, 30)
