@@ -195,3 +195,18 @@ def test_a_path_with_an_exact_file_does_not_meet_its_namesakes(spark):
     assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None) < 40_000
     context = {r["asked"]: (r["n"], r["current"], r["cut"]) for r in analytics.file_context(line).collect()}
     assert context["x.py"] == (2000, newest[-1], 1980) and context["./src/3/x.py"] == (50, 3000, 30)
+
+
+def test_new_entities_search_their_own_project_and_type_only(spark):
+    # 600 entities in 60 seats of 10, all titles of the same words: 200 x 600 pairs if all met
+    data = [(i, f"p{i % 20}", f"t{i % 3}", "same title words", "", i, False, False, False) for i in range(600)]
+    entities = spark.createDataFrame(data, "id long, project_id string, type string, title string, content string, updated_s long, pinned boolean, stale boolean, archived boolean")
+    new = entities.filter("id >= 400")
+    spark.sparkContext.setJobGroup("titles", "titles")
+    hits = consolidate.lexical_candidates(new, entities, search.build_index(entities, "id", ["title", "content"]), 3).collect()
+    store, status = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("titles") for s in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {(i, o) for i in range(400, 600) for o in sorted((o for o in range(400) if o % 60 == i % 60), reverse=True)[:3]}
+    assert {(r["id"], r["existing_id"]) for r in hits} == want
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None) < 30_000
