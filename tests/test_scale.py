@@ -210,3 +210,16 @@ def test_new_entities_search_their_own_project_and_type_only(spark):
     want = {(i, o) for i in range(400, 600) for o in sorted((o for o in range(400) if o % 60 == i % 60), reverse=True)[:3]}
     assert {(r["id"], r["existing_id"]) for r in hits} == want
     assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None) < 30_000
+
+
+def test_events_rank_in_blocks_within_their_scope(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 16)
+    events = spark.createDataFrame([(i, i % 4, i % 3, "prompt" if i % 2 else "response", "redis cache" if i % 5 else "redis", 1000 + i // 2 if i % 11 else None) for i in range(200)], "event_id long, session_id long, project_id long, type string, content string, ts_s long")
+    terms = spark.createDataFrame([(q, t) for q in (1, 2, 3) for t in ("redis", "cache")] + [(4, "absent"), (5, "cache"), (5, "absent")], "query_id long, term string")
+    scope = spark.createDataFrame([(1, 2, None), (2, 1, 3), (2, 1, 2)], "query_id long, project_id int, session_id int")
+    got = {}
+    for r in search.rank_events(search.build_index(events, "event_id", ["content"]), events, terms, 4, 2000, scope=scope).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["event_id"]
+    order = sorted((i for i in range(200) if i % 5), key=lambda i: (-(1000 + i // 2 if i % 11 else -1), i))
+    fits = {1: lambda i: i % 3 == 2, 2: lambda i: i % 3 == 1 and i % 4 in (2, 3), 3: lambda i: True, 5: lambda i: True}
+    assert {q: [x[n] for n in sorted(x)] for q, x in got.items()} == {q: [i for i in order if f(i)][:4] for q, f in fits.items()}
